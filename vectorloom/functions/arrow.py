@@ -79,3 +79,46 @@ def key_groups(columns: list[np.ndarray], n: int):
     for a, b in zip(starts, np.append(starts[1:], n)):
         rows = order[a:b]
         yield tuple(int(c[rows[0]]) for c in columns), rows
+
+
+def combine_arrays(batches, keys: list[str], count: str | None, arrays: dict, hold_bytes: int | None = None):
+    """Reduce rows with equal keys: add up ``count``, combine the DOUBLE array columns element-wise.
+
+    ``arrays`` maps column names to numpy ufuncs (``np.add``, ``np.minimum`` ...). With ``hold_bytes``
+    the state is emitted whenever it outgrows that size: right before a shuffle, where a later
+    combination follows; not after it.
+    """
+    names = [*keys, *([count] if count else []), *arrays]
+    held: dict[tuple, list] = {}
+
+    def drain():
+        columns = [pa.array([key[i] for key in held], pa.int32()) for i in range(len(keys))]
+        if count:
+            columns.append(pa.array([entry[0] for entry in held.values()], pa.int64()))
+        for i in range(len(arrays)):
+            columns.append(matrix_list(np.stack([entry[1 + i] for entry in held.values()]), pa.float64()))
+        yield pa.RecordBatch.from_arrays(columns, names)
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        matrices = [list_matrix(batch.column(batch.schema.get_field_index(c))) for c in arrays]
+        counts = int_column(batch, count) if count else None
+        for key, rows in key_groups([int_column(batch, c) for c in keys], batch.num_rows):
+            entry = held.get(key)
+            parts = [op.reduce(m[rows], axis=0) for m, op in zip(matrices, arrays.values())]
+            n = int(counts[rows].sum()) if count else 0
+            if entry is None:
+                held[key] = [n, *parts]
+                size += sum(p.nbytes for p in parts)
+                continue
+            entry[0] += n
+            for i, op in enumerate(arrays.values()):
+                entry[1 + i] = op(entry[1 + i], parts[i])
+        if hold_bytes is not None and size > hold_bytes:
+            yield from drain()
+            size = 0
+    if held:
+        yield from drain()

@@ -14,13 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.functions.arrow import code_binary, code_matrix, int_column, key_groups, list_matrix, matrix_list
+from vectorloom.functions.arrow import (
+    code_binary,
+    code_matrix,
+    combine_arrays,
+    int_column,
+    key_groups,
+    list_matrix,
+    matrix_list,
+)
 from vectorloom.functions.kernels import sq8_decode, sq8_encode
 from vectorloom.operators.kmeans import lloyd, spaced_start
 from vectorloom.operators.match import _params_map, centroid_groups, nearest_centroid, nearest_in_batch, topk_join
 from vectorloom.operators.partition import train_sample, train_sizes
 from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, checkpointed, collect_within, vector_dim
 
+_HELD_BYTES = 256 << 20
 POSTINGS_SCHEMA = "part_id int, list_id int, vec_id bigint, code binary"
 
 
@@ -38,40 +47,15 @@ def _cell(batch: pa.RecordBatch, name: str):
 # --- training ---------------------------------------------------------------------------------
 
 
-def sq8_train(train: DataFrame, dim: int | None = None) -> DataFrame:
+def sq8_train(train: DataFrame) -> DataFrame:
     """``(part_id, vmin, vdiff)``: per-dimension range of the training rows of every part."""
-    dim = vector_dim(train, "embedding") if dim is None else dim
-
-    def scan(batches):
-        low: dict[int, np.ndarray] = {}
-        high: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            matrix = list_matrix(_cell(batch, "embedding"))
-            for (part,), rows in key_groups([int_column(batch, "part_id")], len(matrix)):
-                lo, hi = matrix[rows].min(axis=0), matrix[rows].max(axis=0)
-                low[part] = np.minimum(low[part], lo) if part in low else lo
-                high[part] = np.maximum(high[part], hi) if part in high else hi
-        if low:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(low), pa.int32()),
-                    matrix_list(np.stack(list(low.values())), pa.float64()),
-                    matrix_list(np.stack(list(high.values())), pa.float64()),
-                ],
-                ["part_id", "lo", "hi"],
-            )
-
-    partial = train.select("part_id", "embedding").mapInArrow(scan, "part_id int, lo array<double>, hi array<double>")
-    bounds = [F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(dim)]
-    bounds += [F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(dim)]
-    merged = partial.groupBy("part_id").agg(*bounds)
-    return merged.select(
-        "part_id",
-        F.array(*[F.col(f"lo{i}") for i in range(dim)]).alias("vmin"),
-        F.array(*[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(dim)]).alias("vdiff"),
-    )
+    rows = train.select("part_id", "embedding", "embedding").toDF("part_id", "lo", "hi")
+    keys, arrays = ["part_id"], {"lo": np.minimum, "hi": np.maximum}
+    schema = "part_id int, lo array<double>, hi array<double>"
+    partial = rows.mapInArrow(lambda it: combine_arrays(it, keys, None, arrays, _HELD_BYTES), schema)
+    merged = partial.repartition("part_id").mapInArrow(lambda it: combine_arrays(it, keys, None, arrays), schema)
+    width = F.transform(F.arrays_zip("lo", "hi"), lambda r: r["hi"] - r["lo"])
+    return merged.select("part_id", F.col("lo").alias("vmin"), width.alias("vdiff"))
 
 
 def ivf_train(partitioned: DataFrame, niter: int = 10, **options) -> IvfIndex:
@@ -80,10 +64,11 @@ def ivf_train(partitioned: DataFrame, niter: int = 10, **options) -> IvfIndex:
     All parts are trained by the same jobs. Lists per part: floor(sqrt(rows)); training rows: the
     first tenth of the part.
     """
-    sizes = train_sizes(partitioned)
+    sizes = checkpointed(train_sizes(partitioned))
+    n_centroids = sizes.agg(F.sum("nlist").alias("n")).head().n
     train = checkpointed(train_sample(partitioned.select("part_id", "vec_id", "embedding"), sizes))
     counts = sizes.select("part_id", "nlist", F.col("n_train").alias("n"))
-    coarse = lloyd(train, spaced_start(train, counts), niter, **options)
+    coarse = lloyd(train, spaced_start(train, counts), niter, n_centroids=n_centroids, **options)
     return IvfIndex(coarse=coarse, sq=checkpointed(sq8_train(train)))
 
 

@@ -7,93 +7,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.functions.arrow import int_column, key_groups, list_matrix, matrix_list
+from vectorloom.functions.arrow import combine_arrays, list_matrix, matrix_list
 from vectorloom.operators.match import centroid_groups, nearest_centroid, nearest_in_batch
 from vectorloom.operators.positions import with_positions
 from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, checkpointed, collect_within, vector_dim
 
 _HELD_BYTES = 256 << 20  # partial sums a task holds before it emits them
+_SUMS = "part_id int, list_id int, n bigint, sums array<double>"
 
 
-def _element_sums(df: DataFrame, dim: int, keys: list[str]) -> DataFrame:
-    """Add up ``n`` and the array ``sums`` per key; partial aggregation runs before the shuffle."""
-    totals = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(dim)]
-    merged = df.groupBy(*keys).agg(F.sum("n").alias("n"), *totals)
-    return merged.select(*keys, "n", F.array(*[F.col(f"s{i}") for i in range(dim)]).alias("sums"))
+def _combine(partial: DataFrame) -> DataFrame:
+    """Add up partial sums per centroid: one shuffle of what the tasks have already combined."""
+    keys, arrays = ["part_id", "list_id"], {"sums": np.add}
+    return partial.repartition(*keys).mapInArrow(lambda it: combine_arrays(it, keys, "n", arrays), _SUMS)
 
 
-def _partial_sums(vectors: DataFrame, table: pa.Table, dim: int) -> DataFrame:
+def _assigned_sums(vectors: DataFrame, table: pa.Table, dim: int) -> DataFrame:
     """Assign and add up inside the task: vectors never leave it, only sums per centroid do."""
     groups = centroid_groups(table, ["part_id"], "l2", dim)
     payload = vectors.sparkSession.sparkContext.broadcast(groups)
 
-    def scan(batches):
-        held: dict[tuple, list] = {}
-
-        def drain():
-            keys = list(held)
+    def assigned(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            best = nearest_in_batch(batch, payload.value, ["part_id"], "l2")
+            rows = pa.array(np.flatnonzero(best >= 0))
+            vectors = list_matrix(batch.column(batch.schema.get_field_index("embedding")).take(rows))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([p for p, _ in keys], pa.int32()),
-                    pa.array([c for _, c in keys], pa.int32()),
-                    pa.array([held[key][0] for key in keys], pa.int64()),
-                    matrix_list(np.stack([held[key][1] for key in keys]), pa.float64()),
+                    batch.column(batch.schema.get_field_index("part_id")).take(rows),
+                    pa.array(best[best >= 0], pa.int32()),
+                    pa.array(np.ones(len(rows), np.int64)),
+                    matrix_list(vectors, pa.float64()),
                 ],
                 ["part_id", "list_id", "n", "sums"],
             )
-            held.clear()
 
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            best = nearest_in_batch(batch, payload.value, ["part_id"], "l2")
-            matrix = list_matrix(batch.column(batch.schema.get_field_index("embedding")))
-            for key, rows in key_groups([int_column(batch, "part_id"), best], len(best)):
-                if key[1] < 0:
-                    continue
-                entry = held.setdefault(key, [0, np.zeros(dim)])
-                entry[0] += len(rows)
-                entry[1] += matrix[rows].sum(axis=0)
-            if len(held) * dim * 8 > _HELD_BYTES:
-                yield from drain()
-        if held:
-            yield from drain()
-
-    schema = "part_id int, list_id int, n bigint, sums array<double>"
-    return vectors.select("part_id", "embedding").mapInArrow(scan, schema)
+    def scan(batches):
+        yield from combine_arrays(assigned(batches), ["part_id", "list_id"], "n", {"sums": np.add}, _HELD_BYTES)
+
+    return vectors.select("part_id", "embedding").mapInArrow(scan, _SUMS)
+
+
+def _joined_sums(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """The same sums when the centroids do not fit a broadcast."""
+    assigned = nearest_centroid(vectors, centroids, on=["part_id"], strategy="packed")
+    ones = assigned.select(
+        "part_id",
+        "list_id",
+        F.lit(1).cast("bigint").alias("n"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("sums"),
+    )
+    keys, arrays = ["part_id", "list_id"], {"sums": np.add}
+    return ones.mapInArrow(lambda it: combine_arrays(it, keys, "n", arrays, _HELD_BYTES), _SUMS)
+
+
+def _moved(table: pa.Table, sums: pa.Table, dim: int) -> pa.Table:
+    """Collected centroids after a step; one without rows stays where it is."""
+    keys = list(zip(table.column("part_id").to_pylist(), table.column("list_id").to_pylist()))
+    at = {key: i for i, key in enumerate(keys)}
+    centroids = np.concatenate([list_matrix(c) for c in table.column("centroid").chunks if len(c)])
+    for batch in sums.to_batches():
+        matrix = list_matrix(batch.column("sums"))
+        rows = zip(batch.column("part_id").to_pylist(), batch.column("list_id").to_pylist())
+        n = batch.column("n").to_numpy()
+        centroids[[at[key] for key in rows]] = matrix / n[:, None]
+    return pa.table(
+        {"part_id": table.column("part_id"), "list_id": table.column("list_id"), "centroid": matrix_list(centroids, pa.float64())}
+    )
 
 
 def lloyd(
-    vectors: DataFrame, start: DataFrame, niter: int, *, limit_bytes: int = BROADCAST_LIMIT_BYTES
+    vectors: DataFrame,
+    start: DataFrame,
+    niter: int,
+    *,
+    n_centroids: int | None = None,
+    limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """``niter`` Lloyd steps (Euclidean) of every part at once.
 
     ``vectors(part_id, embedding, vec_id)``, ``start(part_id, list_id, centroid)``. One job per
     step over all parts; a centroid without rows stays where it is, ties go to the lower id.
-    Centroids within the limit are broadcast, larger sets are joined block-wise; either way a step
-    starts from a table without lineage (rebuilt from the collected rows, or checkpointed).
+    Centroids within the limit are collected and broadcast, and a step returns only its sums. Larger
+    sets are joined block-wise and every step starts from a checkpointed table without lineage.
     """
-    dim = vector_dim(start, "centroid")
-    current = checkpointed(start.select("part_id", "list_id", "centroid"))
-    n_centroids = current.count()
+    start = start.select("part_id", "list_id", "centroid")
+    if n_centroids is None:
+        start = checkpointed(start)
+        n_centroids = start.count()
+    dim = vector_dim(vectors, "embedding")
+    table = collect_within(start, limit_bytes // max(1, 8 * dim), n_centroids)
+    if table is not None:
+        for _ in range(niter):
+            table = _moved(table, _combine(_assigned_sums(vectors, table, dim)).toArrow(), dim)
+        return vectors.sparkSession.createDataFrame(table, start.schema)
+    current = checkpointed(start)
     for _ in range(niter):
-        table = collect_within(current, limit_bytes // max(1, 8 * dim), n_centroids)
-        if table is not None:
-            partial = _partial_sums(vectors, table, dim)
-        else:
-            assigned = nearest_centroid(vectors, current, on=["part_id"], strategy="packed")
-            partial = assigned.select("part_id", "list_id", F.lit(1).alias("n"), F.col("embedding").alias("sums"))
-        sums = _element_sums(partial, dim, ["part_id", "list_id"])
-        moved = sums.select(
-            "part_id", "list_id", F.transform("sums", lambda x: x / F.col("n")).alias("moved")
-        )
-        updated = current.join(moved, ["part_id", "list_id"], "left").select(
-            "part_id", "list_id", F.coalesce("moved", "centroid").alias("centroid")
+        sums = _combine(_joined_sums(vectors, current))
+        moved = sums.select("part_id", "list_id", F.transform("sums", lambda x: x / F.col("n")).alias("moved"))
+        updated = current.join(moved, ["part_id", "list_id"], "left")
+        current = checkpointed(
+            updated.select("part_id", "list_id", F.coalesce("moved", "centroid").alias("centroid"))
         )
-        if table is not None:
-            current = vectors.sparkSession.createDataFrame(updated.toArrow(), current.schema)
-        else:
-            current = checkpointed(updated)
     return current
 
 
@@ -124,4 +141,4 @@ def kmeans_fit(corpus: DataFrame, k: int, niter: int = 20, **options) -> DataFra
         F.lit(0).alias("part_id"), F.lit(k).alias("nlist"), F.lit(n).cast("bigint").alias("n")
     )
     start = spaced_start(with_positions(vectors, "vec_id"), counts)
-    return lloyd(vectors, start, niter, **options).select(F.col("list_id").alias("cluster_id"), "centroid")
+    return lloyd(vectors, start, niter, n_centroids=k, **options).select(F.col("list_id").alias("cluster_id"), "centroid")

@@ -51,11 +51,10 @@ def _vectors(column, params=None) -> np.ndarray:
 
 def _topk_over(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int, floor=None):
     """:func:`block_topk` over item chunks of bounded size."""
-    best = None
-    for a in range(0, len(ids), _ITEM_CHUNK):
-        part = block_topk(queries, items[a : a + _ITEM_CHUNK], ids[a : a + _ITEM_CHUNK], k, floor)
-        best = part if best is None else merge_topk(*best, *part)
-        floor = best[0][:, -1] if floor is None else np.maximum(floor, best[0][:, -1])
+    best = block_topk(queries, items[:_ITEM_CHUNK], ids[:_ITEM_CHUNK], k, floor)
+    for a in range(_ITEM_CHUNK, len(ids), _ITEM_CHUNK):
+        low = best[0][:, -1] if floor is None else np.maximum(floor, best[0][:, -1])
+        best = merge_topk(*best, *block_topk(queries, items[a : a + _ITEM_CHUNK], ids[a : a + _ITEM_CHUNK], k, low))
     return best
 
 

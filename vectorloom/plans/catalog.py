@@ -492,7 +492,7 @@ def group_means(spark, sf_dir):
 @_register
 def align_series(spark, sf_dir):
     lines = fx.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", fx.cents("l_extendedprice").alias("c"))
-    daily = lines.groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(fx.whole_mean("c").alias("mean_cents"))
+    daily = lines.groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(fx.whole_mean("c").cast("double").alias("mean_cents"))
     series = {f"flag_{f.lower()}": daily.where(F.col("l_returnflag") == f) for f in ("A", "N", "R")}
     aligned = reports.align_series(series, "day", "mean_cents")
     return aligned.withColumn("day", F.col("day").cast("string"))

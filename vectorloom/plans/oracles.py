@@ -463,7 +463,7 @@ SELECT l_returnflag, l_linenumber, {_r('avg(l_extendedprice)', 4)} AS l_extended
 FROM lineitem GROUP BY ALL""",
     "align_series": f"""
 SELECT l_shipdate::DATE::VARCHAR AS day, """ + ", ".join(
-        f"sum({CENTS}) FILTER (l_returnflag = '{f}')::BIGINT // nullif(count(*) FILTER (l_returnflag = '{f}'), 0) AS flag_{f.lower()}"
+        f"(sum({CENTS}) FILTER (l_returnflag = '{f}')::BIGINT // nullif(count(*) FILTER (l_returnflag = '{f}'), 0))::DOUBLE AS flag_{f.lower()}"
         for f in ("A", "N", "R")) + " FROM lineitem GROUP BY ALL",
     "zip_series": f"""
 SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n_lines, sum({CENTS})::BIGINT // count(*) AS mean_cents
