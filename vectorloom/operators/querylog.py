@@ -144,13 +144,13 @@ def cheapest_under_deadline(
         feasible = F.filter("options", lambda o: o["latency_s"] < limit)
         return F.least(F.col("base_j"), F.array_min(F.transform(feasible, energy)))
 
-    timed = timed.withColumn("base_j", energy(F.col("base")))
+    timed = timed.withColumn("base_j", F.when(bound.isNotNull(), energy(F.col("base"))))
     return timed.select(
         "batch",
         "cluster_id",
         "load",
         "base_j",
-        F.when(bound.isNotNull(), cheapest(bound)).alias("scaled_j"),
+        F.when(bound.isNotNull(), cheapest(bound)).alias("scaled_j"),  # greatest/least skip NULLs
         F.when(bound.isNotNull(), cheapest(F.greatest(bound, F.lit(float(slack_s))))).alias("enhanced_j"),
     )
 

@@ -50,12 +50,13 @@ def trimmed_mean(log: DataFrame, keys: Sequence[str], value: str, id_col: str, t
     rows = log.select(*keys, id_col, value).where(F.col(value).isNotNull())
 
     def extreme(order):
-        w = Window.partitionBy(*keys).orderBy(order, F.asc(id_col))
+        # one total order (value, id) read from both ends: the ends of a larger group never overlap
+        w = Window.partitionBy(*keys).orderBy(order(value), order(id_col))
         ranked = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= trim)
         return ranked.select(*keys, id_col)
 
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    cut = extreme(F.asc(value)).unionByName(extreme(F.desc(value)))
+    cut = extreme(F.asc).unionByName(extreme(F.desc))
     large = sizes.where(F.col("n_rows") > 2 * trim).select(*keys)
     cut = cut.join(large, keys, "left_semi")
     kept = rows.join(cut, [*keys, id_col], "left_anti")

@@ -316,7 +316,8 @@ energy AS MATERIALIZED (
   FROM fcost f JOIN straggler s USING (batch) WHERE s.straggler_s IS NOT NULL),
 priced AS MATERIALIZED (
   SELECT b.batch, b.cluster_id, b.load,
-         b.latency_s * b.busy + greatest(s.straggler_s - b.latency_s, 0) * b.idle AS base_j,
+         CASE WHEN s.straggler_s IS NOT NULL THEN
+           b.latency_s * b.busy + greatest(s.straggler_s - b.latency_s, 0) * b.idle END AS base_j,
          CASE WHEN s.straggler_s IS NOT NULL THEN least(
            b.latency_s * b.busy + greatest(s.straggler_s - b.latency_s, 0) * b.idle,
            (SELECT min(joule) FROM energy e WHERE e.batch = b.batch AND e.cluster_id = b.cluster_id
@@ -326,7 +327,6 @@ priced AS MATERIALIZED (
            (SELECT min(joule) FROM energy e WHERE e.batch = b.batch AND e.cluster_id = b.cluster_id
               AND e.latency_s < greatest(s.straggler_s, 0.09))) END AS enhanced_j
   FROM base b JOIN straggler s USING (batch))"""
-NULL_SAFE_BASE = "CASE WHEN base_j IS NOT NULL THEN base_j END"
 
 _cost_by_fanout = _with(
     LOG, PROFILE,
@@ -477,7 +477,7 @@ FROM series s LEFT JOIN series b ON b.l_suppkey = s.l_suppkey AND b.l_returnflag
 WITH ranked AS MATERIALIZED (
   SELECT event_type, value, count(*) OVER (PARTITION BY event_type) AS n,
          row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS up,
-         row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS down
+         row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id DESC) AS down
   FROM events WHERE value IS NOT NULL)
 SELECT event_type, n AS n_rows, count(*) AS n_used, {_r('avg(value)')} AS trimmed_mean
 FROM ranked WHERE n <= 4 OR (up > 2 AND down > 2) GROUP BY ALL""",
