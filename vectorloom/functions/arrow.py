@@ -31,12 +31,18 @@ def list_matrix(column, dtype=np.float64) -> np.ndarray:
 
 
 def code_matrix(column) -> np.ndarray:
-    """Binary column of equally long 8-bit codes as an (n, dim) uint8 matrix."""
+    """Binary column of equally long 8-bit codes as an (n, dim) uint8 matrix, without copying."""
     n = len(column)
+    if column.null_count:
+        raise ValueError("NULL code reached a kernel")
     if n == 0:
         return np.zeros((0, 0), np.uint8)
-    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
-    return flat.reshape(n, -1)
+    offset_type = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], offset_type)[column.offset : column.offset + n + 1]
+    widths = np.diff(offsets)
+    if widths.min() != widths.max():
+        raise ValueError("codes of different length reached a kernel")
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1)
 
 
 def matrix_list(matrix: np.ndarray, arrow_type: pa.DataType) -> pa.Array:

@@ -42,6 +42,12 @@ def _pair_scores(q: np.ndarray, c: np.ndarray, qi: np.ndarray, cj: np.ndarray) -
     return out
 
 
+def _at_least(approx: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Flat indexes of the entries that are not below their row's bound (rounded down to float32)."""
+    bound = np.nextafter(low.astype(np.float32), np.float32(-np.inf))
+    return np.flatnonzero(approx >= bound[:, None])
+
+
 def block_topk(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
     """Best ``k`` items per query by inner product, ties to the lower id.
 
@@ -65,13 +71,15 @@ def block_topk(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int,
         # input rounding of both sides plus the summation, for the k-th best and the item itself
         margin = (2.0 * (dim + 3) * _UNIT * longest) * queries.norm[a:b] + 1e-30
         low = np.full(b - a, -np.inf) if floor is None else floor[a:b]
-        mask = approx >= (low - margin)[:, None]
-        if n > kk and np.count_nonzero(mask) > 4 * kk * (b - a):
-            kth = np.partition(approx, n - kk, axis=1)[:, n - kk].astype(np.float64)
-            mask = approx >= (np.maximum(kth, low) - margin)[:, None]
-        qi, cj = np.nonzero(mask)
-        if len(qi) == 0:
+        at = None if floor is None else _at_least(approx, low - margin)
+        if at is None or len(at) > 4 * kk * (b - a):
+            if n > kk:
+                kth = np.partition(approx, n - kk, axis=1)[:, n - kk].astype(np.float64)
+                low = np.maximum(low, kth)
+            at = _at_least(approx, low - margin)
+        if len(at) == 0:
             continue
+        qi, cj = np.divmod(at, n)
         exact = _pair_scores(queries.f64[a:b], items64, qi, cj)
         order = np.lexsort((ids[cj], -exact, qi))
         qi, cj, exact = qi[order], cj[order], exact[order]

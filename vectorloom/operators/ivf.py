@@ -58,13 +58,13 @@ def sq8_train(train: DataFrame) -> DataFrame:
     return merged.select("part_id", F.col("lo").alias("vmin"), width.alias("vdiff"))
 
 
-def ivf_train(partitioned: DataFrame, niter: int = 10, **options) -> IvfIndex:
+def ivf_train(partitioned: DataFrame, niter: int = 10, points_per_list: int | None = None, **options) -> IvfIndex:
     """Coarse centroids and code ranges of every part of ``partitioned(part_id, vec_id, embedding)``.
 
     All parts are trained by the same jobs. Lists per part: floor(sqrt(rows)); training rows: the
-    first tenth of the part.
+    first tenth of the part, bounded by ``points_per_list`` if given.
     """
-    sizes = checkpointed(train_sizes(partitioned))
+    sizes = checkpointed(train_sizes(partitioned, points_per_list))
     n_centroids = sizes.agg(F.sum("nlist").alias("n")).head().n
     train = checkpointed(train_sample(partitioned.select("part_id", "vec_id", "embedding"), sizes))
     counts = sizes.select("part_id", "nlist", F.col("n_train").alias("n"))
@@ -151,10 +151,10 @@ def index_append(
     return partitioned.select("part_id", "vec_id", "embedding").mapInArrow(scan, POSTINGS_SCHEMA)
 
 
-def build_index(partitioned: DataFrame, niter: int = 10, **options) -> IvfIndex:
+def build_index(partitioned: DataFrame, niter: int = 10, points_per_list: int | None = None, **options) -> IvfIndex:
     """Train on, and fill with, all parts of a corpus."""
-    trained = ivf_train(partitioned, niter, **options)
-    return IvfIndex(trained.coarse, trained.sq, index_append(trained, partitioned))
+    trained = ivf_train(partitioned, niter, points_per_list, **options)
+    return IvfIndex(trained.coarse, trained.sq, index_append(trained, partitioned, **options))
 
 
 # --- search -----------------------------------------------------------------------------------

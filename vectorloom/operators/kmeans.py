@@ -131,12 +131,25 @@ def spaced_start(placed: DataFrame, counts: DataFrame) -> DataFrame:
     return wanted.join(placed.select("part_id", "pos", doubles.alias("centroid")), ["part_id", "pos"]).drop("pos")
 
 
-def kmeans_fit(corpus: DataFrame, k: int, niter: int = 20, **options) -> DataFrame:
-    """``(cluster_id, centroid)`` from ``niter`` Lloyd steps over evenly spaced start vectors."""
+def kmeans_fit(
+    corpus: DataFrame, k: int, niter: int = 20, points_per_centroid: int | None = None, **options
+) -> DataFrame:
+    """``(cluster_id, centroid)`` from ``niter`` Lloyd steps over evenly spaced start vectors.
+
+    Every step reads all rows. ``points_per_centroid`` trains on a hash sample of about that many rows
+    per centroid instead (the assignment afterwards still covers the whole corpus); the sample is
+    written once, so the steps do not scan the corpus again.
+    """
     vectors = corpus.select(F.lit(0).alias("part_id"), "vec_id", "embedding")
     n = vectors.count()
     if n < k:
         raise ValueError(f"{k} clusters need at least {k} vectors, got {n}")
+    if points_per_centroid is not None and n > k * points_per_centroid:
+        keep = n // (k * max(1, points_per_centroid))
+        sample = checkpointed(vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(keep)) == 0))
+        n_sample = sample.count()
+        if n_sample >= k:
+            vectors, n = sample, n_sample
     counts = corpus.sparkSession.range(1).select(
         F.lit(0).alias("part_id"), F.lit(k).alias("nlist"), F.lit(n).cast("bigint").alias("n")
     )

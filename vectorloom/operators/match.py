@@ -36,19 +36,24 @@ from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, collect_within, v
 _PACK_ROWS = 4096  # rows per packed block
 _STRIPE_PACKS = 16  # item blocks of one key that share one copy of the query blocks
 _ITEM_CHUNK = 8192  # items scored at once
+_PRUNE_VALUES = 256  # longest IN list pushed to the scan
 _STATE_ROWS = 4_000_000  # running top-k entries held by a task before they are emitted
 
 
 # --- helpers that run on executors ------------------------------------------------------------
 
 
-def _vectors(column, params=None) -> np.ndarray:
-    """Item vectors of an Arrow column: plain lists, or 8-bit codes with (vmin, vdiff)."""
-    if pa.types.is_binary(column.type):
-        return sq8_decode(code_matrix(column), *params)
+def _stored(column) -> np.ndarray:
+    """Item vectors of an Arrow column as they are stored: plain lists or 8-bit codes."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return code_matrix(column)
     return list_matrix(column)
 
 
+def _decoded(stored: np.ndarray, params) -> np.ndarray:
+    return stored if params is None else sq8_decode(stored, *params)
+
+
 def _topk_over(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int, floor=None):
     """:func:`block_topk` over item chunks of bounded size."""
     best = block_topk(queries, items[:_ITEM_CHUNK], ids[:_ITEM_CHUNK], k, floor)
@@ -93,8 +98,9 @@ def _params_map(sq: DataFrame | None, limit_bytes: int, dim: int):
     """Decoding ranges per part as a dictionary; False when they exceed the limit."""
     if sq is None:
         return None
-    table = collect_within(sq.select("part_id", "vmin", "vdiff"), limit_bytes // max(1, 16 * dim))
-    if table is None:
+    cap = limit_bytes // max(1, 16 * dim)
+    table = sq.select("part_id", "vmin", "vdiff").limit(cap + 1).toArrow()  # one row per part
+    if table.num_rows > cap:
         return False
     table = table.combine_chunks()
     if table.num_rows == 0:
@@ -186,6 +192,10 @@ def _queries_broadcast(queries, items, k, on, per, pairs, params, dim) -> DataFr
         wanted = spark.createDataFrame(
             pa.table({c: pa.array([key[i] for key in lookup], pa.int32()) for i, c in enumerate(on)}),
         )
+        for i, c in enumerate(on):
+            values = sorted({key[i] for key in lookup})
+            if len(values) <= _PRUNE_VALUES:  # prunes folders of parts nobody asked for
+                items = items.where(F.col(c).isin(values))
         # bounded by the collected pairs: rows of keys nobody asked for never reach Python
         items = items.join(F.broadcast(wanted), on, "left_semi")
     payload = items.sparkSession.sparkContext.broadcast((qids, matrix, lookup, params))
@@ -207,8 +217,7 @@ def _queries_broadcast(queries, items, k, on, per, pairs, params, dim) -> DataFr
 
         for batch in batches:
             ids = int_column(batch, "item_id")
-            vec = batch.column(batch.schema.get_field_index("vec"))
-            plain = None if params is not None else _vectors(vec)
+            stored = _stored(batch.column(batch.schema.get_field_index("vec")))
             for key, rows in key_groups([int_column(batch, c) for c in columns], len(ids)):
                 at = dict(zip(columns, key))
                 asking = None
@@ -218,10 +227,7 @@ def _queries_broadcast(queries, items, k, on, per, pairs, params, dim) -> DataFr
                         continue
                     if len(asking) == len(qids):
                         asking = None
-                if plain is not None:
-                    vectors = plain[rows]
-                else:
-                    vectors = _vectors(vec.take(pa.array(rows)), params[key[part_at]])
+                vectors = _decoded(stored[rows], None if params is None else params[key[part_at]])
                 group = tuple(at[c] for c in per)
                 # one key per group: keep state for the queries of that key only
                 members = asking if one_key else None
@@ -329,9 +335,8 @@ def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
                 params = None
                 if decode:
                     params = tuple(cell[c].values.to_numpy(zero_copy_only=False) for c in decode)
-                scores, found = _topk_over(
-                    QueryBlock(list_matrix(qv)), _vectors(vec, params), item.to_numpy().astype(np.int64), k
-                )
+                vectors = _decoded(_stored(vec), params)
+                scores, found = _topk_over(QueryBlock(list_matrix(qv)), vectors, item.to_numpy().astype(np.int64), k)
                 group = tuple(cell[c].as_py() for c in per)
                 yield _long_form(names, qid.to_numpy().astype(np.int64), group, scores, found)
 

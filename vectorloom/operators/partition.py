@@ -58,18 +58,19 @@ def cluster_sizes(clustered: DataFrame, clusters: DataFrame | None = None) -> Da
     )
 
 
-def train_sizes(partitioned: DataFrame) -> DataFrame:
+def train_sizes(partitioned: DataFrame, points_per_list: int | None = None) -> DataFrame:
     """``(part_id, n_rows, nlist, n_train)``: floor(sqrt(n)) lists, trained on the first tenth.
 
     A tenth of a small part can be less than its number of lists; training then takes as many
-    rows as lists.
+    rows as lists. ``points_per_list`` bounds the training rows of a large part.
     """
     counts = partitioned.groupBy("part_id").agg(F.count(F.lit(1)).alias("n_rows"))
     nlist = F.floor(F.sqrt(F.col("n_rows"))).cast("int")
     tenth = F.floor(F.col("n_rows") / 10)
-    return counts.withColumn("nlist", nlist).withColumn(
-        "n_train", F.least(F.col("n_rows"), F.greatest(nlist.cast("bigint"), tenth))
-    )
+    n_train = F.least(F.col("n_rows"), F.greatest(nlist.cast("bigint"), tenth))
+    if points_per_list is not None:
+        n_train = F.least(n_train, nlist.cast("bigint") * max(1, points_per_list))
+    return counts.withColumn("nlist", nlist).withColumn("n_train", n_train)
 
 
 def train_sample(partitioned: DataFrame, sizes: DataFrame | None = None) -> DataFrame:

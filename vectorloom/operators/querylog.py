@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.operators.positions import with_positions
 
+_FANOUT_COLUMNS = 64  # fan-outs summed as columns of one aggregation
 
 def top_clusters_explode(trace: DataFrame, c: int) -> DataFrame:
     """``(qid, rk, cluster_id)``: the first ``c`` entries of every ranked list."""
@@ -86,15 +87,22 @@ def straggler_cost(costed: DataFrame, sampling_s: float = 0.0) -> DataFrame:
 
 
 def fanout_loads(batched: DataFrame, max_fanout: int) -> DataFrame:
-    """``(c, batch, cluster_id, load)`` for every fan-out c = 1..max in one pass.
+    """``(c, batch, cluster_id, load)`` for every fan-out c = 1..max from one aggregation.
 
-    Accesses are counted per (batch, cluster, list position) first; only these counts are repeated
-    for the fan-outs they belong to.
+    An access at list position p counts for every fan-out above p. The loads of all fan-outs are sums
+    over the same (batch, cluster) group, so the log is shuffled once and not repeated per fan-out.
     """
     asked = batched.select("batch", F.posexplode(F.slice("ranked", 1, max_fanout)).alias("pos", "cluster_id"))
-    counts = asked.groupBy("batch", "cluster_id", "pos").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.withColumn("c", F.explode(F.sequence(F.col("pos") + 1, F.lit(max_fanout))))
-    return spread.groupBy("c", "batch", "cluster_id").agg(F.sum("n").alias("load"))
+    if max_fanout > _FANOUT_COLUMNS:
+        # too many sums for one aggregation: repeat the counts per list position instead
+        counts = asked.groupBy("batch", "cluster_id", "pos").agg(F.count(F.lit(1)).alias("n"))
+        spread = counts.withColumn("c", F.explode(F.sequence(F.col("pos") + 1, F.lit(max_fanout))))
+        return spread.groupBy("c", "batch", "cluster_id").agg(F.sum("n").alias("load"))
+    sums = [F.count(F.when(F.col("pos") < c, 1)).alias(f"load_{c}") for c in range(1, max_fanout + 1)]
+    wide = asked.groupBy("batch", "cluster_id").agg(*sums)
+    per_fanout = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"load_{c}").alias("load")) for c in range(1, max_fanout + 1)])
+    long = wide.select("batch", "cluster_id", F.explode(per_fanout).alias("f"))
+    return long.select("f.c", "batch", "cluster_id", "f.load").where(F.col("load") > 0)
 
 
 def cost_by_fanout(batched: DataFrame, profile: DataFrame, max_fanout: int, batch_size: int, sampling_s: float = 0.0) -> DataFrame:
@@ -120,8 +128,7 @@ def cheapest_under_deadline(
     of the straggler time. Without a better option the base energy stands. A batch with a load outside
     the profile at the top frequency has no known straggler time: its energies are NULL.
     """
-    # one pass over the options: every setting of a (batch, cluster) is in the same group, so the base
-    # latency is the one at the highest frequency and needs no second look-up
+    # all settings of a (cluster, load) travel together, so one look-up serves base and options
     priced = profile.join(power, "frequency_mhz")
     setting = F.struct("frequency_mhz", "latency_s", "busy_watts", "idle_watts")
     options = (
@@ -132,9 +139,10 @@ def cheapest_under_deadline(
     top = power.agg(F.max("frequency_mhz").alias("top")).head().top
     matched = loads.join(options, ["cluster_id", "load"], "left")
     matched = matched.withColumn("base", F.get(F.filter("options", lambda o: o["frequency_mhz"] == F.lit(top)), 0))
-    known = F.count("base.latency_s") == F.count(F.lit(1))
-    straggler = matched.groupBy("batch").agg(F.when(known, F.max("base.latency_s")).alias("straggler_s"))
-    timed = matched.join(straggler, "batch")
+    # a batch is a small group (at most its queries times the fan-out), so its maximum is a window
+    batch = Window.partitionBy("batch")
+    known = F.count("base.latency_s").over(batch) == F.count(F.lit(1)).over(batch)
+    timed = matched.withColumn("straggler_s", F.when(known, F.max("base.latency_s").over(batch)))
     bound = F.col("straggler_s")
 
     def energy(o):

@@ -92,13 +92,27 @@ def routed_search(
     return search_probed(queries, index, deep, k, **match)
 
 
-def exact_routed_search(queries: DataFrame, partitioned: DataFrame, c: int, k: int, m: int | None = None, **match) -> DataFrame:
+def with_routes(lists: DataFrame, m: int) -> DataFrame:
+    """Add ``route_rk`` to per-part hit lists: the parts of a query ranked by the mean of their top ``m``.
+
+    The lists are read once; after one shuffle by query all windows run inside its few rows.
+    """
+    within = Window.partitionBy("qid", "part_id")
+    scored = lists.repartition("qid").withColumn(
+        "sample_score", F.avg(F.when(F.col("rk") <= m, F.col("score"))).over(within)
+    )
+    by_score = Window.partitionBy("qid").orderBy(F.desc("sample_score"), F.asc("part_id"))
+    return scored.withColumn("route_rk", F.dense_rank().over(by_score))
+
+
+def exact_routed_search(
+    queries: DataFrame, partitioned: DataFrame, c: int, k: int, m: int | None = None, **match
+) -> DataFrame:
     """Routed search without an index: parts ranked and searched by exact scans."""
     m = k if m is None else m
-    hits = per_partition_topk(queries, partitioned, max(k, m), **match)
-    routes = rank_parts(sample_scores(hits.where(F.col("rk") <= m)))
-    chosen = routes.where(F.col("route_rk") <= c).select("qid", "part_id")
-    return merge_topk_lists(hits.where(F.col("rk") <= k).join(chosen, ["qid", "part_id"]).drop("part_id"), k)
+    lists = with_routes(per_partition_topk(queries, partitioned, max(k, m), **match), m)
+    deep = lists.where((F.col("route_rk") <= c) & (F.col("rk") <= k))
+    return merge_topk_lists(deep.select("qid", "vec_id", "score"), k)
 
 
 def batched_search(queries: DataFrame, corpus: DataFrame, k: int, batch: int, **match) -> DataFrame:

@@ -373,9 +373,7 @@ def quality_by_config(spark, sf_dir):
     truth = search.exact_topk(queries, fx.corpus(spark, sf_dir), fx.K)
     split = search.per_partition_topk(queries, fx.splits(spark, sf_dir), fx.K)
     split = split.withColumn("c", F.explode(F.sequence(F.col("part_id") + 1, F.lit(fx.N_SPLITS))))
-    lists = search.per_partition_topk(queries, fx.labelled(spark, sf_dir), fx.K)
-    routes = search.rank_parts(search.sample_scores(lists)).select("qid", "part_id", "route_rk")
-    routed = lists.join(routes, ["qid", "part_id"])
+    routed = search.with_routes(search.per_partition_topk(queries, fx.labelled(spark, sf_dir), fx.K), fx.K)
     routed = routed.withColumn("c", F.explode(F.sequence(F.col("route_rk"), F.lit(fx.N_SPLITS))))
     rows = None
     for name, hits in (("split", split), ("routed", routed)):

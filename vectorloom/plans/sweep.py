@@ -34,6 +34,25 @@ def _repeat_for(hits: DataFrame, column: str, values: Sequence[int], name: str)
     return hits.withColumn(name, F.explode(F.filter(settings, lambda v: v >= F.col(column))))
 
 
+def fan_out_topk(hits: DataFrame, by: Sequence[str], entry: str, n_parts: int, k) -> DataFrame:
+    """``(*by, c, vec_id, rk)``: top ``k`` for every fan-out c; a hit takes part from c = ``entry`` on.
+
+    A group holds the hits of one query and setting, at most k per part. It is sorted once, and each
+    fan-out takes its prefix of that order.
+    """
+    order = F.struct((-F.col("score")).alias("neg"), "vec_id", F.col(entry).alias("entry"))
+    packed = hits.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("found"))
+    fans = F.transform(
+        F.sequence(F.lit(1), F.lit(n_parts)),
+        lambda c: F.struct(
+            c.alias("c"), F.slice(F.filter("found", lambda h: h["entry"] <= c), F.lit(1), k).alias("best")
+        ),
+    )
+    per_c = packed.select(*by, F.explode(fans).alias("f"))
+    rows = per_c.select(*by, F.col("f.c").alias("c"), F.posexplode("f.best").alias("pos", "h"))
+    return rows.select(*by, "c", F.col("h.vec_id").alias("vec_id"), (F.col("pos") + 1).alias("rk"))
+
+
 def quality_sweep(
     queries: DataFrame,
     corpus: DataFrame,
@@ -50,8 +69,8 @@ def quality_sweep(
     """Mean recall and NDCG per (sample_nprobe, deep_nprobe, k, c), c = 1..n_parts.
 
     Scores are computed once per table at the largest setting; the grid is filters, small
-    per-list merges and aggregations. The fan-out grid repeats a hit at most ``n_parts`` times, and
-    only after each part has been cut to k hits.
+    per-list merges and aggregations. Fan-outs are spelled out only after each part has been cut to
+    k hits, inside the group of one query.
     """
     k_max = max(k)
 
@@ -59,20 +78,17 @@ def quality_sweep(
         """Rank once, then repeat a row for every k it belongs to."""
         return _repeat_for(best_per(hits, k_max, by, id_col="vec_id"), "rk", k, "k")
 
-    def merged(hits: DataFrame, by: Sequence[str]) -> DataFrame:
-        return at_k(hits, ["qid", *by]).drop("score")
-
     truth = checkpointed(at_k(exact_topk(queries, corpus, k_max, **match).drop("rk"), ["qid"]).select("qid", "vec_id", "rk", "k"))
 
     # one index over everything: no fan-out, no routing
-    mono = merged(list_hits(queries, monolithic, k_max, monolithic_nprobe, **match), [])
+    mono = at_k(list_hits(queries, monolithic, k_max, monolithic_nprobe, **match), ["qid"])
 
     # splits: the first c of them, unrouted
-    fan_out = F.explode(F.sequence(F.col("part_id") + 1, F.lit(n_parts)))
     split = list_hits(queries, splits, k_max, max(deep_nprobe), **match)
     split = _repeat_for(split, "probe_rk", deep_nprobe, "deep_nprobe")
     split = best_per(split, k_max, ["qid", "part_id", "deep_nprobe"], id_col="vec_id").drop("rk")
-    split = merged(split.withColumn("c", fan_out), ["deep_nprobe", "c"])
+    split = split.withColumn("entry", F.col("part_id") + 1)
+    split = _repeat_for(fan_out_topk(split, ["qid", "deep_nprobe"], "entry", n_parts, F.lit(k_max)), "rk", k, "k")
 
     # clusters: routes per (sample setting, k), since k hits make the sample score
     base = checkpointed(list_hits(queries, clusters, k_max, max([*deep_nprobe, *sample_nprobe]), **match))
@@ -81,9 +97,7 @@ def quality_sweep(
     routes = rank_parts(means, ("qid", "sample_nprobe", "k"))
     deep = at_k(_repeat_for(base, "probe_rk", deep_nprobe, "deep_nprobe"), ["qid", "part_id", "deep_nprobe"]).drop("rk")
     routed = deep.join(routes.select("qid", "part_id", "sample_nprobe", "k", "route_rk"), ["qid", "part_id", "k"])
-    routed = routed.withColumn("c", F.explode(F.sequence(F.col("route_rk"), F.lit(n_parts))))
-    per_k = ["qid", "sample_nprobe", "deep_nprobe", "k", "c"]
-    routed = best_per(routed, k_max, per_k, id_col="vec_id").where(F.col("rk") <= F.col("k"))
+    routed = fan_out_topk(routed, ["qid", "sample_nprobe", "deep_nprobe", "k"], "route_rk", n_parts, F.col("k"))
 
     def quality(hits: DataFrame, setting: Sequence[str]) -> DataFrame:
         kept = hits.select(*setting, "k", "qid", "vec_id", "rk")

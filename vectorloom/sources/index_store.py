@@ -26,9 +26,12 @@ def write_postings(postings: DataFrame, path: str, mode: str) -> None:
 
 
 def index_read(spark: SparkSession, path: str) -> IvfIndex:
-    """The index below ``path``; ``part_id`` is discovered from the folders."""
-    postings = spark.read.schema("list_id int, vec_id bigint, code binary, part_id int").parquet(f"{path}/postings")
-    return IvfIndex(spark.read.parquet(f"{path}/coarse"), spark.read.parquet(f"{path}/sq"), postings)
+    """The index below ``path``; ``part_id`` of the postings is discovered from the folders."""
+    return IvfIndex(
+        spark.read.schema("part_id int, list_id int, centroid array<double>").parquet(f"{path}/coarse"),
+        spark.read.schema("part_id int, vmin array<double>, vdiff array<double>").parquet(f"{path}/sq"),
+        spark.read.schema("list_id int, vec_id bigint, code binary, part_id int").parquet(f"{path}/postings"),
+    )
 
 
 def postings_manifest(index: IvfIndex) -> DataFrame:
