@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vectorloom.functions.kernels import sq8_decode
 from vectorloom.operators import ivf, search
 from vectorloom.operators.kmeans import kmeans_fit
-from vectorloom.sources.index_store import index_read, index_write, postings_manifest
+from vectorloom.sources.index_store import index_read, index_write, postings_manifest, read_blocks
 from vectorloom.streaming.append import stream_index_append
 
 DIM = 6
@@ -166,7 +166,7 @@ def test_stream_over_three_files_equals_batch(spark, index, corpus, tmp_path):
     out = str(tmp_path / "out")
     for _ in range(2):  # the second run finds nothing new
         stream_index_append(arrivals, index, out, str(tmp_path / "cp")).awaitTermination()
-    made = spark.read.schema(ivf.POSTINGS_SCHEMA).parquet(out).collect()
+    made = ivf.unpack_postings(read_blocks(spark, out)).collect()
     want = {(r.part_id, r.list_id, r.vec_id, bytes(r.code)) for r in index.postings.collect()}
     assert len(made) == 400
     assert {(r.part_id, r.list_id, r.vec_id, bytes(r.code)) for r in made} == want

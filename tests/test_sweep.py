@@ -19,7 +19,7 @@ def test_sweep_equals_separate_searches(make_vectors):
     indexes = []
     for parts in (single_partition(plain), split_partition(plain, 3), corpus):
         made = ivf.build_index(parts.select("part_id", "vec_id", "embedding"), 1)
-        indexes.append(ivf.IvfIndex(made.coarse, made.sq, made.postings.cache()))
+        indexes.append(ivf.IvfIndex(made.coarse, made.sq, made.blocks.cache()))
     mono, splits, clusters = indexes
     table = quality_sweep(
         queries, plain, mono, splits, clusters, n_parts=3, sample_nprobe=[1, 3], deep_nprobe=[1, 2], k=[2, 4], monolithic_nprobe=3

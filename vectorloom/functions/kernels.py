@@ -74,8 +74,8 @@ def block_topk(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int,
         at = None if floor is None else _at_least(approx, low - margin)
         if at is None or len(at) > 4 * kk * (b - a):
             if n > kk:
-                kth = np.partition(approx, n - kk, axis=1)[:, n - kk].astype(np.float64)
-                low = np.maximum(low, kth)
+                kth = approx.max(axis=1) if kk == 1 else np.partition(approx, n - kk, axis=1)[:, n - kk]
+                low = np.maximum(low, kth.astype(np.float64))
             at = _at_least(approx, low - margin)
         if len(at) == 0:
             continue

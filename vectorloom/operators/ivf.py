@@ -1,8 +1,10 @@
 """Inverted lists with 8-bit scalar codes: train, assign, encode, append, search.
 
 An index covers one or many parts (splits, clusters) of a corpus at once:
-``coarse(part_id, list_id, centroid)``, ``sq(part_id, vmin, vdiff)`` and
-``postings(part_id, list_id, vec_id, code)`` with one byte per dimension in ``code``.
+``coarse(part_id, list_id, centroid)``, ``sq(part_id, vmin, vdiff)`` and the postings
+``(part_id, list_id, vec_id, code)`` with one byte per dimension in ``code``. Stored postings come in
+blocks ``(part_id, list_id, vec_ids ARRAY<BIGINT>, codes BINARY)``, a run of rows of one list per row:
+a search then moves whole lists from the files to the kernel instead of single vectors.
 """
 
 from __future__ import annotations
@@ -31,13 +33,19 @@ from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, checkpointed, col
 
 _HELD_BYTES = 256 << 20
 POSTINGS_SCHEMA = "part_id int, list_id int, vec_id bigint, code binary"
+BLOCKS_SCHEMA = "part_id int, list_id int, vec_ids array<bigint>, codes binary"
 
 
 @dataclass(frozen=True)
 class IvfIndex:
     coarse: DataFrame
     sq: DataFrame
-    postings: DataFrame | None = None
+    blocks: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """One row per stored vector."""
+        return unpack_postings(self.blocks)
 
 
 def _cell(batch: pa.RecordBatch, name: str):
@@ -151,10 +159,49 @@ def index_append(
     return partitioned.select("part_id", "vec_id", "embedding").mapInArrow(scan, POSTINGS_SCHEMA)
 
 
+def pack_postings(postings: DataFrame) -> DataFrame:
+    """Blocks of the postings, a narrow pass: rows of one list that arrive together share a block.
+
+    Sorted input gives blocks of up to one Arrow batch; unsorted input gives smaller ones.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids, codes = int_column(batch, "vec_id"), code_matrix(_cell(batch, "code"))
+            keys, id_lists, blobs = [], [], []
+            for key, rows in key_groups([int_column(batch, "part_id"), int_column(batch, "list_id")], len(ids)):
+                rows = rows[np.argsort(ids[rows], kind="stable")]
+                keys.append(key)
+                id_lists.append(ids[rows])
+                blobs.append(codes[rows].tobytes())
+            ends = np.cumsum([0, *map(len, id_lists)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part for part, _ in keys], pa.int32()),
+                    pa.array([list_id for _, list_id in keys], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(id_lists))),
+                    pa.array(blobs, pa.binary()),
+                ],
+                ["part_id", "list_id", "vec_ids", "codes"],
+            )
+
+    return postings.select("part_id", "list_id", "vec_id", "code").mapInArrow(pack, BLOCKS_SCHEMA)
+
+
+def unpack_postings(blocks: DataFrame) -> DataFrame:
+    """Blocks as one row per vector."""
+    width = (F.length("codes") / F.size("vec_ids")).cast("int")
+    rows = blocks.select("part_id", "list_id", "codes", width.alias("w"), F.posexplode("vec_ids").alias("pos", "vec_id"))
+    code = F.substring(F.col("codes"), F.col("pos") * F.col("w") + 1, F.col("w"))
+    return rows.select("part_id", "list_id", "vec_id", code.alias("code"))
+
+
 def build_index(partitioned: DataFrame, niter: int = 10, points_per_list: int | None = None, **options) -> IvfIndex:
     """Train on, and fill with, all parts of a corpus."""
     trained = ivf_train(partitioned, niter, points_per_list, **options)
-    return IvfIndex(trained.coarse, trained.sq, index_append(trained, partitioned, **options))
+    return IvfIndex(trained.coarse, trained.sq, pack_postings(index_append(trained, partitioned, **options)))
 
 
 # --- search -----------------------------------------------------------------------------------
@@ -173,7 +220,7 @@ def search_probed(
     queries: DataFrame, index: IvfIndex, probes: DataFrame, k: int, per: tuple[str, ...] = (), **match
 ) -> DataFrame:
     """Top ``k`` decoded vectors among the probed lists, per query or per query and ``per``."""
-    items = index.postings.select("part_id", "list_id", F.col("vec_id").alias("item_id"), F.col("code").alias("vec"))
+    items = index.blocks.select("part_id", "list_id", F.col("vec_ids").alias("item_ids"), "codes")
     hits = topk_join(queries, items, k, on=["part_id", "list_id"], per=per, probes=probes, sq=index.sq, **match)
     return hits.withColumnRenamed("item_id", "vec_id")
 

@@ -50,6 +50,26 @@ def _stored(column) -> np.ndarray:
     return list_matrix(column)
 
 
+def _block(ids, codes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and code matrix of one stored block (Arrow scalars), without copying."""
+    ids = ids.values.to_numpy().astype(np.int64, copy=False)
+    return ids, np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1)
+
+
+def _item_groups(batch: pa.RecordBatch, columns: Sequence[str]):
+    """``(key, ids, stored vectors)`` of a batch of item rows or of item blocks."""
+    keys = [int_column(batch, c) for c in columns]
+    if "item_ids" in batch.schema.names:
+        ids, codes = (batch.column(batch.schema.get_field_index(c)) for c in ("item_ids", "codes"))
+        for row in range(batch.num_rows):
+            yield tuple(int(c[row]) for c in keys), *_block(ids[row], codes[row])
+        return
+    ids = int_column(batch, "item_id")
+    stored = _stored(batch.column(batch.schema.get_field_index("vec")))
+    for key, rows in key_groups(keys, len(ids)):
+        yield key, ids[rows], stored[rows]
+
+
 def _decoded(stored: np.ndarray, params) -> np.ndarray:
     return stored if params is None else sq8_decode(stored, *params)
 
@@ -74,6 +94,10 @@ def _long_form(names, qids, keys, scores, ids, ranks=False) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(data, names)
 
 
+def _item_columns(items: DataFrame) -> list[str]:
+    return ["item_ids", "codes"] if "item_ids" in items.columns else ["item_id", "vec"]
+
+
 def _hit_names(per: Sequence[str]) -> list[str]:
     return ["qid", *per, "item_id", "score"]
 
@@ -137,8 +161,8 @@ def topk_join(
     ``queries(qid, qv)``; ``items(item_id, vec)`` plus integer ``on`` and ``per`` columns.
     With ``on``, a query meets only items of its own key: ``probes(qid, *on)`` lists the keys of
     each query, without ``probes`` the queries carry the ``on`` columns themselves.
-    ``vec`` may hold 8-bit codes (BINARY); ``sq(part_id, vmin, vdiff)`` then decodes them and
-    ``part_id`` must be among ``on`` or ``per``.
+    Items may also come as blocks of 8-bit codes, ``item_ids`` ARRAY<BIGINT> and ``codes`` BINARY per
+    row; ``sq(part_id, vmin, vdiff)`` decodes them and ``part_id`` must be among ``on`` or ``per``.
     Returns ``(qid, *per, item_id, score, rk)``.
     """
     on, per = list(on), list(per)
@@ -216,9 +240,7 @@ def _queries_broadcast(queries, items, k, on, per, pairs, params, dim) -> DataFr
             state.clear()
 
         for batch in batches:
-            ids = int_column(batch, "item_id")
-            stored = _stored(batch.column(batch.schema.get_field_index("vec")))
-            for key, rows in key_groups([int_column(batch, c) for c in columns], len(ids)):
+            for key, ids, stored in _item_groups(batch, columns):
                 at = dict(zip(columns, key))
                 asking = None
                 if lookup is not None:
@@ -227,7 +249,7 @@ def _queries_broadcast(queries, items, k, on, per, pairs, params, dim) -> DataFr
                         continue
                     if len(asking) == len(qids):
                         asking = None
-                vectors = _decoded(stored[rows], None if params is None else params[key[part_at]])
+                vectors = _decoded(stored, None if params is None else params[key[part_at]])
                 group = tuple(at[c] for c in per)
                 # one key per group: keep state for the queries of that key only
                 members = asking if one_key else None
@@ -237,14 +259,14 @@ def _queries_broadcast(queries, items, k, on, per, pairs, params, dim) -> DataFr
                     held += size * k
                 _, scores, found = state[group]
                 take = slice(None) if asking is None or one_key else asking
-                got = _topk_over(block.take(asking), vectors, ids[rows], k, floor=scores[take, -1])
+                got = _topk_over(block.take(asking), vectors, ids, k, floor=scores[take, -1])
                 scores[take], found[take] = merge_topk(scores[take], found[take], *got)
             if held > _STATE_ROWS:
                 yield from drain()
                 held = 0
         yield from drain()
 
-    return items.select(*columns, "item_id", "vec").mapInArrow(scan, _hit_schema(per))
+    return items.select(*columns, *_item_columns(items)).mapInArrow(scan, _hit_schema(per))
 
 
 def _items_broadcast(queries, items, k, on, per, dim) -> DataFrame:
@@ -274,10 +296,10 @@ def _items_broadcast(queries, items, k, on, per, dim) -> DataFrame:
     return queries.select("qid", "qv", *on).mapInArrow(stream, _hit_schema(per) + ", rk int")
 
 
-def _sizes(df: DataFrame, on: list[str]) -> DataFrame:
+def _sizes(df: DataFrame, on: list[str], pack_rows: int) -> DataFrame:
     """Blocks and stripes per key, from one map-side combined count."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
-    packs = F.ceil(F.col("n_rows") / _PACK_ROWS).cast("int")
+    packs = F.ceil(F.col("n_rows") / pack_rows).cast("int")
     return counts.select(
         *on,
         packs.alias("n_packs"),
@@ -285,30 +307,40 @@ def _sizes(df: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
+def _salted_packs(items, columns) -> DataFrame:
+    salt = F.pmod(F.xxhash64("item_id"), F.col("n_packs")).cast("int")
+    return (
+        items.withColumn("salt", salt)
+        .withColumn("stripe", F.pmod("salt", "n_stripes").cast("int"))
+        .groupBy(*columns, "stripe", "salt")
+        .agg(F.collect_list(F.struct("item_id", "vec")).alias("item_pack"))
+        .drop("salt")
+    )
+
+
 def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
     columns = list(dict.fromkeys([*on, *per]))
     keyed = queries if probes is None else probes.select("qid", *on).join(queries.select("qid", "qv"), "qid")
+    blocks = "item_ids" in items.columns
     if on:
-        item_sizes, query_sizes = _sizes(items, on), _sizes(keyed, on)
+        item_sizes, query_sizes = _sizes(items, on, 1 if blocks else _PACK_ROWS), _sizes(keyed, on, _PACK_ROWS)
         items = items.join(item_sizes, on)
         keyed = keyed.join(query_sizes.select(*on, "n_packs"), on)
         stripes = item_sizes.select(*on, "n_stripes")
     else:
         # no key: a block nested loop, written as an equi-join on stripes of the item side
         n_item, n_query = items.count(), keyed.count()
-        n_packs = max(1, -(-n_item // _PACK_ROWS))
+        n_packs = n_item if blocks else max(1, -(-n_item // _PACK_ROWS))
         n_stripes = max(1, -(-n_packs // _STRIPE_PACKS))
         items = items.withColumn("n_packs", F.lit(n_packs)).withColumn("n_stripes", F.lit(n_stripes))
         keyed = keyed.withColumn("n_packs", F.lit(max(1, -(-n_query // _PACK_ROWS))))
         stripes = None
-    salt = F.pmod(F.xxhash64("item_id"), F.col("n_packs")).cast("int")
-    right = (
-        items.withColumn("salt", salt)
-        .withColumn("stripe", F.pmod("salt", "n_stripes").cast("int"))
-        .groupBy(*columns, "stripe", "salt")
-        .agg(F.collect_list(F.struct("item_id", "vec")).alias("item_pack"))
-        .drop("salt")
-    )
+    if blocks:  # stored blocks are packs already
+        right = items.withColumn("stripe", F.pmod(F.xxhash64("item_ids"), F.col("n_stripes")).cast("int"))
+        packs = ["item_ids", "codes"]
+    else:
+        right = _salted_packs(items, columns)
+        packs = ["item_pack"]
     if sq is not None:
         right = right.join(sq.select("part_id", "vmin", "vdiff"), "part_id")
     left = (
@@ -323,7 +355,7 @@ def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
         left = left.withColumn("n_stripes", F.lit(n_stripes))
     left = left.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("n_stripes") - 1))).drop("n_stripes")
     decode = ["vmin", "vdiff"] if sq is not None else []
-    pairs = left.join(right, [*on, "stripe"]).select(*per, "query_pack", "item_pack", *decode)
+    pairs = left.join(right.drop("n_packs", "n_stripes"), [*on, "stripe"]).select(*per, "query_pack", *packs, *decode)
 
     def score(batches):
         names = _hit_names(per)
@@ -331,12 +363,15 @@ def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
             for row in range(batch.num_rows):
                 cell = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
                 qid, qv = cell["query_pack"].values.flatten()
-                item, vec = cell["item_pack"].values.flatten()
+                if blocks:
+                    ids, stored = _block(cell["item_ids"], cell["codes"])
+                else:
+                    item, vec = cell["item_pack"].values.flatten()
+                    ids, stored = item.to_numpy().astype(np.int64), _stored(vec)
                 params = None
                 if decode:
                     params = tuple(cell[c].values.to_numpy(zero_copy_only=False) for c in decode)
-                vectors = _decoded(_stored(vec), params)
-                scores, found = _topk_over(QueryBlock(list_matrix(qv)), vectors, item.to_numpy().astype(np.int64), k)
+                scores, found = _topk_over(QueryBlock(list_matrix(qv)), _decoded(stored, params), ids, k)
                 group = tuple(cell[c].as_py() for c in per)
                 yield _long_form(names, qid.to_numpy().astype(np.int64), group, scores, found)
 

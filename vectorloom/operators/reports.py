@@ -69,7 +69,7 @@ def distinct_levels(runs: DataFrame, columns: Sequence[str]) -> DataFrame:
     named = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])
     )
-    levels = runs.select(*columns).distinct().select(named.alias("_l")).select("_l.*")
-    levels = levels.where(F.col("level").isNotNull()).distinct()
+    # tasks drop repeated (column, level) pairs before the shuffle
+    levels = runs.select(named.alias("_l")).select("_l.*").where(F.col("level").isNotNull()).distinct()
     counts = levels.groupBy("column").agg(F.count(F.lit(1)).alias("n_levels"))
     return levels.join(counts, "column")

@@ -239,7 +239,7 @@ def stream_index_append(spark, sf_dir):
     path = shared_path(spark, "stream")
     rows = arrivals.select(F.col("label").alias("part_id"), "vec_id", "embedding")
     append_stream(rows, index, path, f"{path}-checkpoint").awaitTermination()
-    return _postings(spark.read.schema("list_id int, vec_id bigint, code binary, part_id int").parquet(path))
+    return _postings(ivf.unpack_postings(index_store.read_blocks(spark, path)))
 
 
 # --- search -------------------------------------------------------------------------------------

@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.operators.ivf import IvfIndex
+from vectorloom.operators.ivf import IvfIndex, pack_postings
+from vectorloom.operators.sizing import checkpointed
 
 
 def index_write(index: IvfIndex, path: str, mode: str = "overwrite") -> None:
-    """Write ``coarse``, ``sq`` and ``postings`` below ``path``.
-
-    Postings are partitioned by part and sorted by list inside the files, so a search for few parts
-    opens few folders and row-group statistics skip lists nobody probes. A large part is spread over
-    several writers by list; a list that outgrows a writer is cut further at run time (rebalance).
-    """
+    """Write ``coarse``, ``sq`` and the blocks of the postings below ``path``."""
     index.coarse.write.mode(mode).parquet(f"{path}/coarse")
     index.sq.write.mode(mode).parquet(f"{path}/sq")
     write_postings(index.postings, f"{path}/postings", mode)
 
 
 def write_postings(postings: DataFrame, path: str, mode: str) -> None:
-    balanced = postings.hint("rebalance", F.col("part_id"), F.col("list_id"))
-    balanced.sortWithinPartitions("part_id", "list_id").write.mode(mode).partitionBy("part_id").parquet(path)
+    """Postings as blocks in one folder per part, every file a contiguous range of lists.
+
+    A search for few parts opens few folders, and row-group statistics skip the lists nobody probes.
+    Ranges over (part, list, id) are balanced by size: a hot part or list is cut into several files,
+    small ones share a writer. The postings are staged first, because finding the ranges reads them
+    twice and assigning every vector twice would cost more than the codes take.
+    """
+    staged = checkpointed(postings)
+    ranged = staged.repartitionByRange("part_id", "list_id", "vec_id")
+    blocks = pack_postings(ranged.sortWithinPartitions("part_id", "list_id", "vec_id"))
+    blocks.sortWithinPartitions("part_id", "list_id").write.mode(mode).partitionBy("part_id").parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("list_id int, vec_ids array<bigint>, codes binary, part_id int").parquet(path)
 
 
 def index_read(spark: SparkSession, path: str) -> IvfIndex:
@@ -30,10 +39,10 @@ def index_read(spark: SparkSession, path: str) -> IvfIndex:
     return IvfIndex(
         spark.read.schema("part_id int, list_id int, centroid array<double>").parquet(f"{path}/coarse"),
         spark.read.schema("part_id int, vmin array<double>, vdiff array<double>").parquet(f"{path}/sq"),
-        spark.read.schema("list_id int, vec_id bigint, code binary, part_id int").parquet(f"{path}/postings"),
+        read_blocks(spark, f"{path}/postings"),
     )
 
 
 def postings_manifest(index: IvfIndex) -> DataFrame:
-    """``(part_id, list_id, n_rows)`` of a stored index."""
-    return index.postings.groupBy("part_id", "list_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    """``(part_id, list_id, n_rows)`` of a stored index, without touching the codes."""
+    return index.blocks.groupBy("part_id", "list_id").agg(F.sum(F.size("vec_ids")).alias("n_rows"))

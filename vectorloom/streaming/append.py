@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from vectorloom.operators.ivf import IvfIndex, index_append
+from vectorloom.operators.ivf import IvfIndex, index_append, pack_postings
 
 
 def stream_index_append(
     arrivals: DataFrame, index: IvfIndex, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Assign and encode ``arrivals(part_id, vec_id, embedding)`` with frozen centroids, append to ``path``.
+    """Assign and encode ``arrivals(part_id, vec_id, embedding)`` with frozen centroids, append blocks to ``path``.
 
     Stateless: every micro-batch is the same narrow pass as the batch append, and the file sink writes
     each arrival exactly once. ``trigger`` defaults to ``availableNow``.
     """
-    postings = index_append(index, arrivals)
+    blocks = pack_postings(index_append(index, arrivals))
     return (
-        postings.writeStream.format("parquet")
+        blocks.writeStream.format("parquet")
         .partitionBy("part_id")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
