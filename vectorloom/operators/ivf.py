@@ -9,7 +9,9 @@ a search then moves whole lists from the files to the kernel instead of single v
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +206,20 @@ def build_index(partitioned: DataFrame, niter: int = 10, points_per_list: int |
     return IvfIndex(trained.coarse, trained.sq, pack_postings(index_append(trained, partitioned, **options)))
 
 
+def stack_indexes(indexes: Sequence[tuple[IvfIndex, int]]) -> IvfIndex:
+    """Several indexes as one: the parts of each are renumbered from its offset on.
+
+    One search over the stack then answers for all of them in a single pass.
+    """
+    def stacked(name: str) -> DataFrame:
+        shifted = [
+            getattr(index, name).withColumn("part_id", (F.col("part_id") + offset).cast("int")) for index, offset in indexes
+        ]
+        return reduce(DataFrame.unionByName, shifted)
+
+    return IvfIndex(stacked("coarse"), stacked("sq"), stacked("blocks"))
+
+
 # --- search -----------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET_ROWS = 1_000_000
+_BUCKET_ROWS = 200_000
 _MAX_BUCKETS = 1000  # keeps the quantile summaries and the count table small
 
 

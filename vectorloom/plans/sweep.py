@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.operators.ivf import IvfIndex, probe_lists, search_probed
+from vectorloom.operators.ivf import IvfIndex, probe_lists, search_probed, stack_indexes
 from vectorloom.operators.match import best_per
 from vectorloom.operators.quality import quality_by_config, query_quality
 from vectorloom.operators.search import exact_topk, rank_parts
@@ -17,13 +17,13 @@ CONFIG = ["sample_nprobe", "deep_nprobe", "k", "c"]
 STRATEGIES = ["monolithic", "split", "routed"]
 
 
-def list_hits(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, **match) -> DataFrame:
+def list_hits(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, keep: Column, **match) -> DataFrame:
     """``(qid, part_id, list_id, probe_rk, vec_id, score)``: top ``k`` per probed list.
 
     The top-k of a union is the top-k of the top-k lists, so every smaller setting is a filter on
-    ``probe_rk`` before the lists are merged.
+    ``probe_rk`` before the lists are merged. ``keep`` selects the probes that are searched.
     """
-    probes = checkpointed(probe_lists(queries, index.coarse, nprobe).drop("score"))
+    probes = checkpointed(probe_lists(queries, index.coarse, nprobe).where(keep).drop("score"))
     hits = search_probed(queries, index, probes, k, per=("part_id", "list_id"), **match)
     return hits.drop("rk").join(probes, ["qid", "part_id", "list_id"])
 
@@ -68,7 +68,8 @@ def quality_sweep(
 ) -> DataFrame:
     """Mean recall and NDCG per (sample_nprobe, deep_nprobe, k, c), c = 1..n_parts.
 
-    Scores are computed once per table at the largest setting; the grid is filters, small
+    ``monolithic`` has the single part 0, the others the parts 0..n_parts-1.
+    Scores are computed once, at the largest setting; the grid is filters, small
     per-list merges and aggregations. Fan-outs are spelled out only after each part has been cut to
     k hits, inside the group of one query.
     """
@@ -80,18 +81,26 @@ def quality_sweep(
 
     truth = checkpointed(at_k(exact_topk(queries, corpus, k_max, **match).drop("rk"), ["qid"]).select("qid", "vec_id", "rk", "k"))
 
+    # all three indexes are probed and searched in one pass: parts 0, 1..n and n+1..2n
+    stacked = stack_indexes([(monolithic, 0), (splits, 1), (clusters, 1 + n_parts)])
+    part, largest = F.col("part_id"), max([*deep_nprobe, *sample_nprobe])
+    allowed = F.when(part == 0, monolithic_nprobe).when(part <= n_parts, max(deep_nprobe)).otherwise(largest)
+    searched = checkpointed(
+        list_hits(queries, stacked, k_max, max(monolithic_nprobe, largest), F.col("probe_rk") <= allowed, **match)
+    )
+
     # one index over everything: no fan-out, no routing
-    mono = at_k(list_hits(queries, monolithic, k_max, monolithic_nprobe, **match), ["qid"])
+    mono = at_k(searched.where(part == 0), ["qid"])
 
     # splits: the first c of them, unrouted
-    split = list_hits(queries, splits, k_max, max(deep_nprobe), **match)
+    split = searched.where((part > 0) & (part <= n_parts)).withColumn("part_id", part - 1)
     split = _repeat_for(split, "probe_rk", deep_nprobe, "deep_nprobe")
     split = best_per(split, k_max, ["qid", "part_id", "deep_nprobe"], id_col="vec_id").drop("rk")
     split = split.withColumn("entry", F.col("part_id") + 1)
     split = _repeat_for(fan_out_topk(split, ["qid", "deep_nprobe"], "entry", n_parts, F.lit(k_max)), "rk", k, "k")
 
     # clusters: routes per (sample setting, k), since k hits make the sample score
-    base = checkpointed(list_hits(queries, clusters, k_max, max([*deep_nprobe, *sample_nprobe]), **match))
+    base = searched.where(part > n_parts).withColumn("part_id", part - 1 - n_parts)
     sample = at_k(_repeat_for(base, "probe_rk", sample_nprobe, "sample_nprobe"), ["qid", "part_id", "sample_nprobe"])
     means = sample.groupBy("qid", "part_id", "sample_nprobe", "k").agg(F.avg("score").alias("sample_score"))
     routes = rank_parts(means, ("qid", "sample_nprobe", "k"))
