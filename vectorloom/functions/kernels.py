@@ -7,6 +7,7 @@ import numpy as np
 NO_ID = np.iinfo(np.int64).max
 _QUERY_CHUNK = 512
 _PAIR_BYTES = 64 << 20
+_TIES = 64  # candidates per wanted hit that suggest copies in the block
 _UNIT = 2.0**-24  # float32 unit roundoff
 
 
@@ -48,6 +49,15 @@ def _at_least(approx: np.ndarray, low: np.ndarray) -> np.ndarray:
     return np.flatnonzero(approx >= bound[:, None])
 
 
+def _distinct_enough(items: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the best ``k``: of equal vectors only the k lowest ids."""
+    raw = items.view(np.dtype((np.void, items.dtype.itemsize * items.shape[1]))).ravel()
+    _, group = np.unique(raw, return_inverse=True)
+    order = np.lexsort((ids, group))
+    first = np.searchsorted(group[order], np.arange(group.max() + 1))
+    return np.sort(order[np.arange(len(ids)) - first[group[order]] < k])
+
+
 def block_topk(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
     """Best ``k`` items per query by inner product, ties to the lower id.
 
@@ -77,6 +87,11 @@ def block_topk(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int,
                 kth = approx.max(axis=1) if kk == 1 else np.partition(approx, n - kk, axis=1)[:, n - kk]
                 low = np.maximum(low, kth.astype(np.float64))
             at = _at_least(approx, low - margin)
+            if len(at) > _TIES * kk * (b - a) and n > kk:
+                # masses of (nearly) equal scores: without the surplus copies the rest is a smaller block
+                rows = _distinct_enough(items64, ids, k)
+                if len(rows) < n // 2:
+                    return block_topk(queries, items64[rows], ids[rows], k, floor)
         if len(at) == 0:
             continue
         qi, cj = np.divmod(at, n)

@@ -50,10 +50,10 @@ def _stored(column) -> np.ndarray:
     return list_matrix(column)
 
 
-def _block(ids, codes) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and code matrix of one stored block (Arrow scalars), without copying."""
+def _block(ids, values, dtype=np.uint8) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of one block (Arrow scalars), without copying."""
     ids = ids.values.to_numpy().astype(np.int64, copy=False)
-    return ids, np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1)
+    return ids, np.frombuffer(values.as_buffer(), dtype).reshape(len(ids), -1)
 
 
 def _item_groups(batch: pa.RecordBatch, columns: Sequence[str]):
@@ -307,77 +307,127 @@ def _sizes(df: DataFrame, on: list[str], pack_rows: int) -> DataFrame:
     )
 
 
-def _salted_packs(items, columns) -> DataFrame:
-    salt = F.pmod(F.xxhash64("item_id"), F.col("n_packs")).cast("int")
-    return (
-        items.withColumn("salt", salt)
-        .withColumn("stripe", F.pmod("salt", "n_stripes").cast("int"))
-        .groupBy(*columns, "stripe", "salt")
-        .agg(F.collect_list(F.struct("item_id", "vec")).alias("item_pack"))
-        .drop("salt")
-    )
+def _component_type(df: DataFrame, column: str):
+    return np.float64 if df.schema[column].dataType.elementType.typeName() == "double" else np.float32
+
+
+def _narrow_blocks(df: DataFrame, columns: list[str], id_col: str, vec_col: str, ids_out: str, out: str) -> DataFrame:
+    """Rows as blocks ``(columns, ids_out ARRAY<BIGINT>, out BINARY)`` without a shuffle."""
+    dtype = _component_type(df, vec_col)
+
+    def pack(batches):
+        for batch in batches:
+            ids = int_column(batch, id_col)
+            matrix = list_matrix(batch.column(batch.schema.get_field_index(vec_col)), dtype)
+            for key, rows in key_groups([int_column(batch, c) for c in columns], len(ids)):
+                for a in range(0, len(rows), _PACK_ROWS):
+                    part = rows[a : a + _PACK_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[pa.array([v], pa.int32()) for v in key],
+                            pa.array([ids[part]], pa.list_(pa.int64())),
+                            pa.array([matrix[part].tobytes()], pa.binary()),
+                        ],
+                        [*columns, ids_out, out],
+                    )
+
+    schema = ", ".join([*[f"{c} int" for c in columns], f"{ids_out} array<bigint>, {out} binary"])
+    return df.select(*columns, id_col, vec_col).mapInArrow(pack, schema)
 
 
 def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
-    columns = list(dict.fromkeys([*on, *per]))
-    keyed = queries if probes is None else probes.select("qid", *on).join(queries.select("qid", "qv"), "qid")
-    blocks = "item_ids" in items.columns
+    """Both sides as blocks, equi-joined on the key and a stripe of the item side."""
     if on:
-        item_sizes, query_sizes = _sizes(items, on, 1 if blocks else _PACK_ROWS), _sizes(keyed, on, _PACK_ROWS)
-        items = items.join(item_sizes, on)
-        keyed = keyed.join(query_sizes.select(*on, "n_packs"), on)
-        stripes = item_sizes.select(*on, "n_stripes")
-    else:
-        # no key: a block nested loop, written as an equi-join on stripes of the item side
-        n_item, n_query = items.count(), keyed.count()
-        n_packs = n_item if blocks else max(1, -(-n_item // _PACK_ROWS))
-        n_stripes = max(1, -(-n_packs // _STRIPE_PACKS))
-        items = items.withColumn("n_packs", F.lit(n_packs)).withColumn("n_stripes", F.lit(n_stripes))
-        keyed = keyed.withColumn("n_packs", F.lit(max(1, -(-n_query // _PACK_ROWS))))
-        stripes = None
-    if blocks:  # stored blocks are packs already
-        right = items.withColumn("stripe", F.pmod(F.xxhash64("item_ids"), F.col("n_stripes")).cast("int"))
-        packs = ["item_ids", "codes"]
+        left, right, types = _keyed_blocks(queries, items, on, per, probes)
     else:
-        right = _salted_packs(items, columns)
-        packs = ["item_pack"]
+        left, right, types = _striped_blocks(queries, items, per)
+    decode = []
     if sq is not None:
-        right = right.join(sq.select("part_id", "vmin", "vdiff"), "part_id")
-    left = (
-        keyed.withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("n_packs")).cast("int"))
-        .groupBy(*on, "salt")
-        .agg(F.collect_list(F.struct("qid", "qv")).alias("query_pack"))
-        .drop("salt")
-    )
-    if stripes is not None:
-        left = left.join(stripes, on)
-    else:
-        left = left.withColumn("n_stripes", F.lit(n_stripes))
-    left = left.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("n_stripes") - 1))).drop("n_stripes")
-    decode = ["vmin", "vdiff"] if sq is not None else []
-    pairs = left.join(right.drop("n_packs", "n_stripes"), [*on, "stripe"]).select(*per, "query_pack", *packs, *decode)
+        right, decode = right.join(sq.select("part_id", "vmin", "vdiff"), "part_id"), ["vmin", "vdiff"]
+    sides = [c for c in ("query_pack", "item_pack", "qids", "qvecs", "item_ids", "codes") if c in [*left.columns, *right.columns]]
+    pairs = left.join(right, [*on, "stripe"]).select(*per, *sides, *decode)
+
+    def side(cell, pack, ids, values, dtype):
+        if pack in cell:
+            ids, vectors = cell[pack].values.flatten()
+            return ids.to_numpy().astype(np.int64), _stored(vectors)
+        return _block(cell[ids], cell[values], dtype)
 
     def score(batches):
         names = _hit_names(per)
+        state: dict[tuple, list] = {}  # running top-k of the query packs this task has met
+        held = 0
+
+        def drain():
+            for (group, _), (qids, scores, found) in state.items():
+                yield _long_form(names, qids, group, scores, found)
+            state.clear()
+
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
-                qid, qv = cell["query_pack"].values.flatten()
-                if blocks:
-                    ids, stored = _block(cell["item_ids"], cell["codes"])
+                qids, vectors = side(cell, "query_pack", "qids", "qvecs", types[0])
+                ids, stored = side(cell, "item_pack", "item_ids", "codes", types[1])
+                params = tuple(cell[c].values.to_numpy(zero_copy_only=False) for c in decode) or None
+                key = (tuple(cell[c].as_py() for c in per), qids.tobytes())
+                old = state.get(key)
+                got = _topk_over(QueryBlock(vectors), _decoded(stored, params), ids, k, old and old[1][:, -1])
+                if old is None:
+                    state[key] = [qids.copy(), *got]
+                    held += len(qids) * k
                 else:
-                    item, vec = cell["item_pack"].values.flatten()
-                    ids, stored = item.to_numpy().astype(np.int64), _stored(vec)
-                params = None
-                if decode:
-                    params = tuple(cell[c].values.to_numpy(zero_copy_only=False) for c in decode)
-                scores, found = _topk_over(QueryBlock(list_matrix(qv)), _decoded(stored, params), ids, k)
-                group = tuple(cell[c].as_py() for c in per)
-                yield _long_form(names, qid.to_numpy().astype(np.int64), group, scores, found)
+                    old[1:] = merge_topk(old[1], old[2], *got)
+            if held > _STATE_ROWS:
+                yield from drain()
+                held = 0
+        yield from drain()
 
     return pairs.mapInArrow(score, _hit_schema(per))
 
 
+def _keyed_blocks(queries, items, on, per, probes):
+    """Rows of one key come together in salted groups; a hot key is many groups in several stripes."""
+    columns = list(dict.fromkeys([*on, *per]))
+    keyed = queries if probes is None else probes.select("qid", *on).join(queries.select("qid", "qv"), "qid")
+    blocks = "item_ids" in items.columns
+    sizes = _sizes(items, on, 1 if blocks else _PACK_ROWS)
+    items = items.join(sizes, on)
+    if blocks:  # stored blocks are packs already
+        right = items.withColumn("stripe", F.pmod(F.xxhash64("item_ids"), F.col("n_stripes")).cast("int"))
+        right = right.drop("n_packs", "n_stripes")
+    else:
+        salt = F.pmod(F.xxhash64("item_id"), F.col("n_packs")).cast("int")
+        salted = items.withColumn("salt", salt).withColumn("stripe", F.pmod("salt", "n_stripes").cast("int"))
+        right = salted.groupBy(*columns, "stripe", "salt").agg(
+            F.collect_list(F.struct("item_id", "vec")).alias("item_pack")
+        )
+    keyed = keyed.join(_sizes(keyed, on, _PACK_ROWS).select(*on, "n_packs"), on)
+    left = (
+        keyed.withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("n_packs")).cast("int"))
+        .groupBy(*on, "salt")
+        .agg(F.collect_list(F.struct("qid", "qv")).alias("query_pack"))
+        .join(sizes.select(*on, "n_stripes"), on)
+        .withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("n_stripes") - 1)))
+    )
+    return left.drop("salt", "n_stripes"), right.drop("salt"), (None, np.uint8)
+
+
+def _striped_blocks(queries, items, per):
+    """No key: a block nested loop as an equi-join. Items are spread over stripes, one per shuffle
+    partition at most, and the (smaller) query side is copied to each."""
+    n_packs = -(-items.count() // _PACK_ROWS)
+    partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_stripes = max(1, min(-(-n_packs // _STRIPE_PACKS), partitions))
+    types = (_component_type(queries, "qv"), np.uint8)
+    if "item_ids" not in items.columns:
+        types = (types[0], _component_type(items, "vec"))
+        items = _narrow_blocks(items, per, "item_id", "vec", "item_ids", "codes")
+    right = items.withColumn("stripe", F.pmod(F.xxhash64("item_ids"), F.lit(n_stripes)).cast("int"))
+    left = _narrow_blocks(queries, [], "qid", "qv", "qids", "qvecs")
+    left = left.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(n_stripes - 1))))
+    return left, right, types
+
+
 # --- assignment: one best item per row, all columns kept ----------------------------------------
 
 
