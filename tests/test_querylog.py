@@ -163,3 +163,77 @@ def test_top_clusters(spark):
     trace = spark.createDataFrame([(1, [3, 1, 2]), (2, []), (3, [7])], TRACE)
     rows = sorted(map(tuple, querylog.top_clusters_explode(trace, 2).collect()))
     assert rows == [(1, 1, 3), (1, 2, 1), (3, 1, 7)]
+
+
+def test_cost_sweep_equals_one_setting_at_a_time(spark, trace, ranked):
+    rng = np.random.default_rng(2)
+    rows = [
+        (c, s, nprobe, 5, threads, float(rng.uniform(0.001, 0.01)) * s)
+        for c in range(5) for s in (4, 8, 16) for nprobe in (8, 64, 128) for threads in (16, 32)
+        if not (nprobe == 128 and threads == 32 and s == 16 and c == 0)  # loads above 8 are unknown there
+    ]
+    table = spark.createDataFrame(rows, "cluster_id int, size int, nprobe int, k int, threads int, latency_s double")
+    got = {
+        (r.sample_nprobe, r.deep_nprobe, r.threads, r.batch_size, r.c): r
+        for r in querylog.cost_sweep(trace, table, [8], [64, 128], [8, 16, 32], 3, "compat").collect()
+    }
+    assert len(got) == 2 * 2 * 2 * 3  # no sampling step was profiled for batches of 32
+    unknown = 0
+    for (sample, deep, threads, size, c), r in got.items():
+        profile = {(x[0], x[1]): x[5] for x in rows if x[2] == deep and x[4] == threads}
+        sampling = max(x[5] for x in rows if x[2] == sample and x[4] == threads and x[1] == size)
+        costs = []
+        for queries in _batches(ranked, size, "compat").values():
+            loads = Counter(x for q in queries for x in q[:c])
+            cost = [_cost(profile, k, n) for k, n in loads.items()]
+            unknown += None in cost
+            costs += [] if None in cost else [max(cost) + sampling]
+        assert r.n_batches == len(costs)
+        assert r.mean_s == pytest.approx(np.mean(costs)) and r.throughput_qps == pytest.approx(size / np.mean(costs))
+    assert unknown
+
+
+def test_many_fanouts_take_the_other_form(spark, trace, monkeypatch):
+    batched = querylog.log_batches(trace, 8)
+    want = sorted(map(tuple, querylog.fanout_loads(batched, 5).collect()))
+    monkeypatch.setattr(querylog, "_FANOUT_COLUMNS", 2)
+    assert sorted(map(tuple, querylog.fanout_loads(batched, 5).collect())) == want
+
+
+def test_energy_by_fanout(spark, trace, ranked):
+    rng = np.random.default_rng(3)
+    watts = {800: (100.0, 50.0), 2400: (400.0, 70.0)}
+    deep = {(c, f, s): float(rng.uniform(0.5, 1.5)) * 0.01 * s * 2400 / f for c in range(5) for f in watts for s in (2, 4, 8)}
+    shallow = {key: v / 10 for key, v in deep.items()}
+    schema = "cluster_id int, frequency_mhz int, size int, latency_s double"
+
+    def table(profile):
+        return spark.createDataFrame([(*key, v) for key, v in profile.items()], schema)
+
+    power = spark.createDataFrame([(f, *w) for f, w in watts.items()], "frequency_mhz int, busy_watts double, idle_watts double")
+    batched = querylog.log_batches(trace, 8)
+    got = {r.c: r for r in querylog.energy_by_fanout(batched, table(deep), table(shallow), power, 3, 8, 0.05).collect()}
+
+    def energies(profile, loads, slack):
+        def latency(c, f, n):
+            return profile[(c, f, min(s for s in (2, 4, 8) if s >= n))]
+
+        bound = max(latency(c, 2400, n) for c, n in loads.items())
+        sums = np.zeros(3)
+        for c, n in loads.items():
+            def joule(f):
+                t = latency(c, f, n)
+                return t * watts[f][0] + max(bound - t, 0) * watts[f][1]
+
+            for i, limit in enumerate((0, bound, max(bound, slack))):
+                sums[i] += min([joule(2400), *(joule(f) for f in watts if latency(c, f, n) < limit)])
+        return sums
+
+    step = energies(shallow, {c: 8 for c in range(5)}, 0)
+    for c in (1, 2, 3):
+        sums = [
+            energies(deep, Counter(x for r in queries for x in r[:c]), 0.05) + [step[0], step[1], step[1]]
+            for queries in _batches(ranked, 8, "aligned").values()
+        ]
+        assert got[c].n_batches == len(sums)
+        assert (got[c].base_j, got[c].scaled_j, got[c].enhanced_j) == pytest.approx(tuple(np.mean(sums, axis=0)))

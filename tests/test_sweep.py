@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from vectorloom.operators import ivf, quality, search
 from vectorloom.operators.partition import single_partition, split_partition
-from vectorloom.plans.sweep import quality_sweep
+from vectorloom.plans.sweep import accuracy_run, quality_sweep
+from vectorloom.sources import runs
 
 
-def test_sweep_equals_separate_searches(make_vectors):
+def test_sweep_equals_separate_searches(spark, make_vectors, tmp_path):
     rng = np.random.default_rng(0)
     corpus = make_vectors(rng.normal(size=(150, 5)), np.arange(150) % 3).cache()
     queries = make_vectors(rng.normal(size=(12, 5))).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")).cache()
@@ -36,3 +37,9 @@ def test_sweep_equals_separate_searches(make_vectors):
         assert (row.monolithic_recall, row.monolithic_ndcg) == means(ivf.ivf_topk(queries, mono, k, 3), k)
         assert (row.split_recall, row.split_ndcg) == means(search.ivf_split_search(queries, splits, c, k, d), k)
         assert (row.routed_recall, row.routed_ndcg) == means(search.routed_search(queries, clusters, c, k, s, d), k)
+
+    runs.result_sink(accuracy_run(table.where("k = 4")), str(tmp_path / "accuracy"))
+    back = runs.metrics_csv(spark, str(tmp_path / "accuracy"), runs.ACCURACY_RUN, ["Sample nProbe", "nProbe"])
+    rows = {(r.sample_nprobe, r.deep_nprobe, r.clusters_searched): r for r in runs.canonical_names(back).collect()}
+    assert rows[(3, 2, 2)]["Cluster NDCG"] == pytest.approx(got[(3, 2, 4, 2)].routed_ndcg)
+    assert len(rows) == 2 * 2 * 3

@@ -6,6 +6,9 @@ A log is ``trace(qid, ranked ARRAY<INT>)``: one row per query, clusters best fir
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +54,7 @@ def batch_cluster_load(batched: DataFrame, c: int) -> DataFrame:
     return asked.groupBy("batch", "cluster_id").agg(F.count(F.lit(1)).alias("load"))
 
 
-def ceiling_table(profile: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -> DataFrame:
+def ceiling_table(profile: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
     """The profile with one row for every integer load up to its largest size.
 
     A load takes the cost of the smallest profiled size that is not below it. Spelling that out per
@@ -65,7 +68,7 @@ def ceiling_table(profile: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -
     return stepped.withColumn("load", loads).drop("_from")
 
 
-def ceiling_lookup(loads: DataFrame, profile: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -> DataFrame:
+def ceiling_lookup(loads: DataFrame, profile: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
     """Add ``size`` and ``latency_s`` of the smallest profiled size >= load; NULL if there is none."""
     table = ceiling_table(profile.select(*keys, "size", "latency_s"), keys)
     return loads.join(table, [*keys, "load"], "left")
@@ -86,23 +89,24 @@ def straggler_cost(costed: DataFrame, sampling_s: float = 0.0) -> DataFrame:
     return worst.withColumn("batch_s", F.col("deep_s") + F.lit(float(sampling_s)))
 
 
-def fanout_loads(batched: DataFrame, max_fanout: int) -> DataFrame:
-    """``(c, batch, cluster_id, load)`` for every fan-out c = 1..max from one aggregation.
+def fanout_loads(batched: DataFrame, max_fanout: int, by: Sequence[str] = ("batch",)) -> DataFrame:
+    """``(c, *by, cluster_id, load)`` for every fan-out c = 1..max from one aggregation.
 
     An access at list position p counts for every fan-out above p. The loads of all fan-outs are sums
     over the same (batch, cluster) group, so the log is shuffled once and not repeated per fan-out.
     """
-    asked = batched.select("batch", F.posexplode(F.slice("ranked", 1, max_fanout)).alias("pos", "cluster_id"))
+    by = list(by)
+    asked = batched.select(*by, F.posexplode(F.slice("ranked", 1, max_fanout)).alias("pos", "cluster_id"))
     if max_fanout > _FANOUT_COLUMNS:
         # too many sums for one aggregation: repeat the counts per list position instead
-        counts = asked.groupBy("batch", "cluster_id", "pos").agg(F.count(F.lit(1)).alias("n"))
+        counts = asked.groupBy(*by, "cluster_id", "pos").agg(F.count(F.lit(1)).alias("n"))
         spread = counts.withColumn("c", F.explode(F.sequence(F.col("pos") + 1, F.lit(max_fanout))))
-        return spread.groupBy("c", "batch", "cluster_id").agg(F.sum("n").alias("load"))
+        return spread.groupBy("c", *by, "cluster_id").agg(F.sum("n").alias("load"))
     sums = [F.count(F.when(F.col("pos") < c, 1)).alias(f"load_{c}") for c in range(1, max_fanout + 1)]
-    wide = asked.groupBy("batch", "cluster_id").agg(*sums)
+    wide = asked.groupBy(*by, "cluster_id").agg(*sums)
     per_fanout = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"load_{c}").alias("load")) for c in range(1, max_fanout + 1)])
-    long = wide.select("batch", "cluster_id", F.explode(per_fanout).alias("f"))
-    return long.select("f.c", "batch", "cluster_id", "f.load").where(F.col("load") > 0)
+    long = wide.select(*by, "cluster_id", F.explode(per_fanout).alias("f"))
+    return long.select("f.c", *by, "cluster_id", "f.load").where(F.col("load") > 0)
 
 
 def cost_by_fanout(batched: DataFrame, profile: DataFrame, max_fanout: int, batch_size: int, sampling_s: float = 0.0) -> DataFrame:
@@ -116,10 +120,60 @@ def cost_by_fanout(batched: DataFrame, profile: DataFrame, max_fanout: int, batc
     return means.withColumn("throughput_qps", F.try_divide(F.lit(float(batch_size)), F.col("mean_s")))
 
 
+def cost_sweep(
+    trace: DataFrame,
+    profile: DataFrame,
+    sample_nprobe: Sequence[int],
+    deep_nprobe: Sequence[int],
+    batch_sizes: Sequence[int],
+    max_fanout: int,
+    mode: str = "aligned",
+) -> DataFrame:
+    """Mean batch cost and throughput for every combination of settings, in one job.
+
+    ``profile(cluster_id, size, nprobe, k, threads, latency_s)``. Returns ``(sample_nprobe, deep_nprobe, k,
+    threads, batch_size, c, n_batches, mean_s, throughput_qps)``. The log is batched once per batch size, and
+    one join looks up all settings. A batch counts for a setting only if the setting has a cost for all
+    its loads; a setting whose sampling step was not profiled at the batch size has no cost at all.
+    """
+    setting = ["nprobe", "k", "threads"]
+    sizes = [log_batches(trace, size, mode).withColumn("batch_size", F.lit(size)) for size in batch_sizes]
+    loads = fanout_loads(reduce(DataFrame.unionByName, sizes), max_fanout, ["batch_size", "batch"])
+    # the number of clusters a batch waits for, next to each of its loads; a batch is a small group
+    loads = loads.withColumn("n_loads", F.count(F.lit(1)).over(Window.partitionBy("c", "batch_size", "batch")))
+    deep = profile.where(F.col("nprobe").isin(list(deep_nprobe)))
+    table = ceiling_table(deep.select("cluster_id", *setting, "size", "latency_s"), ("cluster_id", *setting))
+    costed = loads.join(table.select("cluster_id", "load", *setting, "latency_s"), ["cluster_id", "load"])
+    worst = costed.groupBy("c", "batch_size", "batch", *setting).agg(
+        F.when(F.count(F.lit(1)) == F.max("n_loads"), F.max("latency_s")).alias("deep_s")
+    )
+    means = worst.groupBy(*setting, "batch_size", "c").agg(
+        F.count("deep_s").alias("n_batches"), F.avg("deep_s").alias("deep_s")
+    )
+    sampling = (
+        profile.where(F.col("nprobe").isin(list(sample_nprobe)))
+        .groupBy(F.col("nprobe").alias("sample_nprobe"), "k", "threads", F.col("size").alias("batch_size"))
+        .agg(F.max("latency_s").alias("sampling_s"))
+    )
+    total = means.join(sampling, ["k", "threads", "batch_size"])
+    total = total.withColumn("mean_s", F.col("sampling_s") + F.col("deep_s"))
+    return total.select(
+        "sample_nprobe",
+        F.col("nprobe").alias("deep_nprobe"),
+        "k",
+        "threads",
+        "batch_size",
+        "c",
+        "n_batches",
+        "mean_s",
+        F.try_divide(F.col("batch_size").cast("double"), F.col("mean_s")).alias("throughput_qps"),
+    )
+
+
 def cheapest_under_deadline(
-    loads: DataFrame, profile: DataFrame, power: DataFrame, slack_s: float = 0.0
+    loads: DataFrame, profile: DataFrame, power: DataFrame, slack_s: float = 0.0, by: Sequence[str] = ("batch",)
 ) -> DataFrame:
-    """``(batch, cluster_id, base_j, scaled_j, enhanced_j)``: cheapest setting that keeps the deadline.
+    """``(*by, cluster_id, load, base_j, scaled_j, enhanced_j)``: cheapest setting that keeps the deadline.
 
     ``profile(cluster_id, frequency_mhz, size, latency_s)``. At the top frequency a cluster takes its
     base latency, and the batch as long as its slowest cluster. A lower frequency is an option if its
@@ -140,7 +194,7 @@ def cheapest_under_deadline(
     matched = loads.join(options, ["cluster_id", "load"], "left")
     matched = matched.withColumn("base", F.get(F.filter("options", lambda o: o["frequency_mhz"] == F.lit(top)), 0))
     # a batch is a small group (at most its queries times the fan-out), so its maximum is a window
-    batch = Window.partitionBy("batch")
+    batch = Window.partitionBy(*by)
     known = F.count("base.latency_s").over(batch) == F.count(F.lit(1)).over(batch)
     timed = matched.withColumn("straggler_s", F.when(known, F.max("base.latency_s").over(batch)))
     bound = F.col("straggler_s")
@@ -154,7 +208,7 @@ def cheapest_under_deadline(
 
     timed = timed.withColumn("base_j", F.when(bound.isNotNull(), energy(F.col("base"))))
     return timed.select(
-        "batch",
+        *by,
         "cluster_id",
         "load",
         "base_j",
@@ -163,7 +217,38 @@ def cheapest_under_deadline(
     )
 
 
-def batch_energy(per_cluster: DataFrame) -> DataFrame:
-    """Energy sums per batch."""
+def batch_energy(per_cluster: DataFrame, by: Sequence[str] = ("batch",)) -> DataFrame:
+    """Energy sums per batch; unknown if one of its clusters is."""
     names = ["base_j", "scaled_j", "enhanced_j"]
-    return per_cluster.groupBy("batch").agg(*[F.sum(n).alias(n) for n in names])
+    known = {n: F.count(n) == F.count(F.lit(1)) for n in names}
+    return per_cluster.groupBy(*by).agg(*[F.when(known[n], F.sum(n)).alias(n) for n in names])
+
+
+def energy_by_fanout(
+    batched: DataFrame,
+    profile: DataFrame,
+    sample_profile: DataFrame,
+    power: DataFrame,
+    max_fanout: int,
+    batch_size: int,
+    slack_s: float = 0.0,
+) -> DataFrame:
+    """``(c, n_batches, base_j, scaled_j, enhanced_j)``: mean energy of a batch per fan-out.
+
+    A batch pays for the sampling step, where each cluster serves the whole batch, and for its deep
+    searches (:func:`cheapest_under_deadline`). Slack helps the deep searches only.
+    """
+    whole = sample_profile.select("cluster_id").distinct().select(
+        F.lit(0).alias("batch"), "cluster_id", F.lit(batch_size).cast("bigint").alias("load")
+    )
+    sampling = batch_energy(cheapest_under_deadline(whole, sample_profile, power)).head()
+    base, scaled = (None, None) if sampling is None else (sampling.base_j, sampling.scaled_j)
+    loads = fanout_loads(batched, max_fanout)
+    deep = batch_energy(cheapest_under_deadline(loads, profile, power, slack_s, ("c", "batch")), ("c", "batch"))
+
+    def mean(name, step):
+        return F.avg(F.col(name) + F.lit(step).cast("double")).alias(name)
+
+    return deep.groupBy("c").agg(
+        F.count("base_j").alias("n_batches"), mean("base_j", base), mean("scaled_j", scaled), mean("enhanced_j", scaled)
+    )

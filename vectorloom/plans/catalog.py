@@ -323,6 +323,35 @@ def routed_search(spark, sf_dir):
     )
 
 
+@_register
+def clustered_search(spark, sf_dir):
+    """The whole way: k-means clusters, an index per cluster, routed search."""
+    index = fx.stored_index(spark, sf_dir, "kmeans")
+    return _hits(
+        search.routed_search(
+            fx.queries(spark, sf_dir), index, fx.FAN_OUT, fx.K, fx.SAMPLE_NPROBE, fx.DEEP_NPROBE
+        )
+    )
+
+
+@_register
+def query_trace(spark, sf_dir):
+    """The query log of the k-means index: one best hit per cluster ranks the clusters."""
+    index = fx.stored_index(spark, sf_dir, "kmeans")
+    trace = search.ranked_trace(search.route(fx.queries(spark, sf_dir), index, 1, fx.SAMPLE_NPROBE))
+    return traces.trace_format(trace)
+
+
+@_register
+def trace_access_freq(spark, sf_dir):
+    """Cluster size next to cluster access of that log, read back from its text form."""
+    index = fx.stored_index(spark, sf_dir, "kmeans")
+    sizes = index_store.postings_manifest(index).groupBy(F.col("part_id").alias("cluster_id")).agg(
+        F.sum("n_rows").alias("document_count")
+    )
+    return querylog.cluster_access_freq(traces.trace_parse(query_trace(spark, sf_dir)), sizes, fx.FAN_OUT)
+
+
 @_register
 def exact_routed_search(spark, sf_dir):
     return _hits(
@@ -454,7 +483,7 @@ def cost_by_fanout(spark, sf_dir):
 
 def _priced(spark, sf_dir):
     return querylog.cheapest_under_deadline(
-        _loads(spark, sf_dir), fx.frequency_profile(spark, sf_dir), fx.power_profile(spark, sf_dir), slack_s=0.09
+        _loads(spark, sf_dir), fx.frequency_profile(spark, sf_dir), fx.power_profile(spark, sf_dir), slack_s=fx.SLACK_S
     )
 
 
@@ -470,6 +499,23 @@ def batch_energy(spark, sf_dir):
     return querylog.batch_energy(_priced(spark, sf_dir)).select("batch", *[rounded(n, 4).alias(n) for n in names])
 
 
+@_register
+def cost_sweep(spark, sf_dir):
+    table = querylog.cost_sweep(
+        fx.order_log(spark, sf_dir), fx.settings_profile(spark, sf_dir),
+        sample_nprobe=[8, 64], deep_nprobe=[64, 128], batch_sizes=[16, 48], max_fanout=4, mode="compat",
+    )
+    return table.withColumns({"mean_s": rounded("mean_s"), "throughput_qps": rounded("throughput_qps", 3)})
+
+
+@_register
+def energy_by_fanout(spark, sf_dir):
+    batched = querylog.log_batches(fx.order_log(spark, sf_dir), 32)
+    profile = fx.frequency_profile(spark, sf_dir)
+    table = querylog.energy_by_fanout(batched, profile, profile, fx.power_profile(spark, sf_dir), 3, 32, slack_s=fx.SLACK_S)
+    return table.withColumns({n: rounded(n, 4) for n in ("base_j", "scaled_j", "enhanced_j")})
+
+
 # --- reports --------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.operators.ivf import IvfIndex, build_index
-from vectorloom.operators.partition import single_partition, split_partition
+from vectorloom.operators.kmeans import kmeans_fit
+from vectorloom.operators.partition import cluster_assign, single_partition, split_partition
 from vectorloom.operators.sizing import shared_path
 from vectorloom.sources.index_store import index_read, index_write
 from vectorloom.sources.tables import corpus_scan, query_set
@@ -23,6 +24,7 @@ TRAIN_STEPS = 2
 SAMPLE_NPROBE = 2
 DEEP_NPROBE = 4
 FAN_OUT = 3
+SLACK_S = 16.0
 
 _stored: dict[tuple, str] = {}
 
@@ -51,7 +53,11 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partitioned(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     if kind == "monolithic":
         return single_partition(corpus(spark, sf_dir)).select("part_id", "vec_id", "embedding")
-    made = splits(spark, sf_dir) if kind == "split" else labelled(spark, sf_dir)
+    if kind == "kmeans":
+        vectors = corpus(spark, sf_dir)
+        made = cluster_assign(vectors, kmeans_fit(vectors, 10, niter=3))
+    else:
+        made = splits(spark, sf_dir) if kind == "split" else labelled(spark, sf_dir)
     return made.select("part_id", "vec_id", "embedding")
 
 
@@ -148,6 +154,22 @@ def power_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_stored_table("settings-profile")
+def settings_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``profile(cluster_id, size, nprobe, k, threads, latency_s)``: return flag and line status stand for settings."""
+    nprobe = F.when(F.col("l_returnflag") == "A", 8).when(F.col("l_returnflag") == "N", 64).otherwise(128)
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("int").alias("cluster_id"),
+        F.col("l_quantity").cast("int").alias("size"),
+        nprobe.alias("nprobe"),
+        F.lit(K).alias("k"),
+        F.when(F.col("l_linestatus") == "F", 16).otherwise(32).alias("threads"),
+        cents("l_extendedprice").alias("c"),
+    )
+    grouped = lines.groupBy("cluster_id", "size", "nprobe", "k", "threads")
+    return grouped.agg((whole_mean("c") / F.lit(1e6)).alias("latency_s"))
+
+
 def supplier_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(cluster_id, document_count)``: lines per supplier, 0 for a supplier without any."""
     counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 K, N_SPLITS, SAMPLE, DEEP, FAN = 5, 10, 2, 4, 3
 BATCH = 64
+SLACK_S = 16.0
 
 
 def _r(x: str, digits: int = 6) -> str:
@@ -23,7 +24,7 @@ placed AS MATERIALIZED (
   SELECT vec_id, label, e, pos, least(pos // size, {N_SPLITS - 1})::INTEGER AS split_id, size
   FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS pos,
                greatest(1, count(*) OVER () // {N_SPLITS}) AS size FROM emb))"""
-PART_OF = {"monolithic": "0", "split": "split_id", "label": "label"}
+PART_OF = {"monolithic": "0", "split": "split_id", "label": "label", "kmeans": "(SELECT a.part_id FROM km_assigned a WHERE a.vec_id = placed.vec_id)"}
 
 
 def _scored_pairs(corpus: str = "emb", extra: str = "") -> str:
@@ -176,6 +177,15 @@ LABEL_PARTS = "labelled AS MATERIALIZED (SELECT vec_id, e, label AS part_id FROM
 PART_PAIRS = _scored_pairs("labelled", ", c.part_id")
 SPLIT_PAIRS = _scored_pairs("placed", ", c.split_id AS part_id, c.pos - c.split_id * c.size AS local_pos")
 
+KMEANS_PROBED = [
+    EMB, PLACED, KMEANS, KMEANS_ASSIGNED, _index("kmeans"), _probes("kmeans", DEEP), _probed("kmeans", "probed")
+]
+# one best hit per part makes the sample score of a query log
+TRACE_ROUTES = f"""
+routes AS MATERIALIZED (
+  SELECT qid, part_id, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, part_id) AS route_rk
+  FROM probed WHERE probe_rk <= {SAMPLE} GROUP BY qid, part_id)"""
+
 _quality_by_config = _with(
     EMB, PLACED, _scored_pairs("placed", ", c.split_id, c.label"), _truth(),
     f"""split_lists AS MATERIALIZED (SELECT * FROM (
@@ -325,7 +335,7 @@ priced AS MATERIALIZED (
          CASE WHEN s.straggler_s IS NOT NULL THEN least(
            b.latency_s * b.busy + greatest(s.straggler_s - b.latency_s, 0) * b.idle,
            (SELECT min(joule) FROM energy e WHERE e.batch = b.batch AND e.cluster_id = b.cluster_id
-              AND e.latency_s < greatest(s.straggler_s, 0.09))) END AS enhanced_j
+              AND e.latency_s < greatest(s.straggler_s, {SLACK_S}))) END AS enhanced_j
   FROM base b JOIN straggler s USING (batch))"""
 
 _cost_by_fanout = _with(
@@ -345,6 +355,65 @@ _cost_by_fanout = _with(
              avg(deep_s + (SELECT max(latency_s) FROM profile WHERE size = 50)) AS mean_s FROM worst GROUP BY c)""",
 ) + f"\nSELECT c, n_batches, {_r('mean_s')} AS mean_s, {_r(f'{BATCH}.0::DOUBLE / mean_s', 4)} AS throughput_qps FROM means"
 
+_cost_sweep = _with(
+    LOG,
+    f"""sprofile AS MATERIALIZED (
+      SELECT l_suppkey::INTEGER AS cluster_id, l_quantity::INTEGER AS size,
+             CASE l_returnflag WHEN 'A' THEN 8 WHEN 'N' THEN 64 ELSE 128 END AS nprobe,
+             CASE l_linestatus WHEN 'F' THEN 16 ELSE 32 END AS threads,
+             (sum({CENTS})::BIGINT // count(*)) / 1e6::DOUBLE AS latency_s
+      FROM lineitem GROUP BY ALL)""",
+    "grid AS (SELECT b::INTEGER AS batch_size, c::INTEGER AS c FROM unnest([16, 48]) x(b), unnest(range(1, 5)) y(c))",
+    """closed AS MATERIALIZED (
+      SELECT qid, batch_size, ceil(pos / batch_size::DOUBLE)::BIGINT AS batch
+      FROM numbered, (SELECT DISTINCT batch_size FROM grid)
+      WHERE ceil(pos / batch_size::DOUBLE) <= (SELECT max(pos) FROM numbered) // batch_size)""",
+    """loads AS MATERIALIZED (
+      SELECT c, batch_size, batch, cluster_id, count(*) AS load
+      FROM asked JOIN closed USING (qid) JOIN grid USING (batch_size) WHERE rk <= c GROUP BY ALL)""",
+    "settings AS (SELECT d::INTEGER AS nprobe, t::INTEGER AS threads FROM unnest([64, 128]) x(d), unnest([16, 32]) y(t))",
+    """sized AS MATERIALIZED (
+      SELECT l.cluster_id, l.load, s.nprobe, s.threads, min(p.size) AS size
+      FROM (SELECT DISTINCT cluster_id, load FROM loads) l, settings s
+      LEFT JOIN sprofile p ON p.cluster_id = l.cluster_id AND p.nprobe = s.nprobe AND p.threads = s.threads AND p.size >= l.load
+      GROUP BY ALL)""",
+    """costed AS MATERIALIZED (
+      SELECT l.c, l.batch_size, l.batch, z.nprobe, z.threads, p.latency_s
+      FROM loads l JOIN sized z USING (cluster_id, load)
+      LEFT JOIN sprofile p ON p.cluster_id = z.cluster_id AND p.nprobe = z.nprobe AND p.threads = z.threads AND p.size = z.size)""",
+    """worst AS MATERIALIZED (
+      SELECT c, batch_size, batch, nprobe, threads, CASE WHEN count(latency_s) = count(*) THEN max(latency_s) END AS deep_s
+      FROM costed GROUP BY ALL)""",
+    """sampling AS MATERIALIZED (
+      SELECT nprobe AS sample_nprobe, threads, size AS batch_size, max(latency_s) AS sampling_s
+      FROM sprofile WHERE nprobe IN (8, 64) GROUP BY ALL)""",
+    """means AS MATERIALIZED (
+      SELECT sample_nprobe, nprobe AS deep_nprobe, threads, batch_size, c, count(deep_s) AS n_batches,
+             avg(deep_s) + any_value(sampling_s) AS mean_s
+      FROM worst JOIN sampling USING (threads, batch_size) GROUP BY ALL)""",
+) + f"""
+SELECT sample_nprobe::INTEGER AS sample_nprobe, deep_nprobe::INTEGER AS deep_nprobe, {K}::INTEGER AS k, threads::INTEGER AS threads,
+       batch_size, c, n_batches, {_r('mean_s')} AS mean_s, {_r('batch_size / mean_s', 3)} AS throughput_qps FROM means"""
+
+# every fan-out as batches of its own; batch -1 is the sampling step, where each cluster serves 32 queries
+_energy_by_fanout = _with(
+    LOG,
+    """loads AS MATERIALIZED (
+      SELECT c * 10000000 + pos // 32 AS batch, cluster_id, count(*) AS load
+      FROM asked JOIN numbered USING (qid), unnest(range(1, 4)) f(c) WHERE rk <= c GROUP BY ALL
+      UNION ALL SELECT DISTINCT -1, l_suppkey::INTEGER, 32 FROM lineitem)""",
+    PRICED,
+    """totals AS MATERIALIZED (
+      SELECT batch, CASE WHEN count(base_j) = count(*) THEN sum(base_j) END AS base_j,
+             CASE WHEN count(scaled_j) = count(*) THEN sum(scaled_j) END AS scaled_j,
+             CASE WHEN count(enhanced_j) = count(*) THEN sum(enhanced_j) END AS enhanced_j
+      FROM priced GROUP BY batch)""",
+    "step AS (SELECT base_j AS b, scaled_j AS s FROM totals WHERE batch = -1)",
+) + f"""
+SELECT (batch // 10000000)::INTEGER AS c, count(base_j) AS n_batches, {_r('avg(base_j + b)', 4)} AS base_j,
+       {_r('avg(scaled_j + s)', 4)} AS scaled_j, {_r('avg(enhanced_j + s)', 4)} AS enhanced_j
+FROM totals, step WHERE batch >= 0 GROUP BY ALL"""
+
 RUN_MEANS = f"""
 SELECT l_returnflag, l_linestatus, l_linenumber AS c, count(*) AS n, (sum({CENTS})::BIGINT // count(*)) / 100.0::DOUBLE AS mean_price
 FROM lineitem GROUP BY ALL"""
@@ -416,6 +485,15 @@ SELECT qid, string_agg(part_id::VARCHAR, ',' ORDER BY route_rk) AS ranked FROM r
     "routed_search": _with(*LABEL_PROBED, SAMPLE_ROUTES, f"""
 deep AS MATERIALIZED (SELECT p.* FROM probed p JOIN routes r ON r.qid = p.qid AND r.part_id = p.part_id WHERE route_rk <= {FAN})""")
     + " " + _hits(_topk("deep", K)),
+    "clustered_search": _with(*KMEANS_PROBED, SAMPLE_ROUTES, f"""
+deep AS MATERIALIZED (SELECT p.* FROM probed p JOIN routes r ON r.qid = p.qid AND r.part_id = p.part_id WHERE route_rk <= {FAN})""")
+    + " " + _hits(_topk("deep", K)),
+    "query_trace": _with(*KMEANS_PROBED, TRACE_ROUTES) + """
+SELECT qid, '[' || string_agg(part_id::VARCHAR, ', ' ORDER BY route_rk) || ']' AS ranked_text FROM routes GROUP BY qid""",
+    "trace_access_freq": _with(*KMEANS_PROBED, TRACE_ROUTES) + f"""
+SELECT d.part_id AS cluster_id, d.n AS document_count, coalesce(a.n, 0) AS access_count
+FROM (SELECT part_id, count(*) AS n FROM km_assigned GROUP BY part_id) d
+LEFT JOIN (SELECT part_id, count(*) AS n FROM routes WHERE route_rk <= {FAN} GROUP BY part_id) a USING (part_id)""",
     "exact_routed_search": _with(EMB, LABEL_PARTS, PART_PAIRS, f"lists AS MATERIALIZED {_topk('pairs', K, 'qid, part_id')}", f"""
 routes AS MATERIALIZED (
   SELECT qid, part_id, row_number() OVER (PARTITION BY qid ORDER BY avg(score) DESC, part_id) AS route_rk
@@ -452,8 +530,12 @@ FROM (SELECT batch, CASE WHEN count(latency_s) = count(*) THEN max(latency_s) EN
     "cheapest_under_deadline": _with(LOG, LOADS, PRICED) + f"""
 SELECT batch, cluster_id, load, {_r('base_j')} AS base_j, {_r('scaled_j')} AS scaled_j, {_r('enhanced_j')} AS enhanced_j FROM priced""",
     "batch_energy": _with(LOG, LOADS, PRICED) + f"""
-SELECT batch, {_r('sum(base_j)', 4)} AS base_j, {_r('sum(scaled_j)', 4)} AS scaled_j, {_r('sum(enhanced_j)', 4)} AS enhanced_j
+SELECT batch, {_r('CASE WHEN count(base_j) = count(*) THEN sum(base_j) END', 4)} AS base_j,
+       {_r('CASE WHEN count(scaled_j) = count(*) THEN sum(scaled_j) END', 4)} AS scaled_j,
+       {_r('CASE WHEN count(enhanced_j) = count(*) THEN sum(enhanced_j) END', 4)} AS enhanced_j
 FROM priced GROUP BY batch""",
+    "cost_sweep": _cost_sweep,
+    "energy_by_fanout": _energy_by_fanout,
     "config_select": """
 SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
 WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 3""",

@@ -135,3 +135,19 @@ def quality_sweep(
     rows = rows.unionByName(means_of("split", split, ["deep_nprobe", "c"]))
     rows = rows.unionByName(means_of("routed", routed, ["sample_nprobe", "deep_nprobe", "c"]))
     return quality_by_config(rows, CONFIG, STRATEGIES).fillna(0.0)
+
+
+def accuracy_run(sweep: DataFrame) -> DataFrame:
+    """A sweep under the headers of the accuracy run table, ready for ``result_sink``."""
+    columns = {
+        "Number of Clusters Searched": "c",
+        "Sample nProbe": "sample_nprobe",
+        "nProbe": "deep_nprobe",
+        "Monolithic NDCG": "monolithic_ndcg",
+        "Split NDCG": "split_ndcg",
+        "Cluster NDCG": "routed_ndcg",
+        "Monolithic Recall": "monolithic_recall",
+        "Split Recall": "split_recall",
+        "Cluster Recall": "routed_recall",
+    }
+    return sweep.select(*[F.col(c).alias(header) for header, c in columns.items()])
