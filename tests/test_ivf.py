@@ -154,18 +154,20 @@ def test_append_equals_build_and_join_form(index, corpus):
 
 
 def test_encode_and_decode_rows(index, corpus, data):
-    coded = ivf.sq8_encode_rows(corpus, index.sq)
-    back = {r.vec_id: r.decoded for r in ivf.sq8_decode_rows(coded, index.sq).collect()}
-    assert np.allclose([back[i] for i in range(400)], _decoded(index, data))
+    for limit in (0, 1 << 20):
+        coded = ivf.sq8_encode_rows(corpus, index.sq, limit)
+        back = {r.vec_id: r.decoded for r in ivf.sq8_decode_rows(coded, index.sq, limit).collect()}
+        assert np.allclose([back[i] for i in range(400)], _decoded(index, data))
 
 
-def test_stream_over_three_files_equals_batch(spark, index, corpus, tmp_path):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_stream_over_three_files_equals_batch(spark, index, corpus, tmp_path, limit):
     corpus.repartition(3, "vec_id").write.parquet(str(tmp_path / "in"))
     assert len(list((tmp_path / "in").glob("part-*"))) == 3
     arrivals = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
     for _ in range(2):  # the second run finds nothing new
-        stream_index_append(arrivals, index, out, str(tmp_path / "cp")).awaitTermination()
+        stream_index_append(arrivals, index, out, str(tmp_path / "cp"), limit_bytes=limit).awaitTermination()
     made = ivf.unpack_postings(read_blocks(spark, out)).collect()
     want = {(r.part_id, r.list_id, r.vec_id, bytes(r.code)) for r in index.postings.collect()}
     assert len(made) == 400

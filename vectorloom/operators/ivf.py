@@ -29,7 +29,7 @@ from vectorloom.functions.arrow import (
 )
 from vectorloom.functions.kernels import sq8_decode, sq8_encode
 from vectorloom.operators.kmeans import lloyd, spaced_start
-from vectorloom.operators.match import _params_map, centroid_groups, nearest_centroid, nearest_in_batch, topk_join
+from vectorloom.operators.match import centroid_groups, decoding_ranges, nearest_centroid, nearest_in_batch, topk_join
 from vectorloom.operators.partition import train_sample, train_sizes
 from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, checkpointed, collect_within, vector_dim
 
@@ -90,34 +90,64 @@ def ivf_assign(partitioned: DataFrame, coarse: DataFrame, **match) -> DataFrame:
     return nearest_centroid(partitioned, coarse, on=["part_id"], metric="ip", **match)
 
 
-def sq8_encode_rows(rows: DataFrame, sq: DataFrame) -> DataFrame:
-    """``code`` (one byte per dimension) in place of ``embedding``; ranges joined by part."""
-    return _map_codes(rows, sq, "embedding", "code", "binary", lambda c, p: code_binary(sq8_encode(list_matrix(c), *p)))
+def sq8_encode_rows(rows: DataFrame, sq: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """``code`` (one byte per dimension) in place of ``embedding``."""
 
+    def encode(column, ranges):
+        return code_binary(sq8_encode(list_matrix(column), *ranges))
 
-def sq8_decode_rows(rows: DataFrame, sq: DataFrame) -> DataFrame:
+    return _map_codes(rows, sq, "embedding", "code", "binary", encode, limit_bytes)
+
+
+def sq8_decode_rows(rows: DataFrame, sq: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """``decoded`` (DOUBLE vector) in place of ``code``."""
-    return _map_codes(
-        rows, sq, "code", "decoded", "array<double>", lambda c, p: matrix_list(sq8_decode(code_matrix(c), *p), pa.float64())
-    )
 
+    def decode(column, ranges):
+        return matrix_list(sq8_decode(code_matrix(column), *ranges), pa.float64())
+
+    return _map_codes(rows, sq, "code", "decoded", "array<double>", decode, limit_bytes)
 
-def _map_codes(rows, sq, source, target, target_type, convert) -> DataFrame:
+
+def _map_codes(rows, sq, source, target, target_type, convert, limit_bytes) -> DataFrame:
+    """Convert a column by the ranges of each row's part: broadcast if they fit, else joined to the rows."""
     kept = [c for c in rows.columns if c != source]
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    joined = rows.join(sq.select("part_id", "vmin", "vdiff"), "part_id").select(*kept, source, "vmin", "vdiff")
+    ranges = decoding_ranges(sq, limit_bytes, vector_dim(sq, "vmin"))
+    payload = None
+    if ranges is False:
+        rows = rows.join(sq.select("part_id", "vmin", "vdiff"), "part_id").select(*kept, source, "vmin", "vdiff")
+    else:
+        payload = rows.sparkSession.sparkContext.broadcast(ranges)
 
     def scan(batches):
         for batch in batches:
-            # rows of one part share their ranges: convert them together
-            for _, at in key_groups([int_column(batch, "part_id")], batch.num_rows):
+            for (part_id,), at in key_groups([int_column(batch, "part_id")], batch.num_rows):
                 part = batch.take(pa.array(at))
-                ranges = [_cell(part, c)[0].values.to_numpy(zero_copy_only=False) for c in ("vmin", "vdiff")]
-                made = convert(_cell(part, source), ranges)
+                if payload is None:
+                    own = [_cell(part, c)[0].values.to_numpy(zero_copy_only=False) for c in ("vmin", "vdiff")]
+                elif part_id not in payload.value:
+                    continue
+                else:
+                    own = payload.value[part_id]
+                made = convert(_cell(part, source), own)
                 yield pa.RecordBatch.from_arrays([*[_cell(part, c) for c in kept], made], [*kept, target])
 
     schema = ", ".join([*[f"`{c}` {fields[c]}" for c in kept], f"{target} {target_type}"])
-    return joined.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema)
+
+
+def _frozen(index: IvfIndex, limit_bytes: int):
+    """Centroids by part and code ranges, collected; None when they exceed the limit."""
+    dim = vector_dim(index.coarse, "centroid")
+    table = collect_within(index.coarse.select("part_id", "list_id", "centroid"), limit_bytes // max(1, 8 * dim))
+    ranges = decoding_ranges(index.sq, limit_bytes, dim) if table is not None else False
+    return None if ranges is False else (centroid_groups(table, ["part_id"], "ip", dim), ranges)
+
+
+def fits_broadcast(index: IvfIndex, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
+    """Whether appending to the index is a narrow pass."""
+    bytes_per_row = 8 * vector_dim(index.coarse, "centroid")
+    return index.coarse.count() * bytes_per_row <= limit_bytes and index.sq.count() * 2 * bytes_per_row <= limit_bytes
 
 
 def index_append(
@@ -125,17 +155,15 @@ def index_append(
 ) -> DataFrame:
     """Postings of new rows under a trained index: assign and encode, centroids stay frozen.
 
-    Stateless, so it also runs on a stream. With centroids and ranges within the limit both steps
-    are one narrow pass; beyond it they are joins.
+    With centroids and ranges within the limit both steps are one narrow, stateless pass; beyond it
+    the rows are joined with the centroids of their part.
     """
-    dim = vector_dim(index.coarse, "centroid")
-    table = collect_within(index.coarse.select("part_id", "list_id", "centroid"), limit_bytes // max(1, 8 * dim))
-    ranges = _params_map(index.sq, limit_bytes, dim) if table is not None else False
-    if ranges is False:
+    frozen = _frozen(index, limit_bytes)
+    if frozen is None:
         assigned = ivf_assign(partitioned, index.coarse, strategy="packed")
-        encoded = sq8_encode_rows(assigned.select("part_id", "list_id", "vec_id", "embedding"), index.sq)
-        return encoded.select("part_id", "list_id", "vec_id", "code")
-    payload = partitioned.sparkSession.sparkContext.broadcast((centroid_groups(table, ["part_id"], "ip", dim), ranges))
+        rows = assigned.select("part_id", "list_id", "vec_id", "embedding")
+        return sq8_encode_rows(rows, index.sq, limit_bytes).select("part_id", "list_id", "vec_id", "code")
+    payload = partitioned.sparkSession.sparkContext.broadcast(frozen)
 
     def scan(batches):
         groups, ranges = payload.value
@@ -226,7 +254,7 @@ def stack_indexes(indexes: Sequence[tuple[IvfIndex, int]]) -> IvfIndex:
 def probe_lists(queries: DataFrame, coarse: DataFrame, nprobe: int, **match) -> DataFrame:
     """``(qid, part_id, list_id, probe_rk, score)``: the best ``nprobe`` lists per query and part."""
     items = coarse.select("part_id", F.col("list_id").cast("bigint").alias("item_id"), F.col("centroid").alias("vec"))
-    best = topk_join(queries, items, nprobe, per=["part_id"], **match)
+    best = topk_join(queries, items, nprobe, per=["part_id"], **{"prefer": "items", **match})
     return best.select(
         "qid", "part_id", F.col("item_id").cast("int").alias("list_id"), F.col("rk").alias("probe_rk"), "score"
     )

@@ -9,7 +9,7 @@ Every search and every assignment is one of these two functions. Three physical
 ``packed``   neither side fits: both sides are packed into bounded blocks by key and salt,
              equi-joined, and each block pair is scored where the join puts it.
 
-``auto`` counts both sides and takes the first form whose broadcast fits the limit.
+``auto`` counts the preferred side first and takes the first form whose broadcast fits the limit.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def best_per(hits: DataFrame, k: int, by: Sequence[str], id_col: str = "item_id"
     return hits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def _params_map(sq: DataFrame | None, limit_bytes: int, dim: int):
+def decoding_ranges(sq: DataFrame | None, limit_bytes: int, dim: int):
     """Decoding ranges per part as a dictionary; False when they exceed the limit."""
     if sq is None:
         return None
@@ -154,6 +154,7 @@ def topk_join(
     probes: DataFrame | None = None,
     sq: DataFrame | None = None,
     strategy: str = "auto",
+    prefer: str = "queries",
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Top ``k`` items by inner product for every query (and every ``per`` group of items).
@@ -168,21 +169,17 @@ def topk_join(
     on, per = list(on), list(per)
     dim = vector_dim(queries, "qv")
     max_rows = limit_bytes // max(1, 8 * dim)
-    n_queries = queries.count()
     if strategy == "auto":
-        n_items = items.count() if sq is None and probes is None else None
-        if n_items is not None and n_items <= min(max_rows, n_queries):
-            strategy = "items"
-        elif n_queries <= max_rows:
-            strategy = "queries"
-        elif n_items is not None and n_items <= max_rows:
-            strategy = "items"
-        else:
-            strategy = "packed"
+        # coded items and probed keys have no broadcast form of the item side
+        sides = ["queries"] if sq is not None or probes is not None else ["queries", "items"]
+        if prefer == "items":
+            sides.reverse()
+        tables = {"queries": queries, "items": items}
+        strategy = next((side for side in sides if tables[side].count() <= max_rows), "packed")
     if strategy == "items":
         return _items_broadcast(queries, items, k, on, per, dim)
     if strategy == "queries":
-        params = _params_map(sq, limit_bytes, dim)
+        params = decoding_ranges(sq, limit_bytes, dim)
         pairs = None
         if probes is not None:
             cap = limit_bytes // (8 * (1 + len(on)))

@@ -31,7 +31,9 @@ def write_postings(postings: DataFrame, path: str, mode: str) -> None:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("list_id int, vec_ids array<bigint>, codes binary, part_id int").parquet(path)
+    """Blocks written by :func:`index_write` or by a stream, below ``path``."""
+    blocks = spark.read.schema("list_id int, vec_ids array<bigint>, codes binary, part_id int").parquet(path)
+    return blocks.select("part_id", "list_id", "vec_ids", "codes")
 
 
 def index_read(spark: SparkSession, path: str) -> IvfIndex:

@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from vectorloom.operators.ivf import IvfIndex, index_append, pack_postings
+from vectorloom.operators.ivf import IvfIndex, fits_broadcast, index_append, pack_postings
+from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES
 
 
 def stream_index_append(
-    arrivals: DataFrame, index: IvfIndex, path: str, checkpoint: str, trigger: dict | None = None
+    arrivals: DataFrame,
+    index: IvfIndex,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> StreamingQuery:
     """Assign and encode ``arrivals(part_id, vec_id, embedding)`` with frozen centroids, append blocks to ``path``.
 
-    Stateless: every micro-batch is the same narrow pass as the batch append, and the file sink writes
-    each arrival exactly once. ``trigger`` defaults to ``availableNow``.
+    Each arrival is stored exactly once. While the centroids fit a broadcast, a micro-batch is the same
+    narrow pass as the batch append and the file sink keeps the record of what was written. Beyond that
+    a micro-batch is a batch append by joins, written to a folder of its own that a repeated batch
+    overwrites. ``trigger`` defaults to ``availableNow``.
     """
-    blocks = pack_postings(index_append(index, arrivals))
-    return (
-        blocks.writeStream.format("parquet")
-        .partitionBy("part_id")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    if fits_broadcast(index, limit_bytes):
+        blocks = pack_postings(index_append(index, arrivals, limit_bytes=limit_bytes))
+        writer = blocks.writeStream.format("parquet").partitionBy("part_id").option("path", path).outputMode("append")
+    else:
+
+        def store(batch: DataFrame, batch_id: int) -> None:
+            blocks = pack_postings(index_append(index, batch, limit_bytes=limit_bytes))
+            blocks.write.mode("overwrite").partitionBy("part_id").parquet(f"{path}/batch_id={batch_id}")
+
+        writer = arrivals.writeStream.foreachBatch(store)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
