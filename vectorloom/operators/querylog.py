@@ -134,7 +134,8 @@ def cost_sweep(
     ``profile(cluster_id, size, nprobe, k, threads, latency_s)``. Returns ``(sample_nprobe, deep_nprobe, k,
     threads, batch_size, c, n_batches, mean_s, throughput_qps)``. The log is batched once per batch size, and
     one join looks up all settings. A batch counts for a setting only if the setting has a cost for all
-    its loads; a setting whose sampling step was not profiled at the batch size has no cost at all.
+    its loads (``mean_s`` is NULL if no batch does). Settings whose sampling step was not profiled at the batch
+    size are left out.
     """
     setting = ["nprobe", "k", "threads"]
     sizes = [log_batches(trace, size, mode).withColumn("batch_size", F.lit(size)) for size in batch_sizes]
@@ -151,11 +152,13 @@ def cost_sweep(
         F.count("deep_s").alias("n_batches"), F.avg("deep_s").alias("deep_s")
     )
     sampling = (
-        profile.where(F.col("nprobe").isin(list(sample_nprobe)))
+        profile.where(F.col("nprobe").isin(list(sample_nprobe)) & F.col("size").isin(list(batch_sizes)))
         .groupBy(F.col("nprobe").alias("sample_nprobe"), "k", "threads", F.col("size").alias("batch_size"))
         .agg(F.max("latency_s").alias("sampling_s"))
     )
-    total = means.join(sampling, ["k", "threads", "batch_size"])
+    grid = sampling.join(deep.select(*setting).distinct(), ["k", "threads"])
+    grid = grid.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(max_fanout))))
+    total = grid.join(means, [*setting, "batch_size", "c"], "left")
     total = total.withColumn("mean_s", F.col("sampling_s") + F.col("deep_s"))
     return total.select(
         "sample_nprobe",
@@ -164,7 +167,7 @@ def cost_sweep(
         "threads",
         "batch_size",
         "c",
-        "n_batches",
+        F.coalesce("n_batches", F.lit(0)).alias("n_batches"),
         "mean_s",
         F.try_divide(F.col("batch_size").cast("double"), F.col("mean_s")).alias("throughput_qps"),
     )

@@ -389,11 +389,12 @@ _cost_sweep = _with(
       FROM sprofile WHERE nprobe IN (8, 64) GROUP BY ALL)""",
     """means AS MATERIALIZED (
       SELECT sample_nprobe, nprobe AS deep_nprobe, threads, batch_size, c, count(deep_s) AS n_batches,
-             avg(deep_s) + any_value(sampling_s) AS mean_s
+             avg(deep_s) + any_value(sampling_s) AS mean_s,
+             (sum(round(deep_s * 1e6)::BIGINT) + count(deep_s) * round(any_value(sampling_s) * 1e6)::BIGINT)::BIGINT AS total_us
       FROM worst JOIN sampling USING (threads, batch_size) GROUP BY ALL)""",
 ) + f"""
 SELECT sample_nprobe::INTEGER AS sample_nprobe, deep_nprobe::INTEGER AS deep_nprobe, {K}::INTEGER AS k, threads::INTEGER AS threads,
-       batch_size, c, n_batches, {_r('mean_s')} AS mean_s, {_r('batch_size / mean_s', 3)} AS throughput_qps FROM means"""
+       batch_size, c, n_batches, total_us, {_r('batch_size / mean_s', 3)} AS throughput_qps FROM means"""
 
 # every fan-out as batches of its own; batch -1 is the sampling step, where each cluster serves 32 queries
 _energy_by_fanout = _with(
