@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, exact_dedup
+from vectorloom.llm import chat, exact_dedup, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its copies, its near-duplicate class and its number of links."""
+    return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``conversations`` as a message event, and the made-up conversation -1."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -30,7 +35,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_format, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_chat_format, op8_exact_dedup)}
 
 ORACLES = {
     "op4_chat_format": r"""
