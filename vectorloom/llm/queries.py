@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, exact_dedup, mixing, ngram_join, toxicity
+from vectorloom.llm import chat, exact_dedup, hmm_lm, mixing, ngram_join, toxicity
+from vectorloom.llm import sentencepiece_viterbi as sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,15 +37,35 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    return sentencepiece.round_trip(_table(spark, sf_dir, "documents"), sentencepiece.Vocabulary.load())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.hmm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_chat_format, op6_mix_sources, op8_exact_dedup, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op4_chat_format,
+        op6_mix_sources,
+        op7_sentencepiece,
+        op8_exact_dedup,
+        op9_hmm_score,
+        op10_toxicity,
+    )
+}
 
 ORACLES = {
     "op4_chat_format": r"""
