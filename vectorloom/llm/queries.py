@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, exact_dedup, hmm_lm, mixing, ngram_join, toxicity
+from vectorloom.llm import chat, exact_dedup, hmm_lm, line_dedup, mixing, ngram_join, topk_nra, toxicity
 from vectorloom.llm import sentencepiece_viterbi as sentencepiece
 
 
@@ -18,6 +18,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the numbers of its lines that repeat no earlier line of any document."""
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``conversations`` as a message event, and the made-up conversation -1."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -32,6 +37,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold_events(events))))
 
 
+def op5_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_nra.exact_topk(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, sources weighing 1, 2, 3, repeating, and taken up to three times."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("rid")
@@ -58,7 +67,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_line_dedup,
         op4_chat_format,
+        op5_topk_nra,
         op6_mix_sources,
         op7_sentencepiece,
         op8_exact_dedup,
@@ -84,6 +95,18 @@ ORACLES = {
             sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
             sum(12 + length(head) + 1 + length(body) + 10 + 1)::BIGINT AS formatted_chars
         FROM shaped GROUP BY conv_id""",
+    "op5_topk_nra": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             coalesce(doc_id = max(doc_id) OVER w, true) AS kept, sha256(t) AS text_sha256
