@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, exact_dedup, hmm_lm, line_dedup, mixing, ngram_join, topk_nra, toxicity
+from vectorloom.llm import chat, exact_dedup, hmm_lm, html_wrapper, line_dedup, mixing, ngram_join, topk_nra, toxicity
 from vectorloom.llm import sentencepiece_viterbi as sentencepiece
 
 
@@ -23,6 +23,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``conversations`` as a message event, and the made-up conversation -1."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -68,6 +72,7 @@ QUERIES = {
     for f in (
         op1_ngram_jaccard_join,
         op2_line_dedup,
+        op3_html_extract,
         op4_chat_format,
         op5_topk_nra,
         op6_mix_sources,
