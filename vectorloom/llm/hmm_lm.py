@@ -97,7 +97,16 @@ def build_lexicon(train: DataFrame) -> tuple[DataFrame, Lexicon]:
     )
     ends = train.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).head()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
+    # the most frequent words by whole steps of a logarithmic scale of counts, KNOWN at most
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, left = 1 << 30, KNOWN
+    for size in sorted(sizes, reverse=True):
+        left -= size.n
+        if left < 0:
+            break
+        least = size.step
+    top = counts.where(step >= least).toArrow()
     names, seen = top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy()
     first = Lexicon(names, seen, {}, 0, 0, 0)
     single = first.names[first.own >= 0]
