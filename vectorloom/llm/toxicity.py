@@ -8,6 +8,7 @@ less. A linear classifier is trained on the posterior labels and gives the score
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ VOTERS = 128
 PREFIXES = (4, 5)
 #: A voter needs this many toxic labelled documents, and this lift of its rate among toxic over clean ones.
 MIN_TOXIC, MIN_LIFT = 3, 4.0
+#: And a log-likelihood ratio that reaches the logarithm of the number of terms tried less this, so that few are there by chance.
+MARGIN = 1.0
 EM_STEPS, NEWTON_STEPS = 6, 7
 #: Voters whose correlation among toxic documents is at least this say the same thing and share their weight.
 REPEATS = 0.5
@@ -99,7 +102,9 @@ def propose_voters(labelled: DataFrame, limit: int = VOTERS) -> list[str]:
         + part(F.lit(clean) - F.col("b"), (toxic + clean - n) * (1 - share))
     )
     # a voter that is nearly a third of all documents says nothing of its own; the lift excludes it
-    best = counts.where(f"a >= {MIN_TOXIC}").where(lift >= MIN_LIFT).withColumn("gain", F.round(gain, 6))
+    tried = checkpointed(counts.where(f"a >= {MIN_TOXIC}"))
+    least = math.log(max(1, tried.count())) - MARGIN
+    best = tried.where(lift >= MIN_LIFT).withColumn("gain", F.round(gain, 6)).where(F.col("gain") >= least)
     ranked = best.orderBy(F.desc("gain"), F.length("term"), "term").limit(4 * limit).collect()
     # a beginning that fires on as many documents as one of its words, or the other way round, is the same voter
     seen: set[tuple] = set()
