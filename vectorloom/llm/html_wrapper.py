@@ -287,14 +287,19 @@ class Wrapper:
         return inner
 
     def _region(self, item: list) -> set[int]:
-        """Without articles, the item below which most of the changing text stands."""
+        """For pages without article, the item below which most of the changing text outside articles stands."""
         while True:
-            chars = self.total[id(item)][0]
-            down = [k for k in item[_KIDS] if k[_SIG] not in ("#", "()") and self.total[id(k)][0] > MAIN_SHARE * chars and not self.menu(k)]
+            chars = self._outside(item)
+            down = [k for k in item[_KIDS] if k[_SIG] not in ("#", "()") and self._outside(k) > MAIN_SHARE * chars and not self.menu(k)]
             if not down or not chars or down[0][_MANY]:
                 return {id(item)}
             item = down[0]
 
+    def _outside(self, item: list) -> int:
+        if id(item) in self.articles or "!" in item[_SIG]:
+            return 0
+        return self.total[id(item)][0] - sum(self.total[id(k)][0] - self._outside(k) for k in item[_KIDS])
+
     def menu(self, item: list) -> bool:
         chars, links = self.total[id(item)]
         return item[_SIG] != "#" and links > MENU_SHARE * max(chars, 1)
@@ -304,8 +309,9 @@ class Wrapper:
         blocks: list[str] = []
         if self.articles:
             self._walk(page, self.root, False, self.articles, False, blocks)
-        if not blocks:
-            self._walk(page, self.root, id(self.root) in self.region, self.region, True, blocks)
+        for region in (self.region, {id(self.root)}):
+            if not blocks:
+                self._walk(page, self.root, id(self.root) in region, region, True, blocks)
         return blocks
 
     def _walk(self, element: Element, item: list, inside: bool, region: set[int], strict: bool, blocks: list[str]) -> None:
