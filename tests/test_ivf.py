@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vectorloom.functions.kernels import sq8_decode
 from vectorloom.operators import ivf, search
 from vectorloom.operators.kmeans import kmeans_fit
-from vectorloom.sources.index_store import index_read, index_write, postings_manifest, read_blocks
+from vectorloom.sources.index_store import index_extend, index_read, index_write, postings_manifest
 from vectorloom.streaming.append import stream_index_append
 
 DIM = 6
@@ -160,18 +160,63 @@ def test_encode_and_decode_rows(index, corpus, data):
         assert np.allclose([back[i] for i in range(400)], _decoded(index, data))
 
 
+def _rows(postings):
+    return sorted((r.part_id, r.list_id, r.vec_id, bytes(r.code)) for r in postings.collect())
+
+
+def _store(index, path, kept):
+    """An index file that holds only the vectors of ``kept``."""
+    index_write(ivf.IvfIndex(index.coarse, index.sq, ivf.pack_postings(index.postings.where(kept))), path)
+
+
+@pytest.mark.parametrize("limits", [(0, 0), (1 << 20, 1 << 20), (0, 1 << 20), (1 << 20, 0)])
+def test_additions_by_batch_and_stream_are_read_once(spark, index, corpus, tmp_path, limits):
+    """Half written, the rest added by batch and by a stream whose form changes in between; all rows come back once."""
+    path = str(tmp_path / "index")
+    _store(index, path, "vec_id % 4 < 2")
+    before = index_read(spark, path)
+    frozen = [sorted(map(str, t.collect())) for t in (before.coarse, before.sq)]
+    index_extend(spark, path, corpus.where("vec_id % 4 = 2"), limit_bytes=limits[0])
+    for n, limit in enumerate(limits):
+        folder = corpus.where(f"vec_id % 4 = 3 and vec_id % 8 = {3 + 4 * n}")
+        folder.repartition(3, "vec_id").write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):  # a second run finds nothing new
+            arrivals = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            stream_index_append(arrivals, path, str(tmp_path / "cp"), limit_bytes=limit).awaitTermination()
+    after = index_read(spark, path)
+    assert _rows(after.postings) == _rows(index.postings)
+    assert [sorted(map(str, t.collect())) for t in (after.coarse, after.sq)] == frozen
+
+
+def test_an_addition_of_the_same_name_replaces_itself(spark, index, corpus, tmp_path):
+    path = str(tmp_path / "index")
+    _store(index, path, "vec_id % 2 = 0")
+    for _ in range(2):
+        index_extend(spark, path, corpus.where("vec_id % 2 = 1"), "odd")
+    assert _rows(index_read(spark, path).postings) == _rows(index.postings)
+    _store(index, path, "vec_id < 10")  # writing anew drops the additions
+    assert len(_rows(index_read(spark, path).postings)) == 10
+    with pytest.raises(ValueError, match="index_extend"):
+        index_write(index, path, mode="append")
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_stream_over_three_files_equals_batch(spark, index, corpus, tmp_path, limit):
-    corpus.repartition(3, "vec_id").write.parquet(str(tmp_path / "in"))
-    assert len(list((tmp_path / "in").glob("part-*"))) == 3
-    arrivals = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    for _ in range(2):  # the second run finds nothing new
-        stream_index_append(arrivals, index, out, str(tmp_path / "cp"), limit_bytes=limit).awaitTermination()
-    made = ivf.unpack_postings(read_blocks(spark, out)).collect()
-    want = {(r.part_id, r.list_id, r.vec_id, bytes(r.code)) for r in index.postings.collect()}
-    assert len(made) == 400
-    assert {(r.part_id, r.list_id, r.vec_id, bytes(r.code)) for r in made} == want
+def test_unknown_parts_and_missing_ranges_are_errors(spark, index, corpus, queries, limit):
+    """The same outcome in the broadcast and the join forms: an error, never fewer rows; an empty part is no error."""
+    stray = corpus.limit(3).withColumn("part_id", F.lit(77))
+    for rows in (stray, corpus.unionByName(stray)):
+        with pytest.raises(Exception, match="part 77|part has no centroid"):
+            ivf.index_append(index, rows, limit_bytes=limit).collect()
+        with pytest.raises(Exception, match="part 77"):
+            ivf.sq8_encode_rows(rows, index.sq, limit).collect()
+    lame = ivf.IvfIndex(index.coarse, index.sq.where("part_id <> 1"), index.blocks)
+    with pytest.raises(Exception, match="part 1 has no code range"):
+        ivf.index_append(lame, corpus, limit_bytes=limit).collect()
+    with pytest.raises(Exception, match="part 1 has no code range"):
+        ivf.ivf_topk(queries, lame, 5, 99, limit_bytes=limit).collect()
+    nobody = ivf.IvfIndex(index.coarse, index.sq, index.blocks.where("part_id <> 1"))
+    assert ivf.ivf_topk(queries, nobody, 5, 99, limit_bytes=limit).count() == 15 * 5
+    assert ivf.index_append(index, corpus.where("part_id <> 1"), limit_bytes=limit).count() == corpus.where("part_id <> 1").count()
 
 
 def test_split_search_ignores_later_splits(corpus, queries, data):
@@ -192,3 +237,9 @@ def test_batched_search_equals_exact(corpus, queries):
     exact = search.exact_topk(queries, corpus, 3).orderBy("qid", "rk").collect()
     assert [(r.qid, r.rk, r.vec_id) for r in batched] == [(r.qid, r.rk, r.vec_id) for r in exact]
     assert all(r.qblock == r.qid // 4 for r in batched)
+
+
+def test_batches_are_runs_of_queries_whatever_their_ids(corpus, queries):
+    gapped = queries.withColumn("qid", F.col("qid") * 100 + 7)
+    batched = search.batched_search(gapped, corpus, 1, batch=4).collect()
+    assert sorted((r.qid, r.qblock) for r in batched) == [(100 * i + 7, i // 4) for i in range(15)]

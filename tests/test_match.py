@@ -92,7 +92,10 @@ def test_nearest_centroid(spark, make_vectors, metric, limit):
     parts = np.arange(90) % 3
     rows = [(int(i % 2), int(i), [float(x) for x in c]) for i, c in enumerate(centroids)]  # part 2 has none
     table = spark.createDataFrame(rows, "part_id int, list_id int, centroid array<double>")
-    found = nearest_centroid(make_vectors(items, parts), table, on=["part_id"], metric=metric, limit_bytes=limit)
+    every = make_vectors(items, parts)
+    with pytest.raises(Exception, match="has no centroid"):
+        nearest_centroid(every, table, on=["part_id"], metric=metric, limit_bytes=limit).collect()
+    found = nearest_centroid(every.where("part_id < 2"), table, on=["part_id"], metric=metric, limit_bytes=limit)
     got = {r.vec_id: r.list_id for r in found.collect()}
     want = {}
     for i in np.flatnonzero(parts < 2):
@@ -113,3 +116,45 @@ def test_result_does_not_depend_on_partitioning(spark, make_vectors):
             rows = topk_join(asked, corpus, 6, strategy=form).orderBy("qid", "rk").collect()
             seen.add(tuple((r.qid, r.rk, r.item_id, r.score) for r in rows))
     assert len(seen) == 1
+
+
+def test_repeated_ids_keep_their_rows(spark, make_vectors):
+    items = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.1]])
+    table = spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [0.0, 1.0])], "part_id int, list_id int, centroid array<double>")
+    rows = make_vectors(items, ids=[7, 7, 8])
+    for limit in (0, 1 << 20):
+        found = nearest_centroid(rows, table, on=["part_id"], limit_bytes=limit).collect()
+        assert sorted((r.vec_id, r.list_id) for r in found) == [(7, 0), (7, 1), (8, 0)]
+
+
+@pytest.mark.parametrize("form", FORMS)
+@pytest.mark.parametrize("bad", [[float("nan"), 1.0], [float("inf"), 1.0], [1.0], None])
+def test_a_bad_vector_is_an_error_in_every_form(spark, make_vectors, form, bad):
+    asked = make_vectors(np.eye(2)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    corpus = make_vectors(np.eye(2)).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    dirty = corpus.union(spark.createDataFrame([(9, bad)], "item_id bigint, vec array<float>"))
+    with pytest.raises(Exception, match="reached a kernel"):
+        topk_join(asked, dirty, 1, strategy=form).collect()
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_components_beyond_float32(make_vectors, form):
+    rng = np.random.default_rng(8)
+    scale = 10.0 ** rng.integers(-30, 30, size=(120, 1)).astype(float)
+    items = (rng.normal(size=(120, 5)) * scale).astype(np.float32).astype(float)
+    queries = (rng.normal(size=(15, 5)) * 10.0 ** rng.integers(-25, 25, size=(15, 1)).astype(float)).astype(np.float32).astype(float)
+    asked, corpus = _sides(make_vectors, items, queries)
+    got = grouped(topk_join(asked, corpus, 4, strategy=form).collect(), ["qid"], "item_id", "rk")
+    want = brute_topk(queries, items, np.arange(120), 4)
+    assert [got[i] for i in range(15)] == want
+
+
+def test_a_large_query_side_is_cut_to_the_state(make_vectors, monkeypatch):
+    from vectorloom.operators import match
+
+    rng = np.random.default_rng(9)
+    items, queries = rng.normal(size=(60, 4)), rng.normal(size=(25, 4))
+    asked, corpus = _sides(make_vectors, items, queries)
+    monkeypatch.setattr(match, "_STATE_ROWS", 30)
+    got = grouped(topk_join(asked, corpus, 3, strategy="queries").collect(), ["qid"], "item_id", "rk")
+    assert [got[i] for i in range(25)] == brute_topk(queries, items, np.arange(60), 3)

@@ -67,3 +67,14 @@ def test_cluster_assign_takes_the_nearest(spark):
     corpus = spark.createDataFrame([(0, 0, [0.0, 0.1]), (1, 0, [9.0, 9.0])], VECTORS).drop("part_id")
     centroids = spark.createDataFrame([(3, [0.0, 0.0]), (5, [10.0, 10.0])], "cluster_id int, centroid array<double>")
     assert {r.vec_id: r.part_id for r in partition.cluster_assign(corpus, centroids).collect()} == {0: 3, 1: 5}
+
+
+def test_repeated_ids_get_positions_of_their_own(spark):
+    ids = spark.createDataFrame([(0,), (0,), (2,)], "id bigint")  # as many as 0..2 would be
+    assert sorted(r.pos for r in with_positions(ids, "id").collect()) == [0, 1, 2]
+
+
+def test_many_buckets(spark):
+    ids = spark.range(3000).selectExpr("id * 3 AS id")
+    got = with_positions(ids, "id", bucket_rows=2).collect()
+    assert all(r.pos == r.id // 3 for r in got) and len(got) == 3000

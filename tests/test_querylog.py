@@ -86,10 +86,11 @@ def test_access_frequency_counts_untouched_clusters(spark, trace, ranked):
 @pytest.mark.parametrize("mode", ["aligned", "compat"])
 def test_cost_by_fanout(spark, trace, ranked, profile, mode):
     table = _profile_df(spark, profile)
-    sampling = querylog.sampling_cost(table, 8).head().sampling_s
+    step = querylog.sampling_cost(table, 8)
+    sampling = step.head().sampling_s
     assert sampling == max(v for (_, s), v in profile.items() if s == 8)
     batched = querylog.log_batches(trace, 8, mode)
-    got = {r.c: r for r in querylog.cost_by_fanout(batched, table, 5, 8, sampling).collect()}
+    got = {r.c: r for r in querylog.cost_by_fanout(batched, table, 5, 8, step).collect()}
     for c in range(1, 6):
         costs = []
         for queries in _batches(ranked, 8, mode).values():
@@ -99,13 +100,35 @@ def test_cost_by_fanout(spark, trace, ranked, profile, mode):
         assert got[c].mean_s == pytest.approx(np.mean(costs))
         assert got[c].throughput_qps == pytest.approx(8 / np.mean(costs))
         loads = querylog.batch_cluster_load(batched, c)
-        one = querylog.straggler_cost(querylog.ceiling_lookup(loads, table), sampling).collect()
+        one = querylog.straggler_cost(querylog.ceiling_lookup(loads, table), step).collect()
         assert sorted(r.batch_s for r in one) == pytest.approx(sorted(costs))
 
 
 def test_a_load_outside_the_profile_makes_the_batch_unknown(spark):
     costed = spark.createDataFrame([(0, 1, 0.5), (0, 2, None), (1, 1, 0.25)], "batch bigint, cluster_id int, latency_s double")
-    assert {r.batch: r.batch_s for r in querylog.straggler_cost(costed, 1.0).collect()} == {0: None, 1: 1.25}
+    step = spark.createDataFrame([(1.0,)], "sampling_s double")
+    assert {r.batch: r.batch_s for r in querylog.straggler_cost(costed, step).collect()} == {0: None, 1: 1.25}
+
+
+def test_a_sampling_step_that_was_not_profiled_is_unknown(spark):
+    costed = spark.createDataFrame([(0, 1, 0.5)], "batch bigint, cluster_id int, latency_s double")
+    profile = spark.createDataFrame([(1, 8, 0.5)], "cluster_id int, size int, latency_s double")
+    row = querylog.straggler_cost(costed, querylog.sampling_cost(profile, 64)).head()
+    assert (row.deep_s, row.batch_s) == (0.5, None)
+
+
+def test_a_clock_without_profile_is_no_top_clock(spark):
+    loads = spark.createDataFrame([(0, 1, 2)], "batch bigint, cluster_id int, load bigint")
+    profile = spark.createDataFrame([(1, 1000, 4, 2.0), (1, 500, 4, 3.0)], "cluster_id int, frequency_mhz int, size int, latency_s double")
+    power = spark.createDataFrame([(1000, 10.0, 1.0), (500, 4.0, 1.0), (2000, 50.0, 1.0)], "frequency_mhz int, busy_watts double, idle_watts double")
+    assert querylog.cheapest_under_deadline(loads, profile, power).head().base_j == 20.0
+
+
+def test_large_profiled_sizes_are_not_spelled_out(spark):
+    loads = spark.createDataFrame([(0, 1, 3), (0, 2, 9)], "batch bigint, cluster_id int, load bigint")
+    profile = spark.createDataFrame([(1, 2, 0.5), (1, 10**7, 0.75), (2, 8, 1.0)], "cluster_id int, size int, latency_s double")
+    assert querylog.ceiling_table(profile, loads).count() == 9 + 8
+    assert {r.cluster_id: r.latency_s for r in querylog.ceiling_lookup(loads, profile).collect()} == {1: 0.75, 2: None}
 
 
 @pytest.mark.parametrize("slack", [0.0, 0.02, 10.0])

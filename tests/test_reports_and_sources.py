@@ -87,3 +87,9 @@ def test_query_set_takes_the_first_rows(spark, make_vectors):
     vectors = make_vectors(np.eye(6), ids=[50, 40, 30, 20, 10, 0])
     assert sorted(r.qid for r in tables.query_set(vectors, 3).collect()) == [0, 10, 20]
     assert tables.query_set(vectors).count() == 6
+
+
+def test_trimmed_mean_keeps_a_null_key(spark):
+    rows = [(None if i % 2 else "a", i, float(i)) for i in range(12)]
+    got = reports.trimmed_mean(spark.createDataFrame(rows, "g string, id int, v double"), ["g"], "v", "id", trim=1).collect()
+    assert {r.g: (r.n_rows, r.n_used, r.trimmed_mean) for r in got} == {"a": (6, 4, 5.0), None: (6, 4, 6.0)}

@@ -14,7 +14,8 @@ def list_matrix(column, dtype=np.float64) -> np.ndarray:
     """List column as an (n, dim) matrix.
 
     ``flatten`` respects slice offsets; a NULL or ragged row would silently shift every later
-    row of the reshape, so both are refused here (filter them with ``is_valid_vector`` first).
+    row of the reshape, and a NaN would make every comparison of its block false, so all of them are
+    refused here (filter them with ``is_valid_vector`` first).
     """
     n = len(column)
     if column.null_count:
@@ -27,7 +28,11 @@ def list_matrix(column, dtype=np.float64) -> np.ndarray:
         raise ValueError("vectors of different length reached a kernel; filter invalid vectors first")
     if flat.null_count:
         raise ValueError("NULL component reached a kernel; filter invalid vectors first")
-    return flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(n, -1)
+    matrix = flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(n, -1)
+    if not np.isfinite(matrix).all():
+        bad = int((~np.isfinite(matrix).all(axis=1)).sum())
+        raise ValueError(f"{bad} of {n} vectors with NaN or infinite components reached a kernel; filter invalid vectors first")
+    return matrix
 
 
 def code_matrix(column) -> np.ndarray:

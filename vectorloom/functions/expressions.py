@@ -29,9 +29,9 @@ def vector_sum(v: Column | str) -> Column:
 
 
 def is_valid_vector(v: Column | str, dim: int) -> Column:
-    """True for a vector of the right length without NULL or NaN components."""
+    """True for a vector of the right length without NULL, NaN or infinite components."""
     v = _col(v)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & (F.size(v) == dim) & ~bad
 
 

@@ -11,13 +11,20 @@ _TIES = 64  # candidates per wanted hit that suggest copies in the block
 _UNIT = 2.0**-24  # float32 unit roundoff
 
 
+def _power_of_two(largest: np.ndarray) -> np.ndarray:
+    """Power of two near ``largest``; dividing by it is exact and leaves values of at most 1. 1 for zero."""
+    return np.where(largest > 0, np.exp2(np.ceil(np.log2(np.where(largest > 0, largest, 1.0))).clip(-1000, 1000)), 1.0)
+
+
 class QueryBlock:
-    """Query vectors with their float32 copy and norms, prepared once per task."""
+    """Query vectors with a float32 copy, scaled row by row, and its norms, prepared once per task."""
 
     def __init__(self, vectors: np.ndarray):
         self.f64 = np.ascontiguousarray(vectors, dtype=np.float64)
-        self.f32 = self.f64.astype(np.float32)
-        self.norm = np.sqrt((self.f64**2).sum(axis=1))
+        self.scale = _power_of_two(np.abs(self.f64).max(axis=1, initial=0.0))
+        unit = self.f64 / self.scale[:, None]
+        self.f32 = unit.astype(np.float32)
+        self.norm = np.sqrt((unit**2).sum(axis=1))
 
     def __len__(self) -> int:
         return len(self.f64)
@@ -26,7 +33,7 @@ class QueryBlock:
         if rows is None:
             return self
         part = object.__new__(QueryBlock)
-        part.f64, part.f32, part.norm = self.f64[rows], self.f32[rows], self.norm[rows]
+        part.f64, part.f32, part.norm, part.scale = self.f64[rows], self.f32[rows], self.norm[rows], self.scale[rows]
         return part
 
 
@@ -61,9 +68,10 @@ def _distinct_enough(items: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def block_topk(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
     """Best ``k`` items per query by inner product, ties to the lower id.
 
-    A float32 product finds the candidates: every item whose score can reach the k-th best
-    once the rounding error bound is allowed for. Those are scored again in DOUBLE. ``floor``
-    is a score per query below which items are of no interest (the k-th best so far).
+    A float32 product of both sides, scaled to components of at most 1, finds the candidates: every item
+    whose score can reach the k-th best once the rounding error bound is allowed for. Those are scored
+    again in DOUBLE. ``floor`` is a score per query below which items are of no interest (the k-th best so
+    far). Vectors so large that their product leaves DOUBLE are refused.
     Returns ``(scores, ids)`` of shape (queries, k), padded with -inf / NO_ID.
     """
     nq, n, dim = len(queries), len(ids), items.shape[1]
@@ -71,16 +79,23 @@ def block_topk(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int,
     found = np.full((nq, k), NO_ID, dtype=np.int64)
     if n == 0 or nq == 0:
         return scores, found
+    if dim != queries.f64.shape[1]:
+        raise ValueError("vectors of different length reached a kernel; filter invalid vectors first")
     items64 = np.ascontiguousarray(items, dtype=np.float64)
-    items32 = items64.astype(np.float32)
-    longest = np.sqrt((items64**2).sum(axis=1)).max()
+    largest = np.abs(items64).max(initial=0.0)
+    if largest * np.abs(queries.f64).max(initial=0.0) * dim > 1e300:
+        raise ValueError("inner products of these vectors leave the range of DOUBLE")
+    scale = float(_power_of_two(np.asarray(largest)))
+    unit = items64 / scale
+    items32 = unit.astype(np.float32)
+    longest = np.sqrt((unit**2).sum(axis=1)).max()
     kk = min(k, n)
     for a in range(0, nq, _QUERY_CHUNK):
         b = min(a + _QUERY_CHUNK, nq)
         approx = queries.f32[a:b] @ items32.T
         # input rounding of both sides plus the summation, for the k-th best and the item itself
         margin = (2.0 * (dim + 3) * _UNIT * longest) * queries.norm[a:b] + 1e-30
-        low = np.full(b - a, -np.inf) if floor is None else floor[a:b]
+        low = np.full(b - a, -np.inf) if floor is None else floor[a:b] / queries.scale[a:b] / scale
         at = None if floor is None else _at_least(approx, low - margin)
         if at is None or len(at) > 4 * kk * (b - a):
             if n > kk:

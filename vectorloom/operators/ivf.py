@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,16 @@ from vectorloom.functions.arrow import (
 )
 from vectorloom.functions.kernels import sq8_decode, sq8_encode
 from vectorloom.operators.kmeans import lloyd, spaced_start
-from vectorloom.operators.match import centroid_groups, decoding_ranges, nearest_centroid, nearest_in_batch, topk_join
+from vectorloom.operators.match import (
+    centroid_groups,
+    decoding_ranges,
+    missing_part,
+    nearest_centroid,
+    nearest_in_batch,
+    topk_join,
+)
 from vectorloom.operators.partition import train_sample, train_sizes
-from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, checkpointed, collect_within, vector_dim
+from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, checkpointed, collect_within, join_small, vector_dim
 
 _HELD_BYTES = 256 << 20
 POSTINGS_SCHEMA = "part_id int, list_id int, vec_id bigint, code binary"
@@ -68,18 +76,21 @@ def sq8_train(train: DataFrame) -> DataFrame:
     return merged.select("part_id", F.col("lo").alias("vmin"), width.alias("vdiff"))
 
 
-def ivf_train(partitioned: DataFrame, niter: int = 10, points_per_list: int | None = None, **options) -> IvfIndex:
+def ivf_train(partitioned: DataFrame, niter: int = 10, **options) -> IvfIndex:
     """Coarse centroids and code ranges of every part of ``partitioned(part_id, vec_id, embedding)``.
 
     All parts are trained by the same jobs. Lists per part: floor(sqrt(rows)); training rows: the
-    first tenth of the part, bounded by ``points_per_list`` if given.
+    first tenth of the part. They are kept by the executors while training goes on, and given up after it.
     """
-    sizes = checkpointed(train_sizes(partitioned, points_per_list))
+    sizes = checkpointed(train_sizes(partitioned))
     n_centroids = sizes.agg(F.sum("nlist").alias("n")).head().n
-    train = checkpointed(train_sample(partitioned.select("part_id", "vec_id", "embedding"), sizes))
-    counts = sizes.select("part_id", "nlist", F.col("n_train").alias("n"))
-    coarse = lloyd(train, spaced_start(train, counts), niter, n_centroids=n_centroids, **options)
-    return IvfIndex(coarse=coarse, sq=checkpointed(sq8_train(train)))
+    train = train_sample(partitioned.select("part_id", "vec_id", "embedding"), sizes).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = sizes.select("part_id", "nlist", F.col("n_train").alias("n"))
+        coarse = lloyd(train, spaced_start(train, counts), niter, n_centroids=n_centroids, **options)
+        return IvfIndex(coarse=coarse, sq=checkpointed(sq8_train(train)))
+    finally:
+        train.unpersist()
 
 
 # --- filling ----------------------------------------------------------------------------------
@@ -115,7 +126,8 @@ def _map_codes(rows, sq, source, target, target_type, convert, limit_bytes) -> D
     ranges = decoding_ranges(sq, limit_bytes, vector_dim(sq, "vmin"))
     payload = None
     if ranges is False:
-        rows = rows.join(sq.select("part_id", "vmin", "vdiff"), "part_id").select(*kept, source, "vmin", "vdiff")
+        ranges = sq.select("part_id", "vmin", "vdiff")
+        rows = join_small(rows, ranges, ["part_id"], source, "left", max_rows=0).select(*kept, source, "vmin", "vdiff")
     else:
         payload = rows.sparkSession.sparkContext.broadcast(ranges)
 
@@ -124,11 +136,12 @@ def _map_codes(rows, sq, source, target, target_type, convert, limit_bytes) -> D
             for (part_id,), at in key_groups([int_column(batch, "part_id")], batch.num_rows):
                 part = batch.take(pa.array(at))
                 if payload is None:
-                    own = [_cell(part, c)[0].values.to_numpy(zero_copy_only=False) for c in ("vmin", "vdiff")]
-                elif part_id not in payload.value:
-                    continue
+                    own = [_cell(part, c)[0].values for c in ("vmin", "vdiff")]
+                    own = None if None in own else [x.to_numpy(zero_copy_only=False) for x in own]
                 else:
-                    own = payload.value[part_id]
+                    own = payload.value.get(part_id)
+                if own is None:
+                    raise missing_part(part_id, "code range")
                 made = convert(_cell(part, source), own)
                 yield pa.RecordBatch.from_arrays([*[_cell(part, c) for c in kept], made], [*kept, target])
 
@@ -144,19 +157,14 @@ def _frozen(index: IvfIndex, limit_bytes: int):
     return None if ranges is False else (centroid_groups(table, ["part_id"], "ip", dim), ranges)
 
 
-def fits_broadcast(index: IvfIndex, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """Whether appending to the index is a narrow pass."""
-    bytes_per_row = 8 * vector_dim(index.coarse, "centroid")
-    return index.coarse.count() * bytes_per_row <= limit_bytes and index.sq.count() * 2 * bytes_per_row <= limit_bytes
-
-
 def index_append(
     index: IvfIndex, partitioned: DataFrame, *, limit_bytes: int = BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
     """Postings of new rows under a trained index: assign and encode, centroids stay frozen.
 
     With centroids and ranges within the limit both steps are one narrow, stateless pass; beyond it
-    the rows are joined with the centroids of their part.
+    the rows are joined with the centroids of their part. A row of a part that the index doesn't know is an
+    error in either form.
     """
     frozen = _frozen(index, limit_bytes)
     if frozen is None:
@@ -173,8 +181,8 @@ def index_append(
             lists = nearest_in_batch(batch, groups, ["part_id"], "ip")
             matrix = list_matrix(_cell(batch, "embedding"))
             for (part,), rows in key_groups([int_column(batch, "part_id")], len(matrix)):
-                if (part,) not in groups:
-                    continue
+                if part not in ranges:
+                    raise missing_part(part, "code range")
                 codes = sq8_encode(matrix[rows], *ranges[part])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -228,9 +236,9 @@ def unpack_postings(blocks: DataFrame) -> DataFrame:
     return rows.select("part_id", "list_id", "vec_id", code.alias("code"))
 
 
-def build_index(partitioned: DataFrame, niter: int = 10, points_per_list: int | None = None, **options) -> IvfIndex:
+def build_index(partitioned: DataFrame, niter: int = 10, **options) -> IvfIndex:
     """Train on, and fill with, all parts of a corpus."""
-    trained = ivf_train(partitioned, niter, points_per_list, **options)
+    trained = ivf_train(partitioned, niter, **options)
     return IvfIndex(trained.coarse, trained.sq, pack_postings(index_append(trained, partitioned, **options)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,12 @@ def _assigned_sums(vectors: DataFrame, table: pa.Table, dim: int) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             best = nearest_in_batch(batch, payload.value, ["part_id"], "l2")
-            rows = pa.array(np.flatnonzero(best >= 0))
-            vectors = list_matrix(batch.column(batch.schema.get_field_index("embedding")).take(rows))
+            vectors = list_matrix(batch.column(batch.schema.get_field_index("embedding")))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(batch.schema.get_field_index("part_id")).take(rows),
-                    pa.array(best[best >= 0], pa.int32()),
-                    pa.array(np.ones(len(rows), np.int64)),
+                    batch.column(batch.schema.get_field_index("part_id")),
+                    pa.array(best, pa.int32()),
+                    pa.array(np.ones(len(best), np.int64)),
                     matrix_list(vectors, pa.float64()),
                 ],
                 ["part_id", "list_id", "n", "sums"],
@@ -131,26 +131,23 @@ def spaced_start(placed: DataFrame, counts: DataFrame) -> DataFrame:
     return wanted.join(placed.select("part_id", "pos", doubles.alias("centroid")), ["part_id", "pos"]).drop("pos")
 
 
-def kmeans_fit(
-    corpus: DataFrame, k: int, niter: int = 20, points_per_centroid: int | None = None, **options
-) -> DataFrame:
+def kmeans_fit(corpus: DataFrame, k: int, niter: int = 20, **options) -> DataFrame:
     """``(cluster_id, centroid)`` from ``niter`` Lloyd steps over evenly spaced start vectors.
 
-    Every step reads all rows. ``points_per_centroid`` trains on a hash sample of about that many rows
-    per centroid instead (the assignment afterwards still covers the whole corpus); the sample is
-    written once, so the steps do not scan the corpus again.
+    Every step reads all rows; the executors keep them, in memory or on disk, until the fit is done.
     """
-    vectors = corpus.select(F.lit(0).alias("part_id"), "vec_id", "embedding")
+    vectors = corpus.select(F.lit(0).alias("part_id"), "vec_id", "embedding").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(vectors, k, niter, **options)
+    finally:
+        vectors.unpersist()
+
+
+def _fit(vectors: DataFrame, k: int, niter: int, **options) -> DataFrame:
     n = vectors.count()
     if n < k:
         raise ValueError(f"{k} clusters need at least {k} vectors, got {n}")
-    if points_per_centroid is not None and n > k * points_per_centroid:
-        keep = n // (k * max(1, points_per_centroid))
-        sample = checkpointed(vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(keep)) == 0))
-        n_sample = sample.count()
-        if n_sample >= k:
-            vectors, n = sample, n_sample
-    counts = corpus.sparkSession.range(1).select(
+    counts = vectors.sparkSession.range(1).select(
         F.lit(0).alias("part_id"), F.lit(k).alias("nlist"), F.lit(n).cast("bigint").alias("n")
     )
     start = spaced_start(with_positions(vectors, "vec_id"), counts)

@@ -15,6 +15,7 @@ Every search and every assignment is one of these two functions. Three physical
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from vectorloom.functions.kernels import (
     sq8_decode,
     with_constant,
 )
-from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, collect_within, vector_dim
+from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, collect_within, join_small, table_shape, vector_dim
 
 _PACK_ROWS = 4096  # rows per packed block
 _STRIPE_PACKS = 16  # item blocks of one key that share one copy of the query blocks
@@ -74,6 +75,17 @@ def _decoded(stored: np.ndarray, params) -> np.ndarray:
     return stored if params is None else sq8_decode(stored, *params)
 
 
+def missing_part(part, what: str) -> ValueError:
+    """A row of a part the index doesn't know: an error in every physical form, never a lost row."""
+    return ValueError(f"part {part} has no {what} in this index; train it, or leave its rows out")
+
+
+def _range_of(params: dict, part: int):
+    if part not in params:
+        raise missing_part(part, "code range")
+    return params[part]
+
+
 def _topk_over(queries: QueryBlock, items: np.ndarray, ids: np.ndarray, k: int, floor=None):
     """:func:`block_topk` over item chunks of bounded size."""
     best = block_topk(queries, items[:_ITEM_CHUNK], ids[:_ITEM_CHUNK], k, floor)
@@ -167,15 +179,15 @@ def topk_join(
     Returns ``(qid, *per, item_id, score, rk)``.
     """
     on, per = list(on), list(per)
-    dim = vector_dim(queries, "qv")
+    n_queries, dim = table_shape(queries, "qv")
     max_rows = limit_bytes // max(1, 8 * dim)
     if strategy == "auto":
         # coded items and probed keys have no broadcast form of the item side
         sides = ["queries"] if sq is not None or probes is not None else ["queries", "items"]
         if prefer == "items":
             sides.reverse()
-        tables = {"queries": queries, "items": items}
-        strategy = next((side for side in sides if tables[side].count() <= max_rows), "packed")
+        rows = {"queries": lambda: n_queries, "items": items.count}
+        strategy = next((side for side in sides if rows[side]() <= max_rows), "packed")
     if strategy == "items":
         return _items_broadcast(queries, items, k, on, per, dim)
     if strategy == "queries":
@@ -185,8 +197,14 @@ def topk_join(
             cap = limit_bytes // (8 * (1 + len(on)))
             pairs = probes.select("qid", *on).limit(cap + 1).toArrow()
         if params is not False and (pairs is None or pairs.num_rows <= cap):
-            hits = _queries_broadcast(queries, items, k, on, per, pairs, params, dim)
-            return best_per(hits, k, ["qid", *per])
+            # a part of the queries whose running top-k fits a task's state, and a pass over the items for each
+            shares = max(1, -(-n_queries * k // _STATE_ROWS))
+            own = queries if shares == 1 else queries.withColumn("_share", F.pmod(F.xxhash64("qid"), F.lit(shares)))
+            hits = [
+                _queries_broadcast(own if shares == 1 else own.where(F.col("_share") == n), items, k, on, per, pairs, params, dim)
+                for n in range(shares)
+            ]
+            return best_per(reduce(DataFrame.unionByName, hits), k, ["qid", *per])
     hits = _packed(queries, items, k, on, per, probes, sq)
     return best_per(hits, k, ["qid", *per])
 
@@ -246,21 +264,21 @@ def _queries_broadcast(queries, items, k, on, per, pairs, params, dim) -> DataFr
                         continue
                     if len(asking) == len(qids):
                         asking = None
-                vectors = _decoded(stored, None if params is None else params[key[part_at]])
+                vectors = _decoded(stored, None if params is None else _range_of(params, key[part_at]))
                 group = tuple(at[c] for c in per)
                 # one key per group: keep state for the queries of that key only
                 members = asking if one_key else None
                 if group not in state:
                     size = len(qids) if members is None else len(members)
+                    if held + size * k > _STATE_ROWS:  # other groups are done with, or come back for the next merge
+                        yield from drain()
+                        held = 0
                     state[group] = (members, np.full((size, k), -np.inf), np.full((size, k), NO_ID, np.int64))
                     held += size * k
                 _, scores, found = state[group]
                 take = slice(None) if asking is None or one_key else asking
                 got = _topk_over(block.take(asking), vectors, ids, k, floor=scores[take, -1])
                 scores[take], found[take] = merge_topk(scores[take], found[take], *got)
-            if held > _STATE_ROWS:
-                yield from drain()
-                held = 0
         yield from drain()
 
     return items.select(*columns, *_item_columns(items)).mapInArrow(scan, _hit_schema(per))
@@ -340,9 +358,11 @@ def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
         left, right, types = _striped_blocks(queries, items, per)
     decode = []
     if sq is not None:
-        right, decode = right.join(sq.select("part_id", "vmin", "vdiff"), "part_id"), ["vmin", "vdiff"]
+        ids = "item_ids" if "item_ids" in right.columns else "item_pack"
+        right, decode = join_small(right, sq.select("part_id", "vmin", "vdiff"), ["part_id"], ids, "left"), ["vmin", "vdiff"]
     sides = [c for c in ("query_pack", "item_pack", "qids", "qvecs", "item_ids", "codes") if c in [*left.columns, *right.columns]]
-    pairs = left.join(right, [*on, "stripe"]).select(*per, *sides, *decode)
+    known = [c for c in ("part_id",) if decode and c not in per]
+    pairs = left.join(right, [*on, "stripe"]).select(*per, *sides, *decode, *known)
 
     def side(cell, pack, ids, values, dtype):
         if pack in cell:
@@ -365,6 +385,8 @@ def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
                 cell = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
                 qids, vectors = side(cell, "query_pack", "qids", "qvecs", types[0])
                 ids, stored = side(cell, "item_pack", "item_ids", "codes", types[1])
+                if decode and cell["vmin"].values is None:
+                    raise missing_part(cell["part_id"].as_py(), "code range")
                 params = tuple(cell[c].values.to_numpy(zero_copy_only=False) for c in decode) or None
                 key = (tuple(cell[c].as_py() for c in per), qids.tobytes())
                 old = state.get(key)
@@ -388,7 +410,7 @@ def _keyed_blocks(queries, items, on, per, probes):
     keyed = queries if probes is None else probes.select("qid", *on).join(queries.select("qid", "qv"), "qid")
     blocks = "item_ids" in items.columns
     sizes = _sizes(items, on, 1 if blocks else _PACK_ROWS)
-    items = items.join(sizes, on)
+    items = join_small(items, sizes, on, "item_ids" if blocks else "item_id")
     if blocks:  # stored blocks are packs already
         right = items.withColumn("stripe", F.pmod(F.xxhash64("item_ids"), F.col("n_stripes")).cast("int"))
         right = right.drop("n_packs", "n_stripes")
@@ -398,14 +420,14 @@ def _keyed_blocks(queries, items, on, per, probes):
         right = salted.groupBy(*columns, "stripe", "salt").agg(
             F.collect_list(F.struct("item_id", "vec")).alias("item_pack")
         )
-    keyed = keyed.join(_sizes(keyed, on, _PACK_ROWS).select(*on, "n_packs"), on)
+    keyed = join_small(keyed, _sizes(keyed, on, _PACK_ROWS).select(*on, "n_packs"), on, "qid")
     left = (
         keyed.withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("n_packs")).cast("int"))
         .groupBy(*on, "salt")
         .agg(F.collect_list(F.struct("qid", "qv")).alias("query_pack"))
-        .join(sizes.select(*on, "n_stripes"), on)
-        .withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("n_stripes") - 1)))
     )
+    left = join_small(left, sizes.select(*on, "n_stripes"), on, "salt")
+    left = left.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("n_stripes") - 1)))
     return left.drop("salt", "n_stripes"), right.drop("salt"), (None, np.uint8)
 
 
@@ -441,7 +463,8 @@ def nearest_centroid(
     """Add ``list_id``: the nearest centroid (``l2``) or the best product (``ip``), ties to the lower id.
 
     ``rows(id_col, embedding, *on, ...)``, ``centroids(*on, list_id, centroid)``. With centroids
-    within the limit this is a narrow map; beyond it the blocks of both sides are joined.
+    within the limit this is a narrow map; beyond it the blocks of both sides are joined. A row whose key
+    has no centroid is an error in either form.
     """
     on = list(on)
     dim = vector_dim(centroids, "centroid")
@@ -458,12 +481,10 @@ def nearest_centroid(
             if batch.num_rows == 0:
                 continue
             best = nearest_in_batch(batch, payload.value, on, metric)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(best, pa.int32(), mask=best < 0)], [*batch.schema.names, "list_id"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int32())], [*batch.schema.names, "list_id"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "list_id int"])
-    return rows.mapInArrow(assign, schema).where(F.col("list_id").isNotNull())
+    return rows.mapInArrow(assign, schema)
 
 
 def centroid_groups(table: pa.Table, on: Sequence[str], metric: str, dim: int) -> dict:
@@ -475,16 +496,16 @@ def centroid_groups(table: pa.Table, on: Sequence[str], metric: str, dim: int) -
 
 
 def nearest_in_batch(batch: pa.RecordBatch, groups: dict, on: Sequence[str], metric: str) -> np.ndarray:
-    """Best list id per row of a batch; -1 where the row's key has no centroid."""
+    """Best list id per row of a batch; a key without centroid is an error."""
     vectors = list_matrix(batch.column(batch.schema.get_field_index("embedding")))
     if metric == "l2":
         vectors = with_constant(vectors)
-    best = np.full(len(vectors), -1, np.int64)
+    best = np.empty(len(vectors), np.int64)
     for key, at in key_groups([int_column(batch, c) for c in on], len(vectors)):
-        if key in groups:
-            ids, matrix = groups[key]
-            found = _topk_over(QueryBlock(vectors[at]), matrix, ids, 1)[1][:, 0]
-            best[at] = found
+        if key not in groups:
+            raise missing_part(key[0] if len(key) == 1 else key, "centroid")
+        ids, matrix = groups[key]
+        best[at] = _topk_over(QueryBlock(vectors[at]), matrix, ids, 1)[1][:, 0]
     return best
 
 
@@ -494,8 +515,12 @@ def _nearest_packed(rows, centroids, id_col, on, metric, dim) -> DataFrame:
         return F.concat(v, F.array(last)) if metric == "l2" else v
 
     squares = F.aggregate(F.transform("centroid", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    queries = rows.select(*on, F.col(id_col).alias("qid"), wide("embedding", F.lit(1.0)).alias("qv"))
+    # rows are numbered by what they hold, so repeated ids don't multiply
+    numbered = rows.withColumn("_row", F.xxhash64(F.col(id_col), *on, "embedding"))
+    queries = numbered.select(*on, F.col("_row").alias("qid"), wide("embedding", F.lit(1.0)).alias("qv"))
     items = centroids.select(*on, F.col("list_id").cast("bigint").alias("item_id"), wide("centroid", squares * -0.5).alias("vec"))
     best = best_per(_packed(queries, items, 1, on, [], None, None), 1, ["qid"])
-    found = best.select(F.col("qid").alias(id_col), F.col("item_id").cast("int").alias("list_id"))
-    return rows.join(found, id_col)
+    found = best.select(F.col("qid").alias("_row"), F.col("item_id").cast("int").alias("list_id"))
+    lost = F.raise_error(F.concat(F.lit("part has no centroid in this index; row "), F.col(id_col).cast("string")))
+    joined = numbered.join(found, "_row", "left").withColumn("list_id", F.coalesce("list_id", lost.cast("int")))
+    return joined.select(*rows.columns, "list_id")

@@ -31,9 +31,14 @@ def split_partition(corpus: DataFrame, num: int) -> DataFrame:
     )
 
 
-def local_to_global(hits: DataFrame, split_rows: int) -> DataFrame:
-    """Document id from a split number and the position inside the split."""
-    return hits.withColumn("global_id", F.col("part_id").cast("bigint") * split_rows + F.col("local_pos"))
+def local_to_global(hits: DataFrame, splits: DataFrame) -> DataFrame:
+    """Add ``global_id``: the document at a position inside a split, whatever gaps the ids have.
+
+    ``hits(part_id, local_pos, ...)``, ``splits(part_id, local_pos, vec_id, ...)`` from :func:`split_partition`. A position that
+    the split lacks has no document (NULL).
+    """
+    places = splits.select("part_id", "local_pos", F.col("vec_id").alias("global_id"))
+    return hits.join(places, ["part_id", "local_pos"], "left")
 
 
 def cluster_assign(corpus: DataFrame, centroids: DataFrame, **match) -> DataFrame:
@@ -58,18 +63,16 @@ def cluster_sizes(clustered: DataFrame, clusters: DataFrame | None = None) -> Da
     )
 
 
-def train_sizes(partitioned: DataFrame, points_per_list: int | None = None) -> DataFrame:
+def train_sizes(partitioned: DataFrame) -> DataFrame:
     """``(part_id, n_rows, nlist, n_train)``: floor(sqrt(n)) lists, trained on the first tenth.
 
     A tenth of a small part can be less than its number of lists; training then takes as many
-    rows as lists. ``points_per_list`` bounds the training rows of a large part.
+    rows as lists.
     """
     counts = partitioned.groupBy("part_id").agg(F.count(F.lit(1)).alias("n_rows"))
     nlist = F.floor(F.sqrt(F.col("n_rows"))).cast("int")
     tenth = F.floor(F.col("n_rows") / 10)
     n_train = F.least(F.col("n_rows"), F.greatest(nlist.cast("bigint"), tenth))
-    if points_per_list is not None:
-        n_train = F.least(n_train, nlist.cast("bigint") * max(1, points_per_list))
     return counts.withColumn("nlist", nlist).withColumn("n_train", n_train)
 
 

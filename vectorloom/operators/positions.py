@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET_ROWS = 200_000
-_MAX_BUCKETS = 1000  # keeps the quantile summaries and the count table small
+
+
+def _range_names(df: DataFrame, lo: int, hi: int):
+    """Sum of the hashes of lo..hi: equal to that of as many ids in this range only if none repeats."""
+    whole = df.sparkSession.range(lo, hi + 1)
+    return whole.agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("names")).head().names
 
 
 def with_positions(
@@ -20,26 +25,28 @@ def with_positions(
     limits: DataFrame | None = None,
     bucket_rows: int = _BUCKET_ROWS,
 ) -> DataFrame:
-    """Add ``pos``: 0, 1, 2 ... in order of the unique ``id_col``, counted within ``by``.
+    """Add ``pos``: 0, 1, 2 ... in order of ``id_col``, counted within ``by``; repeated ids get positions of their own.
 
     ``below`` keeps positions below a constant; ``limits(*by, n_keep)`` does so per group.
-    Ids without gaps need arithmetic only. Otherwise ids are cut into quantile buckets, the
-    offset of a bucket is a running sum over the small (group, bucket) count table, and only the
-    rows inside one bucket are sorted together, so a group holding most rows is spread out too.
-    Buckets that start behind the limit are dropped before they are sorted.
+    Ids without gaps or repetitions need arithmetic only. Otherwise ids are cut into quantile buckets, as
+    many as the rows need, the offset of a bucket is a running sum over the small (group, bucket) count
+    table, and only the rows inside one bucket are sorted together, so a group holding most rows is spread
+    out too. Buckets that start behind the limit are dropped before they are sorted.
     """
     by = list(by)
     if below is not None and limits is not None:
         raise ValueError("give either below or limits")
-    span = df.agg(F.count(id_col).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).head()
-    if not by and span.n and span.hi - span.lo + 1 == span.n:
+    names = F.sum(F.xxhash64(F.col(id_col).cast("bigint")).cast("decimal(38,0)"))
+    span = df.agg(F.count(id_col).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), names.alias("names")).head()
+    if not by and span.n and span.hi - span.lo + 1 == span.n and span.names == _range_names(df, span.lo, span.hi):
         if below is not None:
             df = df.where(F.col(id_col) < F.lit(span.lo + below))  # reaches the scan
         return df.withColumn("pos", F.col(id_col) - F.lit(span.lo))
 
-    n_buckets = min(_MAX_BUCKETS, -(-span.n // bucket_rows))
+    n_buckets = -(-span.n // bucket_rows)
     if n_buckets > 1:
-        cuts = df.approxQuantile(id_col, [i / n_buckets for i in range(1, n_buckets)], 0.1 / n_buckets)
+        # the cuts need not be exact, positions are; the summaries stay bounded
+        cuts = df.approxQuantile(id_col, [i / n_buckets for i in range(1, n_buckets)], max(0.1 / n_buckets, 1e-6))
         edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
         key = df.withColumn("_id", F.col(id_col).cast("double"))
         df = Bucketizer(splits=edges, inputCol="_id", outputCol="_bucket").transform(key).drop("_id")

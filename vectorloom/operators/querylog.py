@@ -54,39 +54,47 @@ def batch_cluster_load(batched: DataFrame, c: int) -> DataFrame:
     return asked.groupBy("batch", "cluster_id").agg(F.count(F.lit(1)).alias("load"))
 
 
-def ceiling_table(profile: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
-    """The profile with one row for every integer load up to its largest size.
+def ceiling_table(profile: DataFrame, loads: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
+    """The profile with one row for every integer load that occurs, up to its largest size.
 
     A load takes the cost of the smallest profiled size that is not below it. Spelling that out per
-    load turns the forward as-of look-up into a plain equi-join; the table has at most (largest
-    size) rows per key, whatever the length of the log.
+    load turns the forward as-of look-up into a plain equi-join. Loads end at the largest one in ``loads``, so the
+    table has at most that many rows per key, however large the profiled sizes are.
     """
+    most = loads.agg(F.coalesce(F.max("load"), F.lit(0)).cast("bigint")).scalar()
     w = Window.partitionBy(*keys).orderBy("size")
     previous = F.coalesce(F.lag("size").over(w), F.lit(0))
     stepped = profile.withColumn("_from", (previous + 1).cast("bigint"))
-    loads = F.explode(F.sequence(F.col("_from"), F.col("size").cast("bigint")))
-    return stepped.withColumn("load", loads).drop("_from")
+    stepped = stepped.withColumn("_to", F.least(F.col("size").cast("bigint"), most)).where(F.col("_from") <= F.col("_to"))
+    steps = F.explode(F.sequence("_from", "_to"))
+    return stepped.withColumn("load", steps).drop("_from", "_to")
 
 
 def ceiling_lookup(loads: DataFrame, profile: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
     """Add ``size`` and ``latency_s`` of the smallest profiled size >= load; NULL if there is none."""
-    table = ceiling_table(profile.select(*keys, "size", "latency_s"), keys)
+    table = ceiling_table(profile.select(*keys, "size", "latency_s"), loads, keys)
     return loads.join(table, [*keys, "load"], "left")
 
 
 def sampling_cost(profile: DataFrame, batch_size: int) -> DataFrame:
-    """One row: the largest profiled cost of a whole batch over all clusters."""
+    """One row ``(sampling_s)``: the largest profiled cost of a whole batch over all clusters; NULL if that size wasn't profiled."""
     return profile.where(F.col("size") == batch_size).agg(F.max("latency_s").alias("sampling_s"))
 
 
-def straggler_cost(costed: DataFrame, sampling_s: float = 0.0) -> DataFrame:
+def with_sampling(rows: DataFrame, sampling: DataFrame | None) -> DataFrame:
+    """Add ``sampling_s`` from the one row of :func:`sampling_cost`; 0 without a sampling step."""
+    cost = F.lit(0.0) if sampling is None else sampling.select(F.col("sampling_s").cast("double")).scalar()
+    return rows.withColumn("sampling_s", cost)
+
+
+def straggler_cost(costed: DataFrame, sampling: DataFrame | None = None) -> DataFrame:
     """``(batch, deep_s, batch_s)``: a batch waits for its slowest cluster, after the sampling step.
 
-    A batch with a load outside the profile has no known cost (NULL), it is not dropped.
+    A batch with a load outside the profile, or with a sampling step of unknown cost, has no known cost (NULL); it is not dropped.
     """
     known = F.count("latency_s") == F.count(F.lit(1))
     worst = costed.groupBy("batch").agg(F.when(known, F.max("latency_s")).alias("deep_s"))
-    return worst.withColumn("batch_s", F.col("deep_s") + F.lit(float(sampling_s)))
+    return with_sampling(worst, sampling).select("batch", "deep_s", (F.col("deep_s") + F.col("sampling_s")).alias("batch_s"))
 
 
 def fanout_loads(batched: DataFrame, max_fanout: int, by: Sequence[str] = ("batch",)) -> DataFrame:
@@ -109,13 +117,15 @@ def fanout_loads(batched: DataFrame, max_fanout: int, by: Sequence[str] = ("batc
     return long.select("f.c", *by, "cluster_id", "f.load").where(F.col("load") > 0)
 
 
-def cost_by_fanout(batched: DataFrame, profile: DataFrame, max_fanout: int, batch_size: int, sampling_s: float = 0.0) -> DataFrame:
-    """``(c, n_batches, mean_s, throughput_qps)``: mean batch cost and throughput per fan-out."""
+def cost_by_fanout(
+    batched: DataFrame, profile: DataFrame, max_fanout: int, batch_size: int, sampling: DataFrame | None = None
+) -> DataFrame:
+    """``(c, n_batches, mean_s, throughput_qps)``: mean batch cost and throughput per fan-out; NULL if the sampling step's cost is unknown."""
     costed = ceiling_lookup(fanout_loads(batched, max_fanout), profile)
     known = F.count("latency_s") == F.count(F.lit(1))
     worst = costed.groupBy("c", "batch").agg(F.when(known, F.max("latency_s")).alias("deep_s"))
-    means = worst.groupBy("c").agg(
-        F.count("deep_s").alias("n_batches"), F.avg(F.col("deep_s") + F.lit(float(sampling_s))).alias("mean_s")
+    means = with_sampling(worst, sampling).groupBy("c").agg(
+        F.count("deep_s").alias("n_batches"), F.avg(F.col("deep_s") + F.col("sampling_s")).alias("mean_s")
     )
     return means.withColumn("throughput_qps", F.try_divide(F.lit(float(batch_size)), F.col("mean_s")))
 
@@ -143,7 +153,7 @@ def cost_sweep(
     # the number of clusters a batch waits for, next to each of its loads; a batch is a small group
     loads = loads.withColumn("n_loads", F.count(F.lit(1)).over(Window.partitionBy("c", "batch_size", "batch")))
     deep = profile.where(F.col("nprobe").isin(list(deep_nprobe)))
-    table = ceiling_table(deep.select("cluster_id", *setting, "size", "latency_s"), ("cluster_id", *setting))
+    table = ceiling_table(deep.select("cluster_id", *setting, "size", "latency_s"), loads, ("cluster_id", *setting))
     costed = loads.join(table.select("cluster_id", "load", *setting, "latency_s"), ["cluster_id", "load"])
     worst = costed.groupBy("c", "batch_size", "batch", *setting).agg(
         F.when(F.count(F.lit(1)) == F.max("n_loads"), F.max("latency_s")).alias("deep_s")
@@ -189,11 +199,12 @@ def cheapest_under_deadline(
     priced = profile.join(power, "frequency_mhz")
     setting = F.struct("frequency_mhz", "latency_s", "busy_watts", "idle_watts")
     options = (
-        ceiling_table(priced, ("cluster_id", "frequency_mhz"))
+        ceiling_table(priced, loads, ("cluster_id", "frequency_mhz"))
         .groupBy("cluster_id", "load")
         .agg(F.sort_array(F.collect_list(setting)).alias("options"))
     )
-    top = power.agg(F.max("frequency_mhz").alias("top")).head().top
+    # the top clock is the largest that was measured and has a power
+    top = priced.agg(F.max("frequency_mhz").alias("top")).head().top
     matched = loads.join(options, ["cluster_id", "load"], "left")
     matched = matched.withColumn("base", F.get(F.filter("options", lambda o: o["frequency_mhz"] == F.lit(top)), 0))
     # a batch is a small group (at most its queries times the fan-out), so its maximum is a window

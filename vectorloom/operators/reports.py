@@ -42,7 +42,7 @@ def normalise_to_baseline(
 def trimmed_mean(log: DataFrame, keys: Sequence[str], value: str, id_col: str, trim: int = 2) -> DataFrame:
     """``(keys, n_rows, n_used, trimmed_mean)``: the mean without the ``trim`` lowest and highest values.
 
-    Groups of at most ``2 * trim`` rows are averaged whole. The extremes are found by limited
+    Groups of at most ``2 * trim`` rows are averaged whole, and a NULL key is a group like any other. The extremes are found by limited
     windows (a few rows per task and group reach the shuffle) and anti-joined; the mean itself is an
     ordinary partial aggregation, so a group with most of the log is no single task's work.
     """
@@ -58,10 +58,16 @@ def trimmed_mean(log: DataFrame, keys: Sequence[str], value: str, id_col: str, t
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     cut = extreme(F.asc).unionByName(extreme(F.desc))
     large = sizes.where(F.col("n_rows") > 2 * trim).select(*keys)
-    cut = cut.join(large, keys, "left_semi")
-    kept = rows.join(cut, [*keys, id_col], "left_anti")
+    cut = cut.join(large.toDF(*[f"_{k}" for k in keys]), _same(keys), "left_semi").toDF(*[f"_{k}" for k in [*keys, id_col]])
+    kept = rows.join(cut, _same([*keys, id_col]), "left_anti")
     means = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_used"), F.avg(value).alias("trimmed_mean"))
-    return sizes.join(means, keys)
+    named = means.toDF(*[f"_{k}" for k in keys], "n_used", "trimmed_mean")
+    return sizes.join(named, _same(keys)).drop(*[f"_{k}" for k in keys])
+
+
+def _same(keys: Sequence[str]):
+    """Null-safe equality of columns with those of the same names after an underscore."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
 
 
 def distinct_levels(runs: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectorloom.functions.expressions import is_valid_vector
 from vectorloom.operators.ivf import IvfIndex, probe_lists, search_probed
 from vectorloom.operators.match import best_per, topk_join
-from vectorloom.operators.sizing import checkpointed
+from vectorloom.operators.positions import with_positions
+from vectorloom.operators.sizing import checkpointed, vector_dim
 
 
 def _items(corpus: DataFrame, *keep: str) -> DataFrame:
     return corpus.select(*keep, F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
 
 
-def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, **match) -> DataFrame:
-    """``(qid, vec_id, score, rk)``: exact top ``k`` by inner product."""
+def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, skip_invalid: bool = False, **match) -> DataFrame:
+    """``(qid, vec_id, score, rk)``: exact top ``k`` by inner product.
+
+    A NULL, ragged, NaN or infinite vector is an error. With ``skip_invalid`` such corpus vectors, and queries, take no part, where the
+    right length is that of the first query; ``sources.tables.vector_validate`` reports how many there are.
+    """
+    if skip_invalid:
+        dim = vector_dim(queries, "qv")
+        queries, corpus = queries.where(is_valid_vector("qv", dim)), corpus.where(is_valid_vector("embedding", dim))
     return topk_join(queries, _items(corpus), k, **match).withColumnRenamed("item_id", "vec_id")
 
 
@@ -116,11 +125,9 @@ def exact_routed_search(
 
 
 def batched_search(queries: DataFrame, corpus: DataFrame, k: int, batch: int, **match) -> DataFrame:
-    """Exact search with the batch number ``qblock`` of every query.
+    """Exact search with the batch number ``qblock`` of every query: runs of ``batch`` queries in id order, whatever gaps the ids have.
 
-    Batches are blocks of queries that meet blocks of the corpus; the batch size of the
-    execution is the block size of the match, ``qblock`` names the caller's batch.
+    All batches go through one search; its physical blocks are chosen by size.
     """
-    match.setdefault("strategy", "packed")
-    hits = exact_topk(queries, corpus, k, **match)
-    return hits.withColumn("qblock", F.floor(F.col("qid") / batch).cast("bigint"))
+    placed = with_positions(queries.select("qid"), "qid").select("qid", F.floor(F.col("pos") / batch).cast("bigint").alias("qblock"))
+    return exact_topk(queries, corpus, k, **match).join(placed, "qid")

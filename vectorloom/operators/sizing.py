@@ -19,6 +19,26 @@ def vector_dim(df: DataFrame, column: str) -> int:
     return row.n if row else 0
 
 
+def table_shape(df: DataFrame, column: str) -> tuple[int, int]:
+    """Rows, and length of the vectors in ``column`` (0 for an empty table), in one job."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("dim")).head()
+    return row.n, max(0, row.dim or 0)
+
+
+# Rows of a table of counts or ranges that is broadcast; beyond, the join is salted.
+SMALL_ROWS = 200_000
+_SALTS = 16
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], salt_by: str, how: str = "inner", max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Join a table with one row per key: broadcast if it is measured small, else salted, so that no key's rows meet in one task."""
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    keyed = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(_SALTS)).cast("int"))
+    return keyed.join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def collect_within(df: DataFrame, max_rows: int, rows: int | None = None) -> pa.Table | None:
     """The whole table on the driver if it has at most ``max_rows`` rows, else None.
 

@@ -19,7 +19,7 @@ from vectorloom.streaming.append import stream_index_append as append_stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-_BATCH = 64
+_BATCH = 50  # queries in a batch, for the sampling step and the deep searches alike
 
 
 def _register(fn: Query) -> Query:
@@ -56,6 +56,11 @@ def vector_validate(spark, sf_dir):
     return tables.vector_validate(fx.corpus(spark, sf_dir), 64)
 
 
+@_register
+def vector_validate_dirty(spark, sf_dir):
+    return tables.vector_validate(fx.dirty_corpus(spark, sf_dir), 64)
+
+
 @_register
 def corpus_prefix(spark, sf_dir):
     prefix = tables.corpus_prefix(fx.corpus(spark, sf_dir), 250)
@@ -78,6 +83,11 @@ def _line_runs(spark, sf_dir):
     )
 
 
+def _levels(df: DataFrame, column: str) -> list:
+    """The values of a categorical column, in order, null last."""
+    return [r[0] for r in df.select(column).distinct().orderBy(F.col(column).asc_nulls_last()).collect()]
+
+
 _RUN_SCHEMA = "l_linestatus string, c int, n bigint, mean_price double"
 
 
@@ -97,9 +107,9 @@ def multi_csv_labelled(spark, sf_dir):
     base = shared_path(spark, "labelled")
     written = _line_runs(spark, sf_dir).persist()
     paths = []
-    for flag in ("A", "N", "R"):
+    for flag in _levels(written, "l_returnflag"):
         paths.append(f"{base}/run_{flag}.csv")
-        runs.result_sink(written.where(F.col("l_returnflag") == flag).drop("l_returnflag"), paths[-1])
+        runs.result_sink(written.where(F.col("l_returnflag").eqNullSafe(F.lit(flag))).drop("l_returnflag"), paths[-1])
     written.unpersist()
     return runs.multi_csv_labelled(spark, paths, StructType.fromDDL(_RUN_SCHEMA), ["l_linestatus", "c"])
 
@@ -140,8 +150,14 @@ def index_read(spark, sf_dir):
 def synthetic_vectors(spark, sf_dir):
     corpus = fx.corpus(spark, sf_dir)
     made = tables.synthetic_vectors(corpus.select("vec_id"), vector_dim(corpus, "embedding"), seed=7)
-    flat = made.select("vec_id", F.size("embedding").alias("dim"), F.explode("embedding").alias("x"))
-    return flat.groupBy("vec_id", "dim").agg(((F.min("x") >= -1) & (F.max("x") < 1)).alias("in_range"))
+    ends = [F.element_at("embedding", i).cast("double") for i in (1, -1)]
+    return made.select(
+        "vec_id",
+        F.size("embedding").alias("dim"),
+        rounded(vector_sum("embedding")).alias("total"),
+        rounded(ends[0]).alias("first"),
+        rounded(ends[1]).alias("last"),
+    )
 
 
 # --- partitions and clusters ------------------------------------------------------------------
@@ -231,15 +247,34 @@ def index_append(spark, sf_dir):
     return _postings(ivf.index_append(index, fx.partitioned(spark, sf_dir, "label")))
 
 
+def _partly_filled(spark, sf_dir, name, kept):
+    """A stored index that lacks the vectors outside ``kept``; returns its path."""
+    index = fx.stored_index(spark, sf_dir, "label")
+    path = shared_path(spark, name)
+    blocks = ivf.pack_postings(index.postings.where(kept))
+    index_store.index_write(ivf.IvfIndex(index.coarse, index.sq, blocks), path)
+    return path
+
+
+@_register
+def index_extend(spark, sf_dir):
+    """An index written with half of its vectors; the others come in two additions, one of them repeated."""
+    path = _partly_filled(spark, sf_dir, "extended", F.col("vec_id") % 2 == 0)
+    rows = fx.partitioned(spark, sf_dir, "label")
+    index_store.index_extend(spark, path, rows.where("vec_id % 4 = 1"), "first")
+    index_store.index_extend(spark, path, rows.where("vec_id % 4 = 3"))
+    index_store.index_extend(spark, path, rows.where("vec_id % 4 = 1"), "first")
+    return _postings(index_store.index_read(spark, path).postings)
+
+
 @_register
 def stream_index_append(spark, sf_dir):
-    index = fx.stored_index(spark, sf_dir, "label")
     schema = fx.table(spark, sf_dir, "embeddings").schema
     arrivals = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
-    path = shared_path(spark, "stream")
-    rows = arrivals.select(F.col("label").alias("part_id"), "vec_id", "embedding")
-    append_stream(rows, index, path, f"{path}-checkpoint").awaitTermination()
-    return _postings(ivf.unpack_postings(index_store.read_blocks(spark, path)))
+    path = _partly_filled(spark, sf_dir, "stream", F.col("vec_id") % 3 == 0)
+    rows = arrivals.where("vec_id % 3 > 0").select(F.col("label").alias("part_id"), "vec_id", "embedding")
+    append_stream(rows, path, f"{path}-checkpoint").awaitTermination()
+    return _postings(index_store.index_read(spark, path).postings)
 
 
 # --- search -------------------------------------------------------------------------------------
@@ -250,6 +285,13 @@ def exact_topk(spark, sf_dir):
     return _hits(search.exact_topk(fx.queries(spark, sf_dir), fx.corpus(spark, sf_dir), fx.K))
 
 
+@_register
+def exact_topk_dirty(spark, sf_dir):
+    """Search in a corpus a tenth of whose vectors can't be used."""
+    dirty = fx.dirty_corpus(spark, sf_dir)
+    return _hits(search.exact_topk(fx.queries(spark, sf_dir), dirty, fx.K, skip_invalid=True))
+
+
 @_register
 def probe_lists(spark, sf_dir):
     index = fx.stored_index(spark, sf_dir, "label")
@@ -284,8 +326,7 @@ def local_to_global_id(spark, sf_dir):
     splits = fx.splits(spark, sf_dir)
     hits = search.per_partition_topk(fx.queries(spark, sf_dir), splits, fx.K)
     placed = hits.join(splits.select("vec_id", "local_pos"), "vec_id")
-    split_rows = max(1, fx.corpus(spark, sf_dir).count() // fx.N_SPLITS)
-    return partition.local_to_global(placed, split_rows).select("qid", "part_id", "rk", "local_pos", "global_id")
+    return partition.local_to_global(placed.drop("vec_id"), splits).select("qid", "part_id", "rk", "local_pos", "global_id")
 
 
 @_register
@@ -397,19 +438,21 @@ def ndcg_at_k(spark, sf_dir):
 
 @_register
 def quality_by_config(spark, sf_dir):
-    """Mean quality of exact split and exact routed search for every fan-out."""
+    """Mean quality of one index over everything, exact split and exact routed search for every fan-out."""
     queries = fx.queries(spark, sf_dir)
     truth = search.exact_topk(queries, fx.corpus(spark, sf_dir), fx.K)
     split = search.per_partition_topk(queries, fx.splits(spark, sf_dir), fx.K)
     split = split.withColumn("c", F.explode(F.sequence(F.col("part_id") + 1, F.lit(fx.N_SPLITS))))
     routed = search.with_routes(search.per_partition_topk(queries, fx.labelled(spark, sf_dir), fx.K), fx.K)
     routed = routed.withColumn("c", F.explode(F.sequence(F.col("route_rk"), F.lit(fx.N_SPLITS))))
+    mono = ivf.ivf_topk(queries, fx.stored_index(spark, sf_dir, "monolithic"), fx.K, 8)
+    mono = mono.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(fx.N_SPLITS))))
     rows = None
-    for name, hits in (("split", split), ("routed", routed)):
+    for name, hits in (("monolithic", mono), ("split", split), ("routed", routed)):
         best = search.merge_topk_lists(hits.select("c", "qid", "vec_id", "score"), fx.K, ("c", "qid"))
         scored = quality.query_quality(best, truth, ["c"]).withColumn("strategy", F.lit(name))
         rows = scored if rows is None else rows.unionByName(scored)
-    table = quality.quality_by_config(rows, ["c"], ["split", "routed"])
+    table = quality.quality_by_config(rows, ["c"], ["monolithic", "split", "routed"])
     return table.select("c", *[rounded(name).alias(name) for name in table.columns if name != "c"])
 
 
@@ -462,7 +505,7 @@ def ceiling_lookup(spark, sf_dir):
 
 
 def _sampling(spark, sf_dir):
-    return querylog.sampling_cost(fx.supplier_profile(spark, sf_dir), 50).head().sampling_s
+    return querylog.sampling_cost(fx.supplier_profile(spark, sf_dir), _BATCH)
 
 
 @_register
@@ -540,7 +583,9 @@ def group_means(spark, sf_dir):
 def align_series(spark, sf_dir):
     lines = fx.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", fx.cents("l_extendedprice").alias("c"))
     daily = lines.groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(fx.whole_mean("c").cast("double").alias("mean_cents"))
-    series = {f"flag_{f.lower()}": daily.where(F.col("l_returnflag") == f) for f in ("A", "N", "R")}
+    series = {
+        f"flag_{str(f).lower()}": daily.where(F.col("l_returnflag").eqNullSafe(F.lit(f))) for f in _levels(daily, "l_returnflag")
+    }
     aligned = reports.align_series(series, "day", "mean_cents")
     return aligned.withColumn("day", F.col("day").cast("string"))
 

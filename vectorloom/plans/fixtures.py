@@ -46,6 +46,24 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).withColumnRenamed("label", "part_id")
 
 
+def dirty_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with a tenth of its vectors made unusable: missing, NaN, infinite, with a gap, too short."""
+    v, kind = F.col("embedding"), F.col("vec_id") % 50
+
+    def first(value):
+        return F.transform(v, lambda x, i: F.when(i == 0, F.lit(value).cast("float")).otherwise(x))
+
+    bad = (
+        F.when(kind == 3, F.lit(None))
+        .when(kind == 13, first(float("nan")))
+        .when(kind == 23, first(float("inf")))
+        .when(kind == 33, first(None))
+        .when(kind == 43, F.slice(v, 2, 63))
+        .otherwise(v)
+    )
+    return corpus(spark, sf_dir).withColumn("embedding", bad)
+
+
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_partition(corpus(spark, sf_dir).drop("label"), N_SPLITS)
 

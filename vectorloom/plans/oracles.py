@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 K, N_SPLITS, SAMPLE, DEEP, FAN = 5, 10, 2, 4, 3
-BATCH = 64
+BATCH = 50
 SLACK_S = 16.0
 
 
@@ -188,6 +188,7 @@ routes AS MATERIALIZED (
 
 _quality_by_config = _with(
     EMB, PLACED, _scored_pairs("placed", ", c.split_id, c.label"), _truth(),
+    _index("monolithic"), _probes("monolithic", 8), _probed("monolithic", "mono_probed"),
     f"""split_lists AS MATERIALIZED (SELECT * FROM (
       SELECT *, row_number() OVER (PARTITION BY qid, split_id ORDER BY score DESC, vec_id) AS prk FROM pairs) WHERE prk <= {K})""",
     f"""label_lists AS MATERIALIZED (SELECT * FROM (
@@ -205,14 +206,18 @@ _quality_by_config = _with(
       SELECT 'routed' AS strategy, c, qid, vec_id, row_number() OVER (
         PARTITION BY c, qid ORDER BY score DESC, vec_id) AS rk
       FROM label_lists JOIN label_routes USING (qid, label) JOIN fans ON c >= route_rk
-      QUALIFY rk <= {K})""",
+      QUALIFY rk <= {K}
+      UNION ALL
+      SELECT 'monolithic' AS strategy, c, qid, vec_id, rk FROM {_topk("mono_probed", K)}, fans)""",
     f"""scored AS MATERIALIZED (
       SELECT f.strategy, f.c, f.qid, count(t.vec_id) / {K}::DOUBLE AS recall,
              coalesce(sum(CASE WHEN t.vec_id IS NOT NULL THEN 1.0::DOUBLE / log2(f.rk + 1) END), 0)
                / (SELECT sum(1.0::DOUBLE / log2(r + 1)) FROM unnest(range(1, {K + 1})) u(r)) AS ndcg
       FROM found f LEFT JOIN truth t ON t.qid = f.qid AND t.vec_id = f.vec_id GROUP BY ALL)""",
 ) + f"""
-SELECT c, {_r("avg(recall) FILTER (strategy = 'split')")} AS split_recall,
+SELECT c, {_r("avg(recall) FILTER (strategy = 'monolithic')")} AS monolithic_recall,
+       {_r("avg(ndcg) FILTER (strategy = 'monolithic')")} AS monolithic_ndcg,
+       {_r("avg(recall) FILTER (strategy = 'split')")} AS split_recall,
        {_r("avg(ndcg) FILTER (strategy = 'split')")} AS split_ndcg,
        {_r("avg(recall) FILTER (strategy = 'routed')")} AS routed_recall,
        {_r("avg(ndcg) FILTER (strategy = 'routed')")} AS routed_ndcg
@@ -350,9 +355,9 @@ _cost_by_fanout = _with(
     LOOKED_UP,
     """worst AS MATERIALIZED (
       SELECT c, batch, CASE WHEN count(latency_s) = count(*) THEN max(latency_s) END AS deep_s FROM costed GROUP BY ALL)""",
-    """means AS MATERIALIZED (
+    f"""means AS MATERIALIZED (
       SELECT c, count(deep_s) AS n_batches,
-             avg(deep_s + (SELECT max(latency_s) FROM profile WHERE size = 50)) AS mean_s FROM worst GROUP BY c)""",
+             avg(deep_s + (SELECT max(latency_s) FROM profile WHERE size = {BATCH})) AS mean_s FROM worst GROUP BY c)""",
 ) + f"\nSELECT c, n_batches, {_r('mean_s')} AS mean_s, {_r(f'{BATCH}.0::DOUBLE / mean_s', 4)} AS throughput_qps FROM means"
 
 _cost_sweep = _with(
@@ -425,8 +430,12 @@ ORACLES: dict[str, str] = {
     "vector_validate": """
 SELECT count(*) AS n_rows, count(*) FILTER (len(embedding) = 64) AS n_valid,
        count(*) FILTER (embedding IS NULL) AS n_null, count(*) FILTER (len(embedding) <> 64) AS n_wrong_dim,
-       count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0) AS n_bad_component
+       count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS n_bad_component
 FROM embeddings""",
+    "vector_validate_dirty": """
+SELECT count(*) AS n_rows, count(*) FILTER (k NOT IN (3, 13, 23, 33, 43)) AS n_valid, count(*) FILTER (k = 3) AS n_null,
+       count(*) FILTER (k = 43) AS n_wrong_dim, count(*) FILTER (k IN (13, 23, 33)) AS n_bad_component
+FROM (SELECT vec_id % 50 AS k FROM embeddings)""",
     "corpus_prefix": _with(EMB) + f"""
 SELECT vec_id, label, {_r('list_sum(e)')} AS total FROM emb ORDER BY vec_id LIMIT 250""",
     "query_set": _with(EMB) + f"""
@@ -443,7 +452,10 @@ SELECT part_id, n_lists, n_rows, {_r('list_sum(vdiff)', 4)} AS total_range
 FROM (SELECT part_id, count(*) AS n_lists FROM label_coarse GROUP BY part_id)
 JOIN (SELECT part_id, count(*) AS n_rows FROM label_post GROUP BY part_id) USING (part_id)
 JOIN label_sq USING (part_id)""",
-    "synthetic_vectors": "SELECT vec_id, 64::INTEGER AS dim, true AS in_range FROM embeddings",
+    "synthetic_vectors": f"""
+SELECT vec_id, 64::INTEGER AS dim, {_r('list_sum(v::DOUBLE[])')} AS total, {_r('v[1]::DOUBLE')} AS first, {_r('v[64]::DOUBLE')} AS last
+FROM (SELECT vec_id, list_transform(range(64), lambda j:
+        (('0x' || substr(md5('7:' || vec_id || ':' || j), 1, 13))::BIGINT / 2251799813685248.0::DOUBLE - 1)::FLOAT) AS v FROM embeddings)""",
     "split_partition": _with(EMB, PLACED) + """
 SELECT vec_id, split_id AS part_id, pos - split_id * size AS local_pos FROM placed""",
     "kmeans_fit": _with(EMB, KMEANS) + f"""
@@ -466,8 +478,10 @@ SELECT part_id, (dim - 1)::INTEGER AS dim, {_r('lo')} AS vmin, {_r('width')} AS
     "sq8_decode": _with(*LABEL_INDEX) + f"""
 SELECT vec_id, {_r('list_sum(list_transform(e, lambda x, i: (x - decoded[i]) * (x - decoded[i])))')} AS squared_error FROM label_post""",
     "index_append": _with(*LABEL_INDEX) + f" SELECT part_id, list_id, vec_id, {_hex('code')} AS code FROM label_coded",
+    "index_extend": _with(*LABEL_INDEX) + f" SELECT part_id, list_id, vec_id, {_hex('code')} AS code FROM label_coded",
     "stream_index_append": _with(*LABEL_INDEX) + f" SELECT part_id, list_id, vec_id, {_hex('code')} AS code FROM label_coded",
     "exact_topk": _with(EMB, _scored_pairs()) + " " + _hits(_topk("pairs", K)),
+    "exact_topk_dirty": _with(EMB, "usable AS (SELECT * FROM emb WHERE vec_id % 10 <> 3)", _scored_pairs("usable")) + " " + _hits(_topk("pairs", K)),
     "probe_lists": _with(*LABEL_INDEX, _probes("label", DEEP)) + f"""
 SELECT qid, part_id, list_id, probe_rk, {_r('score')} AS score FROM label_probes""",
     "ivf_topk": _with(*APPROX) + " " + _hits("approx"),
@@ -502,7 +516,7 @@ routes AS MATERIALIZED (
 deep AS MATERIALIZED (
   SELECT l.* EXCLUDE (rk) FROM lists l JOIN routes r ON r.qid = l.qid AND r.part_id = l.part_id WHERE route_rk <= {FAN})""")
     + " " + _hits(_topk("deep", K)),
-    "batched_search": _with(EMB, _scored_pairs()) + " " + _hits(_topk("pairs", K), "qid // 32 AS qblock, "),
+    "batched_search": _with(EMB, _scored_pairs()) + " " + _hits(_topk("pairs", K), "(SELECT count(*) FROM emb e WHERE e.vec_id < qid) // 32 AS qblock, "),
     "ground_truth_overlap": _with(*APPROX, MARKED) + " SELECT qid, rk, vec_id, hit FROM marked",
     "recall_at_k": _with(*APPROX, MARKED) + f" SELECT qid, n_hits, n_true, {_r('recall')} AS recall FROM per_query",
     "dcg_at_k": _with(*APPROX, MARKED) + f" SELECT qid, {_r('dcg')} AS dcg FROM per_query",
@@ -525,7 +539,7 @@ WHERE ceil(pos / {BATCH}::DOUBLE) <= (SELECT max(pos) FROM numbered) // {BATCH}"
     "ceiling_lookup": _with(LOG, LOADS, PROFILE, LOOKED_UP) + " SELECT batch, cluster_id, load, size, latency_s FROM costed",
     "straggler_cost": _with(LOG, LOADS, PROFILE, LOOKED_UP) + f"""
 SELECT batch, {_r('deep_s')} AS deep_s,
-       {_r('deep_s + (SELECT max(latency_s) FROM profile WHERE size = 50)')} AS batch_s
+       {_r(f'deep_s + (SELECT max(latency_s) FROM profile WHERE size = {BATCH})')} AS batch_s
 FROM (SELECT batch, CASE WHEN count(latency_s) = count(*) THEN max(latency_s) END AS deep_s FROM costed GROUP BY batch)""",
     "cost_by_fanout": _cost_by_fanout,
     "cheapest_under_deadline": _with(LOG, LOADS, PRICED) + f"""

@@ -1,19 +1,33 @@
-"""Indexes as Parquet tables."""
+"""Indexes as Parquet tables.
+
+Below the path of an index lie ``coarse`` and ``sq``, written by training only, the blocks of the postings it was
+filled with in ``postings/part_id=...``, and what was added later in ``delta/batch=.../part_id=...``. One reader unions both.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.operators.ivf import IvfIndex, pack_postings
+from vectorloom.operators.ivf import IvfIndex, index_append, pack_postings
 from vectorloom.operators.sizing import checkpointed
 
+_BLOCKS = "list_id int, vec_ids array<bigint>, codes binary, part_id int"
+
 
 def index_write(index: IvfIndex, path: str, mode: str = "overwrite") -> None:
-    """Write ``coarse``, ``sq`` and the blocks of the postings below ``path``."""
+    """Write ``coarse``, ``sq`` and the blocks of the postings below ``path``; what was added to an older index there goes."""
+    if mode == "append":
+        raise ValueError("centroids and ranges are written by training only; add vectors with index_extend")
     index.coarse.write.mode(mode).parquet(f"{path}/coarse")
     index.sq.write.mode(mode).parquet(f"{path}/sq")
     write_postings(index.postings, f"{path}/postings", mode)
+    if mode == "overwrite":
+        spark = index.coarse.sparkSession
+        spark.createDataFrame([], f"batch string, {_BLOCKS}").write.mode(mode).partitionBy("batch", "part_id").parquet(f"{path}/delta")
 
 
 def write_postings(postings: DataFrame, path: str, mode: str) -> None:
@@ -30,10 +44,27 @@ def write_postings(postings: DataFrame, path: str, mode: str) -> None:
     blocks.sortWithinPartitions("part_id", "list_id").write.mode(mode).partitionBy("part_id").parquet(path)
 
 
+def index_extend(spark: SparkSession, path: str, arrivals: DataFrame, batch: str | None = None, **options) -> None:
+    """Add ``arrivals(part_id, vec_id, embedding)`` to the index stored at ``path``; its centroids and ranges stay as they are.
+
+    ``batch`` names the addition: writing one of the same name again replaces it, so that a repeated
+    micro-batch is stored once. Vectors of a part that the index doesn't know are an error.
+    """
+    postings = index_append(index_read(spark, path), arrivals, **options)
+    write_postings(postings, f"{path}/delta/batch={batch or uuid.uuid4().hex}", "overwrite")
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks written by :func:`index_write` or by a stream, below ``path``."""
-    blocks = spark.read.schema("list_id int, vec_ids array<bigint>, codes binary, part_id int").parquet(path)
-    return blocks.select("part_id", "list_id", "vec_ids", "codes")
+    """All blocks of the index stored at ``path``: those it was written with, and all additions."""
+    columns = ["part_id", "list_id", "vec_ids", "codes"]
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/postings").select(*columns)
+    try:
+        added = spark.read.schema(f"{_BLOCKS}, batch string").parquet(f"{path}/delta").select(*columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return blocks
+    return blocks.unionByName(added)
 
 
 def index_read(spark: SparkSession, path: str) -> IvfIndex:
@@ -41,7 +72,7 @@ def index_read(spark: SparkSession, path: str) -> IvfIndex:
     return IvfIndex(
         spark.read.schema("part_id int, list_id int, centroid array<double>").parquet(f"{path}/coarse"),
         spark.read.schema("part_id int, vmin array<double>, vdiff array<double>").parquet(f"{path}/sq"),
-        read_blocks(spark, f"{path}/postings"),
+        read_blocks(spark, path),
     )
 
 

@@ -60,12 +60,13 @@ def vector_validate(corpus: DataFrame, dim: int) -> DataFrame:
 def synthetic_vectors(ids: DataFrame, dim: int, seed: int = 0, id_col: str = "vec_id") -> DataFrame:
     """A uniform(-1, 1) vector for every id.
 
-    The components are a hash of (seed, id, dimension): a re-run task, or another partitioning,
+    A component is 52 bits of the MD5 of "seed:id:dimension": a re-run task, another partitioning or another engine
     produces the same vectors, and no two tasks share a random stream.
     """
     def component(j):
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), j), 11)
-        return (bits / F.lit(float(2**52)) - 1.0).cast("float")
+        name = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), j.cast("string"))
+        bits = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("bigint")
+        return (bits / F.lit(float(2**51)) - 1.0).cast("float")
 
     return ids.select(
         F.col(id_col).alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), component).alias("embedding")

@@ -1,37 +1,34 @@
-"""Vectors that keep arriving, added to a trained index."""
+"""Vectors that keep arriving, added to a stored index."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from vectorloom.operators.ivf import IvfIndex, fits_broadcast, index_append, pack_postings
 from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES
+from vectorloom.sources.index_store import index_extend
 
 
 def stream_index_append(
     arrivals: DataFrame,
-    index: IvfIndex,
     path: str,
     checkpoint: str,
     trigger: dict | None = None,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> StreamingQuery:
-    """Assign and encode ``arrivals(part_id, vec_id, embedding)`` with frozen centroids, append blocks to ``path``.
+    """Add ``arrivals(part_id, vec_id, embedding)`` to the index stored at ``path``, whose centroids stay frozen.
 
-    Each arrival is stored exactly once. While the centroids fit a broadcast, a micro-batch is the same
-    narrow pass as the batch append and the file sink keeps the record of what was written. Beyond that
-    a micro-batch is a batch append by joins, written to a folder of its own that a repeated batch
-    overwrites. ``trigger`` defaults to ``availableNow``.
+    Each arrival is stored exactly once: a micro-batch is a batch addition whose name comes from the stream's
+    checkpoint and the batch number, so a repeated one replaces itself, and streams with other checkpoints don't meet. The layout is the same
+    whatever the size of the index, also when it outgrows a broadcast between two runs. ``trigger`` defaults
+    to ``availableNow``.
     """
-    if fits_broadcast(index, limit_bytes):
-        blocks = pack_postings(index_append(index, arrivals, limit_bytes=limit_bytes))
-        writer = blocks.writeStream.format("parquet").partitionBy("part_id").option("path", path).outputMode("append")
-    else:
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-        def store(batch: DataFrame, batch_id: int) -> None:
-            blocks = pack_postings(index_append(index, batch, limit_bytes=limit_bytes))
-            blocks.write.mode("overwrite").partitionBy("part_id").parquet(f"{path}/batch_id={batch_id}")
+    def store(batch: DataFrame, batch_id: int) -> None:
+        index_extend(batch.sparkSession, path, batch, f"{stream}-{batch_id}", limit_bytes=limit_bytes)
 
-        writer = arrivals.writeStream.foreachBatch(store)
-    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    writer = arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
