@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from vectorloom.llm import words
 from vectorloom.operators.sizing import checkpointed
 
-#: Candidates and queries that meet in one group, and list entries read between two looks at the bounds.
-ITEM_BLOCK, QUERY_BLOCK, DEPTH = 4096, 1024, 256
+#: Candidates and queries that meet in one group, and queries whose bounds are computed at once.
+ITEM_BLOCK, QUERY_BLOCK, QUERIES_AT_ONCE = 4096, 1024, 256
+#: Shares of the lists that are read between two looks at the bounds.
+DEPTHS = (0.25, 0.5, 0.7, 0.85, 1.0)
 #: Scores beyond this need more than 64 bits and are an error.
 _LIMIT = float(1 << 62)
 
@@ -52,47 +54,58 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.least, self.most = (vectors.min(axis=0), vectors.max(axis=0)) if len(ids) else (vectors.sum(axis=0),) * 2
-
-    def top(self, query: np.ndarray, own: int, k: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores that hold the k best of this block other than ``own``, ties to smaller ids."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        weight = query[used].astype(float)
-        size = float(np.abs(weight) @ np.maximum(np.abs(self.least[used]), np.abs(self.most[used])).astype(float)) if n else 0.0
-        if size > _LIMIT:
+        self.values = vectors.astype(float)
+        self.least, self.most = self.values.min(axis=0), self.values.max(axis=0)
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of the k best of this block other than ``own``, ties to smaller ids.
+
+        All queries read the lists to the same depth, from the top where their weight is positive, from the bottom where it is negative. A
+        query is resolved as soon as few candidates have an upper bound that reaches its k-th best lower bound.
+        """
+        n, d = self.vectors.shape
+        size = np.abs(queries).astype(float) @ np.maximum(np.abs(self.least), np.abs(self.most))
+        if (size > _LIMIT).any():
             raise ValueError("an inner product of the quantised vectors may pass 64 bits")
-        slack = 0.0 if size < float(1 << 52) else size * 2.0**-40  # sums of smaller integers are exact in DOUBLE
+        # sums of integers below 2^53 are exact in DOUBLE
+        slack = np.where(size < float(1 << 52), 0.0, size * 2.0**-40)
+        weights = np.concatenate((np.maximum(queries, 0), np.minimum(queries, 0)), axis=1).astype(float)
         # least contribution of each list: what an unread entry is worth at worst
-        worst = np.where(weight > 0, self.least[used], self.most[used]) * weight
-        seen = np.zeros((n, len(used)))
-        partial = np.zeros(n)
-        touched = np.zeros(n, bool)
-        rivals = self.ids != own
-        left = np.flatnonzero(rivals)
-        for at in range(0, n if len(used) else 0, depth):
-            end = min(n, at + depth)
-            # the next entries of all lists, from the preferred end
-            rows = np.where(weight > 0, self.order[n - end : n - at][::-1][:, used], self.order[at:end][:, used])
-            gains = self.vectors[rows, used] * weight
-            partial += np.bincount(rows.ravel(), gains.ravel(), n)
-            seen[rows, np.arange(len(used))] = 1
-            touched[rows.ravel()] = True
-            frontier = gains[-1]
-            if len(left) <= k:
+        worst = np.concatenate((self.least, self.most))
+        read, unread = np.zeros((n, 2 * d)), np.ones((n, 2 * d))
+        out: list = [None] * len(queries)
+        waiting, done = np.arange(len(queries)), 0
+        for depth in depths:
+            upto = min(n, max(k, int(np.ceil(depth * n))))
+            columns = np.arange(d)
+            for rows, side in ((self.order[n - upto : n - done], columns + 0), (self.order[done:upto], columns + d)):
+                read[rows, side] = self.values[rows, columns]
+                unread[rows, side] = 0
+            done = upto
+            frontier = np.concatenate((self.values[self.order[n - upto], columns], self.values[self.order[upto - 1], columns]))
+            left = []
+            for at in range(0, len(waiting), QUERIES_AT_ONCE):
+                some = waiting[at : at + QUERIES_AT_ONCE]
+                w = weights[some].T
+                partial = read @ w
+                lower = partial + unread @ (w * worst[:, None])
+                lower[self.ids[:, None] == own[some]] = -np.inf
+                place = max(0, n - k)
+                floor = np.partition(lower, place, axis=0)[place] - 2 * slack[some]
+                upper = partial + unread @ (w * frontier[:, None])
+                rivals = upper >= floor
+                rivals &= lower > -np.inf
+                few = (rivals.sum(axis=0) <= max(4 * k, n // 32)) | (upto == n)
+                for column in np.flatnonzero(few):
+                    rows = np.flatnonzero(rivals[:, column])
+                    scores = self.vectors[rows] @ queries[some[column]]
+                    best = np.lexsort((self.ids[rows], -scores))[:k]
+                    out[some[column]] = self.ids[rows][best], scores[best]
+                left.append(some[~few])
+            waiting = np.concatenate(left) if left else waiting[:0]
+            if not len(waiting):
                 break
-            bounds = seen[left] @ np.stack((frontier, worst), axis=1)
-            upper = partial[left] + (frontier.sum() - bounds[:, 0])
-            lower = partial[left] + (worst.sum() - bounds[:, 1])
-            floor = np.partition(lower, len(left) - k)[len(left) - k] - slack
-            outsiders = not touched[left].all()
-            left = left[upper + slack >= floor]
-            if frontier.sum() + slack < floor or not outsiders:  # nobody unseen can qualify
-                if len(left) <= max(4 * k, n // 32):
-                    break
-        scores = self.vectors[left] @ query
-        best = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][best], scores[best]
+        return out
 
 
 def _search(k: int):
@@ -109,7 +122,7 @@ def _search(k: int):
                 width = int(np.diff(column.offsets.to_numpy()).max(initial=0))
                 matrix, ids = _matrix(column, width), part.column("vec_id").to_numpy()
                 lists = Lists(ids[:split], matrix[:split])
-                found = [lists.top(q, own, k) for own, q in zip(ids[split:], matrix[split:])]
+                found = lists.top(matrix[split:], ids[split:], k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(ids[split:], [len(f[0]) for f in found])),
