@@ -149,7 +149,10 @@ def decoding_ranges(sq: DataFrame | None, limit_bytes: int, dim: int):
 def _arrow_matrix(table: pa.Table, column: str, dim: int) -> np.ndarray:
     if table.num_rows == 0:
         return np.zeros((0, dim))
-    return np.concatenate([list_matrix(c) for c in table.column(column).chunks if len(c)])
+    parts = [list_matrix(c) for c in table.column(column).chunks if len(c)]
+    if len({p.shape[1] for p in parts}) > 1:
+        raise ValueError("vectors of different length reached a kernel; filter invalid vectors first")
+    return np.concatenate(parts)
 
 
 def _int_array(table: pa.Table, column: str) -> np.ndarray:

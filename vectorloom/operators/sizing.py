@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,32 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 << 20
 
 
+# What was found out about a DataFrame, as long as the program holds it.
+_known: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def vector_dim(df: DataFrame, column: str) -> int:
-    """Length of the vectors, read from one row; 0 for an empty table."""
+    """Length of the vectors, read from one row; 0 for an empty table. Looked up once per DataFrame."""
+    known = _known.setdefault(df, {})
+    if ("shape", column) in known:
+        return known["shape", column][1]
+    if ("dim", column) not in known:
+        known["dim", column] = _first_length(df, column)
+    return known["dim", column]
+
+
+def _first_length(df: DataFrame, column: str) -> int:
     row = df.where(F.col(column).isNotNull()).select(F.size(column).alias("n")).head()
     return row.n if row else 0
 
 
 def table_shape(df: DataFrame, column: str) -> tuple[int, int]:
-    """Rows, and length of the vectors in ``column`` (0 for an empty table), in one job."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("dim")).head()
-    return row.n, max(0, row.dim or 0)
+    """Rows, and length of the vectors in ``column`` (0 for an empty table), in one job per DataFrame."""
+    known = _known.setdefault(df, {})
+    if ("shape", column) not in known:
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("dim")).head()
+        known["shape", column] = row.n, max(0, row.dim or 0)
+    return known["shape", column]
 
 
 # Rows of a table of counts or ranges that is broadcast; beyond, the join is salted.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.operators.ivf import IvfIndex, probe_lists, search_probed, stack_indexes
 from vectorloom.operators.match import best_per
-from vectorloom.operators.quality import quality_by_config, query_quality
+from vectorloom.operators.quality import quality_by_config
 from vectorloom.operators.search import exact_topk, rank_parts
 from vectorloom.operators.sizing import checkpointed
 
@@ -34,23 +34,31 @@ def _repeat_for(hits: DataFrame, column: str, values: Sequence[int], name: str)
     return hits.withColumn(name, F.explode(F.filter(settings, lambda v: v >= F.col(column))))
 
 
-def fan_out_topk(hits: DataFrame, by: Sequence[str], entry: str, n_parts: int, k) -> DataFrame:
-    """``(*by, c, vec_id, rk)``: top ``k`` for every fan-out c; a hit takes part from c = ``entry`` on.
+def fan_out_quality(hits: DataFrame, by: Sequence[str], entry: Column, fans: Column, ks: Column) -> DataFrame:
+    """``(*by, c, k, recall, ndcg)`` for every fan-out c of ``fans`` and every k of ``ks``; a hit takes part from c = ``entry`` on.
 
-    A group holds the hits of one query and setting, at most k per part. It is sorted once, and each
-    fan-out takes its prefix of that order.
+    ``hits`` carry ``true_rk``, their rank in the query's true list (NULL if they aren't in it), and ``n_true``, the length of that list. A group
+    holds the hits of one query and setting, at most k per part. It is sorted once, each fan-out takes its
+    prefix of that order, and only one row per query and setting leaves the group.
     """
-    order = F.struct((-F.col("score")).alias("neg"), "vec_id", F.col(entry).alias("entry"))
-    packed = hits.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("found"))
-    fans = F.transform(
-        F.sequence(F.lit(1), F.lit(n_parts)),
-        lambda c: F.struct(
-            c.alias("c"), F.slice(F.filter("found", lambda h: h["entry"] <= c), F.lit(1), k).alias("best")
-        ),
-    )
-    per_c = packed.select(*by, F.explode(fans).alias("f"))
-    rows = per_c.select(*by, F.col("f.c").alias("c"), F.posexplode("f.best").alias("pos", "h"))
-    return rows.select(*by, "c", F.col("h.vec_id").alias("vec_id"), (F.col("pos") + 1).alias("rk"))
+    order = F.struct((-F.col("score")).alias("neg"), "vec_id", entry.alias("entry"), "true_rk")
+    packed = hits.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("found"), F.first("n_true").alias("n_true"))
+
+    def gain(rank: Column) -> Column:
+        return F.lit(1.0) / F.log2(rank + F.lit(1))
+
+    def scores(c: Column, k: Column) -> Column:
+        best = F.slice(F.filter("found", lambda h: h["entry"] <= c), F.lit(1), k)
+        gains = F.transform(best, lambda h, i: F.when(h["true_rk"] <= k, gain(i + F.lit(1))).otherwise(F.lit(0.0)))
+        dcg = F.aggregate(gains, F.lit(0.0), lambda total, g: total + g)
+        length = F.least(F.col("n_true"), k)
+        ideal = F.aggregate(F.sequence(F.lit(1), length), F.lit(0.0), lambda total, r: total + gain(r))
+        n_hits = F.size(F.filter(best, lambda h: h["true_rk"] <= k))
+        return F.struct(c.alias("c"), k.alias("k"), (n_hits / length).alias("recall"), (dcg / ideal).alias("ndcg"))
+
+    settings = F.flatten(F.transform(fans, lambda c: F.transform(ks, lambda k: scores(c, k))))
+    rows = packed.select(*[c for c in by if c != "k"], F.explode(settings).alias("s"))
+    return rows.select(*[c for c in by if c != "k"], "s.*")
 
 
 def quality_sweep(
@@ -79,25 +87,32 @@ def quality_sweep(
         """Rank once, then repeat a row for every k it belongs to."""
         return _repeat_for(best_per(hits, k_max, by, id_col="vec_id"), "rk", k, "k")
 
-    truth = checkpointed(at_k(exact_topk(queries, corpus, k_max, **match).drop("rk"), ["qid"]).select("qid", "vec_id", "rk", "k"))
+    # the true list of a query as one map, so that every hit is marked by a single join
+    truth = exact_topk(queries, corpus, k_max, **match).groupBy("qid").agg(
+        F.map_from_entries(F.collect_list(F.struct("vec_id", "rk"))).alias("true_list")
+    )
+    truth = checkpointed(truth)
 
     # all three indexes are probed and searched in one pass: parts 0, 1..n and n+1..2n
     stacked = stack_indexes([(monolithic, 0), (splits, 1), (clusters, 1 + n_parts)])
     part, largest = F.col("part_id"), max([*deep_nprobe, *sample_nprobe])
     allowed = F.when(part == 0, monolithic_nprobe).when(part <= n_parts, max(deep_nprobe)).otherwise(largest)
-    searched = checkpointed(
-        list_hits(queries, stacked, k_max, max(monolithic_nprobe, largest), F.col("probe_rk") <= allowed, **match)
+    hits = list_hits(queries, stacked, k_max, max(monolithic_nprobe, largest), F.col("probe_rk") <= allowed, **match)
+    marked = hits.join(truth, "qid").withColumns(
+        {"true_rk": F.try_element_at("true_list", F.col("vec_id")), "n_true": F.size("true_list")}
     )
+    searched = checkpointed(marked.drop("true_list"))
+    every_k, one, fans = F.array(*[F.lit(v) for v in sorted(set(k))]), F.lit(1), F.sequence(F.lit(1), F.lit(n_parts))
 
     # one index over everything: no fan-out, no routing
-    mono = at_k(searched.where(part == 0), ["qid"])
+    mono = best_per(searched.where(part == 0), k_max, ["qid"], id_col="vec_id").drop("rk")
+    mono = fan_out_quality(mono, ["qid"], one, F.array(one), every_k).drop("c")
 
     # splits: the first c of them, unrouted
     split = searched.where((part > 0) & (part <= n_parts)).withColumn("part_id", part - 1)
     split = _repeat_for(split, "probe_rk", deep_nprobe, "deep_nprobe")
     split = best_per(split, k_max, ["qid", "part_id", "deep_nprobe"], id_col="vec_id").drop("rk")
-    split = split.withColumn("entry", F.col("part_id") + 1)
-    split = _repeat_for(fan_out_topk(split, ["qid", "deep_nprobe"], "entry", n_parts, F.lit(k_max)), "rk", k, "k")
+    split = fan_out_quality(split, ["qid", "deep_nprobe"], F.col("part_id") + 1, fans, every_k)
 
     # clusters: routes per (sample setting, k), since k hits make the sample score
     base = searched.where(part > n_parts).withColumn("part_id", part - 1 - n_parts)
@@ -106,26 +121,19 @@ def quality_sweep(
     routes = rank_parts(means, ("qid", "sample_nprobe", "k"))
     deep = at_k(_repeat_for(base, "probe_rk", deep_nprobe, "deep_nprobe"), ["qid", "part_id", "deep_nprobe"]).drop("rk")
     routed = deep.join(routes.select("qid", "part_id", "sample_nprobe", "k", "route_rk"), ["qid", "part_id", "k"])
-    routed = fan_out_topk(routed, ["qid", "sample_nprobe", "deep_nprobe", "k"], "route_rk", n_parts, F.col("k"))
-
-    def quality(hits: DataFrame, setting: Sequence[str]) -> DataFrame:
-        kept = hits.select(*setting, "k", "qid", "vec_id", "rk")
-        scored = query_quality(kept, truth, [*setting, "k"], ["qid", "k"])
-        return scored.select(*setting, "k", "qid", "recall", "ndcg")
+    routed = fan_out_quality(routed, ["qid", "sample_nprobe", "deep_nprobe", "k"], F.col("route_rk"), fans, F.array("k"))
 
     # a strategy that ignores a setting has the same value all along it: average first, repeat the mean
-    n_true = truth.groupBy("k").agg(F.countDistinct("qid").alias("n_queries"))
+    n_queries = truth.agg(F.count(F.lit(1)).alias("n")).scalar()
     axes = {
         "sample_nprobe": F.array(*[F.lit(v) for v in sorted(set(sample_nprobe))]),
         "deep_nprobe": F.array(*[F.lit(v) for v in sorted(set(deep_nprobe))]),
         "c": F.sequence(F.lit(1), F.lit(n_parts)),
     }
 
-    def means_of(strategy: str, hits: DataFrame, own: Sequence[str]) -> DataFrame:
-        sums = quality(hits, own).groupBy("k", *own).agg(F.sum("recall").alias("recall"), F.sum("ndcg").alias("ndcg"))
-        mean = sums.join(n_true, "k").withColumns(
-            {"recall": F.col("recall") / F.col("n_queries"), "ndcg": F.col("ndcg") / F.col("n_queries")}
-        )
+    def means_of(strategy: str, scored: DataFrame, own: Sequence[str]) -> DataFrame:
+        sums = scored.groupBy("k", *own).agg(F.sum("recall").alias("recall"), F.sum("ndcg").alias("ndcg"))
+        mean = sums.withColumns({"recall": F.col("recall") / n_queries, "ndcg": F.col("ndcg") / n_queries})
         for name, values in axes.items():
             if name not in own:
                 mean = mean.withColumn(name, F.explode(values))
