@@ -72,3 +72,29 @@ def test_ceiling_lookup_is_an_equi_join(spark):
     profile = spark.createDataFrame([(1, 4, 0.5)], "cluster_id int, size int, latency_s double")
     plan = plan_of(querylog.ceiling_lookup(loads, profile))
     assert "NestedLoop" not in plan and re.search(r"Join \[cluster_id#\d+, load#\d+L\], \[cluster_id#\d+, load#\d+L\]", plan)
+
+
+def _bare_exchanges(df):
+    """Nodes below exchanges on a part, or a part's list, alone."""
+    lines = plan_of(df).splitlines()
+    keys = r"hashpartitioning\(part_id#\d+(, list_id#\d+)?, \d+\)"
+    return [lines[n + 1].strip(" +-:") for n, line in enumerate(lines) if "Exchange" in line and re.search(keys, line)]
+
+
+def test_join_forms_have_no_hot_key(spark, stored):
+    """Corpus and postings are never shuffled on a part alone; only counts per key are, after adding up in the tasks."""
+    corpus, index, queries = stored
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = [
+            ivf.index_append(index, corpus, limit_bytes=0),
+            ivf.ivf_assign(corpus, index.coarse, limit_bytes=0),
+            ivf.sq8_encode_rows(corpus, index.sq, 0),
+            search.per_partition_topk(queries, corpus, 3, strategy="packed"),
+            ivf.ivf_topk(queries, index, 3, 2, limit_bytes=0),
+        ]
+        below = [node for df in frames for node in _bare_exchanges(df)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(re.search(r"HashAggregate.*partial_count|Aggregate.*partial", node) for node in below), below
