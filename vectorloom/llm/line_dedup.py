@@ -30,7 +30,7 @@ RARITY_BITS, FILTER_BITS = 22, 24
 #: Lines that meet by one word in one group; a more frequent word is cut into pairs of blocks of that many lines.
 MEET = 4096
 #: Entries (a line and a word of its prefix) in one bucket of the candidate search, buckets at least, and lines verified together.
-BUCKET_ENTRIES, MIN_BUCKETS, SET_BLOCK = 1 << 20, 16, 512
+BUCKET_ENTRIES, MIN_BUCKETS, SET_BLOCK = 1 << 18, 16, 512
 #: Entries of a table in one of the pieces that are added up (as bits), and words in a line for one 64-bit word of its bitmap.
 _PIECE, _PER_BITMAP = 14, 48
 _NO_ID = np.iinfo(np.int64).min
@@ -38,6 +38,7 @@ _NO_ID = np.iinfo(np.int64).min
 _LINE = np.dtype([("digest", "u8"), ("doc", "i8"), ("number", "i4"), ("n", "i4"), ("width", "i4")])
 _ENTRY = np.dtype([("key", "u4"), ("line", "u4"), ("pos", "u4"), ("side", "u1")])
 _PLACE = np.dtype([("digest", "u8"), ("doc", "i8"), ("rid", "i8"), ("number", "i4")])
+_DOC = np.dtype([("rid", "i8"), ("doc", "i8"), ("n_lines", "i8"), ("with_words", "i8")])
 
 
 def _needed(total):
@@ -68,6 +69,8 @@ class Lines:
         self.words, line, at = digests[new], line[new], at[new]
         self.offsets = words.runs(line)
         self.size = np.diff(self.offsets)
+        # a text that isn't empty has one line more than newlines
+        self.lines_of = np.where(np.diff(rel) > 0, np.diff(newlines[rel]) + 1, 0)
         self.text = np.searchsorted(rel[1:], at[self.offsets[:-1]], "right")
         self.number = newlines[at[self.offsets[:-1]]] - newlines[rel[self.text]]
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mix(self.words ^ np.uint64(0xD6E8FEB86659FD93)))))
@@ -77,9 +80,7 @@ class Lines:
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, Lines]]:
     data, bounds = words.text_buffer(batch.column("text"))
     for a, b in words.chunks(bounds):
-        lines = Lines(data, bounds[a : b + 1])
-        if len(lines.size):
-            yield a, lines
+        yield a, Lines(data, bounds[a : b + 1])
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -106,7 +107,7 @@ def _pieces(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of pieces that come sorted by number."""
+    """Sums of pieces that come sorted by number, and in bits which of them aren't zero."""
     total, number = np.zeros(1 << _PIECE, np.int64), None
     for batch in batches:
         for piece, x, y in zip(batch.column("piece").to_pylist(), batch.column("x"), batch.column("y")):
@@ -120,44 +121,65 @@ def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dense(number: int, total: np.ndarray) -> pa.RecordBatch:
-    return _row(0, number, np.minimum(total, 2**32 - 1).astype(np.uint32), np.zeros(0, np.uint8))
+    return _row(0, number, np.minimum(total, 2**32 - 1).astype(np.uint32), np.packbits(total > 0))
 
 
-def _summed(pieces: DataFrame, bits: int) -> np.ndarray:
-    """The table that sparse pieces add up to; its size is fixed by ``bits``."""
-    out = np.zeros(1 << bits, np.uint32)
-    rows = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_add_pieces, _ROW).select("piece", "x").toArrow()
-    for piece, x in zip(rows.column("piece").to_pylist(), rows.column("x")):
-        out[piece << _PIECE : (piece + 1) << _PIECE] = np.frombuffer(x.as_buffer(), np.uint32)
+def _summed(pieces: DataFrame, bits: int, counts: bool = True) -> np.ndarray:
+    """The table that sparse pieces add up to, or the bits of what isn't zero in it; the size is fixed by ``bits``."""
+    kind, per, column = (np.uint32, 1, "x") if counts else (np.uint8, 8, "y")
+    out = np.zeros((1 << bits) // per, kind)
+    rows = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_add_pieces, _ROW).select("piece", column).toArrow()
+    for piece, x in zip(rows.column("piece").to_pylist(), rows.column(column)):
+        out[(piece << _PIECE) // per : ((piece + 1) << _PIECE) // per] = np.frombuffer(x.as_buffer(), kind)
     return out
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One reading of the texts: counts per word bucket (kind 0), all lines (kind 1), the number of prefix entries (kind 2)."""
-    counts, entries = np.zeros(1 << RARITY_BITS, np.int64), 0
+    """One reading of the texts: counts per word bucket (kind 0), lines with words (1), the number of prefix entries (2), documents (3)."""
+    counts, entries, none = np.zeros(1 << RARITY_BITS, np.int64), 0, np.zeros(0, np.uint8)
     for batch in batches:
         ids, rid = _ids(batch), batch.column("rid").to_numpy()
         for a, lines in _texts(batch):
-            np.add.at(counts, (lines.words >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
-            entries += int(prefix_length(lines.size).sum())
-            place = np.empty(len(lines.size), _PLACE)
-            place["digest"], place["doc"], place["rid"], place["number"] = lines.digest, ids[a + lines.text], rid[a + lines.text], lines.number
-            yield _row(1, 0, place, np.zeros(0, np.uint8))
+            doc = np.empty(len(lines.lines_of), _DOC)
+            own = slice(a, a + len(doc))
+            doc["rid"], doc["doc"], doc["n_lines"] = rid[own], ids[own], lines.lines_of
+            doc["with_words"] = np.bincount(lines.text, minlength=len(doc))
+            yield _row(3, 0, doc, none)
+            if len(lines.size):
+                np.add.at(counts, (lines.words >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
+                entries += int(prefix_length(lines.size).sum())
+                place = np.empty(len(lines.size), _PLACE)
+                place["digest"], place["doc"] = lines.digest, ids[a + lines.text]
+                place["rid"], place["number"] = rid[a + lines.text], lines.number
+                yield _row(1, 0, place, none)
     yield from _pieces(counts)
-    yield _row(2, 0, np.array([entries], np.int64), np.zeros(0, np.uint8))
+    yield _row(2, 0, np.array([entries], np.int64), none)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column("x"):
             p = np.frombuffer(x.as_buffer(), _PLACE)
-            doc = pa.array(p["doc"].copy(), mask=p["doc"] == _NO_ID)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(p["digest"].copy().view(np.int64)), doc, pa.array(p["rid"].copy()), pa.array(p["number"].copy())],
+                [pa.array(p["digest"].copy().view(np.int64)), _nullable(p["doc"]), pa.array(p["rid"].copy()), pa.array(p["number"].copy())],
                 names=["digest", "doc_id", "rid", "number"],
             )
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column("x"):
+            d = np.frombuffer(x.as_buffer(), _DOC)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(d["rid"].copy()), _nullable(d["doc"]), pa.array(d["n_lines"].copy()), pa.array(d["with_words"].copy())],
+                names=["rid", "doc_id", "n_lines", "with_words"],
+            )
+
+
+def _nullable(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids.copy(), mask=ids == _NO_ID)
+
+
 def _bitmaps(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """Parity bitmap of each line, of 1, 2, 4 ... 64-bit words by its size, concatenated; and these widths."""
     width = np.maximum(1, 1 << np.ceil(np.log2(lines.size / _PER_BITMAP)).clip(0).astype(np.int64))
@@ -179,6 +201,8 @@ def _entries(rarity: np.ndarray, buckets: int):
         for batch in batches:
             ids = _ids(batch)
             for a, lines in _texts(batch):
+                if not len(lines.size):
+                    continue
                 n = lines.size
                 line = np.repeat(np.arange(len(n)), n)
                 count = rarity[(lines.words >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
@@ -341,37 +365,46 @@ class _Forest:
         return pairs[:, 0], pairs[:, 1]
 
 
-def _filter_place(digest: np.ndarray) -> np.ndarray:
-    return (words.mix(digest ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_place(names: np.ndarray) -> np.ndarray:
+    return (words.mix(names.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _filter_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
-        bits[_filter_place(batch.column("node").to_numpy().view(np.uint64))] = True
+        bits[_filter_place(batch.column("name").to_numpy())] = True
     yield from _pieces(bits)
 
 
-def _word_sets(bits: np.ndarray):
-    """Lines that may have candidates, with their word sets."""
+def _filter(names: DataFrame) -> np.ndarray:
+    """A bit filter of fixed size for ``names (name)``: it passes all of them, and few others while they are few."""
+    return _summed(names.mapInArrow(_filter_pieces, _ROW), FILTER_BITS, counts=False)
+
+
+def _passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    place = _filter_place(names)
+    return np.flatnonzero((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+
+
+def _word_sets(lines_filter: np.ndarray, texts_filter: np.ndarray):
+    """Lines that may have candidates, with their word sets, from texts that may hold one first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(_passes(texts_filter, batch.column("rid").to_numpy())))
             ids = _ids(batch)
             for a, lines in _texts(batch):
-                place = _filter_place(lines.digest)
-                some = np.flatnonzero((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+                some = _passes(lines_filter, lines.digest)
                 some = some[np.unique(lines.digest[some], return_index=True)[1]]
                 if not len(some):
                     continue
                 size = lines.size[some]
                 ends = np.concatenate(([0], np.cumsum(size)))
                 at = np.repeat(lines.offsets[:-1][some] - ends[:-1], size) + np.arange(ends[-1])
-                doc = ids[a + lines.text[some]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(lines.digest[some].view(np.int64)),
-                        pa.array(doc, mask=doc == _NO_ID),
+                        _nullable(ids[a + lines.text[some]]),
                         pa.array(lines.number[some].astype(np.int32)),
                         words.packed(lines.words[at], ends),
                     ],
@@ -440,8 +473,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blobs = rows.mapInArrow(_entries(rarity, buckets), "g bigint, lines binary, maps binary, entries binary")
     edges = blobs.repartition("g").sortWithinPartitions("g").mapInArrow(_candidates, "a bigint, b bigint")
     tied = checkpointed(components(edges))
-    bits = np.packbits(_summed(tied.select("node").mapInArrow(_filter_pieces, _ROW), FILTER_BITS) > 0)
-    sets = rows.mapInArrow(_word_sets(bits), "digest bigint, doc_id bigint, number int, words binary")
+    places = survey.where("kind = 1").mapInArrow(_places, "digest bigint, doc_id bigint, rid bigint, number int")
+    first = checkpointed(places.groupBy("digest").agg(F.min(F.struct("doc_id", "number", "rid")).alias("first")))
+    lines_filter = _filter(tied.select(F.col("node").alias("name")))
+    texts_filter = _filter(first.join(tied, F.col("digest") == F.col("node")).select(F.col("first.rid").alias("name")))
+    sets = rows.mapInArrow(_word_sets(lines_filter, texts_filter), "digest bigint, doc_id bigint, number int, words binary")
     sets = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.first("words").alias("words"))
     sizes = tied.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     met = sets.join(tied.withColumnRenamed("node", "digest"), "digest").join(sizes, "component")
@@ -452,20 +488,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .sortWithinPartitions("g")
     )
     removed = groups.mapInArrow(_later, "digest bigint").distinct()
-    places = survey.where("kind = 1").mapInArrow(_places, "digest bigint, doc_id bigint, rid bigint, number int")
-    first = places.groupBy("digest").agg(F.min(F.struct("doc_id", "number", "rid")).alias("first"))
     kept = (
         first.join(removed, "digest", "left_anti")
         .groupBy("first.rid")
         .agg(F.sort_array(F.collect_list("first.number")).alias("kept_lines"))
     )
-    lines = F.when(F.length(text) > 0, F.split(text, "\n", -1)).otherwise(F.array().cast("array<string>"))
-    counted = docs.select(
-        _rid(id_col, text_col).alias("rid"),
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("with_words"),
-    )
+    counted = survey.where("kind = 3").mapInArrow(_documents, "rid bigint, doc_id bigint, n_lines bigint, with_words bigint")
     kept_lines = F.coalesce("kept_lines", F.array().cast("array<int>"))
     return counted.join(kept, "rid", "left").select(
         "rid", "doc_id", "n_lines", kept_lines.alias("kept_lines"), (F.col("with_words") - F.size(kept_lines)).cast("bigint").alias("n_removed")

@@ -20,7 +20,7 @@ _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text hashed at a time, unless one text is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
