@@ -33,6 +33,10 @@ MEET = 4096
 BUCKET_ENTRIES, MIN_BUCKETS, SET_BLOCK = 1 << 18, 16, 512
 #: Entries of a table in one of the pieces that are added up (as bits), and words in a line for one 64-bit word of its bitmap.
 _PIECE, _PER_BITMAP = 14, 48
+#: Bytes of text whose lines share a blob per bucket.
+_BLOB_TEXT = 1 << 19
+#: Bits of a word's rarity in the order; rarities beyond are equal, and digests decide.
+_RANK_BITS = 16
 _NO_ID = np.iinfo(np.int64).min
 
 _LINE = np.dtype([("digest", "u8"), ("doc", "i8"), ("number", "i4"), ("n", "i4"), ("width", "i4")])
@@ -52,34 +56,57 @@ def prefix_length(n):
     return np.where(n * (THRESHOLD.denominator - THRESHOLD.numerator) >= THRESHOLD.numerator, own, 0)
 
 
+def _order(major: np.ndarray, *minor: np.ndarray) -> np.ndarray:
+    """Order by ``major`` (small numbers), then by the minor keys; the last key is a 64-bit digest.
+
+    One packed 64-bit key is sorted; only if it leaves different digests side by side is the exact, slower sort done.
+    """
+    *ranks, digest = minor
+    bits = 64 - int(major.max(initial=0)).bit_length()
+    key = major.astype(np.uint64) << np.uint64(bits)
+    for rank in ranks:
+        bits -= _RANK_BITS
+        key |= rank.astype(np.uint64) << np.uint64(bits)
+    key |= digest >> np.uint64(64 - bits)
+    order = np.argsort(key)
+    key, digest_ = key[order], digest[order]
+    if ((key[1:] == key[:-1]) & (digest_[1:] != digest_[:-1])).any():
+        return np.lexsort((digest, *ranks[::-1], major))
+    return order
+
+
 class Lines:
     """The lines that hold words of some texts: their distinct words, sorted by digest, and where they stand."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        rel = bounds - bounds[0]
-        starts, ends, _ = words.word_spans(data, bounds)
-        digests = words.span_digests(data, int(bounds[0]), starts, ends)
-        newlines = np.concatenate(([0], np.cumsum(data[bounds[0] : bounds[-1]] == 10)))
-        text = np.searchsorted(rel[1:], starts, "right")
-        line = newlines[starts] + text  # a new line begins at every newline and at every text
-        order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (digests >> np.uint64(24)), kind="stable")
-        line, digests, at = line[order], digests[order], starts[order]
+        raw, rel = data[bounds[0] : bounds[-1]], bounds - bounds[0]
+        starts = words.word_starts(raw, rel)
+        digests = words.start_digests(raw, starts)
+        breaks = np.flatnonzero(raw == 10)
+        first = np.searchsorted(starts, rel)  # words before each text
+        text = np.repeat(np.arange(len(rel) - 1), np.diff(first))
+        # a new line begins at every newline and at every text
+        passed = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1)[: len(starts)])
+        line = passed + text
+        order = _order(line, digests)
+        line, digests, text, passed = line[order], digests[order], text[order], passed[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (digests[1:] != digests[:-1])
-        self.words, line, at = digests[new], line[new], at[new]
+        self.words, line = digests[new], line[new]
         self.offsets = words.runs(line)
         self.size = np.diff(self.offsets)
+        newlines = np.searchsorted(breaks, rel)  # newlines before each text
         # a text that isn't empty has one line more than newlines
-        self.lines_of = np.where(np.diff(rel) > 0, np.diff(newlines[rel]) + 1, 0)
-        self.text = np.searchsorted(rel[1:], at[self.offsets[:-1]], "right")
-        self.number = newlines[at[self.offsets[:-1]]] - newlines[rel[self.text]]
+        self.lines_of = np.where(np.diff(rel) > 0, np.diff(newlines) + 1, 0)
+        self.text = text[new][self.offsets[:-1]]
+        self.number = passed[new][self.offsets[:-1]] - newlines[self.text]
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mix(self.words ^ np.uint64(0xD6E8FEB86659FD93)))))
         self.digest = words.mix(total[self.offsets[1:]] - total[self.offsets[:-1]])
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, Lines]]:
+def _texts(batch: pa.RecordBatch, size: int = words.CHUNK) -> Iterator[tuple[int, Lines]]:
     data, bounds = words.text_buffer(batch.column("text"))
-    for a, b in words.chunks(bounds):
+    for a, b in words.chunks(bounds, size):
         yield a, Lines(data, bounds[a : b + 1])
 
 
@@ -200,18 +227,20 @@ def _entries(rarity: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch)
-            for a, lines in _texts(batch):
+            for a, lines in _texts(batch, _BLOB_TEXT):
                 if not len(lines.size):
                     continue
                 n = lines.size
                 line = np.repeat(np.arange(len(n)), n)
                 count = rarity[(lines.words >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-                rank = np.minimum(count, (1 << 20) - 1).astype(np.uint64)
-                order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(20)) | (lines.words >> np.uint64(44)), kind="stable")
+                order = _order(line, np.minimum(count, (1 << _RANK_BITS) - 1), lines.words)
                 prefix = prefix_length(n)
                 pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 owner = np.repeat(np.arange(len(n)), prefix)
                 at = order[np.repeat(lines.offsets[:-1], prefix) + pos]
+                # a word whose bucket occurs in one line only brings no partner
+                met = count[at] > 1
+                at, owner, pos = at[met], owner[met], pos[met]
                 # a word of many lines is met in pairs of blocks of them
                 blocks = (np.maximum(count[at], 1).astype(np.int64) + MEET - 1) // MEET
                 own = (lines.digest[owner] % blocks.astype(np.uint64)).astype(np.int64)
@@ -274,12 +303,17 @@ def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     # equal lines are one
     digest, first, cls = np.unique(lines["digest"], return_index=True, return_inverse=True)
     size, width, starts = lines["n"][first].astype(np.int64), lines["width"][first], starts[first]
-    _, one = np.unique((entries["key"].astype(np.uint64) << np.uint64(32)) | cls[entries["line"]].astype(np.uint64), return_index=True)
-    entries = entries[one]
+    packed = (entries["key"].astype(np.uint64) << np.uint64(32)) | cls[entries["line"]].astype(np.uint64)
+    order = np.argsort(packed)
+    packed = packed[order]
+    entries = entries[order[np.concatenate(([True], packed[1:] != packed[:-1]))]]
+    # words that one line alone has here have no pair
+    bounds = words.runs(entries["key"])
+    entries = entries[np.repeat(np.diff(bounds) > 1, np.diff(bounds))]
     own = cls[entries["line"]]
+    order = np.argsort((entries["key"].astype(np.uint64) << np.uint64(32)) | size[own].astype(np.uint64))
+    entries, own = entries[order], own[order]
     key, pos, side, n = entries["key"], entries["pos"].astype(np.int64), entries["side"], size[own]
-    order = np.lexsort((n, key))
-    key, pos, side, n, own = (x[order] for x in (key, pos, side, n, own))
     folded = _folded(maps, starts, width)
     forest = _Forest(len(digest))
     active = np.arange(len(key))

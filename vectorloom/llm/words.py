@@ -1,8 +1,8 @@
 """Words and their 64-bit digests, for whole Arrow batches at once.
 
 A word is a run of bytes other than space, tab, newline, vertical tab, form feed and carriage return, with A-Z lower-cased. Its digest is a
-polynomial over Z/2^64 of per-byte random values, finished by a mixing step; all words of a batch are hashed by running sums over the
-text buffer. Equal words have equal digests everywhere; that different words share one is neglected (64 bits).
+polynomial over Z/2^64 of per-byte random values, finished by a mixing step; all words of a batch are hashed by sums over the text
+buffer. Equal words have equal digests everywhere; that different words share one is neglected (64 bits).
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ _VALUE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+_VALUE[~_IS_WORD] = 0
 #: Bytes of text hashed at a time, unless one text is longer.
 CHUNK = 1 << 18
 
@@ -64,40 +65,32 @@ def chunks(bounds: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words between bounds[0] and bounds[-1], relative to bounds[0], and the words before each text."""
-    raw = data[bounds[0] : bounds[-1]]
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    rel = bounds - bounds[0]
-    word = ~_IS_SPACE[raw]
-    before = np.empty_like(word)
-    before[0], before[1:] = False, word[:-1]
+def word_starts(raw: np.ndarray, rel: np.ndarray) -> np.ndarray:
+    """Where the words of the texts raw[rel[i]:rel[i + 1]] begin."""
+    word = _IS_WORD[raw]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
     inner = rel[1:-1]
-    before[inner[inner < len(raw)]] = False
-    after = np.empty_like(word)
-    after[-1], after[:-1] = False, word[1:]
-    after[inner[(inner > 0)] - 1] = False
-    starts = np.flatnonzero(word & ~before)
-    return starts, np.flatnonzero(word & ~after) + 1, np.searchsorted(starts, rel)
+    inner = inner[inner < len(raw)]
+    begins[inner] = word[inner]
+    return np.flatnonzero(begins)
 
 
-def span_digests(data: np.ndarray, at: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Digests of the spans of ``data[at:]``."""
+def start_digests(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Digests of the words that begin at ``starts``. White space has no value, so a sum may run on to the next word."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    n = int(ends[-1])
-    power, inverse = _power_tables(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_VALUE[data[at : at + n]] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    power, inverse = _power_tables(len(raw))
+    value = _VALUE[raw]
+    value *= power[: len(raw)]
+    return mix(np.add.reduceat(value, starts) * inverse[starts])
 
 
 def word_digests(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digests of all words of the texts, and the number of words before each text (one more than there are texts)."""
-    starts, ends, before = word_spans(data, bounds)
-    return span_digests(data, int(bounds[0]), starts, ends), before
+    raw, rel = data[bounds[0] : bounds[-1]], bounds - bounds[0]
+    starts = word_starts(raw, rel)
+    return start_digests(raw, starts), np.searchsorted(starts, rel)
 
 
 _PLACE = (_SEED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
