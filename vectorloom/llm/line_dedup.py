@@ -33,6 +33,8 @@ MEET = 4096
 BUCKET_ENTRIES, MIN_BUCKETS, SET_BLOCK = 1 << 18, 16, 512
 #: Entries of a table in one of the pieces that are added up (as bits), and words in a line for one 64-bit word of its bitmap.
 _PIECE, _PER_BITMAP = 14, 48
+#: Partitions of the candidate search: a bucket each, until there are so many.
+MAX_PARTITIONS = 20_000
 #: Bytes of text whose lines share a blob per bucket.
 _BLOB_TEXT = 1 << 19
 #: Bits of a word's rarity in the order; rarities beyond are equal, and digests decide.
@@ -505,7 +507,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     entries = sum(int.from_bytes(r.x, "little") for r in survey.where("kind = 2").select("x").toLocalIterator())
     buckets = max(MIN_BUCKETS, -(-entries // BUCKET_ENTRIES))
     blobs = rows.mapInArrow(_entries(rarity, buckets), "g bigint, lines binary, maps binary, entries binary")
-    edges = blobs.repartition("g").sortWithinPartitions("g").mapInArrow(_candidates, "a bigint, b bigint")
+    partitions = min(buckets, MAX_PARTITIONS)
+    dealt = blobs.repartitionById(partitions, (F.col("g") % partitions).cast("int")).sortWithinPartitions("g")
+    edges = dealt.mapInArrow(_candidates, "a bigint, b bigint")
     tied = checkpointed(components(edges))
     places = survey.where("kind = 1").mapInArrow(_places, "digest bigint, doc_id bigint, rid bigint, number int")
     first = checkpointed(places.groupBy("digest").agg(F.min(F.struct("doc_id", "number", "rid")).alias("first")))
