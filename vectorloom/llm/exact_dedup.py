@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.operators.sizing import checkpointed
+from vectorloom.operators.sizing import SMALL_ROWS, checkpointed
 
 #: A digest is heavy if it holds at least one row in HEAVY, so there are at most HEAVY of them.
 HEAVY = 1024
@@ -77,21 +77,34 @@ def exact_dedup(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """The documents that :func:`exact_dedup` keeps, with all their columns.
 
-    Copies of frequent texts go map-side; what is left is shuffled once, and each map task sends at most one row of a digest.
+    Only ids and digests are shuffled while the losers are found. Copies of frequent texts go map-side, and so do the other losers
+    if they are measured few; else they are joined. Rows that are repeated with the same id and text are left to one of them.
     """
-    digest, rank = "__digest", "__rank"
-    rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), text_digest(text_col).alias("digest"), F.lit(0).alias("rid")
-    )
-    winners = heavy_winners(checkpointed(rows), heavy, tracked).select(
-        F.col("digest").alias("__heavy"), F.col("winner.doc_id").alias("__winner")
-    )
-    left = (
-        docs.withColumn(digest, text_digest(text_col))
-        .join(F.broadcast(winners), F.col(digest) == F.col("__heavy"), "left")
-        .where(F.col("__heavy").isNull() | F.col(id_col).cast("bigint").eqNullSafe(F.col("__winner")))
+    rows = checkpointed(
+        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_digest(text_col).alias("digest"), F.lit(0).alias("rid"))
     )
-    order = Window.partitionBy(digest).orderBy(
-        F.col(id_col).cast("bigint").desc_nulls_last(), F.xxhash64(*[c for c in docs.columns if c != text_col])
+    winners = heavy_winners(rows, heavy, tracked).select("digest", F.col("winner.doc_id").alias("doc_id"))
+    pairs = checkpointed(rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")))
+    light = pairs.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    order = Window.partitionBy("digest").orderBy(F.col("doc_id").desc_nulls_last())
+    losers = checkpointed(light.withColumn("place", F.row_number().over(order)).where("place > 1").select("digest", "doc_id"))
+    frequent = winners.select(F.col("digest").alias("__heavy"), F.col("doc_id").alias("__winner"))
+    marked = docs.withColumn("__digest", text_digest(text_col)).withColumn("__id", F.col(id_col).cast("bigint"))
+    left = marked.join(F.broadcast(frequent), F.col("__digest") == F.col("__heavy"), "left").where(
+        F.col("__heavy").isNull() | F.col("__id").eqNullSafe(F.col("__winner"))
     )
-    return left.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
+    left = _matching(left, losers, "left_anti")
+    repeated = checkpointed(pairs.where("n > 1").select("digest", "doc_id"))
+    if repeated.head() is None:
+        return left.select(*docs.columns)
+    one = Window.partitionBy("__digest", "__id").orderBy(F.xxhash64(*[c for c in docs.columns if c != text_col]))
+    several = _matching(left, repeated, "left_semi").withColumn("__rank", F.row_number().over(one)).where("__rank = 1")
+    return _matching(left, repeated, "left_anti").select(*docs.columns).union(several.select(*docs.columns))
+
+
+def _matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``rows (__digest, __id)`` with ``keys (digest, doc_id)``; the keys are broadcast if they are measured few."""
+    named = keys.select(F.col("digest").alias("__key"), F.col("doc_id").alias("__key_id"))
+    if keys.count() <= SMALL_ROWS:
+        named = F.broadcast(named)
+    return rows.join(named, (F.col("__digest") == F.col("__key")) & F.col("__id").eqNullSafe(F.col("__key_id")), how)

@@ -25,7 +25,7 @@ MARK = "▁"
 #: Stands for a mark that is in a text; no valid text holds it.
 _LITERAL = "\ud800"
 #: Bytes of text whose words are searched together, and words a task remembers.
-CHUNK, CACHE = 1 << 21, 400_000
+CHUNK, CACHE = 1 << 20, 200_000
 #: An unknown character costs this much more than the worst piece.
 UNKNOWN = 10.0
 

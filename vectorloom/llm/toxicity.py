@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.operators.sizing import checkpointed
+from vectorloom.operators.sizing import SMALL_ROWS, checkpointed
 
 #: Labelled rows of each class that propose voters (the expected size of a sample by id hash); it bounds the labels that are broadcast.
 LABELLED = 20_000
@@ -36,7 +36,7 @@ REPEATS = 0.5
 #: The posterior of a row with a given label, the weight of all other rows together against all labelled ones, and the classifier's ridge.
 LABEL_ACCURACY, OTHERS, RIDGE = 0.97, 0.5, 0.3
 _WORD = re.compile(r"\w+")
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def held_out(id_col: str, remainder: int = 0) -> Column:
@@ -372,7 +372,11 @@ def _start(votes: DataFrame, voters: int, balance: float) -> LabelModel:
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns.
 
-    Ids of toxic documents are joined; a document goes if any of the rows with its id is predicted toxic.
+    Ids of toxic documents are joined, and broadcast if they are measured few; a document goes if any of the rows with its id is
+    predicted toxic.
     """
     toxic = toxicity_scores(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
+    toxic = checkpointed(toxic)
+    if toxic.count() <= SMALL_ROWS:
+        toxic = F.broadcast(toxic)
     return docs.join(toxic, F.col(id_col).cast("bigint").eqNullSafe(F.col("__toxic")), "left_anti")
