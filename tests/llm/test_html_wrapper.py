@@ -73,3 +73,23 @@ def test_inference_finds_repetitions_optional_items_and_slots():
 def test_repeated_groups():
     items = hw.page_wrapper(hw.parse("<dl>" + "<dt>a</dt><dd>b</dd>" * 3 + "</dl>"))[hw._KIDS][0][hw._KIDS]
     assert [k[hw._SIG] for k in items] == ["()"] and [k[hw._SIG] for k in items[0][hw._KIDS]] == ["dt", "dd"]
+
+
+def test_attributes_are_told_apart_by_their_whole_names():
+    for attributes in (
+        'style="overflow:hidden"', "aria-hidden='false'", 'title="The hidden valley"', "data-id=footer", "data-role='search'", "data-class = 'ad'", 'title="a > id=nav b"',
+        "title=is-hidden", 'alt="class=ad', "xml:id=nav",
+    ):
+        assert hw.signature("div", " " + attributes) == "div"
+    for attributes in ("hidden", "HIDDEN=''", "title='a'hidden", "x=1 hidden/", 'ROLE="search"', "id=nav", "class = 'big ad'", "data-id=x id='footer'"):
+        assert hw.signature("div", " " + attributes).startswith("div!")
+
+
+def test_a_page_is_not_boilerplate_by_the_parts_its_class_names(spark):
+    story = "<p>The <span style='overflow:hidden'>whole</span> story</p><div class='sidebar'>x</div>"
+    bodies = [
+        f"<body class='single has-sidebar'>{story}</body>", f"<html id='nav-fixed'><body class='no-comments ad-free'><main class='with-sidebar'>{story}</main></body></html>",
+        f"<article style='overflow:hidden' class='share'>{story}</article>", f"<div class='has-sidebar' role='main'>{story}</div>", f"<div title='hidden'>{story}</div>",
+    ]
+    got = _extract(spark, [(n, f"http://h{n}.example", b) for n, b in enumerate([*bodies, "<article hidden>gone</article><main role='search'>gone</main>"])])
+    assert [got[n].text for n in range(6)] == ["The whole story"] * 5 + [""]

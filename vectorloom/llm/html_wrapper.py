@@ -40,6 +40,8 @@ _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong "
     "sub sup time tt u var".split()
 )
+#: Elements that hold a page or its main text: a class or id such as ``has-sidebar`` tells of their parts, not of them.
+_WHOLE = set("html body main article".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _VOID_INLINE = set("img wbr source track param area".split())
 _BAD_TAGS = set("head nav footer aside form dialog menu fieldset".split())
@@ -62,7 +64,8 @@ _TOKEN = re.compile(
     rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES}|[^>]*+)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: One attribute after the other: its whole name, and its value in quotes (which may lack the last one) or without.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]++)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -79,18 +82,25 @@ def signature(name: str, attributes: str) -> str:
     """Name with marks: ``!`` for boilerplate by name, class, id or role; ``*`` for a main region; then class and id without digits."""
     bad, main, told = name in _BAD_TAGS, name in ("article", "main"), []
     if attributes and not attributes.isspace():
+        whole, named, met = name in _WHOLE, False, set()
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
+            if key in met:  # of an attribute that is given again the first counts
+                continue
+            met.add(key)
             if key == "hidden":
                 bad = True
             elif key == "role":
                 bad |= value.lower() in _BAD_ROLES
                 main |= value.lower() in ("main", "article")
+                whole |= value.lower() == "main"
             elif key == "itemprop":
                 main |= value == "articleBody"
-            else:
-                bad |= any(p.lower() in _BAD_WORDS for p in _PART.findall(value))
+                whole |= value == "articleBody"
+            elif key in ("class", "id"):
+                named |= any(p.lower() in _BAD_WORDS for p in _PART.findall(value))
                 told.append(" ".join(sorted(re.sub(r"\d+", "", value).split())[:3]))
+        bad |= named and not whole
     return name + ("!" if bad else "*" if main else "") + "".join("." + t for t in told)
 
 
