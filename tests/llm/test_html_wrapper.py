@@ -93,3 +93,25 @@ def test_a_page_is_not_boilerplate_by_the_parts_its_class_names(spark):
     ]
     got = _extract(spark, [(n, f"http://h{n}.example", b) for n, b in enumerate([*bodies, "<article hidden>gone</article><main role='search'>gone</main>"])])
     assert [got[n].text for n in range(6)] == ["The whole story"] * 5 + [""]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<h1>Head of a page</h1><div><p>one block</p></div><table><tr><td>a <a href='x'>b</a> and many more words</td></tr></table><div class='ad'>{n}</div><script>{n}</script>"
+    pages, want = [], {}
+    for copies in (1, 2, 3, 20):
+        for n in range(copies):
+            key = copies * 1000 + n
+            pages.append((key, f"http://short{copies}.example/{n}", "<div><p>text</p></div>"))
+            pages.append((key + 100, f"http://long{copies}.example/{n}", page.format(n=n)))
+            want[key], want[key + 100] = "text", "Head of a page\n\none block\n\na b and many more words"
+    for n in range(5):
+        pages.append((n, None, page.format(n=0)))
+        want[n] = want[key + 100]
+    for options in ({}, {"shipped_bytes": 0}):
+        assert {n: r.text for n, r in _extract(spark, pages, **options).items()} == want
+
+
+def test_a_page_of_template_strings_alone_keeps_them(spark):
+    page = "<div><h2>Welcome</h2><p>to the <a href='x'>site</a> of all</p></div><ul><li><a href='y'>only links</a></li></ul>"
+    got = _extract(spark, [(0, "http://h.example", page), *((n, "http://h.example", page + f"<section>story {n}</section>") for n in range(1, 5))])
+    assert [got[n].text for n in range(5)] == ["Welcome\n\nto the site of all"] + [f"story {n}" for n in range(1, 5)]

@@ -10,6 +10,7 @@ Tasks infer a wrapper per host from their own pages, and these are merged, so a
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -27,7 +28,7 @@ from vectorloom.operators.sizing import checkpointed
 SHIPPED_BYTES = 8 << 20
 #: Hosts whose wrappers a task holds before it reports them, and partial wrappers of a host merged in one place.
 HELD_HOSTS, SALTS = 2000, 64
-#: A string that is the same on so many pages, and on all that have its slot, belongs to the template.
+#: A string that is the same on so many different pages, and on all that have its slot, belongs to the template.
 TEMPLATE_PAGES = 3
 #: Share of link text from which an element outside an article is a menu, and of all text that makes an element the main region.
 MENU_SHARE, MAIN_SHARE = 0.6, 0.7
@@ -166,31 +167,53 @@ def parse(page: str) -> Element:
     return root
 
 
-# A wrapper item is a list: signature, repeats, pages, characters, link characters, fixed string (its digest, or None), children. The signature of a
-# text slot is "#", that of a group "()".
+# A wrapper item is a list: signature, repeats, pages, characters, link characters, fixed string (its digest and the smallest TEMPLATE_PAGES digests of
+# pages that hold it, or None), children. The signature of a text slot is "#", that of a group "()".
 _SIG, _MANY, _PAGES, _CHARS, _LINKS, _FIXED, _KIDS = range(7)
 
 
-def page_wrapper(element: Element) -> list:
-    """The wrapper of one page."""
+def page_digest(element: Element) -> int:
+    """Digest of a page's strings outside boilerplate: copies of a page share it, also those that differ in adverts or scripts only."""
+    digest = hashlib.blake2b(digest_size=6)
+
+    def add(element: Element) -> None:
+        for kid in element.kids:
+            if isinstance(kid, str):
+                digest.update(" ".join(kid.split()).encode("utf-8", "surrogatepass"))
+            elif "!" not in kid.sig:
+                digest.update(b"\0")
+                add(kid)
+
+    add(element)
+    return int.from_bytes(digest.digest())
+
+
+def page_wrapper(element: Element, page: int | None = None) -> list:
+    """The wrapper of one page, whose digest is ``page``."""
+    page = page_digest(element) if page is None else page
     kids, text = [], []
     for kid in element.kids:
         if isinstance(kid, str):
             text.append(kid)
             continue
         if text:
-            _slot(kids, text)
+            _slot(kids, text, page)
             text = []
-        kids.append(page_wrapper(kid))
+        kids.append(page_wrapper(kid, page))
     if text:
-        _slot(kids, text)
+        _slot(kids, text, page)
     return [element.sig, 0, 1, 0, element.links, None, fold(kids)]
 
 
-def _slot(kids: list, text: list[str]) -> None:
+def _slot(kids: list, text: list[str], page: int) -> None:
     said = " ".join("".join(text).split())
     if said:
-        kids.append(["#", 0, 1, len(said), 0, zlib.crc32(said.encode("utf-8", "surrogatepass")), []])
+        kids.append(["#", 0, 1, len(said), 0, [zlib.crc32(said.encode("utf-8", "surrogatepass")), page], []])
+
+
+def _template(item: list) -> bool:
+    """Whether an item is a slot with the same string on enough different pages."""
+    return item[_SIG] == "#" and item[_FIXED] is not None and len(item[_FIXED]) > TEMPLATE_PAGES
 
 
 def _same(a: list, b: list) -> bool:
@@ -227,7 +250,9 @@ def fold(items: list) -> list:
 def merge(a: list, b: list, repeat: bool = False) -> list:
     """One item for two that are aligned, of different pages or, with ``repeat``, of one."""
     pages = max(a[_PAGES], b[_PAGES]) if repeat else a[_PAGES] + b[_PAGES]
-    fixed = a[_FIXED] if a[_FIXED] == b[_FIXED] else None
+    fixed = a[_FIXED]
+    if fixed != b[_FIXED]:
+        fixed = [fixed[0], *sorted({*fixed[1:], *b[_FIXED][1:]})[:TEMPLATE_PAGES]] if fixed and b[_FIXED] and fixed[0] == b[_FIXED][0] else None
     return [a[_SIG], 1 if repeat else a[_MANY] | b[_MANY], pages, a[_CHARS] + b[_CHARS], a[_LINKS] + b[_LINKS], fixed, align(a[_KIDS], b[_KIDS], repeat)]
 
 
@@ -266,23 +291,22 @@ class Wrapper:
 
     def __init__(self, root: list):
         self.root = root
-        self.total: dict[int, tuple[int, int]] = {}
+        self.total: dict[int, tuple[int, int, int]] = {}
         self._weigh(root)
         self.articles = self._articles(root)
         self.region = self._region(root)
 
-    def _weigh(self, item: list) -> tuple[int, int]:
-        """Characters and link characters below an item, without boilerplate and template strings."""
+    def _weigh(self, item: list) -> tuple[int, int, int]:
+        """Characters without template strings, link characters, and all characters below an item, without boilerplate."""
         if "!" in item[_SIG]:
-            chars, links = 0, 0
+            chars, links, all_chars = 0, 0, 0
         else:
-            fixed = item[_SIG] == "#" and item[_FIXED] is not None and item[_PAGES] >= TEMPLATE_PAGES
-            chars, links = (0 if fixed else item[_CHARS]), item[_LINKS]
+            chars, links, all_chars = (0 if _template(item) else item[_CHARS]), item[_LINKS], item[_CHARS]
             for kid in item[_KIDS]:
-                c, n = self._weigh(kid)
-                chars, links = chars + c, links + n
-        self.total[id(item)] = (chars, links)
-        return chars, links
+                c, n, every = self._weigh(kid)
+                chars, links, all_chars = chars + c, links + n, all_chars + every
+        self.total[id(item)] = (chars, links, all_chars)
+        return chars, links, all_chars
 
     def _articles(self, item: list, inside: bool = False) -> set[int]:
         """Items marked as articles; an outer one, like ``main``, gives way to those inside it that hold most of its text."""
@@ -310,31 +334,32 @@ class Wrapper:
             return 0
         return self.total[id(item)][0] - sum(self.total[id(k)][0] - self._outside(k) for k in item[_KIDS])
 
-    def menu(self, item: list) -> bool:
-        chars, links = self.total[id(item)]
-        return item[_SIG] != "#" and links > MENU_SHARE * max(chars, 1)
+    def menu(self, item: list, template: bool = False) -> bool:
+        chars, links, all_chars = self.total[id(item)]
+        return item[_SIG] != "#" and links > MENU_SHARE * max(all_chars if template else chars, 1)
 
     def extract(self, page: Element) -> list[str]:
-        """Blocks of a page's main text."""
+        """Blocks of a page's main text; template strings only if there is nothing else."""
         blocks: list[str] = []
         if self.articles:
-            self._walk(page, self.root, False, self.articles, False, blocks)
-        for region in (self.region, {id(self.root)}):
-            if not blocks:
-                self._walk(page, self.root, id(self.root) in region, region, True, blocks)
+            self._walk(page, self.root, False, self.articles, False, False, blocks)
+        for template in (False, True):
+            for region in (self.region, {id(self.root)}):
+                if not blocks:
+                    self._walk(page, self.root, id(self.root) in region, region, True, template, blocks)
         return blocks
 
-    def _walk(self, element: Element, item: list, inside: bool, region: set[int], strict: bool, blocks: list[str]) -> None:
-        """Match children with items in order; ``strict`` also leaves out menus and template strings."""
+    def _walk(self, element: Element, item: list, inside: bool, region: set[int], strict: bool, template: bool, blocks: list[str]) -> None:
+        """Match children with items in order; ``strict`` also leaves out menus and, without ``template``, template strings."""
         items, at, text = item[_KIDS], 0, []
 
         def flush() -> None:
             said = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if said and inside:
-                if strict:
+                if strict and not template:
                     digest = zlib.crc32(" ".join(said.split()).encode("utf-8", "surrogatepass"))
-                    if any(k[_SIG] == "#" and k[_FIXED] == digest and k[_PAGES] >= TEMPLATE_PAGES for k in items):
+                    if any(_template(k) and k[_FIXED][0] == digest for k in items):
                         return
                 blocks.append(said)
 
@@ -352,9 +377,9 @@ class Wrapper:
             match, at = self._match(items, at, kid.sig)
             if match is None:
                 match = ["", 0, 0, 0, 0, None, []]
-            elif strict and self.menu(match):
+            elif strict and self.menu(match, template):
                 continue
-            self._walk(kid, match, inside or id(match) in region, region, strict, blocks)
+            self._walk(kid, match, inside or id(match) in region, region, strict, template, blocks)
         flush()
 
     @staticmethod
