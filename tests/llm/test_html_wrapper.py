@@ -115,3 +115,31 @@ def test_a_page_of_template_strings_alone_keeps_them(spark):
     page = "<div><h2>Welcome</h2><p>to the <a href='x'>site</a> of all</p></div><ul><li><a href='y'>only links</a></li></ul>"
     got = _extract(spark, [(0, "http://h.example", page), *((n, "http://h.example", page + f"<section>story {n}</section>") for n in range(1, 5))])
     assert [got[n].text for n in range(5)] == ["Welcome\n\nto the site of all"] + [f"story {n}" for n in range(1, 5)]
+
+
+def _strings(element):
+    return [said for kid in element.kids for said in ([kid] if isinstance(kid, str) else _strings(kid))]
+
+
+def test_dropped_elements_end_where_they_should():
+    for page, want in (
+        ("<p>one <svg class='i'/> two</p><p>three</p>", "one  two|three"),
+        ("<p>one <SVG class='i' /> two</p><p>three <svg><title>no</title></svg> four</p>", "one  two|three  four"),
+        ("<p>a <math/> b</p><svg><svg><g/></svg><text>no</text><svg/></svg>c", "a  b|c"),
+        ("a<video-player src='x'>b</video-player><button-group>c</button-group><script-x>d</script-x><p>e", "a|b|c|d|e"),
+        ("a<button>b<p>c</p><object data='x'>d", "ab|c|d"),
+        ("a<button>b<button class='x'>no</button>c<select><option>no</select >d", "abcd"),
+        ("a<button>no<!-- </button> --><b title='</button>'>no</b></button>b", "ab"),
+        ("a<object><object>no</object>no</object>b<video><source src='x'></video><canvas>no</canvas\n>c", "abc"),
+        ("a<script>var s = '<svg>';</script x>b<svg>no</svg>c<style/>no", "abc"),
+        ("a<template><p>no", "a"),
+        ("a<textarea>no<svg/>", "a"),
+    ):
+        got = hw.parse(page)
+        texts = ["".join(k if isinstance(k, str) else "|" + "".join(_strings(k)) + "|" for k in got.kids)]
+        assert [w for w in "".join(texts).split("|") if w] == want.split("|"), page
+
+
+def test_a_page_goes_on_after_an_unclosed_element(spark):
+    story = "<article><svg viewBox='0 0 1 1'/><p>one <button>two</p><video-player>three</video-player><p>four</p></article>"
+    assert _extract(spark, [(1, "http://h.example", story)])[1].text == "one two\n\nthree\n\nfour"

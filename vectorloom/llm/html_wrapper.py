@@ -36,7 +36,9 @@ MENU_SHARE, MAIN_SHARE = 0.6, 0.7
 PERIOD = 3
 
 # fixed values: elements by their part in a page
-_DROPPED = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|select|textarea|button"
+_RAW = "script|style|noscript|template|iframe|textarea"  # dropped with all up to the end tag, or else to the end of the page
+_DROPPED = set("object svg math canvas audio video select button".split())  # dropped with what they hold if there is an end tag
+_SELF_CLOSED = set("svg math".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong "
     "sub sup time tt u var".split()
@@ -61,7 +63,7 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 _ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_DROPPED})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<[!?][^>]*+>|"
     rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES}|[^>]*+)>",
     re.S | re.I,
 )
@@ -105,12 +107,39 @@ def signature(name: str, attributes: str) -> str:
     return name + ("!" if bad else "*" if main else "") + "".join("." + t for t in told)
 
 
+def _dropped(token: re.Match) -> str | None:
+    """The name in the tag of an element that is dropped."""
+    name = token[3]
+    if name is None or name.lower() not in _DROPPED or token[4] and not (token[4][0] == "/" or token[4][0].isspace()):
+        return None
+    return name.lower()
+
+
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Start and end of every dropped element that has an end tag; an end tag closes the last element of its name that is open."""
+    ends, begun = {}, {}
+    for token in tokens:
+        name = _dropped(token)
+        if name is None:
+            continue
+        if not token[2]:
+            if name not in _SELF_CLOSED or not token[4].endswith("/"):
+                begun.setdefault(name, []).append(token.start())
+        elif begun.get(name):
+            ends[begun[name].pop()] = token.end()
+    return ends
+
+
 def parse(page: str) -> Element:
     """A page as a tree of its block elements; inline elements without boilerplate marks dissolve into the text around them."""
     root = Element("", "")
     stack, at, in_link = [root], 0, 0
-    for token in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    ends = _ends(tokens)
+    for token in tokens:
         start = token.start()
+        if start < at:  # inside a dropped element
+            continue
         if start > at:
             text = page[at:start]
             stack[-1].kids.append(text)
@@ -120,6 +149,9 @@ def parse(page: str) -> Element:
         name = token[3]
         if name is None:
             continue
+        if _dropped(token):
+            at = ends.get(start, at)
+            continue
         name = name.lower()
         if token[2]:
             if name == "a":
