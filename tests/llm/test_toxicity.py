@@ -72,3 +72,17 @@ def test_toxic_documents_go(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - gone
     # a null id is kept
     assert tx.drop_toxic(documents(spark), labels).where("doc_id is null").count() == 2
+
+
+def test_only_the_rejected_texts_of_an_id_go(spark):
+    rows, toxic = _corpus(600)
+    bad = next(r[1] for r in rows if toxic[r[0]] and r[1].count("scum") + r[1].count("trash") > 2)
+    good = next(r[1] for r in rows if not toxic[r[0]])
+    rows += [(i, text, "en", "a", 1) for i in (None, 5000) for text in (bad, good, None)]
+    docs, labels = documents(spark, rows), _labels(spark, toxic)
+    kept = sorted(str(r.text) for r in tx.drop_toxic(docs, labels).where("doc_id is null or doc_id = 5000").collect())
+    assert kept == sorted(["None", good] * 2)
+    # a score is that of the text
+    texts = {r[0]: r[1] for r in rows[:600]}
+    gone = {texts[r.doc_id] for r in tx.toxicity_scores(docs, labels).collect() if r.predicted and r.doc_id in texts}
+    assert bad in gone and sorted(str(r.text) for r in tx.drop_toxic(docs, labels).collect()) == sorted(str(r[1]) for r in rows if r[1] not in gone)

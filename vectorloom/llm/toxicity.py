@@ -131,7 +131,7 @@ class _Lookup(dict):
         return found
 
 
-def _cast_votes(voters: list[str]):
+def _cast_votes(voters: list[str], carried: tuple[str, ...] = ()):
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(voters)
         for batch in batches:
@@ -143,10 +143,10 @@ def _cast_votes(voters: list[str]):
                 ids.append(number)
                 counts.append(count)
                 length.append(len(tokens))
-            rest = [batch.column(c) for c in ("doc_id", "held_out", "label")]
+            rest = [batch.column(c) for c in ("doc_id", "held_out", "label", *carried)]
             yield pa.RecordBatch.from_arrays(
                 rest + [pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64())), pa.array(length, pa.int64())],
-                names=["doc_id", "held_out", "label", "voters", "counts", "n_tokens"],
+                names=["doc_id", "held_out", "label", *carried, "voters", "counts", "n_tokens"],
             )
 
     return cast
@@ -321,13 +321,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+    return _scores(rows, labels, voters)
+
+
+def _scores(rows: DataFrame, labels: DataFrame, voters: int = VOTERS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` of rows ``(doc_id, held_out, text)``, and their bigint columns ``carried``."""
     sample = checkpointed(label_sample(labels))
     # about 2 * LABELLED rows at most
     marked = rows.join(F.broadcast(sample), "doc_id", "left")
     found = propose_voters(marked.where("label is not null").select("text", F.col("label").alias("toxic")), voters)
     n = len(found)
-    schema = "doc_id bigint, held_out boolean, label int, voters array<bigint>, counts array<bigint>, n_tokens bigint"
-    votes = checkpointed(marked.select("doc_id", "held_out", "label", "text").mapInArrow(_cast_votes(found), schema))
+    kept = "".join(f", {c} bigint" for c in carried)
+    schema = f"doc_id bigint, held_out boolean, label int{kept}, voters array<bigint>, counts array<bigint>, n_tokens bigint"
+    votes = checkpointed(marked.select("doc_id", "held_out", "label", *carried, "text").mapInArrow(_cast_votes(found, carried), schema))
     learned = votes.where("not held_out")
     given = sample.agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).head()
     balance = ((given.a or 0) + 0.5) / (given.n + 1.0)
@@ -341,11 +347,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             p = 1 / (1 + np.exp(-np.clip(_features(batch, n) @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *[batch.column(c) for c in carried]],
+                names=["doc_id", "held_out", "score", "predicted", *carried],
             )
 
-    return votes.mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
+    return votes.mapInArrow(score, f"doc_id bigint, held_out boolean, score double, predicted int{kept}")
 
 
 def _start(votes: DataFrame, voters: int, balance: float) -> LabelModel:
@@ -372,11 +378,13 @@ def _start(votes: DataFrame, voters: int, balance: float) -> LabelModel:
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns.
 
-    Ids of toxic documents are joined, and broadcast if they are measured few; a document goes if any of the rows with its id is
-    predicted toxic.
+    Ids of toxic documents are joined with a digest of the text, and broadcast if they are measured few; other texts with the same id, or
+    without one, stay.
     """
-    toxic = toxicity_scores(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
-    toxic = checkpointed(toxic)
+    doc_id, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(doc_id.alias("doc_id"), held_out(id_col).alias("held_out"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    toxic = _scores(rows, labels, carried=("digest",)).where("predicted = 1")
+    toxic = checkpointed(toxic.select(F.col("doc_id").alias("__toxic"), F.col("digest").alias("__digest")).distinct())
     if toxic.count() <= SMALL_ROWS:
         toxic = F.broadcast(toxic)
-    return docs.join(toxic, F.col(id_col).cast("bigint").eqNullSafe(F.col("__toxic")), "left_anti")
+    return docs.join(toxic, doc_id.eqNullSafe(F.col("__toxic")) & (F.xxhash64(text) == F.col("__digest")), "left_anti")
