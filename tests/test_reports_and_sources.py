@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.operators import reports
+from vectorloom.plans import catalog
 from vectorloom.sources import runs, tables
 
 
@@ -93,3 +94,11 @@ def test_trimmed_mean_keeps_a_null_key(spark):
     rows = [(None if i % 2 else "a", i, float(i)) for i in range(12)]
     got = reports.trimmed_mean(spark.createDataFrame(rows, "g string, id int, v double"), ["g"], "v", "id", trim=1).collect()
     assert {r.g: (r.n_rows, r.n_used, r.trimmed_mean) for r in got} == {"a": (6, 4, 5.0), None: (6, 4, 6.0)}
+
+
+def test_result_sink_query_writes_every_status(spark, monkeypatch):
+    schema = "l_returnflag string, l_linestatus string, c int, n bigint, mean_price double"
+    rows = [("A", status, n, 1, 2.5) for n, status in enumerate(["F", "O", "P", "", None, None])]
+    for given in (rows, []):
+        monkeypatch.setattr(catalog, "_line_runs", lambda *_, given=given: spark.createDataFrame(given, schema))
+        assert sorted(map(tuple, catalog.result_sink(spark, "").collect()), key=str) == sorted(given, key=str)

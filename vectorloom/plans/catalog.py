@@ -117,9 +117,11 @@ def multi_csv_labelled(spark, sf_dir):
 @_register
 def result_sink(spark, sf_dir):
     path = shared_path(spark, "sink")
-    means = _line_runs(spark, sf_dir)
-    runs.result_sink(means.where(F.col("l_linestatus") == "F"), path, fmt="parquet")
-    runs.result_sink(means.where(F.col("l_linestatus") == "O"), path, fmt="parquet")
+    means = _line_runs(spark, sf_dir).persist()
+    # an empty table is written once, for its columns
+    for status in _levels(means, "l_linestatus") or [None]:
+        runs.result_sink(means.where(F.col("l_linestatus").eqNullSafe(F.lit(status))), path, fmt="parquet")
+    means.unpersist()
     return spark.read.parquet(path)
 
 
