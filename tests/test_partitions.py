@@ -78,3 +78,49 @@ def test_many_buckets(spark):
     ids = spark.range(3000).selectExpr("id * 3 AS id")
     got = with_positions(ids, "id", bucket_rows=2).collect()
     assert all(r.pos == r.id // 3 for r in got) and len(got) == 3000
+
+
+@pytest.mark.parametrize("bucket_rows", [2, 7, 1_000_000])
+def test_positions_lose_no_row(spark, bucket_rows):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        g = None if i % 3 == 0 else float("nan") if i % 7 == 0 else float(i % 2)
+        rows.append((None if i % 11 == 0 else int(rng.integers(0, 9)), g, f"x{i % 40}", {"a": i}))
+    rows += [(4, None, "same", {"a": 0})] * 30  # one row repeated
+    df = spark.createDataFrame(rows, "id bigint, g double, x string, m map<string,int>").repartition(4)
+    name = lambda g: "null" if g is None else str(g)
+    whole = with_positions(df, "id", bucket_rows=bucket_rows).collect()
+    assert sorted(r.pos for r in whole) == list(range(150))
+    in_order = [r.id for r in sorted(whole, key=lambda r: r.pos)]
+    assert in_order == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    got = with_positions(df, "id", by=["g"], bucket_rows=bucket_rows).collect()
+    assert sorted((r.id is not None, r.id or 0, name(r.g), r.x) for r in got) == sorted((r[0] is not None, r[0] or 0, name(r[1]), r[2]) for r in rows)
+    for g in {name(r[1]) for r in rows}:
+        mine = sorted(((r.pos, r.id) for r in got if name(r.g) == g), key=lambda r: r[0])
+        want = sorted((r[0] for r in rows if name(r[1]) == g), key=lambda i: (i is not None, i or 0))
+        assert mine == list(enumerate(want))
+    limits = spark.createDataFrame([(None, 5), (float("nan"), 2), (1.0, 10**6)], "g double, n_keep bigint")
+    kept = with_positions(df, "id", by=["g"], limits=limits, bucket_rows=bucket_rows).collect()
+    counts = {name(r[1]): 0 for r in rows}
+    for r in kept:
+        counts[name(r.g)] += 1
+    assert counts["null"] == 5 and counts["nan"] == 2 and counts["0.0"] == 0
+    assert counts["1.0"] == sum(name(r[1]) == "1.0" for r in rows)
+
+
+def test_positions_are_the_same_for_every_bucket_size(spark):
+    rows = [(i % 5 if i % 6 else None, i % 2, f"x{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, g int, x string").repartition(3)
+    results = [sorted(map(tuple, with_positions(df, "id", by=["g"], bucket_rows=b).collect()), key=str) for b in (2, 13, 10**6)]
+    assert results[0] == results[1] == results[2]
+    assert with_positions(df.where("g > 5"), "id", by=["g"]).count() == 0
+
+
+def test_splits_and_membership_keep_null_ids_and_parts(spark):
+    rows = [(None if i % 4 == 0 else i, None if i % 3 == 0 else i % 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id bigint, part_id int")
+    assert partition.split_partition(df.drop("part_id"), 7).count() == 50
+    members = partition.cluster_membership(df).collect()
+    assert sorted((r.part_id is None, r.local_pos) for r in members if r.part_id is None) == [(True, i) for i in range(17)]
+    assert len(members) == 50

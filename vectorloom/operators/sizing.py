@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,13 +48,32 @@ SMALL_ROWS = 200_000
 _SALTS = 16
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], salt_by: str, how: str = "inner", max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join a table with one row per key: broadcast if it is measured small, else salted, so that no key's rows meet in one task."""
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    keyed = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(_SALTS)).cast("int"))
-    return keyed.join(salted, [*on, "_salt"], how).drop("_salt")
+def join_small(
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    salt_by: str,
+    how: str = "inner",
+    max_rows: int = SMALL_ROWS,
+    null_safe: bool = False,
+) -> DataFrame:
+    """Join a table with one row per key: broadcast if it is measured small, else salted, so that no key's rows meet in one task.
+
+    With ``null_safe`` a NULL in a key column equals a NULL.
+    """
+    fits = small.count() <= max_rows
+    keys = list(on)
+    if not fits:
+        small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        big = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(_SALTS)).cast("int"))
+        keys.append("_salt")
+    if null_safe:
+        small = small.withColumnsRenamed({c: f"_small_{c}" for c in keys})
+        condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_small_{c}")) for c in keys], F.lit(True))
+        joined = big.join(F.broadcast(small) if fits else small, condition, how).drop(*[f"_small_{c}" for c in keys])
+    else:
+        joined = big.join(F.broadcast(small) if fits else small, keys, how)
+    return joined.drop("_salt")
 
 
 def collect_within(df: DataFrame, max_rows: int, rows: int | None = None) -> pa.Table | None:
