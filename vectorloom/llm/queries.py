@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, exact_dedup, hmm_lm, html_wrapper, line_dedup, mixing, ngram_join, topk_nra, toxicity
+from vectorloom.llm import chat, exact_dedup, hmm_lm, html_wrapper, line_dedup, merkle_log, mixing, ngram_join, topk_nra, toxicity
 from vectorloom.llm import sentencepiece_viterbi as sentencepiece
 
 
@@ -67,6 +67,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether the proof still holds for texts whose line ends were deleted."""
+    return merkle_log.verified_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +85,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_hmm_score,
         op10_toxicity,
+        op12_merkle_manifest,
     )
 }
 
@@ -116,4 +122,56 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             coalesce(doc_id = max(doc_id) OVER w, true) AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, source,
+                concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(length(doc_id::VARCHAR), ':', doc_id) END,
+                    CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END,
+                    CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END,
+                    CASE WHEN n_chars IS NULL THEN '-' ELSE concat(length(n_chars::VARCHAR), ':', n_chars) END) AS head,
+                text, list_reduce(flatten([[4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+                    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END) % 2 AS odd
+            FROM documents
+        ), hashed AS (
+            SELECT doc_id, source,
+                sha256(head || CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END) AS leaf,
+                sha256(head || CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(shown), ':', shown) END) AS presented
+            FROM (SELECT *, CASE WHEN odd = 1 THEN replace(text, chr(10), '') ELSE text END AS shown FROM leaves)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM hashed
+        ), tree AS (
+            SELECT 0 AS lvl, source, i, n, leaf AS h FROM placed
+            UNION ALL
+            SELECT lvl + 1, source, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lvl, source, i // 3
+        ), tops AS (
+            SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1
+        ), over_tree AS (
+            SELECT 0 AS lvl, i, n, h FROM tops
+            UNION ALL
+            SELECT lvl + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM over_tree WHERE n > 1 GROUP BY lvl, i // 3
+        ), below AS (
+            SELECT lvl, source, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY lvl, source, i // 3 ORDER BY i)
+        ), above AS (
+            SELECT lvl, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM over_tree WHERE n > 1 WINDOW w AS (PARTITION BY lvl, i // 3 ORDER BY i)
+        ), steps AS (
+            SELECT p.source, p.i, 0 AS part, b.lvl, b.l, b.r FROM placed p JOIN below b
+                ON b.source IS NOT DISTINCT FROM p.source AND b.i = p.i // (3 ** b.lvl)::BIGINT
+            UNION ALL
+            SELECT p.source, p.i, 1, a.lvl, a.l, a.r FROM placed p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source
+                JOIN above a ON a.i = t.i // (3 ** a.lvl)::BIGINT
+        ), paths AS (
+            SELECT source, i, list(l || '|' || r ORDER BY part, lvl) AS steps, string_agg(l || r, '' ORDER BY part, lvl) AS proof FROM steps GROUP BY source, i
+        ), ready AS (
+            SELECT p.doc_id, p.leaf, t.h AS subroot, (SELECT h FROM over_tree WHERE n = 1) AS root, sha256(coalesce(x.proof, '')) AS proof_sha256,
+                list_reduce(flatten([[p.presented], coalesce(x.steps, [])]),
+                    lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root
+            FROM placed p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source
+                LEFT JOIN paths x ON x.source IS NOT DISTINCT FROM p.source AND x.i = p.i
+        )
+        SELECT *, folded_root = root AS verified FROM ready""",
 }
