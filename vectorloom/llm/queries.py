@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, exact_dedup, hmm_lm, html_wrapper, line_dedup, merkle_log, mixing, ngram_join, topk_nra, toxicity
+from vectorloom.llm import audit_repair, chat, exact_dedup, hmm_lm, html_wrapper, line_dedup, merkle_log, mixing, ngram_join, topk_nra, toxicity
 from vectorloom.llm import sentencepiece_viterbi as sentencepiece
 
 
@@ -67,6 +67,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a fixed rule, with its faults and its cheapest repair."""
+    return audit_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof, and whether the proof still holds for texts whose line ends were deleted."""
     return merkle_log.verified_manifest(_table(spark, sf_dir, "documents"))
@@ -85,6 +90,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_hmm_score,
         op10_toxicity,
+        op11_audit_repair,
         op12_merkle_manifest,
     )
 }
@@ -122,6 +128,63 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             coalesce(doc_id = max(doc_id) OVER w, true) AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "op11_audit_repair": """
+        WITH RECURSIVE given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS name FROM conversations
+        ), fates AS (
+            SELECT *, xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(name, ''),
+                lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+                lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295) % 20 AS fate
+            FROM given
+        ), damaged AS (
+            SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) FROM fates WHERE fate <> 0)
+        ), seen AS (
+            SELECT conv_id, turn, role, text, role[1] AS kind, right(rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 1) AS last_char,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(concat(strlen(role), ':', role, text))) AS i FROM damaged
+        ), judged AS (
+            SELECT *, CASE WHEN last_char = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                    WHEN last_char NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                concat(lag(kind) OVER (PARTITION BY conv_id ORDER BY i), kind) NOT IN ('su', 'ua', 'au') AND i > 1 AS illegal
+            FROM seen
+        ), inserts(a, b, cost, edits, said) AS (
+            VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'),
+                (1, 2, 2, 'I', chr(10) || 'user:'), (3, 2, 2, 'I', chr(10) || 'user:'), (2, 3, 2, 'I', chr(10) || 'assistant:'),
+                (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+        ), steps(b, c, kind) AS (
+            VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')
+        ), moves AS (
+            SELECT b, b AS c, 'D' AS edit, 3 AS cost, NULL::VARCHAR AS kind, NULL::VARCHAR AS new_role FROM (VALUES (0), (1), (2), (3)) t(b)
+            UNION ALL SELECT b, c, 'K', 0, kind, NULL::VARCHAR FROM steps
+            UNION ALL SELECT b, c, 'R', 2, NULL::VARCHAR, CASE kind WHEN 'u' THEN 'user' ELSE 'assistant' END FROM steps WHERE kind <> 's'
+        ), dp AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'said': ''} AS best FROM judged
+            UNION ALL
+            SELECT d.conv_id, r.i, m.c, min({'cost': d.best.cost + n.cost + m.cost + CASE WHEN r.fault = 3 AND m.edit <> 'D' THEN 1 ELSE 0 END,
+                'audit': d.best.audit || n.edits || m.edit,
+                'said': d.best.said || n.said || CASE WHEN m.edit = 'D' THEN '' ELSE chr(10) || coalesce(m.new_role, r.role) || ':' || r.text END})
+            FROM dp d JOIN inserts n ON n.a = d.state JOIN moves m ON m.b = n.b
+                JOIN judged r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1
+                    AND (m.edit = 'D' OR r.fault NOT IN (1, 2)) AND (m.edit <> 'K' OR m.kind = r.kind)
+            GROUP BY d.conv_id, r.i, m.c
+        ), ends AS (
+            SELECT conv_id, max(i) AS n FROM judged GROUP BY conv_id
+        ), repaired AS (
+            SELECT d.conv_id, min({'cost': d.best.cost + n.cost, 'audit': d.best.audit || n.edits, 'said': d.best.said || n.said}) AS best
+            FROM dp d JOIN ends e ON e.conv_id IS NOT DISTINCT FROM d.conv_id AND e.n = d.i JOIN inserts n ON n.a = d.state AND n.b IN (0, 3)
+            GROUP BY d.conv_id
+        ), counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+                count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal
+            FROM judged GROUP BY conv_id
+        )
+        SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+            coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(p.best.cost, 0)::BIGINT AS cost,
+            coalesce(p.best.audit, '') AS audit, sha256(substr(coalesce(p.best.said, ''), 2)) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+            LEFT JOIN repaired p ON p.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op12_merkle_manifest": """
         WITH RECURSIVE leaves AS (
             SELECT doc_id, source,
