@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import audit_repair, chat, exact_dedup, hmm_lm, html_wrapper, line_dedup, merkle_log, mixing, ngram_join, topk_nra, toxicity
+from vectorloom.llm import audit_repair, chat, exact_dedup, hmm_lm, html_wrapper, line_dedup, merkle_log, mixing, ngram_join, quality_mcd, topk_nra, toxicity
 from vectorloom.llm import sentencepiece_viterbi as sentencepiece
 
 
@@ -77,6 +77,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_log.verified_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, the base rules, and whether it is an ordinary text of its language and source."""
+    return quality_mcd.quality_rules(_table(spark, sf_dir, "documents")).drop("distance")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES = {
         op10_toxicity,
         op11_audit_repair,
         op12_merkle_manifest,
+        op13_quality_mcd,
     )
 }
 
