@@ -158,3 +158,51 @@ def test_a_large_query_side_is_cut_to_the_state(make_vectors, monkeypatch):
     monkeypatch.setattr(match, "_STATE_ROWS", 30)
     got = grouped(topk_join(asked, corpus, 3, strategy="queries").collect(), ["qid"], "item_id", "rk")
     assert [got[i] for i in range(25)] == brute_topk(queries, items, np.arange(60), 3)
+
+
+@pytest.mark.parametrize("on", [(), ("part_id",)])
+def test_one_key_is_dealt_over_a_grid(spark, make_vectors, on, monkeypatch):
+    monkeypatch.setattr(match, "_PACK_ROWS", 10)
+    monkeypatch.setattr(match, "_STRIPE_PACKS", 1)
+    rng = np.random.default_rng(10)
+    items, queries = rng.normal(size=(200, 4)), rng.normal(size=(150, 4))
+    asked, corpus = _sides(make_vectors, items, queries)
+    asked = asked.withColumn("part_id", F.lit(0)) if on else asked
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        blocks = match._keyed_blocks(asked, corpus, list(on), [], None) if on else match._striped_blocks(asked, corpus, [])
+        cells = [b.groupBy("query_stripe", "item_stripe").count().collect() for b in blocks[:2]]
+        for side in cells:
+            assert len(side) > 100  # cells of a single key
+            assert max(c["count"] for c in side) <= 8 * np.median([c["count"] for c in side])
+        rows = topk_join(asked, corpus, 4, on=on, strategy="packed").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = grouped(rows, ["qid"], "item_id", "rk")
+    assert [got[i] for i in range(150)] == brute_topk(queries, items, np.arange(200), 4)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+@pytest.mark.parametrize("on", [(), ("part_id",)])
+def test_packed_assignment_deals_rows_and_keeps_all_columns(spark, make_vectors, metric, on, monkeypatch):
+    monkeypatch.setattr(match, "_PACK_ROWS", 4)
+    monkeypatch.setattr(match, "_STRIPE_PACKS", 2)
+    rng = np.random.default_rng(11)
+    items, centroids = np.round(rng.normal(size=(120, 3)), 1), np.round(rng.normal(size=(13, 3)), 1)
+    rows = make_vectors(items, ids=np.arange(120) // 2).withColumns({"m": F.create_map(F.lit("a"), "vec_id"), "x": F.lit(None).cast("string")})
+    columns = "part_id int, list_id int, centroid array<double>" if on else "list_id int, centroid array<double>"
+    table = spark.createDataFrame([((0,) if on else ()) + (i, [float(v) for v in c]) for i, c in enumerate(centroids)], columns)
+    broadcast = nearest_centroid(rows, table, on=on, metric=metric)
+    packed = nearest_centroid(rows, table, on=on, metric=metric, limit_bytes=0)
+    assert packed.columns == broadcast.columns
+    assert sorted(map(str, packed.collect())) == sorted(map(str, broadcast.collect()))
+
+
+def test_packed_assignment_finds_no_row_again(spark, tmp_path, make_vectors):
+    make_vectors(np.eye(3)).write.parquet(str(tmp_path / "rows"))
+    table = spark.createDataFrame([(0, 0, [1.0, 0.0, 0.0])], "part_id int, list_id int, centroid array<double>")
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    plan = nearest_centroid(rows, table, on=["part_id"], limit_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("embedding#") and "xxhash64(vec_id" not in plan
+    wide = [line for line in plan.splitlines() if "FileScan" in line and "embedding" in line.split("ReadSchema")[1]]
+    assert len(wide) == 1  # the vectors are read once

@@ -6,8 +6,9 @@ Every search and every assignment is one of these two functions. Three physical
              keeps a running top-k, and only those short lists are shuffled;
 ``items``    the item side is small (centroids): it is broadcast, queries stream past it and
              the answer needs no shuffle;
-``packed``   neither side fits: both sides are packed into bounded blocks by key and salt,
-             equi-joined, and each block pair is scored where the join puts it.
+``packed``   neither side fits: both sides are packed into bounded blocks by key and salt and dealt over
+             a grid of query stripes and item stripes per key; each cell is one join key, so neither
+             a hot key nor a large side is one task's work.
 
 ``auto`` counts the preferred side first and takes the first form whose broadcast fits the limit.
 """
@@ -19,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from vectorloom.functions.kernels import (
 from vectorloom.operators.sizing import BROADCAST_LIMIT_BYTES, collect_within, join_small, table_shape, vector_dim
 
 _PACK_ROWS = 4096  # rows per packed block
-_STRIPE_PACKS = 16  # item blocks of one key that share one copy of the query blocks
+_STRIPE_PACKS = 16  # blocks of one key and side in a stripe; a grid cell pairs a query stripe with an item stripe
 _ITEM_CHUNK = 8192  # items scored at once
 _PRUNE_VALUES = 256  # longest IN list pushed to the scan
 _STATE_ROWS = 4_000_000  # running top-k entries held by a task before they are emitted
@@ -314,17 +316,22 @@ def _items_broadcast(queries, items, k, on, per, dim) -> DataFrame:
     return queries.select("qid", "qv", *on).mapInArrow(stream, _hit_schema(per) + ", rk int")
 
 
-def _sizes(df: DataFrame, on: list[str], pack_rows: int) -> DataFrame:
-    """Blocks and stripes per key, from one map-side combined count."""
+def _sizes(df: DataFrame, on: list[str], pack_rows: int, stripe: str) -> DataFrame:
+    """Blocks and stripes (``stripe``) per key, from one map-side combined count."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
     packs = F.ceil(F.col("n_rows") / pack_rows).cast("int")
     return counts.select(
         *on,
         packs.alias("n_packs"),
-        F.ceil(packs / _STRIPE_PACKS).cast("int").alias("n_stripes"),
+        F.ceil(packs / _STRIPE_PACKS).cast("int").alias(stripe),
     )
 
 
+def _copied(df: DataFrame, stripe: str, copies) -> DataFrame:
+    """A copy of every block for each stripe of the other side."""
+    return df.withColumn(stripe, F.explode(F.sequence(F.lit(0), copies - 1)))
+
+
 def _component_type(df: DataFrame, column: str):
     return np.float64 if df.schema[column].dataType.elementType.typeName() == "double" else np.float32
 
@@ -354,7 +361,7 @@ def _narrow_blocks(df: DataFrame, columns: list[str], id_col: str, vec_col: str,
 
 
 def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
-    """Both sides as blocks, equi-joined on the key and a stripe of the item side."""
+    """Both sides as blocks, fragmented and replicated over a grid: cell (key, query stripe, item stripe) is a join key."""
     if on:
         left, right, types = _keyed_blocks(queries, items, on, per, probes)
     else:
@@ -365,7 +372,7 @@ def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
         right, decode = join_small(right, sq.select("part_id", "vmin", "vdiff"), ["part_id"], ids, "left"), ["vmin", "vdiff"]
     sides = [c for c in ("query_pack", "item_pack", "qids", "qvecs", "item_ids", "codes") if c in [*left.columns, *right.columns]]
     known = [c for c in ("part_id",) if decode and c not in per]
-    pairs = left.join(right, [*on, "stripe"]).select(*per, *sides, *decode, *known)
+    pairs = left.join(right, [*on, "query_stripe", "item_stripe"]).select(*per, *sides, *decode, *known)
 
     def side(cell, pack, ids, values, dtype):
         if pack in cell:
@@ -408,46 +415,49 @@ def _packed(queries, items, k, on, per, probes, sq) -> DataFrame:
 
 
 def _keyed_blocks(queries, items, on, per, probes):
-    """Rows of one key come together in salted groups; a hot key is many groups in several stripes."""
+    """Rows of one key come together in salted groups; a hot key is many groups in several stripes, on either side."""
     columns = list(dict.fromkeys([*on, *per]))
     keyed = queries if probes is None else probes.select("qid", *on).join(queries.select("qid", "qv"), "qid")
     blocks = "item_ids" in items.columns
-    sizes = _sizes(items, on, 1 if blocks else _PACK_ROWS)
-    items = join_small(items, sizes, on, "item_ids" if blocks else "item_id")
+    item_sizes = _sizes(items, on, 1 if blocks else _PACK_ROWS, "n_item_stripes")
+    query_sizes = _sizes(keyed, on, _PACK_ROWS, "n_query_stripes")
+    items = join_small(items, item_sizes, on, "item_ids" if blocks else "item_id")
     if blocks:  # stored blocks are packs already
-        right = items.withColumn("stripe", F.pmod(F.xxhash64("item_ids"), F.col("n_stripes")).cast("int"))
-        right = right.drop("n_packs", "n_stripes")
+        right = items.withColumn("item_stripe", F.pmod(F.xxhash64("item_ids"), F.col("n_item_stripes")).cast("int"))
+        right = right.drop("n_packs", "n_item_stripes")
     else:
         salt = F.pmod(F.xxhash64("item_id"), F.col("n_packs")).cast("int")
-        salted = items.withColumn("salt", salt).withColumn("stripe", F.pmod("salt", "n_stripes").cast("int"))
-        right = salted.groupBy(*columns, "stripe", "salt").agg(
+        salted = items.withColumn("salt", salt).withColumn("item_stripe", F.pmod("salt", "n_item_stripes").cast("int"))
+        right = salted.groupBy(*columns, "item_stripe", "salt").agg(
             F.collect_list(F.struct("item_id", "vec")).alias("item_pack")
         )
-    keyed = join_small(keyed, _sizes(keyed, on, _PACK_ROWS).select(*on, "n_packs"), on, "qid")
+    right = join_small(right, query_sizes.select(*on, "n_query_stripes"), on, "item_ids" if blocks else "salt")
+    right = _copied(right, "query_stripe", F.col("n_query_stripes")).drop("salt", "n_query_stripes")
+    keyed = join_small(keyed, query_sizes, on, "qid")
     left = (
         keyed.withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("n_packs")).cast("int"))
-        .groupBy(*on, "salt")
+        .withColumn("query_stripe", F.pmod("salt", "n_query_stripes").cast("int"))
+        .groupBy(*on, "query_stripe", "salt")
         .agg(F.collect_list(F.struct("qid", "qv")).alias("query_pack"))
     )
-    left = join_small(left, sizes.select(*on, "n_stripes"), on, "salt")
-    left = left.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("n_stripes") - 1)))
-    return left.drop("salt", "n_stripes"), right.drop("salt"), (None, np.uint8)
+    left = join_small(left, item_sizes.select(*on, "n_item_stripes"), on, "salt")
+    left = _copied(left, "item_stripe", F.col("n_item_stripes")).drop("salt", "n_item_stripes")
+    return left, right, (None, np.uint8)
 
 
 def _striped_blocks(queries, items, per):
-    """No key: a block nested loop as an equi-join. Items are spread over stripes, one per shuffle
-    partition at most, and the (smaller) query side is copied to each."""
-    n_packs = -(-items.count() // _PACK_ROWS)
-    partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_stripes = max(1, min(-(-n_packs // _STRIPE_PACKS), partitions))
+    """No key: a block nested loop as an equi-join over the cells of the grid."""
+    rows_of_stripe = _PACK_ROWS * _STRIPE_PACKS
+    n_items = items.agg(F.sum(F.size("item_ids")).alias("n")).head().n or 0 if "item_ids" in items.columns else items.count()
+    n_item_stripes, n_query_stripes = (max(1, -(-n // rows_of_stripe)) for n in (n_items, queries.count()))
     types = (_component_type(queries, "qv"), np.uint8)
     if "item_ids" not in items.columns:
         types = (types[0], _component_type(items, "vec"))
         items = _narrow_blocks(items, per, "item_id", "vec", "item_ids", "codes")
-    right = items.withColumn("stripe", F.pmod(F.xxhash64("item_ids"), F.lit(n_stripes)).cast("int"))
+    right = items.withColumn("item_stripe", F.pmod(F.xxhash64("item_ids"), F.lit(n_item_stripes)).cast("int"))
     left = _narrow_blocks(queries, [], "qid", "qv", "qids", "qvecs")
-    left = left.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(n_stripes - 1))))
-    return left, right, types
+    left = left.withColumn("query_stripe", F.pmod(F.xxhash64("qids"), F.lit(n_query_stripes)).cast("int"))
+    return _copied(left, "item_stripe", F.lit(n_item_stripes)), _copied(right, "query_stripe", F.lit(n_query_stripes)), types
 
 
 # --- assignment: one best item per row, all columns kept ----------------------------------------
@@ -457,7 +467,6 @@ def nearest_centroid(
     rows: DataFrame,
     centroids: DataFrame,
     *,
-    id_col: str = "vec_id",
     on: Sequence[str] = (),
     metric: str = "l2",
     strategy: str = "auto",
@@ -465,7 +474,7 @@ def nearest_centroid(
 ) -> DataFrame:
     """Add ``list_id``: the nearest centroid (``l2``) or the best product (``ip``), ties to the lower id.
 
-    ``rows(id_col, embedding, *on, ...)``, ``centroids(*on, list_id, centroid)``. With centroids
+    ``rows(embedding, *on, ...)``, ``centroids(*on, list_id, centroid)``. With centroids
     within the limit this is a narrow map; beyond it the blocks of both sides are joined. A row whose key
     has no centroid is an error in either form.
     """
@@ -475,7 +484,7 @@ def nearest_centroid(
     if strategy in ("auto", "items"):
         table = collect_within(centroids.select(*on, "list_id", "centroid"), limit_bytes // max(1, 8 * dim))
     if table is None:
-        return _nearest_packed(rows, centroids, id_col, on, metric, dim)
+        return _nearest_packed(rows, centroids, on, metric)
     groups = centroid_groups(table, on, metric, dim)
     payload = rows.sparkSession.sparkContext.broadcast(groups)
 
@@ -512,18 +521,81 @@ def nearest_in_batch(batch: pa.RecordBatch, groups: dict, on: Sequence[str], met
     return best
 
 
-def _nearest_packed(rows, centroids, id_col, on, metric, dim) -> DataFrame:
-    def wide(column, last):
-        v = F.transform(F.col(column), lambda x: x.cast("double"))
-        return F.concat(v, F.array(last)) if metric == "l2" else v
-
-    squares = F.aggregate(F.transform("centroid", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    # rows are numbered by what they hold, so repeated ids don't multiply
-    numbered = rows.withColumn("_row", F.xxhash64(F.col(id_col), *on, "embedding"))
-    queries = numbered.select(*on, F.col("_row").alias("qid"), wide("embedding", F.lit(1.0)).alias("qv"))
-    items = centroids.select(*on, F.col("list_id").cast("bigint").alias("item_id"), wide("centroid", squares * -0.5).alias("vec"))
-    best = best_per(_packed(queries, items, 1, on, [], None, None), 1, ["qid"])
-    found = best.select(F.col("qid").alias("_row"), F.col("item_id").cast("int").alias("list_id"))
-    lost = F.raise_error(F.concat(F.lit("part has no centroid in this index; row "), F.col(id_col).cast("string")))
-    joined = numbered.join(found, "_row", "left").withColumn("list_id", F.coalesce("list_id", lost.cast("int")))
-    return joined.select(*rows.columns, "list_id")
+def _nearest_packed(rows, centroids, on, metric) -> DataFrame:
+    """Blocks of whole rows meet all centroids of their key, so no row has to be found again.
+
+    Rows stay in the blocks of their task and are dealt over stripes, as many as the key's rows need; each stripe gets a copy of the
+    key's centroids. A block is done when it has met as many packs of centroids as its key has.
+    """
+    types = {c: rows.schema[c].dataType.simpleString() for c in on}
+    packs = _sizes(centroids, on, _PACK_ROWS, "_stripes").select(*on, "n_packs")
+    # a stripe has many more rows than its key has centroids, which bounds what the copies cost
+    most = F.greatest(F.lit(_PACK_ROWS), F.col("n_packs").cast("bigint") * _PACK_ROWS) * _STRIPE_PACKS
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
+    sizes = counts.join(packs.withColumnsRenamed({c: f"_{c}" for c in on}), reduce(lambda a, b: a & b, same, F.lit(True)), "left").select(
+        *on, "n_packs", F.ceil(F.col("n_rows") / F.coalesce(most, F.lit(1 << 62))).cast("int").alias("n_row_stripes")
+    )
+    left = join_small(_row_blocks(rows, on, types), sizes, on, "_block", null_safe=True)
+    left = left.withColumn("row_stripe", F.pmod("_block", "n_row_stripes").cast("int"))
+    salt = F.pmod(F.xxhash64("list_id"), F.col("n_packs")).cast("int")
+    salted = join_small(centroids.select(*on, "list_id", "centroid"), packs, on, "list_id", null_safe=True).withColumn("salt", salt)
+    right = salted.groupBy(*on, "salt", "n_packs").agg(F.collect_list(F.struct("list_id", "centroid")).alias("pack"))
+    copies = sizes.where("n_packs IS NOT NULL").select(*on, "n_row_stripes")
+    right = join_small(right, copies, on, "salt", null_safe=True)
+    # packs that the hash has left empty don't come
+    filled = salted.select(*on, "salt").distinct().groupBy(*on).agg(F.count(F.lit(1)).alias("n_filled"))
+    left = join_small(left, filled, on, "_block", "left", null_safe=True)
+    right = _copied(right, "row_stripe", F.col("n_row_stripes")).select(*[F.col(c).alias(f"_{c}") for c in on], F.col("row_stripe").alias("_stripe"), "pack")
+    pairs = left.join(right, reduce(lambda a, b: a & b, same, F.col("row_stripe") == F.col("_stripe")), "left")
+
+    def assign(batches):
+        waiting: dict[tuple, list] = {}  # blocks that haven't met all packs: packs met, best scores, best ids
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cell = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
+                needed = cell["n_filled"].as_py()
+                with pa.ipc.open_stream(cell["rows"].as_buffer()) as stream:
+                    block = stream.read_all().combine_chunks().to_batches()[0]
+                if needed is None:
+                    key = tuple(cell[c].as_py() for c in on)
+                    raise missing_part(key[0] if len(key) == 1 else key, "centroid")
+                vectors = list_matrix(block.column(block.schema.get_field_index("embedding")))
+                ids, matrix = cell["pack"].values.flatten()
+                matrix = list_matrix(matrix)
+                if metric == "l2":
+                    vectors, matrix = with_constant(vectors), l2_as_product(matrix)
+                got = _topk_over(QueryBlock(vectors), matrix, ids.to_numpy().astype(np.int64), 1)
+                name = (*(cell[c].as_py() for c in on), cell["_block"].as_py())
+                met, *best = waiting.pop(name, [0, *got])
+                if met:
+                    best = merge_topk(*best, *got)
+                if met + 1 < needed:
+                    waiting[name] = [met + 1, *best]
+                    continue
+                found = pa.array(best[1][:, 0], pa.int32())
+                yield pa.RecordBatch.from_arrays([*block.columns, found], [*block.schema.names, "list_id"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "list_id int"])
+    return pairs.select(*on, "_block", "rows", "n_filled", "pack").mapInArrow(assign, schema)
+
+
+def _row_blocks(rows: DataFrame, on: list[str], types: dict[str, str]) -> DataFrame:
+    """``(*on, _block, rows)``: whole rows of a key as Arrow streams of bounded size, without a shuffle."""
+
+    def pack(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for key, at in key_groups([int_column(batch, c) for c in on], batch.num_rows):
+                for a in range(0, len(at), _PACK_ROWS):
+                    part = batch.take(pa.array(at[a : a + _PACK_ROWS]))
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as writer:
+                        writer.write_batch(part)
+                    columns = [pa.array([v], batch.column(batch.schema.get_field_index(c)).type) for c, v in zip(on, key)]
+                    block = pa.array([(task << 32) + number], pa.int64())
+                    number += 1
+                    yield pa.RecordBatch.from_arrays([*columns, block, pa.array([sink.getvalue().to_pybytes()], pa.binary())], [*on, "_block", "rows"])
+
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in on], "_block bigint, rows binary"])
+    return rows.mapInArrow(pack, schema)
