@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,49 @@ def test_result_sink_query_writes_every_status(spark, monkeypatch):
     for given in (rows, []):
         monkeypatch.setattr(catalog, "_line_runs", lambda *_, given=given: spark.createDataFrame(given, schema))
         assert sorted(map(tuple, catalog.result_sink(spark, "").collect()), key=str) == sorted(given, key=str)
+
+
+def _trimmed(values, trim):
+    kept = sorted(values)[trim : len(values) - trim] if len(values) > 2 * trim else values
+    return len(values), len(kept), sum(kept) / len(kept)
+
+
+@pytest.mark.parametrize("trim", [0, 1, 2, 5])
+def test_trimmed_mean_takes_rows_as_they_are(spark, trim):
+    rng = random.Random(trim)
+    rows = []
+    for i in range(400):
+        key = rng.choice([None, "a", "b", "rare"]) if i else "one"
+        rows.append((key, rng.choice([None, 1, 2]), None if i % 9 == 0 and i else rng.choice([0.5, 1.5, 1e300, -1e300, 7.0, 3.0]), rng.choice([1, None])))
+    log = spark.createDataFrame(rows, "g string, id int, v double, h int").repartition(5)
+    got = {(r.g, r.h): (r.n_rows, r.n_used, r.trimmed_mean) for r in reports.trimmed_mean(log, ["g", "h"], "v", "id", trim=trim).collect()}
+    want = {}
+    for g, _, v, h in rows:
+        if v is not None:
+            want.setdefault((g, h), []).append(v)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        n, used, mean = _trimmed(values, trim)
+        assert got[key][:2] == (n, used) and got[key][2] == pytest.approx(mean, rel=1e-9, abs=1e285)
+    assert reports.trimmed_mean(log.where("g = 'none'"), ["g"], "v").collect() == []
+
+
+def test_trimmed_mean_of_many_groups_and_nan(spark, monkeypatch):
+    monkeypatch.setattr(reports, "_HELD_GROUPS", 3)
+    log = spark.createDataFrame([(i % 50, float(i)) for i in range(500)], "g int, v double").coalesce(1)
+    got = {r.g: r.trimmed_mean for r in reports.trimmed_mean(log, ["g"], "v").collect()}
+    assert got == {g: g + 225.0 for g in range(50)}
+    spiked = spark.createDataFrame([(1, v) for v in (1.0, 2.0, 3.0, float("nan"))], "g int, v double")
+    assert reports.trimmed_mean(spiked, ["g"], "v", trim=1).head().trimmed_mean == 2.5
+
+
+def test_trimmed_mean_is_one_exchange(spark, tmp_path):
+    spark.range(10).selectExpr("id % 2 AS g", "id * 0.5D AS v").write.parquet(str(tmp_path / "log"))
+    plan = reports.trimmed_mean(spark.read.parquet(str(tmp_path / "log")), ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_a_null_key_finds_its_baseline(spark):
+    series = spark.createDataFrame([(None, "base", 2.0), (None, "new", 6.0), (1, "base", 4.0), (1, "new", 2.0)], "k int, name string, v double")
+    got = {(r.k, r.name): r.relative for r in reports.normalise_to_baseline(series, ["k"], "name", "base", "v").collect()}
+    assert got == {(None, "base"): 1.0, (None, "new"): 3.0, (1, "base"): 1.0, (1, "new"): 0.5}

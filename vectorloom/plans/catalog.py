@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from vectorloom.functions.expressions import inner_product, join_text, rounded, vector_sum
 from vectorloom.operators import ivf, kmeans, partition, quality, querylog, reports, search
+from vectorloom.operators.positions import with_positions
 from vectorloom.operators.sizing import shared_path, vector_dim
 from vectorloom.plans import fixtures as fx
 from vectorloom.plans.sweep import quality_sweep as sweep
@@ -189,6 +190,20 @@ def cluster_membership(spark, sf_dir):
     return partition.cluster_membership(fx.labelled(spark, sf_dir))
 
 
+@_register
+def positions_with_gaps(spark, sf_dir):
+    """Orders per status and customer, some without either: the first and last position of each, in ranges of two sizes."""
+    status = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))
+    orders = fx.table(spark, sf_dir, "orders").select(status.alias("status"), F.nullif(F.col("o_custkey") % 50, F.lit(7)).alias("cust"))
+    placed = [
+        with_positions(orders, "cust", ["status"], bucket_rows=size).withColumn("bucket_rows", F.lit(size)) for size in (4_096, 1_000_000)
+    ]
+    both = placed[0].unionByName(placed[1]).withColumn("cust", F.coalesce("cust", F.lit(-1)))
+    return both.groupBy("bucket_rows", "status", "cust").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
+    )
+
+
 @_register
 def cluster_sizes(spark, sf_dir):
     centroids = _kmeans(spark, sf_dir)
@@ -615,6 +630,15 @@ def trimmed_mean(spark, sf_dir):
     return means.withColumn("trimmed_mean", rounded("trimmed_mean"))
 
 
+@_register
+def trimmed_mean_unnamed(spark, sf_dir):
+    """Line quantities per shipping mode, the modes that start with R without a name: rows without an id, values that repeat."""
+    mode = F.when(~F.col("l_returnflag").startswith("R"), F.col("l_returnflag"))
+    lines = fx.table(spark, sf_dir, "lineitem").select(mode.alias("flag"), "l_suppkey", F.nullif(F.col("l_quantity"), F.lit(7)).alias("v"))
+    means = reports.trimmed_mean(lines, ["flag", "l_suppkey"], "v", trim=3)
+    return means.withColumn("trimmed_mean", rounded("trimmed_mean"))
+
+
 @_register
 def distinct_levels(spark, sf_dir):
     return reports.distinct_levels(fx.table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])

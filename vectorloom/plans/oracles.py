@@ -578,6 +578,21 @@ WITH ranked AS MATERIALIZED (
   FROM events WHERE value IS NOT NULL)
 SELECT event_type, n AS n_rows, count(*) AS n_used, {_r('avg(value)')} AS trimmed_mean
 FROM ranked WHERE n <= 4 OR (up > 2 AND down > 2) GROUP BY ALL""",
+    "trimmed_mean_unnamed": f"""
+WITH lines AS MATERIALIZED (
+  SELECT CASE WHEN l_returnflag NOT LIKE 'R%' THEN l_returnflag END AS flag, l_suppkey, nullif(l_quantity, 7) AS v FROM lineitem),
+ranked AS MATERIALIZED (
+  SELECT flag, l_suppkey, v, count(*) OVER (PARTITION BY flag, l_suppkey) AS n,
+         row_number() OVER (PARTITION BY flag, l_suppkey ORDER BY v) AS i FROM lines WHERE v IS NOT NULL)
+SELECT flag, l_suppkey, n AS n_rows, count(*) AS n_used, {_r('avg(v)')} AS trimmed_mean
+FROM ranked WHERE n <= 6 OR (i > 3 AND i <= n - 3) GROUP BY ALL""",
+    "positions_with_gaps": """
+WITH placed AS (
+  SELECT CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS status, nullif(o_custkey % 50, 7) AS cust FROM orders),
+numbered AS (
+  SELECT status, cust, row_number() OVER (PARTITION BY status ORDER BY cust NULLS FIRST) - 1 AS pos FROM placed)
+SELECT bucket_rows, status, coalesce(cust, -1) AS cust, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos
+FROM numbered, (VALUES (4096), (1000000)) t(bucket_rows) GROUP BY ALL""",
     "distinct_levels": """
 WITH levels AS (
   SELECT DISTINCT 'o_orderstatus' AS "column", o_orderstatus AS level FROM orders
