@@ -260,3 +260,58 @@ def test_energy_by_fanout(spark, trace, ranked):
         ]
         assert got[c].n_batches == len(sums)
         assert (got[c].base_j, got[c].scaled_j, got[c].enhanced_j) == pytest.approx(tuple(np.mean(sums, axis=0)))
+
+
+@pytest.mark.parametrize("cut", [1, 3, 65_536])
+def test_forward_look_up_in_ranges_of_any_size(spark, cut):
+    rng = np.random.default_rng(cut)
+    sizes = [(int(c), int(s), float(v)) for c, s, v in zip(rng.integers(0, 4, 60), rng.integers(1, 40, 60), rng.random(60))]
+    sizes += [(0, 10**12, 9.0), (1, None, 1.0), (None, 5, 1.0)]
+    loads = [(int(b), int(c), int(n)) for b, c, n in zip(range(200), rng.integers(0, 5, 200), rng.integers(0, 45, 200))]
+    loads += [(900, 0, 10**11), (901, 0, 10**12 + 1), (902, 1, None), (903, None, 3)]
+    profile = spark.createDataFrame(sizes, "cluster_id int, size bigint, latency_s double")
+    table = spark.createDataFrame(loads, "batch bigint, cluster_id int, load bigint").repartition(3)
+    steps = {(r.cluster_id, r.load): r.step for r in querylog.ceiling_steps(table, profile, cut=cut).collect()}
+    for _, c, n in loads:
+        fits = [(s, v) for k, s, v in sizes if k == c and s is not None and n is not None and s >= n]
+        if n is not None:
+            step = steps[c, n]
+            assert (None if step is None else (step.size, step.latency_s)) == (min(fits) if fits else None)
+    rows = querylog.ceiling_lookup(table, profile).collect()
+    assert len(rows) == len(loads) and next(r for r in rows if r.batch == 900).size == 10**12
+
+
+def test_forward_look_up_spells_nothing_out(spark):
+    loads = spark.createDataFrame([(0, 1, 3), (1, 1, 2**60)], "batch bigint, cluster_id int, load bigint")
+    profile = spark.createDataFrame([(1, 4, 0.5), (1, 2**61, 0.75)], "cluster_id int, size bigint, latency_s double")
+    found = querylog.ceiling_lookup(loads, profile)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "sequence" not in plan
+    assert sorted((r.load, r.latency_s) for r in found.collect()) == [(3, 0.5), (2**60, 0.75)]
+
+
+@pytest.mark.parametrize("n_idle", [1, 3])
+def test_skyline_of_many_settings_loses_none_that_matters(spark, n_idle):
+    rng = np.random.default_rng(n_idle)
+    n = 3000
+    watts = {f: (float(rng.uniform(60, 400)), float(10 * rng.integers(1, n_idle + 1))) for f in range(n)}
+    cost = [(1, f, s, float(rng.uniform(0.5, 2.0)) * s) for f in range(n) for s in (4, 8)]
+    loads = [(b, 1, int(rng.integers(1, 9))) for b in range(30)]
+    profile = spark.createDataFrame(cost, "cluster_id int, frequency_mhz int, size int, latency_s double")
+    power = spark.createDataFrame([(f, *w) for f, w in watts.items()], "frequency_mhz int, busy_watts double, idle_watts double")
+    table = spark.createDataFrame(loads, "batch bigint, cluster_id int, load bigint")
+    kept = querylog.frontier(profile.join(power, "frequency_mhz"), table, n - 1).groupBy("load").count().collect()
+    assert len(kept) == len({x[2] for x in loads}) and max(r["count"] for r in kept) < 200
+    latency = {(f, s): v for _, f, s, v in cost}
+    for r in querylog.cheapest_under_deadline(table, profile, power, 9.0).collect():
+        size = 4 if r.load <= 4 else 8
+        bound = latency[n - 1, size]
+
+        def energy(f):
+            t = latency[f, size]
+            return t * watts[f][0] + max(bound - t, 0) * watts[f][1]
+
+        base = energy(n - 1)
+        assert r.base_j == pytest.approx(base)
+        for limit, got in ((bound, r.scaled_j), (max(bound, 9.0), r.enhanced_j)):
+            assert got == pytest.approx(min([base, *(energy(f) for f in range(n) if latency[f, size] < limit)]))

@@ -54,6 +54,10 @@ def batch_cluster_load(batched: DataFrame, c: int) -> DataFrame:
     return asked.groupBy("batch", "cluster_id").agg(F.count(F.lit(1)).alias("load"))
 
 
+#: Loads in a range of the forward look-up.
+_CUT = 65_536
+
+
 def ceiling_table(profile: DataFrame, loads: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
     """The profile with one row for every integer load that occurs, up to its largest size.
 
@@ -70,10 +74,36 @@ def ceiling_table(profile: DataFrame, loads: DataFrame, keys: Sequence[str] = ("
     return stepped.withColumn("load", steps).drop("_from", "_to")
 
 
+def ceiling_steps(loads: DataFrame, profile: DataFrame, keys: Sequence[str] = ("cluster_id",), cut: int = _CUT) -> DataFrame:
+    """``(*keys, load, step)``: every load that occurs, with the profile's row of the smallest size that is not below it, if there is one.
+
+    A forward as-of merge: loads and profiled sizes of a key are read once, largest first, and each load takes the size read last. The work
+    depends on how many different loads occur, not on how large they are. A key's axis is cut every ``cut`` loads, so that
+    no key is sorted by one task; what a range finds beyond its end comes from a table with a row per range. Of several rows with the same
+    size the one with the least other values counts; sizes and loads that are NULL match nothing.
+    """
+    keys = list(keys)
+    others = [c for c in profile.columns if c not in keys]
+    row = F.struct("size", *[c for c in others if c != "size"])
+    known = profile.where(F.col("size").isNotNull()).groupBy(*keys, F.col("size").cast("double").alias("_at")).agg(F.min(row).alias("step"))
+    asked = loads.where(F.col("load").isNotNull()).select(*keys, "load").distinct()
+    both = known.withColumns({"load": F.lit(None).cast(loads.schema["load"].dataType), "_kind": F.lit(1)}).unionByName(
+        asked.withColumns({"_at": F.col("load").cast("double"), "_kind": F.lit(0), "step": F.lit(None).cast(known.schema["step"].dataType)})
+    )
+    both = both.withColumn("_range", F.floor(F.col("_at") / cut))
+    ends = both.groupBy(*keys, "_range").agg(F.min("step").alias("step"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = ends.withColumn("step", F.last("step", ignorenulls=True).over(before)).where(F.col("step").isNotNull())
+    beyond = beyond.withColumns({"_at": F.lit(float("inf")), "load": F.lit(None).cast(loads.schema["load"].dataType), "_kind": F.lit(2)})
+    down = Window.partitionBy(*keys, "_range").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.unionByName(beyond).withColumn("step", F.last("step", ignorenulls=True).over(down))
+    return found.where("_kind = 0").select(*keys, "load", "step")
+
+
 def ceiling_lookup(loads: DataFrame, profile: DataFrame, keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
     """Add ``size`` and ``latency_s`` of the smallest profiled size >= load; NULL if there is none."""
-    table = ceiling_table(profile.select(*keys, "size", "latency_s"), loads, keys)
-    return loads.join(table, [*keys, "load"], "left")
+    steps = ceiling_steps(loads, profile.select(*keys, "size", "latency_s"), keys)
+    return loads.join(steps, [*keys, "load"], "left").select(*loads.columns, "step.size", "step.latency_s")
 
 
 def sampling_cost(profile: DataFrame, batch_size: int) -> DataFrame:
@@ -183,6 +213,23 @@ def cost_sweep(
     )
 
 
+def frontier(priced: DataFrame, loads: DataFrame, top: int | None = None) -> DataFrame:
+    """``(cluster_id, load, frequency_mhz, size, latency_s, busy_watts, idle_watts)``: for every load that occurs, the settings worth a look.
+
+    Each frequency takes its smallest profiled size that is not below the load (:func:`ceiling_steps`). A setting is left out if another one
+    with the same idle power is no slower and needs no more energy beyond its idle power: it is no worse under any deadline. What is
+    left is a skyline, found by a running minimum over ascending times. The setting of the frequency ``top`` always stays.
+    """
+    asked = loads.select("cluster_id", "load").distinct().join(priced.select("cluster_id", "frequency_mhz").distinct(), "cluster_id")
+    steps = ceiling_steps(asked, priced, ("cluster_id", "frequency_mhz")).where(F.col("step").isNotNull())
+    rows = steps.select("cluster_id", "load", "frequency_mhz", "step.*")
+    beyond_idle = F.col("latency_s") * (F.col("busy_watts") - F.col("idle_watts"))
+    faster = Window.partitionBy("cluster_id", "load", "idle_watts").orderBy("latency_s", "_beyond", "frequency_mhz").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("_beyond", beyond_idle).withColumn("_least", F.min("_beyond").over(faster))
+    worth = F.col("_least").isNull() | (F.col("_beyond") < F.col("_least"))
+    return ranked.where(worth if top is None else worth | (F.col("frequency_mhz") == top)).drop("_beyond", "_least")
+
+
 def cheapest_under_deadline(
     loads: DataFrame, profile: DataFrame, power: DataFrame, slack_s: float = 0.0, by: Sequence[str] = ("batch",)
 ) -> DataFrame:
@@ -193,18 +240,16 @@ def cheapest_under_deadline(
     latency is strictly below that straggler time (``scaled``) or below the larger of straggler time
     and ``slack_s`` (``enhanced``); energy is busy power while searching plus idle power for the rest
     of the straggler time. Without a better option the base energy stands. A batch with a load outside
-    the profile at the top frequency has no known straggler time: its energies are NULL.
+    the profile at the top frequency has no known straggler time: its energies are NULL. Only the settings on the :func:`frontier` are compared.
     """
-    # all settings of a (cluster, load) travel together, so one look-up serves base and options
     priced = profile.join(power, "frequency_mhz")
-    setting = F.struct("frequency_mhz", "latency_s", "busy_watts", "idle_watts")
+    # the top clock is the largest that was measured and has a power
+    top = priced.agg(F.max("frequency_mhz").alias("top")).head().top
     options = (
-        ceiling_table(priced, loads, ("cluster_id", "frequency_mhz"))
+        frontier(priced, loads, top)
         .groupBy("cluster_id", "load")
-        .agg(F.sort_array(F.collect_list(setting)).alias("options"))
+        .agg(F.sort_array(F.collect_list(F.struct("frequency_mhz", "latency_s", "busy_watts", "idle_watts"))).alias("options"))
     )
-    # the top clock is the largest that was measured and has a power
-    top = priced.agg(F.max("frequency_mhz").alias("top")).head().top
     matched = loads.join(options, ["cluster_id", "load"], "left")
     matched = matched.withColumn("base", F.get(F.filter("options", lambda o: o["frequency_mhz"] == F.lit(top)), 0))
     # a batch is a small group (at most its queries times the fan-out), so its maximum is a window
