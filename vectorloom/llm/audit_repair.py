@@ -242,7 +242,8 @@ def inspect_rows(rows: DataFrame) -> DataFrame:
     kind = F.when(initial == "s", SYSTEM).when(initial == "u", USER).when(initial == "a", ASSISTANT).otherwise(OTHER)
     fault = F.when(visible == "", BLANK).when(F.right(visible, F.lit(1)).isin(".", "!", "?"), NONE).otherwise(CUT)
     compact = rows.select("conv_id", "turn", "role", _said().alias("said"), kind.cast("int").alias("kind"), fault.cast("int").alias("fault"))
-    placed = ordered_rows(compact, ["turn", "role", "said"], by=["conv_id"]).drop("role")
+    # written first: putting rows in order reads them three times (count, sample, exchange)
+    placed = ordered_rows(checkpointed(compact), ["turn", "role", "said"], by=["conv_id"]).drop("role")
     first = placed.groupBy("conv_id", "said").agg(F.min("_ord").alias("_first")).select("_first")
     marked = placed.join(first, F.col("_ord") == F.col("_first"), "left")
     repeated = F.col("_first").isNull() & (F.col("fault") != BLANK)
@@ -271,7 +272,26 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[li
         yield rows
 
 
+class _Output:
+    """Rows gathered into batches of bounded weight."""
+
+    def __init__(self, types: dict[str, pa.DataType]):
+        self.types, self.rows, self.weight = types, [], 0
+
+    def add(self, rows: list[dict], weight: int) -> Iterator[pa.RecordBatch]:
+        self.rows += rows
+        self.weight += weight
+        if self.weight >= BLOCK:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield _record(self.rows, self.types)
+        self.rows, self.weight = [], 0
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Output(_SEGMENT_TYPES)
     for rows in _runs(batches, ["conv_id", "block"]):
         kinds, faults = [r["kind"] for r in rows], [r["fault"] for r in rows]
         turns = [r["turn"] for r in rows if r["turn"] is not None]
@@ -286,7 +306,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "kinds": bytes(kinds),
             "said": b"".join(r["said"] for r in rows),
         }
-        yield _record([one], _SEGMENT_TYPES)
+        yield from out.add([one], len(rows))
+    yield from out.rest()
 
 
 def _record(rows: list[dict], types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -312,6 +333,7 @@ _LARGEST = (1 << 63) - 1
 
 
 def _choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Output(_CHOICE_TYPES)
     for blocks in _runs(batches, ["conv_id"]):
         cost, last = joined_audit([[(a["entry"], a["state"], a["cost"], a["audit"]) for a in b["audits"]] for b in blocks])
         with_turns = [b for b in blocks if b["turns"]]
@@ -323,21 +345,22 @@ def _choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "conv_id": blocks[0]["conv_id"], "gaps": min(gaps, _LARGEST), "blank": blank, "duplicate": duplicate, "truncated": cut,
             "illegal": illegal, "cost": cost, "audit": last.text(),
         }
-        yield _record([report], _CHOICE_TYPES)
-        state, place, rows = START, 0, []
+        state, place, rows = START, 0, [report]
         parts = [n.part for n in last.parts()]
         parts[len(blocks) - 1 :] = ["".join(parts[len(blocks) - 1 :])]  # messages at the end belong to the last block
         for block, part in zip(blocks, parts):
             rows.append(dict.fromkeys(_CHOICE_TYPES) | {"conv_id": block["conv_id"], "block": block["block"], "place": place, "state": state, "audit": part})
             for edit, _, after in replay(part, state, block["kinds"]):
                 state, place = after, place + (edit != "D")
-        yield _record(rows, _CHOICE_TYPES)
+        yield from out.add(rows, sum(b["n"] for b in blocks))
+    yield from out.rest()
 
 
 _ENTRY_TYPES = {"conv_id": pa.int64(), "place": pa.int64(), "edit": pa.string(), "new_role": pa.string(), "said": pa.binary()}
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Output(_ENTRY_TYPES)
     for batch in batches:
         for block in batch.to_pylist():
             place, rows = block["place"], []
@@ -348,7 +371,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 said = None if row is None else block["said"][32 * row : 32 * row + 32]
                 rows.append({"conv_id": block["conv_id"], "place": place, "edit": edit, "new_role": role, "said": said})
                 place += 1
-            yield _record(rows, _ENTRY_TYPES)
+            yield from out.add(rows, len(rows))
+    yield from out.rest()
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
