@@ -310,7 +310,8 @@ def merkle_manifest(
         leaf_digest([F.col(c) for c in columns]).alias("leaf"),
         *[c.cast("string").alias(f"candidate_{name}") for name, c in further.items()],
     )
-    placed = ordered_rows(hashed, ["doc_id", "leaf"], by=["tree"]).withColumnRenamed("pos", "i").drop("_ord")
+    # written first: putting rows in order reads them three times (count, sample, exchange)
+    placed = ordered_rows(checkpointed(hashed), ["doc_id", "leaf"], by=["tree"]).withColumnRenamed("pos", "i").drop("_ord")
     sizes = placed.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
     leaves = join_small(placed, sizes, ["tree"], "i", null_safe=True)
     tiers = build_logs(leaves.withColumnRenamed("leaf", "hash"), levels, arity)
