@@ -1,3 +1,5 @@
+import random
+
 from vectorloom.llm import html_wrapper as hw
 
 SCHEMA = "page_id bigint, url string, html string, host string, wrapper string, text string"
@@ -143,3 +145,53 @@ def test_dropped_elements_end_where_they_should():
 def test_a_page_goes_on_after_an_unclosed_element(spark):
     story = "<article><svg viewBox='0 0 1 1'/><p>one <button>two</p><video-player>three</video-player><p>four</p></article>"
     assert _extract(spark, [(1, "http://h.example", story)])[1].text == "one two\n\nthree\n\nfour"
+
+
+def test_deep_nesting(spark):
+    depth = 5000
+    deep = "<html><body>" + "<div>" * depth + "<article><p>inside {n}</p></article>" + "</div>" * depth + "</body></html>"
+    spans = "<article>" + "<section><b>" * depth + "text {n}"
+    pages = [(n, "http://deep.example/", (deep if n % 2 else spans).format(n=n)) for n in range(6)]
+    for options in ({}, {"shipped_bytes": 0}):
+        got = _extract(spark, pages, **options)
+        assert {n: r.text for n, r in got.items()} == {n: f"inside {n}" if n % 2 else f"text {n}" for n in range(6)}
+
+
+def test_irregular_blocks(spark):
+    rng = random.Random(3)
+    pages, want = [], {}
+    for n in range(3):
+        names = rng.choices(["p", "div", "h2", "ul", "pre", "section"], k=20_000)
+        pages.append((n, "http://odd.example/", "<article>" + "".join(f"<{t} class='{rng.choice('abcdefgh')}'>b{n} {k}</{t}>" for k, t in enumerate(names)) + "</article>"))
+        want[n] = "\n\n".join(f"b{n} {k}" for k in range(20_000))
+    assert {n: r.text for n, r in _extract(spark, pages).items()} == want
+
+
+def test_generated_class_names_keep_wrappers_small(spark):
+    rng = random.Random(4)
+    odd = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    pages, want = [], {}
+    for n in range(400):
+        blocks = "".join(f"<div class='{odd()}'><p class='{odd()}'>story {n} {k}</p></div>" for k in range(12))
+        pages.append((n, "http://odd.example/", f"<nav class='{odd()}'><a>menu</a></nav><main><article class='{odd()}'>{blocks}</article></main>"))
+        want[n] = "\n\n".join(f"story {n} {k}" for k in range(12))
+    frame = spark.createDataFrame([(p[1], p[2]) for p in pages], "url string, html string").repartition(4)
+    assert max(len(r.wrapper) for r in hw.infer_wrappers(frame).collect()) < 200_000
+    for options in ({}, {"shipped_bytes": 0}):
+        assert {n: r.text for n, r in _extract(spark, pages, **options).items()} == want
+
+
+def test_common_places_are_ascending_pairs_of_equals():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randrange(12)) for _ in range(2))
+        pairs = hw.common_places(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+    assert hw.common_places("abcabc", "abcabc") == [(i, i) for i in range(6)]
+    assert hw.common_places("axbxc", "abc") == [(0, 0), (2, 1), (4, 2)]
+
+
+def test_wrappers_as_text():
+    one = hw.page_wrapper(hw.parse("<div class='x'><dl>" + "<dt>a</dt><dd>b</dd>" * 3 + "</dl><p>c<p>d</div>e"))
+    assert hw.unpacked(hw.packed(one)) == one

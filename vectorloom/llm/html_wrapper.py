@@ -10,12 +10,15 @@ Tasks infer a wrapper per host from their own pages, and these are merged, so a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +38,9 @@ MENU_SHARE, MAIN_SHARE = 0.6, 0.7
 #: Longest group of elements that is looked for as a repetition.
 PERIOD = 3
 
+#: Signatures of elements of one name, and children, that an item of a wrapper keeps apart.
+VARIETY, MOST_KIDS = 64, 2000
+
 # fixed values: elements by their part in a page
 _RAW = "script|style|noscript|template|iframe|textarea"  # dropped with all up to the end tag, or else to the end of the page
 _DROPPED = set("object svg math canvas audio video select button".split())  # dropped with what they hold if there is an end tag
@@ -72,6 +78,27 @@ _ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|(
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def deep(function):
+    """Recursion on the heap: the function yields the recursive calls it makes (of its ``.step``) and is sent their results."""
+
+    @functools.wraps(function)
+    def call(*args, **options):
+        waiting, result = [function(*args, **options)], None
+        while waiting:
+            try:
+                inner = waiting[-1].send(result)
+            except StopIteration as done:
+                waiting.pop()
+                result = done.value
+            else:
+                waiting.append(inner)
+                result = None
+        return result
+
+    call.step = function
+    return call
+
+
 class Element:
     """An element of a page: its name with class and id, its children (elements and strings), and the length of its own link text."""
 
@@ -134,6 +161,17 @@ def parse(page: str) -> Element:
     """A page as a tree of its block elements; inline elements without boilerplate marks dissolve into the text around them."""
     root = Element("", "")
     stack, at, in_link = [root], 0, 0
+    opened: Counter[str] = Counter()  # names on the stack: what isn't there needn't be looked for
+
+    def push(element: Element) -> None:
+        stack[-1].kids.append(element)
+        stack.append(element)
+        opened[element.name] += 1
+
+    def close(depth: int) -> None:
+        opened.subtract(e.name for e in stack[depth:])
+        del stack[depth:]
+
     tokens = list(_TOKEN.finditer(page))
     ends = _ends(tokens)
     for token in tokens:
@@ -156,11 +194,11 @@ def parse(page: str) -> Element:
         if token[2]:
             if name == "a":
                 in_link = 0
-            if name in _INLINE and not any(e.name == name for e in stack[1:]):
+            if not opened[name]:
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if name in _INLINE and stack[depth].name not in _INLINE:
                     break
@@ -178,22 +216,19 @@ def parse(page: str) -> Element:
                 in_link = 1
             sig = signature(name, attributes) if attributes else name
             if "!" in sig and not attributes.rstrip().endswith("/"):
-                element = Element(name, sig)
-                stack[-1].kids.append(element)
-                stack.append(element)
+                push(Element(name, sig))
             continue
         # elements whose end tag is left out
-        for depth in range(len(stack) - 1, 0, -1):
+        closable = any(opened[other] for other in ("p", *_CLOSED_BY.get(name, ())))
+        for depth in range(len(stack) - 1, 0, -1) if closable else ():
             other = stack[depth].name
             if other == "p" or other in _CLOSED_BY.get(name, ()):
-                del stack[depth:]
+                close(depth)
                 if other == "p" and name not in _CLOSED_BY:
                     break
             elif other in _SCOPES.get(name, ()) or (name not in _CLOSED_BY and other not in _INLINE):
                 break
-        element = Element(name, signature(name, attributes))
-        stack[-1].kids.append(element)
-        stack.append(element)
+        push(Element(name, signature(name, attributes)))
     if at < len(page):
         stack[-1].kids.append(page[at:])
     return root
@@ -207,19 +242,20 @@ _SIG, _MANY, _PAGES, _CHARS, _LINKS, _FIXED, _KIDS = range(7)
 def page_digest(element: Element) -> int:
     """Digest of a page's strings outside boilerplate: copies of a page share it, also those that differ in adverts or scripts only."""
     digest = hashlib.blake2b(digest_size=6)
-
-    def add(element: Element) -> None:
-        for kid in element.kids:
-            if isinstance(kid, str):
-                digest.update(" ".join(kid.split()).encode("utf-8", "surrogatepass"))
-            elif "!" not in kid.sig:
-                digest.update(b"\0")
-                add(kid)
-
-    add(element)
+    waiting = [iter(element.kids)]
+    while waiting:
+        kid = next(waiting[-1], None)
+        if kid is None:
+            waiting.pop()
+        elif isinstance(kid, str):
+            digest.update(" ".join(kid.split()).encode("utf-8", "surrogatepass"))
+        elif "!" not in kid.sig:
+            digest.update(b"\0")
+            waiting.append(iter(kid.kids))
     return int.from_bytes(digest.digest())
 
 
+@deep
 def page_wrapper(element: Element, page: int | None = None) -> list:
     """The wrapper of one page, whose digest is ``page``."""
     page = page_digest(element) if page is None else page
@@ -231,10 +267,10 @@ def page_wrapper(element: Element, page: int | None = None) -> list:
         if text:
             _slot(kids, text, page)
             text = []
-        kids.append(page_wrapper(kid, page))
+        kids.append((yield page_wrapper.step(kid, page)))
     if text:
         _slot(kids, text, page)
-    return [element.sig, 0, 1, 0, element.links, None, fold(kids)]
+    return [element.sig, 0, 1, 0, element.links, None, (yield fold.step(kids))]
 
 
 def _slot(kids: list, text: list[str], page: int) -> None:
@@ -252,12 +288,13 @@ def _same(a: list, b: list) -> bool:
     return a[_SIG] == b[_SIG] and (a[_SIG] != "()" or [k[_SIG] for k in a[_KIDS]] == [k[_SIG] for k in b[_KIDS]])
 
 
+@deep
 def fold(items: list) -> list:
     """Equal neighbours become one repeated item, equal neighbouring groups one repeated group."""
     out: list = []
     for item in items:
         if out and item[_SIG] != "#" and _same(out[-1], item):
-            out[-1] = merge(out[-1], item, repeat=True)
+            out[-1] = yield merge.step(out[-1], item, True)
         else:
             out.append(item)
     for period in range(2, PERIOD + 1):
@@ -265,57 +302,164 @@ def fold(items: list) -> list:
         while at + 2 * period <= len(out):
             unit, following = out[at : at + period], out[at + period : at + 2 * period]
             if all(_same(a, b) for a, b in zip(unit, following)):
-                merged = [merge(a, b, repeat=True) for a, b in zip(unit, following)]
-                for item in merged:
-                    item[_MANY] = 0
+                merged = []
+                for a, b in zip(unit, following):
+                    merged.append((yield merge.step(a, b, True)))
+                    merged[-1][_MANY] = 0
                 pages = max(k[_PAGES] for k in merged)
                 group = ["()", 1, pages, 0, 0, None, merged]
                 out[at : at + 2 * period] = [group]
                 # further units of the same shape
                 while [k[_SIG] for k in out[at + 1 : at + 1 + period]] == [k[_SIG] for k in group[_KIDS]]:
-                    group[_KIDS] = [merge(a, b, repeat=True) for a, b in zip(group[_KIDS], out[at + 1 : at + 1 + period])]
+                    kids = []
+                    for a, b in zip(group[_KIDS], out[at + 1 : at + 1 + period]):
+                        kids.append((yield merge.step(a, b, True)))
+                    group[_KIDS] = kids
                     del out[at + 1 : at + 1 + period]
             at += 1
     return out
 
 
+@deep
 def merge(a: list, b: list, repeat: bool = False) -> list:
     """One item for two that are aligned, of different pages or, with ``repeat``, of one."""
     pages = max(a[_PAGES], b[_PAGES]) if repeat else a[_PAGES] + b[_PAGES]
     fixed = a[_FIXED]
     if fixed != b[_FIXED]:
         fixed = [fixed[0], *sorted({*fixed[1:], *b[_FIXED][1:]})[:TEMPLATE_PAGES]] if fixed and b[_FIXED] and fixed[0] == b[_FIXED][0] else None
-    return [a[_SIG], 1 if repeat else a[_MANY] | b[_MANY], pages, a[_CHARS] + b[_CHARS], a[_LINKS] + b[_LINKS], fixed, align(a[_KIDS], b[_KIDS], repeat)]
+    kids = yield align.step(a[_KIDS], b[_KIDS], repeat)
+    return [a[_SIG], 1 if repeat else a[_MANY] | b[_MANY], pages, a[_CHARS] + b[_CHARS], a[_LINKS] + b[_LINKS], fixed, kids]
+
+
+def _key(item: list):
+    """What aligned items have in common."""
+    return item[_SIG] if item[_SIG] != "()" else tuple(k[_SIG] for k in item[_KIDS])
+
+
+def common_places(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Ascending pairs of places with equal values: the common ends, and between them a longest ascending choice of equal occurrences.
+
+    The k-th occurrence of a value on one side can only meet the k-th one on the other, so time and space stay near the length of
+    the sides, however irregular they are.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    places: dict = {}
+    for j in range(head, len(b) - tail):
+        places.setdefault(b[j], []).append(j)
+    met: dict = {}
+    pairs = []
+    for i in range(head, len(a) - tail):
+        k = met[a[i]] = met.get(a[i], -1) + 1
+        if k < len(places.get(a[i], ())):
+            pairs.append((i, places[a[i]][k]))
+    ends: list[int] = []  # place in b of the last pair of the best ascending run of each length
+    last, before = [], []
+    for n, (_, j) in enumerate(pairs):
+        size = bisect_left(ends, j)
+        if size == len(ends):
+            ends.append(j)
+            last.append(n)
+        else:
+            ends[size], last[size] = j, n
+        before.append(last[size - 1] if size else -1)
+    middle = []
+    n = last[-1] if last else -1
+    while n >= 0:
+        middle.append(pairs[n])
+        n = before[n]
+    return [(i, i) for i in range(head)] + middle[::-1] + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
 
 
+@deep
 def align(a: list, b: list, repeat: bool = False) -> list:
-    """Children of two aligned items: a longest common subsequence is merged, the rest stays and is thereby optional."""
-    if len(a) == len(b) and all(_same(x, y) for x, y in zip(a, b)):
-        return [merge(x, y, repeat) if not repeat else _joined(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
+    """Children of two aligned items: a common subsequence is merged, the rest stays and is thereby optional.
+
+    Aligned children of two repetitions occur as often per repetition as before.
+    """
+    pairs = common_places([_key(x) for x in a], [_key(y) for y in b])
     out, i, j = [], 0, 0
-    while i < n and j < m:
-        if _same(a[i], b[j]):
-            out.append(_joined(a[i], b[j]) if repeat else merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(a[i])
-            i += 1
+    for x, y in [*pairs, (len(a), len(b))]:
+        out += a[i:x]
+        out += b[j:y]
+        if x < len(a) and y < len(b):
+            one = yield merge.step(a[x], b[y], repeat)
+            if repeat:
+                one[_MANY] = a[x][_MANY] | b[y][_MANY]
+            out.append(one)
+        i, j = x + 1, y + 1
+    if len(pairs) == len(a) == len(b):
+        return out
+    return (yield compact.step((yield fold.step(out))))
+
+
+def general(sig: str) -> str:
+    """A signature without class and id."""
+    return sig.split(".", 1)[0]
+
+
+@deep
+def compact(items: list) -> list:
+    """Keep an item's children few, however irregular the pages are.
+
+    Elements of one name that have more than VARIETY signatures (generated class names) lose their class and id. Beyond MOST_KIDS children
+    the order is given up: equal ones become a single item that may be met again anywhere.
+    """
+    if len(items) <= VARIETY:
+        return items
+    kinds: dict[str, set[str]] = {}
+    for item in items:
+        kinds.setdefault(general(item[_SIG]), set()).add(item[_SIG])
+    many = {name for name, sigs in kinds.items() if len(sigs) > VARIETY}
+    if many:
+        items = [[general(item[_SIG]), *item[1:]] if general(item[_SIG]) in many else item for item in items]
+        items = yield fold.step(items)
+    if len(items) <= MOST_KIDS:
+        return items
+    bag: dict = {}
+    for item in items:
+        key = _key(item)
+        bag[key] = (yield merge.step(bag[key], item, True)) if key in bag else item
+    return list(bag.values())
+
+
+def packed(item: list) -> str:
+    """A wrapper as text: its items in document order, each with the number of its children."""
+    flat, waiting = [], [item]
+    while waiting:
+        one = waiting.pop()
+        flat.append([*one[:_KIDS], len(one[_KIDS])])
+        waiting += reversed(one[_KIDS])
+    return json.dumps(flat)
+
+
+def unpacked(text: str) -> list:
+    """Undo :func:`packed`."""
+    root: list = []
+    open_items: list[list] = []  # (children so far, how many there are)
+    for *values, n_kids in json.loads(text):
+        item = [*values, []]
+        if open_items:
+            kids, n = open_items[-1]
+            kids.append(item)
         else:
-            out.append(b[j])
-            j += 1
-    return fold(out + a[i:] + b[j:])
+            root = item
+        open_items.append([item[_KIDS], n_kids])
+        while open_items and len(open_items[-1][0]) == open_items[-1][1]:
+            open_items.pop()
+    return root
 
 
-def _joined(a: list, b: list) -> list:
-    """Aligned children of two repetitions: merged, but each occurs as often per repetition as before."""
-    out = merge(a, b, repeat=True)
-    out[_MANY] = a[_MANY] | b[_MANY]
-    return out
+def _in_order(item: list) -> list[list]:
+    """All items below and with ``item``, parents first."""
+    found = [item]
+    for one in found:
+        found += one[_KIDS]
+    return found
 
 
 class Wrapper:
@@ -324,48 +468,53 @@ class Wrapper:
     def __init__(self, root: list):
         self.root = root
         self.total: dict[int, tuple[int, int, int]] = {}
+        self.places: dict[int, tuple[dict[str, list[int]], set[int]]] = {}
         self._weigh(root)
         self.articles = self._articles(root)
         self.region = self._region(root)
 
-    def _weigh(self, item: list) -> tuple[int, int, int]:
+    def _weigh(self, root: list) -> None:
         """Characters without template strings, link characters, and all characters below an item, without boilerplate."""
-        if "!" in item[_SIG]:
-            chars, links, all_chars = 0, 0, 0
-        else:
-            chars, links, all_chars = (0 if _template(item) else item[_CHARS]), item[_LINKS], item[_CHARS]
-            for kid in item[_KIDS]:
-                c, n, every = self._weigh(kid)
-                chars, links, all_chars = chars + c, links + n, all_chars + every
-        self.total[id(item)] = (chars, links, all_chars)
-        return chars, links, all_chars
-
-    def _articles(self, item: list, inside: bool = False) -> set[int]:
+        for item in reversed(_in_order(root)):
+            if "!" in item[_SIG]:
+                chars, links, all_chars = 0, 0, 0
+            else:
+                chars, links, all_chars = (0 if _template(item) else item[_CHARS]), item[_LINKS], item[_CHARS]
+                for kid in item[_KIDS]:
+                    c, n, every = self.total[id(kid)]
+                    chars, links, all_chars = chars + c, links + n, all_chars + every
+            self.total[id(item)] = (chars, links, all_chars)
+
+    def _articles(self, root: list) -> set[int]:
         """Items marked as articles; an outer one, like ``main``, gives way to those inside it that hold most of its text."""
-        if "!" in item[_SIG]:
-            return set()
-        inner: set[int] = set()
-        for kid in item[_KIDS]:
-            inner |= self._articles(kid)
-        if "*" in item[_SIG]:
-            held = sum(self.total[k][0] for k in inner)
-            return inner if inner and held * 2 >= self.total[id(item)][0] else {id(item)}
-        return inner
+        found: dict[int, list[int]] = {}
+        for item in reversed(_in_order(root)):
+            inner = [] if "!" in item[_SIG] else [one for kid in item[_KIDS] for one in found.pop(id(kid), ())]
+            if "*" in item[_SIG] and "!" not in item[_SIG]:
+                held = sum(self.total[one][0] for one in inner)
+                inner = inner if inner and held * 2 >= self.total[id(item)][0] else [id(item)]
+            if inner:
+                found[id(item)] = inner
+        return set(found.get(id(root), ()))
+
+    def _outside(self, root: list) -> dict[int, int]:
+        """Changing characters below each item that stand in no article."""
+        found: dict[int, int] = {}
+        for item in reversed(_in_order(root)):
+            free = id(item) not in self.articles and "!" not in item[_SIG]
+            found[id(item)] = self.total[id(item)][0] - sum(self.total[id(k)][0] - found[id(k)] for k in item[_KIDS]) if free else 0
+        return found
 
     def _region(self, item: list) -> set[int]:
         """For pages without article, the item below which most of the changing text outside articles stands."""
+        outside = self._outside(item)
         while True:
-            chars = self._outside(item)
-            down = [k for k in item[_KIDS] if k[_SIG] not in ("#", "()") and self._outside(k) > MAIN_SHARE * chars and not self.menu(k)]
+            chars = outside[id(item)]
+            down = [k for k in item[_KIDS] if k[_SIG] not in ("#", "()") and outside[id(k)] > MAIN_SHARE * chars and not self.menu(k)]
             if not down or not chars or down[0][_MANY]:
                 return {id(item)}
             item = down[0]
 
-    def _outside(self, item: list) -> int:
-        if id(item) in self.articles or "!" in item[_SIG]:
-            return 0
-        return self.total[id(item)][0] - sum(self.total[id(k)][0] - self._outside(k) for k in item[_KIDS])
-
     def menu(self, item: list, template: bool = False) -> bool:
         chars, links, all_chars = self.total[id(item)]
         return item[_SIG] != "#" and links > MENU_SHARE * max(all_chars if template else chars, 1)
@@ -381,9 +530,10 @@ class Wrapper:
                     self._walk(page, self.root, id(self.root) in region, region, True, template, blocks)
         return blocks
 
-    def _walk(self, element: Element, item: list, inside: bool, region: set[int], strict: bool, template: bool, blocks: list[str]) -> None:
+    @deep
+    def _walk(self, element: Element, item: list, inside: bool, region: set[int], strict: bool, template: bool, blocks: list[str]):
         """Match children with items in order; ``strict`` also leaves out menus and, without ``template``, template strings."""
-        items, at, text = item[_KIDS], 0, []
+        at, text = 0, []
 
         def flush() -> None:
             said = " ".join(entities.unescape("".join(text)).split())
@@ -391,7 +541,7 @@ class Wrapper:
             if said and inside:
                 if strict and not template:
                     digest = zlib.crc32(" ".join(said.split()).encode("utf-8", "surrogatepass"))
-                    if any(_template(k) and k[_FIXED][0] == digest for k in items):
+                    if digest in self._lookup(item)[1]:
                         return
                 blocks.append(said)
 
@@ -406,26 +556,42 @@ class Wrapper:
             flush()
             if kid.name == "header" and not inside:
                 continue
-            match, at = self._match(items, at, kid.sig)
+            match, at = self._match(item, at, kid.sig)
             if match is None:
                 match = ["", 0, 0, 0, 0, None, []]
             elif strict and self.menu(match, template):
                 continue
-            self._walk(kid, match, inside or id(match) in region, region, strict, template, blocks)
+            yield self._walk.step(self, kid, match, inside or id(match) in region, region, strict, template, blocks)
         flush()
 
-    @staticmethod
-    def _match(items: list, at: int, sig: str) -> tuple[list | None, int]:
-        """The next item for a signature, from ``at`` on, else from the start; a repeated item or group may be met again."""
-        for place in (*range(at, len(items)), *range(at)):
-            item = items[place]
-            if item[_SIG] == sig:
-                return item, place if item[_MANY] else place + 1
-            if item[_SIG] == "()":
-                for member in item[_KIDS]:
-                    if member[_SIG] == sig:
-                        return member, place
-        return None, at
+    def _lookup(self, item: list) -> tuple[dict[str, list[int]], set[int]]:
+        """The places of a signature among an item's children, in groups too, and the digests of its template strings."""
+        if not item[_KIDS]:
+            return _NOTHING
+        if id(item) not in self.places:
+            places: dict[str, list[int]] = {}
+            for place, kid in enumerate(item[_KIDS]):
+                for sig in {k[_SIG] for k in kid[_KIDS]} if kid[_SIG] == "()" else (kid[_SIG],):
+                    places.setdefault(sig, []).append(place)
+            self.places[id(item)] = places, {k[_FIXED][0] for k in item[_KIDS] if _template(k)}
+        return self.places[id(item)]
+
+    def _match(self, item: list, at: int, sig: str) -> tuple[list | None, int]:
+        """The next child for a signature, from ``at`` on, else from the start; a repeated item or group may be met again."""
+        known = self._lookup(item)[0]
+        if sig not in known:
+            sig = general(sig)
+        places = known.get(sig)
+        if not places:
+            return None, at
+        place = places[bisect_left(places, at) % len(places)]
+        found = item[_KIDS][place]
+        if found[_SIG] == sig:
+            return found, place if found[_MANY] else place + 1
+        return next(k for k in found[_KIDS] if k[_SIG] == sig), place
+
+
+_NOTHING: tuple[dict[str, list[int]], set[int]] = {}, set()
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +600,7 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def report() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"]
+            [pa.array(list(held), pa.string()), pa.array([packed(w) for w in held.values()], pa.string())], names=["host", "wrapper"]
         )
         held.clear()
         return out
@@ -455,17 +621,17 @@ def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         hosts, wrappers = [], []
         for name, text in zip(batch.column("host").to_pylist(), batch.column("wrapper")):
-            one = json.loads(text.as_py())
+            one = unpacked(text.as_py())
             if whole is not None and name == host:
                 whole = merge(whole, one)
             else:
                 if whole is not None:
                     hosts.append(host)
-                    wrappers.append(json.dumps(whole))
+                    wrappers.append(packed(whole))
                 host, whole = name, one
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(wrappers, pa.string())], names=["host", "wrapper"])
     if whole is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(whole)], pa.string())], names=["host", "wrapper"])
+        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([packed(whole)], pa.string())], names=["host", "wrapper"])
 
 
 def host_of(url: Column) -> Column:
@@ -487,22 +653,28 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 
 def _extract(shipped: dict[str, str] | None):
+    """Texts of pages, whose wrappers are at hand, or come before the pages of their host in the rows (html null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: dict[str, Wrapper] = {}
         for batch in batches:
             hosts = batch.column("host").to_pylist()
-            joined = None if shipped is not None else batch.column("wrapper")
+            given = None if shipped is not None else batch.column("wrapper")
             column, bounds = batch.column("html"), words.text_buffer(batch.column("html"))[1]
             for a, b in words.chunks(bounds, 1 << 23):
-                texts = []
+                texts, pages = [], []
                 for n in range(a, b):
                     host = hosts[n]
+                    if given is not None and given[n].is_valid:
+                        ready = {host: Wrapper(unpacked(given[n].as_py()))}  # one host's wrapper at a time
+                        continue
                     if host not in ready:
                         if len(ready) > HELD_HOSTS:
                             ready.clear()
-                        ready[host] = Wrapper(json.loads(shipped[host] if joined is None else joined[n].as_py()))
+                        ready[host] = Wrapper(unpacked(shipped[host]))
                     texts.append("\n\n".join(ready[host].extract(parse(column[n].as_py() or ""))))
-                part = batch.slice(a, b - a)
+                    pages.append(n)
+                part = batch.take(pa.array(pages, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run
@@ -526,6 +698,10 @@ def extract_text(
     if size <= shipped_bytes:
         met, shipped = rows, {r.host: r.wrapper for r in wrappers.collect()}
     else:
-        met, shipped = rows.join(wrappers, "host", "left"), None
+        # pages of a host are dealt over SALTS tasks; each gets the wrapper once, before its pages
+        dealt = rows.withColumns({"salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)), "wrapper": F.lit(None).cast("string"), "page": F.lit(1)})
+        copies = wrappers.withColumns({"salt": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))), "page": F.lit(0)})
+        both = dealt.unionByName(copies, allowMissingColumns=True).repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
+        met, shipped = both.drop("salt", "page"), None
     out = met.mapInArrow(_extract(shipped), "page_id bigint, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
