@@ -284,6 +284,17 @@ def index_extend(spark, sf_dir):
     return _postings(index_store.index_read(spark, path).postings)
 
 
+@_register
+def index_compact(spark, sf_dir):
+    """An index written with a tenth of its vectors; the others come in nine additions, which are merged by threes."""
+    path = _partly_filled(spark, sf_dir, "compacted", F.col("vec_id") % 10 == 0)
+    rows = fx.partitioned(spark, sf_dir, "label")
+    for n in range(1, 10):
+        index_store.index_extend(spark, path, rows.where(F.col("vec_id") % 10 == n), f"addition-{n}")
+    index_store.index_compact(spark, path, fan=3)
+    return _postings(index_store.index_read(spark, path).postings)
+
+
 @_register
 def stream_index_append(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "embeddings").schema

@@ -479,6 +479,7 @@ SELECT part_id, (dim - 1)::INTEGER AS dim, {_r('lo')} AS vmin, {_r('width')} AS
 SELECT vec_id, {_r('list_sum(list_transform(e, lambda x, i: (x - decoded[i]) * (x - decoded[i])))')} AS squared_error FROM label_post""",
     "index_append": _with(*LABEL_INDEX) + f" SELECT part_id, list_id, vec_id, {_hex('code')} AS code FROM label_coded",
     "index_extend": _with(*LABEL_INDEX) + f" SELECT part_id, list_id, vec_id, {_hex('code')} AS code FROM label_coded",
+    "index_compact": _with(*LABEL_INDEX) + f" SELECT part_id, list_id, vec_id, {_hex('code')} AS code FROM label_coded",
     "stream_index_append": _with(*LABEL_INDEX) + f" SELECT part_id, list_id, vec_id, {_hex('code')} AS code FROM label_coded",
     "exact_topk": _with(EMB, _scored_pairs()) + " " + _hits(_topk("pairs", K)),
     "exact_topk_dirty": _with(EMB, "usable AS (SELECT * FROM emb WHERE vec_id % 10 <> 3)", _scored_pairs("usable")) + " " + _hits(_topk("pairs", K)),
