@@ -270,7 +270,7 @@ def page_wrapper(element: Element, page: int | None = None) -> list:
         kids.append((yield page_wrapper.step(kid, page)))
     if text:
         _slot(kids, text, page)
-    return [element.sig, 0, 1, 0, element.links, None, (yield fold.step(kids))]
+    return [element.sig, 0, 1, 0, element.links, None, kids if len(kids) < 2 else (yield fold.step(kids))]
 
 
 def _slot(kids: list, text: list[str], page: int) -> None:
@@ -323,11 +323,16 @@ def fold(items: list) -> list:
 @deep
 def merge(a: list, b: list, repeat: bool = False) -> list:
     """One item for two that are aligned, of different pages or, with ``repeat``, of one."""
+    kids = (yield align.step(a[_KIDS], b[_KIDS], repeat)) if a[_KIDS] and b[_KIDS] else a[_KIDS] or b[_KIDS]
+    return _merged(a, b, repeat, kids)
+
+
+def _merged(a: list, b: list, repeat: bool, kids: list) -> list:
+    """:func:`merge` without the children."""
     pages = max(a[_PAGES], b[_PAGES]) if repeat else a[_PAGES] + b[_PAGES]
     fixed = a[_FIXED]
     if fixed != b[_FIXED]:
         fixed = [fixed[0], *sorted({*fixed[1:], *b[_FIXED][1:]})[:TEMPLATE_PAGES]] if fixed and b[_FIXED] and fixed[0] == b[_FIXED][0] else None
-    kids = yield align.step(a[_KIDS], b[_KIDS], repeat)
     return [a[_SIG], 1 if repeat else a[_MANY] | b[_MANY], pages, a[_CHARS] + b[_CHARS], a[_LINKS] + b[_LINKS], fixed, kids]
 
 
@@ -381,13 +386,15 @@ def align(a: list, b: list, repeat: bool = False) -> list:
 
     Aligned children of two repetitions occur as often per repetition as before.
     """
-    pairs = common_places([_key(x) for x in a], [_key(y) for y in b])
+    keys_a, keys_b = [_key(x) for x in a], [_key(y) for y in b]
+    pairs = list(zip(range(len(a)), range(len(a)))) if keys_a == keys_b else common_places(keys_a, keys_b)
     out, i, j = [], 0, 0
     for x, y in [*pairs, (len(a), len(b))]:
         out += a[i:x]
         out += b[j:y]
         if x < len(a) and y < len(b):
-            one = yield merge.step(a[x], b[y], repeat)
+            kids, others = a[x][_KIDS], b[y][_KIDS]
+            one = _merged(a[x], b[y], repeat, (yield align.step(kids, others, repeat)) if kids and others else kids or others)
             if repeat:
                 one[_MANY] = a[x][_MANY] | b[y][_MANY]
             out.append(one)
