@@ -151,9 +151,9 @@ def exact_topk(
     is_query = F.col("vec_id") % every == 0
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(is_query.cast("bigint")), F.lit(0)).alias("q")).head()
     item_blocks, query_blocks = max(1, -(-sizes.n // ITEM_BLOCK)), max(1, -(-sizes.q // QUERY_BLOCK))
-    # every pair of a candidate block and a query block is a group
+    # every pair of a candidate block and a query block is a group; the row number deals repeated rows over blocks, too
     items = rows.select(
-        F.pmod(F.xxhash64("vec_id", "v"), F.lit(item_blocks)).alias("b"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("o")
+        F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(item_blocks)).alias("b"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("o")
     ).select((F.col("b") * query_blocks + F.col("o")).alias("g"), F.lit(0).alias("side"), "vec_id", "v")
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = queries.select(
