@@ -12,11 +12,30 @@ def _state(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).head()
 
 
+#: A key is heavy if it holds at least one row in HEAVY of all, so there are at most HEAVY of them.
+HEAVY = 1024
+
+
+def join_heavy(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Equi-join with a table of one row per key that knows how many of the ``total`` rows hold it (``weight``).
+
+    Rows of heavy keys meet their key's row map-side (at most HEAVY rows are broadcast); the others are shuffled as usual. Pass tables that
+    are cheap to read twice.
+    """
+    heavy = keyed.where(F.col(weight) >= max(2, -(-total // HEAVY)))
+    if heavy.head() is None:
+        return rows.join(keyed, key)
+    heavy = F.broadcast(heavy)
+    light = keyed.where(F.col(weight) < max(2, -(-total // HEAVY)))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(light, key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for the nodes of ``edges (a, b)``; a component is named by its smallest node.
 
     Each round maps every node's larger neighbours, then its smaller ones, to its smallest neighbour; the rounds needed grow with the
-    logarithm of the size. Minima are partial aggregations, so a hub isn't gathered in one task. Loops are ignored; an empty table
+    logarithm of the size. Minima are partial aggregations and those of hubs are broadcast, so a hub isn't gathered in one task. Loops are ignored; an empty table
     gives an empty result.
     """
     high = F.greatest("a", "b").alias("a")
@@ -26,11 +45,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node go to its smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("degree")))
+        large = join_heavy(both, least, "a", "degree", 2 * state.n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        large = checkpointed(large)
+        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")))
+        small = join_heavy(large, least, "a", "degree", state.n).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.where(F.col("a") != F.col("b")).distinct())
         now = _state(edges)
         if now == state:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm import words
-from vectorloom.llm.components import components
+from vectorloom.llm.components import components, join_heavy
 from vectorloom.operators.sizing import checkpointed
 
 WIDTH = 5
@@ -334,18 +334,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     signed = classes.where(F.length("sig") > 0).select("cls", "sig")
     bands = signed.mapInArrow(_bands, "bucket bigint, cls binary")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    dealt = pair_blocks(bands.join(shared, "bucket"), "bucket", "cls", "members", BUCKET_BLOCK)
+    shared = checkpointed(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    n_docs = described.count()
+    dealt = pair_blocks(join_heavy(bands, shared, "bucket", "members", n_docs), "bucket", "cls", "members", BUCKET_BLOCK)
     met = dealt.select("g", "side", "cls").join(signed, "cls").repartition("g").sortWithinPartitions("g", "side")
     ties = components(met.select("g", "side", "cls", "sig").mapInArrow(_ties, "a binary, b binary"))
     # the texts of tied classes, one for each class
     sizes = ties.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     wanted = (
         ties.join(sizes, "component")
-        .join(classes.select(F.col("cls").alias("node"), F.col("first.rid").alias("rid"), "n_docs"), "node")
-        .select("rid", F.col("node").alias("cls"), "component", "members", "n_docs")
+        .join(classes.select(F.col("cls").alias("node"), "first", "n_docs"), "node")
+        .select("first", F.col("node").alias("cls"), "component", "members", "n_docs")
     )
-    texts = rows.select("rid", "text").join(wanted, "rid")
+    # by id and digest: a digest of 64 bits alone isn't unique at scale
+    same = (F.col("rid") == F.col("first.rid")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    texts = rows.join(wanted, same).select("rid", "text", "cls", "component", "members", "n_docs")
     schema = "component binary, members bigint, cls binary, n_docs bigint, sig binary, sets binary"
     sets = texts.mapInArrow(_rebuild, schema)
     blocks = pair_blocks(sets, "component", "cls", "members", SET_BLOCK)
@@ -363,9 +366,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .join(joined.withColumnRenamed("node", "cls"), "cls", "left")
         .withColumn("component", F.coalesce("component", "cls"))
     )
-    heads = named.groupBy("component").agg(F.min("first").alias("head"), F.sum("n_docs").alias("class_size"))
-    named = named.join(heads, "component").select("cls", "first", "n_docs", "links", "linked", "head", "class_size")
-    return described.select("rid", "doc_id", "cls").join(named, "cls").select(
+    named = checkpointed(named)
+    heads = named.groupBy("component").agg(F.min("first").alias("head"), F.sum("n_docs").alias("class_size"), F.count(F.lit(1)).alias("members"))
+    named = join_heavy(named, checkpointed(heads), "component", "members", n_docs).select("cls", "first", "n_docs", "links", "linked", "head", "class_size")
+    return join_heavy(described.select("rid", "doc_id", "cls"), checkpointed(named), "cls", "n_docs", n_docs).select(
         "rid",
         "doc_id",
         F.col("first.doc_id").alias("copy_id"),
@@ -379,11 +383,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class of :func:`ngram_jaccard_join`, with all its columns; of repeated rows one stays."""
-    kept = ngram_jaccard_join(docs, id_col, text_col).where("kept").select(F.col("rid").alias("__rid")).distinct()
-    order = Window.partitionBy("__rid").orderBy(F.xxhash64(*docs.columns))
+    kept = ngram_jaccard_join(docs, id_col, text_col).where("kept").select(F.col("rid").alias("__kept"), F.col("doc_id").alias("__kept_id")).distinct()
+    order = Window.partitionBy("__rid", "__id").orderBy(F.xxhash64(*docs.columns))
+    same = (F.col("__rid") == F.col("__kept")) & F.col("__id").eqNullSafe(F.col("__kept_id"))
     return (
-        docs.withColumn("__rid", _row_key(id_col, text_col))
-        .join(kept, "__rid", "left_semi")
+        docs.withColumns({"__rid": _row_key(id_col, text_col), "__id": F.col(id_col).cast("bigint")})
+        .join(kept, same, "left_semi")
         .withColumn("__rank", F.row_number().over(order))
         .where("__rank = 1")
         .select(*docs.columns)
