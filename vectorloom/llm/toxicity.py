@@ -22,18 +22,18 @@ from vectorloom.operators.sizing import SMALL_ROWS, checkpointed
 
 #: Labelled rows of each class that propose voters (the expected size of a sample by id hash); it bounds the labels that are broadcast.
 LABELLED = 20_000
-#: Voters at most; the model's tables grow with its square.
-VOTERS = 128
 #: Lengths of the word beginnings that are tried as patterns.
 PREFIXES = (4, 5)
 #: A voter needs this many toxic labelled documents, and this lift of its rate among toxic over clean ones.
 MIN_TOXIC, MIN_LIFT = 3, 4.0
 #: And a log-likelihood ratio that reaches the logarithm of the number of terms tried less this, so that few are there by chance.
 MARGIN = 1.0
-EM_STEPS, NEWTON_STEPS = 6, 7
+EM_STEPS = 6
+#: Descent steps of the classifier at most, the step pairs it remembers, and the relative gain at which it stops.
+STEPS, MEMORY, GAIN = 40, 8, 1e-6
 #: Voters whose correlation among toxic documents is at least this say the same thing and share their weight.
 REPEATS = 0.5
-#: The posterior of a row with a given label, the weight of all other rows together against all labelled ones, and the classifier's ridge.
+#: How often a given label is right (it is one more voter of its row), the weight of all other rows together against all labelled ones, and the classifier's ridge.
 LABEL_ACCURACY, OTHERS, RIDGE = 0.97, 0.5, 0.3
 _WORD = re.compile(r"\w+")
 _CACHE = 100_000
@@ -75,10 +75,10 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def propose_voters(labelled: DataFrame, limit: int = VOTERS) -> list[str]:
-    """The ``limit`` terms of rows ``(text, toxic)`` that speak most for toxic documents, by log-likelihood ratio.
+def propose_voters(labelled: DataFrame) -> list[str]:
+    """All terms of rows ``(text, toxic)`` that speak for toxic documents beyond chance, by log-likelihood ratio.
 
-    The list is bounded by ``limit``; counting is a partial aggregation.
+    Their number is bounded by the terms of the labelled rows, and so by LABELLED; counting is a partial aggregation.
     """
     totals = labelled.groupBy().agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).head()
     toxic = float(totals.toxic or 0)
@@ -105,7 +105,7 @@ def propose_voters(labelled: DataFrame, limit: int = VOTERS) -> list[str]:
     tried = checkpointed(counts.where(f"a >= {MIN_TOXIC}"))
     least = math.log(max(1, tried.count())) - MARGIN
     best = tried.where(lift >= MIN_LIFT).withColumn("gain", F.round(gain, 6)).where(F.col("gain") >= least)
-    ranked = best.orderBy(F.desc("gain"), F.length("term"), "term").limit(4 * limit).collect()
+    ranked = best.orderBy(F.desc("gain"), F.length("term"), "term").collect()
     # a beginning that fires on as many documents as one of its words, or the other way round, is the same voter
     seen: set[tuple] = set()
     chosen = []
@@ -114,7 +114,7 @@ def propose_voters(labelled: DataFrame, limit: int = VOTERS) -> list[str]:
         if name not in seen:
             seen.add(name)
             chosen.append(r.term)
-    return chosen[:limit]
+    return chosen
 
 
 class _Lookup(dict):
@@ -177,7 +177,7 @@ class LabelModel:
         self.balance, self.toxic, self.clean, self.discount, self.others = balance, toxic, clean, discount, others
 
     def posterior(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """P(toxic) of each row by the votes, or by its label if it has one, and the row's weight."""
+        """P(toxic) of each row by the votes, its label among them if it has one, and the row's weight."""
         silent = self.discount * np.log((1 - self.toxic) / (1 - self.clean))
         fired = self.discount * np.log(self.toxic / self.clean) - silent
         row, voter = _fired(batch, len(self.toxic) // 2)
@@ -185,13 +185,12 @@ class LabelModel:
         np.add.at(logit, row, fired[voter])
         label = _labels(batch)
         known = ~np.isnan(label)
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        p[known] = np.where(label[known] > 0.5, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-        return p, np.where(known, 1.0, self.others)
+        logit[known] += np.where(label[known] > 0.5, 1.0, -1.0) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), np.where(known, 1.0, self.others)
 
 
 def _sums(rows: DataFrame, function, schema: str = "i int, j int, a double, b double") -> dict[tuple[int, int], tuple[float, float]]:
-    """Sums of what ``function`` yields per (i, j); their number is bounded by the square of the number of voters."""
+    """Sums of what ``function`` yields per (i, j); their number is bounded by that of the voters."""
     summed = rows.mapInArrow(function, schema).groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return {(r.i, r.j): (r.a, r.b) for r in summed.collect()}
 
@@ -204,100 +203,154 @@ def _table(i, j, a, b) -> pa.RecordBatch:
 
 
 def fit_label_model(votes: DataFrame, voters: int, start: LabelModel, steps: int = EM_STEPS) -> LabelModel:
-    """Expectation-maximisation over ``votes``; each step sums expected counts over partitions. Correlations are taken at the last step."""
+    """Expectation-maximisation over ``votes``; each step sums expected counts over partitions.
+
+    Correlations given the class are taken before the last step (:func:`_repeats`), which then counts voters that repeat each other less.
+    """
     model = start
     for step in range(steps):
-        last = step == steps - 2
 
-        def expected(batches, model=model, last=last):
+        def expected(batches, model=model):
             once = np.zeros((2, voters + 1))
-            twice = np.zeros((2, voters, voters)) if last else None
             for batch in batches:
                 p, weight = model.posterior(batch)
                 row, voter = _fired(batch, voters // 2)
                 for y, q in ((1, p * weight), (0, (1 - p) * weight)):
                     once[y, :voters] += np.bincount(voter, q[row], voters)
                     once[y, voters] += q.sum()
-                if last:
-                    hits = np.zeros((batch.num_rows, voters))
-                    hits[row, voter] = 1
-                    busy = np.flatnonzero(hits.any(axis=1))
-                    for y, q in ((1, p * weight), (0, (1 - p) * weight)):
-                        twice[y] += hits[busy].T @ (hits[busy] * q[busy, None])
             yield _table(np.arange(voters + 1), np.full(voters + 1, -1), once[1], once[0])
-            if last:
-                i, j = np.triu_indices(voters, 1)
-                some = (twice[1][i, j] + twice[0][i, j]) > 0
-                yield _table(i[some], j[some], twice[1][i, j][some], twice[0][i, j][some])
 
         sums = _sums(votes, expected)
         n1, n0 = sums.get((voters, -1), (0.0, 0.0))
         once = np.array([sums.get((v, -1), (0.0, 0.0)) for v in range(voters)]).reshape(voters, 2)
         toxic, clean = (once[:, 0] + 0.1) / (n1 + 0.2), (once[:, 1] + 0.1) / (n0 + 0.2)
-        discount = model.discount
-        if last:
-            repeats = np.zeros(voters)
-            for (i, j), (a, _) in sums.items():
-                if j >= 0:
-                    together = a / max(n1, 1e-9)
-                    spread = np.sqrt(toxic[i] * (1 - toxic[i]) * toxic[j] * (1 - toxic[j]))
-                    correlation = (together - toxic[i] * toxic[j]) / max(spread, 1e-9)
-                    if correlation >= REPEATS:
-                        repeats[i] += min(correlation, 1.0)
-                        repeats[j] += min(correlation, 1.0)
-            discount = 1 / (1 + repeats)
+        discount = 1 / (1 + _repeats(votes, voters, model, toxic, n1)) if step == steps - 2 else model.discount
         balance = float(np.clip((n1 + 0.5) / (n1 + n0 + 1), 1e-6, 1 - 1e-6))
         model = LabelModel(balance, toxic, clean, discount, model.others)
     return model
 
 
-def _features(batch: pa.RecordBatch, voters: int) -> np.ndarray:
-    """Logarithmic counts of each voter, how many voters and how many hits there are, hits per word, and a constant."""
-    x = np.zeros((batch.num_rows, voters + 4))
+_PAIRS_AT_ONCE = 1 << 21
+
+
+def _repeats(votes: DataFrame, voters: int, model: LabelModel, toxic: np.ndarray, n1: float) -> np.ndarray:
+    """For each voter the sum of its correlations of REPEATS or more with other voters among toxic documents.
+
+    Only pairs that fire together are counted, as rows of a table; what comes back is one number per voter.
+    """
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, weight = model.posterior(batch)
+            row, voter = _fired(batch, voters // 2)
+            order = np.lexsort((voter, row))
+            row, voter = row[order], voter[order]
+            # every vote with the later ones of its row
+            later = np.searchsorted(row, row, "right") - np.arange(len(row)) - 1
+            done = np.concatenate(([0], np.cumsum(later)))
+            a = 0
+            while a < len(row):
+                b = max(a + 1, int(np.searchsorted(done, done[a] + _PAIRS_AT_ONCE, "right")) - 1)
+                first = np.repeat(np.arange(a, b), later[a:b])
+                second = first + 1 + np.arange(len(first)) - np.repeat(done[a:b] - done[a], later[a:b])
+                key, place = np.unique(voter[first] * voters + voter[second], return_inverse=True)
+                sums = np.bincount(place.ravel(), (p * weight)[row[first]], len(key))
+                yield _table(key // voters, key % voters, sums, np.zeros(len(key)))
+                a = b
+
+    pairs = votes.mapInArrow(together, "i int, j int, a double, b double").groupBy("i", "j").agg(F.sum("a").alias("a"))
+    rates = votes.sparkSession.createDataFrame(pa.table({"v": pa.array(np.arange(voters), pa.int32()), "rate": pa.array(toxic)}))
+    for side in ("i", "j"):
+        pairs = pairs.join(F.broadcast(rates.toDF(f"_{side}", f"rate_{side}")), F.col(side) == F.col(f"_{side}"))
+    spread = F.sqrt(F.col("rate_i") * (1 - F.col("rate_i")) * F.col("rate_j") * (1 - F.col("rate_j")))
+    correlation = (F.col("a") / F.lit(max(n1, 1e-9)) - F.col("rate_i") * F.col("rate_j")) / F.greatest(spread, F.lit(1e-9))
+    strong = pairs.withColumn("r", F.least(correlation, F.lit(1.0))).where(F.col("r") >= REPEATS)
+    found = strong.select(F.explode(F.array("i", "j")).alias("v"), "r").groupBy("v").agg(F.sum("r").alias("r")).collect()
+    repeats = np.zeros(voters)
+    for one in found:
+        repeats[one.v] = one.r
+    return repeats
+
+
+def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, voter and logarithmic count of every vote; per row how many voters and hits there are, hits per word, and a constant."""
     row, voter = _sparse(batch.column("voters"))
     _, count = _sparse(batch.column("counts"))
-    x[row, voter] = np.log1p(count)
-    hits = np.bincount(row, count, batch.num_rows) if len(row) else np.zeros(batch.num_rows)
-    x[:, voters] = np.log1p((x[:, :voters] > 0).sum(axis=1))
-    x[:, voters + 1] = np.log1p(hits)
-    x[:, voters + 2] = 20 * hits / (batch.column("n_tokens").to_numpy() + 20.0)
-    x[:, voters + 3] = 1
-    return x
+    n = batch.num_rows
+    hits = np.bincount(row, count, n) if len(row) else np.zeros(n)
+    whole = np.stack(
+        [np.log1p(np.bincount(row, minlength=n)), np.log1p(hits), 20 * hits / (batch.column("n_tokens").to_numpy() + 20.0), np.ones(n)], axis=1
+    )
+    return row, voter, np.log1p(count), whole
+
 
+def _margin(features, weights: np.ndarray) -> np.ndarray:
+    row, voter, x, whole = features
+    return (np.bincount(row, x * weights[voter], len(whole)) if len(row) else 0.0) + whole @ weights[-4:]
 
-def fit_classifier(votes: DataFrame, voters: int, model: LabelModel, steps: int = NEWTON_STEPS) -> np.ndarray:
-    """Weights of a logistic regression on the posterior labels: Newton steps whose gradient and curvature are summed over partitions."""
+
+def fit_classifier(votes: DataFrame, voters: int, model: LabelModel, steps: int = STEPS) -> np.ndarray:
+    """Weights of a logistic regression on the posterior labels: quasi-Newton steps whose loss and gradient are summed over partitions."""
     size = voters + 4
-    weights = np.zeros(size)
-    weights[-1] = np.log(model.balance / (1 - model.balance))
-    low = np.tril_indices(size)
-    for _ in range(steps):
+    ridge = np.full(size, RIDGE)
+    ridge[-1] = 1e-6
 
+    def evaluated(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def moments(batches, weights=weights):
-            gradient, curvature = np.zeros(size), np.zeros((size, size))
+            gradient, curvature, loss = np.zeros(size), np.zeros(size), 0.0
             for batch in batches:
-                x = _features(batch, voters)
-                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                features = row, voter, x, whole = _features(batch)
+                margin = np.clip(_margin(features, weights), -30, 30)
+                p = 1 / (1 + np.exp(-margin))
                 target, weight = model.posterior(batch)
-                gradient += x.T @ (weight * (target - p))
-                curvature += x.T @ (x * (weight * p * (1 - p))[:, None])
-            yield _table(np.arange(size), np.full(size, -1), gradient, np.zeros(size))
-            some = curvature[low] != 0
-            yield _table(low[0][some], low[1][some], curvature[low][some], np.zeros(some.sum()))
+                loss += float((weight * (np.log1p(np.exp(margin)) - target * margin)).sum())
+                pull, bend = weight * (p - target), weight * p * (1 - p)
+                gradient[:voters] += np.bincount(voter, x * pull[row], voters)
+                curvature[:voters] += np.bincount(voter, x * x * bend[row], voters)
+                gradient[voters:] += whole.T @ pull
+                curvature[voters:] += (whole * whole).T @ bend
+            yield _table(np.arange(size + 1), np.full(size + 1, -1), [*gradient, loss], [*curvature, 0.0])
 
         sums = _sums(votes, moments)
-        gradient = np.array([sums.get((i, -1), (0.0, 0.0))[0] for i in range(size)])
-        curvature = np.zeros((size, size))
-        for (i, j), (a, _) in sums.items():
-            if j >= 0:
-                curvature[i, j] = curvature[j, i] = a
-        ridge = np.full(size, RIDGE)
-        ridge[-1] = 1e-6
-        step = np.linalg.solve(curvature + np.diag(ridge), gradient - ridge * weights)
-        weights = weights + step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
+        both = np.array([sums.get((i, -1), (0.0, 0.0)) for i in range(size)])
+        loss = sums.get((size, -1), (0.0, 0.0))[0] + 0.5 * float((ridge * weights * weights).sum())
+        return loss, both[:, 0] + ridge * weights, both[:, 1] + ridge
+
+    weights = np.zeros(size)
+    weights[-1] = np.log(model.balance / (1 - model.balance))
+    loss, gradient, curvature = evaluated(weights)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        direction = -_curved(gradient, pairs, curvature)
+        length = 1.0
+        while True:
+            there = weights + length * direction
+            after, slope, bend = evaluated(there)
+            if after <= loss + 1e-4 * length * float(gradient @ direction) or length < 1e-4:
+                break
+            length /= 2
+        change = there - weights, slope - gradient
+        if change[0] @ change[1] > 1e-12:
+            pairs = [*pairs, change][-MEMORY:]
+        gain, weights, loss, gradient, curvature = loss - after, there, after, slope, bend
+        if gain <= GAIN * max(1.0, abs(loss)):
+            break
     return weights
 
 
+def _curved(gradient: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], curvature: np.ndarray) -> np.ndarray:
+    """Gradient times the approximate inverse curvature, from its diagonal and the last steps (limited-memory BFGS)."""
+    q, kept = gradient.copy(), []
+    for step, change in reversed(pairs):
+        share = (step @ q) / (step @ change)
+        q -= share * change
+        kept.append(share)
+    q /= curvature
+    for (step, change), share in zip(pairs, reversed(kept)):
+        q += step * (share - (change @ q) / (step @ change))
+    return q
+
+
 def label_sample(labels: DataFrame, label_col: str = "toxic", per_class: int = LABELLED) -> DataFrame:
     """Labels ``(doc_id, label)`` that may be learned from, about ``per_class`` of each class at most, chosen by a hash of the id.
 
@@ -311,7 +364,7 @@ def label_sample(labels: DataFrame, label_col: str = "toxic", per_class: int = L
     return known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", voters: int = VOTERS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``(doc_id, held_out, score, predicted)``.
 
     Only texts enter a score. Labels are learned from rows that aren't held out; voters' rates and the classifier are fitted on all
@@ -321,15 +374,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    return _scores(rows, labels, voters)
+    return _scores(rows, labels)
 
 
-def _scores(rows: DataFrame, labels: DataFrame, voters: int = VOTERS, carried: tuple[str, ...] = ()) -> DataFrame:
+def _scores(rows: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of rows ``(doc_id, held_out, text)``, and their bigint columns ``carried``."""
     sample = checkpointed(label_sample(labels))
     # about 2 * LABELLED rows at most
     marked = rows.join(F.broadcast(sample), "doc_id", "left")
-    found = propose_voters(marked.where("label is not null").select("text", F.col("label").alias("toxic")), voters)
+    found = propose_voters(marked.where("label is not null").select("text", F.col("label").alias("toxic")))
     n = len(found)
     kept = "".join(f", {c} bigint" for c in carried)
     schema = f"doc_id bigint, held_out boolean, label int{kept}, voters array<bigint>, counts array<bigint>, n_tokens bigint"
@@ -345,7 +398,7 @@ def _scores(rows: DataFrame, labels: DataFrame, voters: int = VOTERS, carried: t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = 1 / (1 + np.exp(-np.clip(_features(batch, n) @ weights, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(_margin(_features(batch), weights), -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *[batch.column(c) for c in carried]],
                 names=["doc_id", "held_out", "score", "predicted", *carried],
