@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.operators.sizing import checkpointed
+from vectorloom.operators.sizing import SMALL_ROWS, checkpointed
 
 
 def _state(edges: DataFrame):
@@ -43,14 +43,17 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.where(F.col("a") != F.col("b")).select(high, low).distinct())
     state = _state(edges)
     while True:
+        small_enough = 2 * state.n <= SMALL_ROWS  # bounds the nodes, and so the minima
         # large star: neighbours above a node go to its smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("degree")))
-        large = join_heavy(both, least, "a", "degree", 2 * state.n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        met = both.join(F.broadcast(least), "a") if small_enough else join_heavy(both, checkpointed(least), "a", "degree", 2 * state.n)
+        large = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        large = checkpointed(large)
-        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")))
-        small = join_heavy(large, least, "a", "degree", state.n).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        large = large if small_enough else checkpointed(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+        met = large.join(F.broadcast(least), "a") if small_enough else join_heavy(large, checkpointed(least), "a", "degree", state.n)
+        small = met.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.where(F.col("a") != F.col("b")).distinct())
         now = _state(edges)
         if now == state:
