@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators.match import nearest_centroid
 from vectorloom.operators.positions import with_positions
+from vectorloom.operators.sizing import checkpointed, join_small
 
 
 def single_partition(corpus: DataFrame) -> DataFrame:
@@ -81,3 +82,26 @@ def train_sample(partitioned: DataFrame, sizes: DataFrame | None = None) -> Data
     sizes = train_sizes(partitioned) if sizes is None else sizes
     limits = sizes.select("part_id", F.col("n_train").alias("n_keep"))
     return with_positions(partitioned, "vec_id", by=["part_id"], limits=limits)
+
+
+def train_sample_hashed(partitioned: DataFrame, sizes: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """Like :func:`train_sample`, but the rows of every part with the smallest hashes of their ids, with their place in that order as ``pos``.
+
+    As many rows as the first tenth has, but spread over all ids, whatever order the corpus was written in, and the same ones for every
+    partitioning. One pass counts the rows of each part per bucket of hashes (a sketch of at most 65,536 counts a part, added up in
+    the tasks); it tells the bucket in which the sample ends, so only rows of the sample are exchanged and put in order, bucket by bucket. Null
+    ids share a hash, null parts are a part; rows with equal ids go by a digest of their other columns.
+    """
+    sizes = train_sizes(partitioned) if sizes is None else sizes
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"))
+    hashed = partitioned.withColumn("_hash", digest).withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
+    counts = hashed.groupBy("part_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("part_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    keep = sizes.select(F.col("part_id").alias("_part"), "n_train")
+    placed = placed.join(keep, F.col("part_id").eqNullSafe(F.col("_part"))).where(F.col("_before") < F.col("n_train")).drop("_part")
+    others = F.xxhash64(*[c for c in partitioned.columns if c not in ("vec_id", "part_id")]) if len(partitioned.columns) > 2 else F.lit(0)
+    taken = join_small(hashed, checkpointed(placed), ["part_id", "_bucket"], "_hash", null_safe=True)
+    inside = Window.partitionBy("part_id", "_bucket").orderBy("_hash", "vec_id", others)
+    ranked = taken.withColumn("pos", F.col("_before") + F.row_number().over(inside) - 1)
+    return ranked.where(F.col("pos") < F.col("n_train")).select(*partitioned.columns, "pos")

@@ -117,3 +117,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table as Parquet in the shared folder: for tables that each step of a loop makes from the one before.
+
+    A checkpoint cuts the lineage but hands the estimate of its size on; joins multiply estimates, so after some ten steps they are numbers of
+    millions of digits and planning takes minutes. A file has its own size.
+    """
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -180,6 +180,21 @@ def kmeans_fit(spark, sf_dir):
     return _dims(_kmeans(spark, sf_dir), "cluster_id", "centroid")
 
 
+@_register
+def kmeans_converged(spark, sf_dir):
+    """The clusters after twenty steps."""
+    return _dims(kmeans.kmeans_fit(fx.corpus(spark, sf_dir), 10), "cluster_id", "centroid")
+
+
+@_register
+def kmeans_seeded(spark, sf_dir):
+    """Rows and centroids of twenty clusters that start from vectors drawn by distance; large clusters are split when others are empty."""
+    vectors = fx.corpus(spark, sf_dir)
+    centroids = kmeans.kmeans_fit(vectors, 20, seeding="oversampled", repair=True)
+    sizes = partition.cluster_sizes(partition.cluster_assign(vectors, centroids), centroids.select(F.col("cluster_id").alias("part_id")))
+    return sizes.join(centroids, F.col("part_id") == F.col("cluster_id")).select("cluster_id", "n_rows", rounded(vector_sum("centroid")).alias("total"))
+
+
 @_register
 def cluster_assign(spark, sf_dir):
     return partition.cluster_assign(fx.corpus(spark, sf_dir), _kmeans(spark, sf_dir)).select("vec_id", "part_id")
@@ -216,6 +231,12 @@ def train_sample(spark, sf_dir):
     return partition.train_sample(fx.labelled(spark, sf_dir).drop("embedding")).select("part_id", "vec_id", "pos")
 
 
+@_register
+def train_sample_hashed(spark, sf_dir):
+    sample = partition.train_sample_hashed(fx.labelled(spark, sf_dir).drop("embedding"))
+    return sample.select("part_id", "vec_id", "pos")
+
+
 # --- approximate index --------------------------------------------------------------------------
 
 

@@ -461,12 +461,20 @@ SELECT vec_id, split_id AS part_id, pos - split_id * size AS local_pos FROM plac
     "kmeans_fit": _with(EMB, KMEANS) + f"""
 SELECT list_id AS cluster_id, (dim - 1)::INTEGER AS dim, {_r('x')} AS x FROM (
   SELECT list_id, unnest(c) AS x, generate_subscripts(c, 1) AS dim FROM km_c3)""",
+    "kmeans_converged": _with(EMB, _kmeans(10, 20)) + f"""
+SELECT list_id AS cluster_id, (dim - 1)::INTEGER AS dim, {_r('x')} AS x FROM (
+  SELECT list_id, unnest(c) AS x, generate_subscripts(c, 1) AS dim FROM km_c20)""",
     "cluster_assign": _with(EMB, KMEANS, KMEANS_ASSIGNED) + " SELECT vec_id, part_id FROM km_assigned",
     "cluster_membership": """
 SELECT label AS part_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS local_pos, vec_id FROM embeddings""",
     "cluster_sizes": _with(EMB, KMEANS, KMEANS_ASSIGNED) + """
 SELECT c.list_id AS part_id, count(a.vec_id) AS n_rows FROM km_c3 c LEFT JOIN km_assigned a ON a.part_id = c.list_id GROUP BY ALL""",
     "train_sample": _with(*LABEL_INDEX) + " SELECT part_id, vec_id, pos FROM label_train",
+    "train_sample_hashed": """
+WITH ranked AS (
+  SELECT label AS part_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) - 1 AS pos,
+         count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT part_id, vec_id, pos FROM ranked WHERE pos < least(n, greatest(floor(sqrt(n))::BIGINT, n // 10))""",
     "ivf_train": _with(EMB, PLACED, _index("monolithic")) + f"""
 SELECT part_id, list_id, (dim - 1)::INTEGER AS dim, {_r('x')} AS x FROM (
   SELECT part_id, list_id, unnest(c) AS x, generate_subscripts(c, 1) AS dim FROM monolithic_coarse)""",
