@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.operators.sizing import SMALL_ROWS, checkpointed
+from vectorloom.operators.sizing import SMALL_ROWS, checkpointed, written
 
 
 def _state(edges: DataFrame):
@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     high = F.greatest("a", "b").alias("a")
     low = F.least("a", "b").alias("b")
-    edges = checkpointed(edges.where(F.col("a") != F.col("b")).select(high, low).distinct())
+    edges = written(edges.where(F.col("a") != F.col("b")).select(high, low).distinct())
     state = _state(edges)
     while True:
         small_enough = 2 * state.n <= SMALL_ROWS  # bounds the nodes, and so the minima
@@ -54,7 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
         met = large.join(F.broadcast(least), "a") if small_enough else join_heavy(large, checkpointed(least), "a", "degree", state.n)
         small = met.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(small.where(F.col("a") != F.col("b")).distinct())
+        edges = written(small.where(F.col("a") != F.col("b")).distinct())
         now = _state(edges)
         if now == state:
             break

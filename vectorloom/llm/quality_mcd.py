@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.operators.sizing import checkpointed, join_small
+from vectorloom.operators.sizing import checkpointed, join_small, written
 
 #: Share of the rows of a group that determines its estimate.
 COVERED = 0.75
@@ -206,7 +206,7 @@ def _sums(rows: DataFrame, values: Sequence[Column]) -> DataFrame:
 
 
 def _fitted(rows: DataFrame, factor: float = 1.0) -> DataFrame:
-    return checkpointed(_sums(rows, [F.col(c) for c in NAMES]).mapInArrow(_estimate(factor), _ESTIMATE))
+    return written(_sums(rows, [F.col(c) for c in NAMES]).mapInArrow(_estimate(factor), _ESTIMATE))
 
 
 def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def fit(rows: DataFrame) -> DataFrame:
     fits = _starts(rows)
     for _ in range(START_STEPS):
         fits = [_nearest(rows, f) for f in fits]
-    best = checkpointed(
+    best = written(
         fits[0].unionByName(fits[1]).groupBy("g").agg(F.min_by(F.struct("n", "logdet", "centre", "precision"), "logdet").alias("e")).select("g", "e.*")
     )
     for _ in range(MAX_STEPS):
