@@ -30,7 +30,7 @@ MIN_TOXIC, MIN_LIFT = 3, 4.0
 MARGIN = 1.0
 EM_STEPS = 6
 #: Descent steps of the classifier at most, the step pairs it remembers, and the relative gain at which it stops.
-STEPS, MEMORY, GAIN = 40, 8, 1e-6
+STEPS, MEMORY, GAIN = 20, 8, 1e-4
 #: Voters whose correlation among toxic documents is at least this say the same thing and share their weight.
 REPEATS = 0.5
 #: How often a given label is right (it is one more voter of its row), the weight of all other rows together against all labelled ones, and the classifier's ridge.
