@@ -172,6 +172,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     return given.mapInArrow(run, _extended(kept, ids_col, ArrayType(IntegerType())))
 
 
+class Speller:
+    """Texts that ids spell. Control pieces spell nothing; bytes that aren't UTF-8 become replacement characters."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.prefix = vocabulary.dummy_prefix
+        self.spelled = [b"" if n in vocabulary.special else p.replace(MARK, " ").encode() for n, p in enumerate(vocabulary.pieces)]
+        for value, n in enumerate(vocabulary.byte_ids):
+            self.spelled[n] = bytes([value])
+
+    def text(self, ids: np.ndarray) -> str:
+        raw = b"".join(map(self.spelled.__getitem__, ids.tolist()))
+        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with the texts its ids spell in ``text_col``, which replaces a column of that name; null ids give an empty text.
 
@@ -181,18 +195,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", tex
     names = given.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = [b"" if n in vocabulary.special else p.replace(MARK, " ").encode() for n, p in enumerate(vocabulary.pieces)]
-        for value, n in enumerate(vocabulary.byte_ids):
-            spelled[n] = bytes([value])
+        speller = Speller(vocabulary)
         for batch in batches:
-            column = batch.column(ids_col)
-            texts = []
-            for row in range(len(column)):
-                ids = column[row].values
-                raw = b"".join(map(spelled.__getitem__, ids.to_numpy(zero_copy_only=False).tolist())) if ids is not None else b""
-                if vocabulary.dummy_prefix and raw[:1] == b" ":
-                    raw = raw[1:]
-                texts.append(raw.decode("utf-8", "replace"))
+            ids = (batch.column(ids_col)[row].values for row in range(batch.num_rows))
+            texts = ["" if one is None else speller.text(one.to_numpy(zero_copy_only=False)) for one in ids]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], names=[*names, text_col])
 
     return given.mapInArrow(run, _extended(given, text_col, StringType()))
@@ -205,7 +211,23 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )
-    back = decode(encode(rows, vocabulary), vocabulary)
+    # both directions in one pass: a task then keeps one Python worker, not two
+    names = ["doc_id", "text_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, speller = Encoder(vocabulary), Speller(vocabulary)
+        for batch in batches:
+            column = batch.column("text")
+            bounds = words.text_buffer(column)[1]
+            for a, b in words.chunks(bounds, CHUNK):
+                ids = encoder.encode(column.slice(a, b - a).to_pylist())
+                texts = pa.array([speller.text(np.frombuffer(one, np.int32)) for one in ids], pa.string())
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], _lists(ids), texts], names=[*names, "ids", "text"])
+
+    kind = rows.schema["doc_id"].dataType
+    schema = StructType().add("doc_id", kind).add("text_sha256", StringType()).add("ids", ArrayType(IntegerType())).add("text", StringType())
+    back = rows.mapInArrow(run, schema)
     return back.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
