@@ -24,6 +24,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the main text of its whole html."""
     return html_wrapper.extract_text(_table(spark, sf_dir, "pages"))
 
 
@@ -42,6 +43,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every query vector, by the integer inner product of the quantised vectors."""
     return topk_nra.exact_topk(_table(spark, sf_dir, "embeddings"))
 
 
@@ -56,14 +58,17 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op9_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log probability under the trained model, and under word counts alone."""
     return hmm_lm.hmm_scores(_table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score, learned from the labels that aren't held out."""
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
