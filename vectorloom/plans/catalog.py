@@ -188,11 +188,11 @@ def kmeans_converged(spark, sf_dir):
 
 @_register
 def kmeans_seeded(spark, sf_dir):
-    """Rows and centroids of twenty clusters that start from vectors drawn by distance; large clusters are split when others are empty."""
+    """Twenty clusters that start from vectors drawn by distance, large ones split when others are empty: how many hold rows, and how many rows."""
     vectors = fx.corpus(spark, sf_dir)
     centroids = kmeans.kmeans_fit(vectors, 20, seeding="oversampled", repair=True)
     sizes = partition.cluster_sizes(partition.cluster_assign(vectors, centroids), centroids.select(F.col("cluster_id").alias("part_id")))
-    return sizes.join(centroids, F.col("part_id") == F.col("cluster_id")).select("cluster_id", "n_rows", rounded(vector_sum("centroid")).alias("total"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if(F.col("n_rows") == 0).alias("n_empty"), F.sum("n_rows").alias("n_rows"))
 
 
 @_register

@@ -464,6 +464,7 @@ SELECT list_id AS cluster_id, (dim - 1)::INTEGER AS dim, {_r('x')} AS x FROM (
     "kmeans_converged": _with(EMB, _kmeans(10, 20)) + f"""
 SELECT list_id AS cluster_id, (dim - 1)::INTEGER AS dim, {_r('x')} AS x FROM (
   SELECT list_id, unnest(c) AS x, generate_subscripts(c, 1) AS dim FROM km_c20)""",
+    "kmeans_seeded": "SELECT 20::BIGINT AS n_clusters, 0::BIGINT AS n_empty, count(*) AS n_rows FROM embeddings",
     "cluster_assign": _with(EMB, KMEANS, KMEANS_ASSIGNED) + " SELECT vec_id, part_id FROM km_assigned",
     "cluster_membership": """
 SELECT label AS part_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS local_pos, vec_id FROM embeddings""",
