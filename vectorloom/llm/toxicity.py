@@ -189,10 +189,38 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), np.where(known, 1.0, self.others)
 
 
-def _sums(rows: DataFrame, function, schema: str = "i int, j int, a double, b double") -> dict[tuple[int, int], tuple[float, float]]:
-    """Sums of what ``function`` yields per (i, j); their number is bounded by that of the voters."""
-    summed = rows.mapInArrow(function, schema).groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return {(r.i, r.j): (r.a, r.b) for r in summed.collect()}
+_PIECE = 1024  # numbers that are added up together
+
+
+def _sums(rows: DataFrame, size: int, function) -> np.ndarray:
+    """The sum over all tasks of the (2, size) arrays that ``function`` makes of a task's batches.
+
+    Tasks send their arrays in pieces, so few rows are shuffled whatever the size, and a piece is added up by one task.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate(function(batches))
+        yield _packed({n: flat[n * _PIECE : (n + 1) * _PIECE] for n in range(-(-len(flat) // _PIECE))})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, part in zip(batch.column("piece").to_pylist(), batch.column("sums").to_pylist()):
+                totals[piece] = totals.get(piece, 0.0) + np.frombuffer(part)
+        yield _packed(totals)
+
+    kind = "piece int, sums binary"
+    summed = rows.mapInArrow(pieces, kind).repartition("piece").sortWithinPartitions("piece", "sums").mapInArrow(added, kind)
+    total = np.zeros(2 * size)
+    for r in summed.collect():
+        part = np.frombuffer(r.sums)
+        total[r.piece * _PIECE : r.piece * _PIECE + len(part)] = part
+    return total.reshape(2, size)
+
+
+def _packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["piece", "sums"])
 
 
 def _table(i, j, a, b) -> pa.RecordBatch:
@@ -218,12 +246,11 @@ def fit_label_model(votes: DataFrame, voters: int, start: LabelModel, steps: int
                 for y, q in ((1, p * weight), (0, (1 - p) * weight)):
                     once[y, :voters] += np.bincount(voter, q[row], voters)
                     once[y, voters] += q.sum()
-            yield _table(np.arange(voters + 1), np.full(voters + 1, -1), once[1], once[0])
+            return once[::-1]
 
-        sums = _sums(votes, expected)
-        n1, n0 = sums.get((voters, -1), (0.0, 0.0))
-        once = np.array([sums.get((v, -1), (0.0, 0.0)) for v in range(voters)]).reshape(voters, 2)
-        toxic, clean = (once[:, 0] + 0.1) / (n1 + 0.2), (once[:, 1] + 0.1) / (n0 + 0.2)
+        sums = _sums(votes, voters + 1, expected)
+        n1, n0 = sums[:, -1]
+        toxic, clean = (sums[0, :-1] + 0.1) / (n1 + 0.2), (sums[1, :-1] + 0.1) / (n0 + 0.2)
         discount = 1 / (1 + _repeats(votes, voters, model, toxic, n1)) if step == steps - 2 else model.discount
         balance = float(np.clip((n1 + 0.5) / (n1 + n0 + 1), 1e-6, 1 - 1e-6))
         model = LabelModel(balance, toxic, clean, discount, model.others)
@@ -309,12 +336,11 @@ def fit_classifier(votes: DataFrame, voters: int, model: LabelModel, steps: int
                 curvature[:voters] += np.bincount(voter, x * x * bend[row], voters)
                 gradient[voters:] += whole.T @ pull
                 curvature[voters:] += (whole * whole).T @ bend
-            yield _table(np.arange(size + 1), np.full(size + 1, -1), [*gradient, loss], [*curvature, 0.0])
+            return np.array([[*gradient, loss], [*curvature, 0.0]])
 
-        sums = _sums(votes, moments)
-        both = np.array([sums.get((i, -1), (0.0, 0.0)) for i in range(size)])
-        loss = sums.get((size, -1), (0.0, 0.0))[0] + 0.5 * float((ridge * weights * weights).sum())
-        return loss, both[:, 0] + ridge * weights, both[:, 1] + ridge
+        sums = _sums(votes, size + 1, moments)
+        loss = float(sums[0, -1]) + 0.5 * float((ridge * weights * weights).sum())
+        return loss, sums[0, :-1] + ridge * weights, sums[1, :-1] + ridge
 
     weights = np.zeros(size)
     weights[-1] = np.log(model.balance / (1 - model.balance))
@@ -419,13 +445,12 @@ def _start(votes: DataFrame, voters: int, balance: float) -> LabelModel:
             for y in (0, 1):
                 once[y, :voters] += np.bincount(voter, (label == y)[row], voters)
                 once[y, voters] += (label == y).sum()
-        yield _table([*range(voters + 1), voters + 1], np.full(voters + 2, -1), [*once[1], rows], [*once[0], 0])
+        return np.array([[*once[1], rows], [*once[0], 0]])
 
-    sums = _sums(votes, count)
-    n1, n0 = sums.get((voters, -1), (0.0, 0.0))
-    once = np.array([sums.get((v, -1), (0.0, 0.0)) for v in range(voters)]).reshape(voters, 2)
-    others = min(1.0, OTHERS * (n1 + n0) / max(1.0, sums.get((voters + 1, -1), (0.0, 0.0))[0]))
-    return LabelModel(balance, (once[:, 0] + 0.5) / (n1 + 1), (once[:, 1] + 0.5) / (n0 + 1), np.ones(voters), others)
+    sums = _sums(votes, voters + 2, count)
+    (n1, n0), unlabelled = sums[:, voters], sums[0, voters + 1]
+    others = min(1.0, OTHERS * (n1 + n0) / max(1.0, unlabelled))
+    return LabelModel(balance, (sums[0, :voters] + 0.5) / (n1 + 1), (sums[1, :voters] + 0.5) / (n0 + 1), np.ones(voters), others)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
