@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectorloom.operators import querylog
 from vectorloom.sources import traces
@@ -315,3 +316,27 @@ def test_skyline_of_many_settings_loses_none_that_matters(spark, n_idle):
         assert r.base_j == pytest.approx(base)
         for limit, got in ((bound, r.scaled_j), (max(bound, 9.0), r.enhanced_j)):
             assert got == pytest.approx(min([base, *(energy(f) for f in range(n) if latency[f, size] < limit)]))
+
+
+def test_cost_sweep_shuffles_the_log_once_per_side(spark):
+    """Settings and fan-outs don't multiply what is shuffled: one row per access goes to the costs and back."""
+    trace = spark.range(400).select(F.col("id").alias("qid"), F.array(*[((F.col("id") * 7 + i) % 40).cast("int") for i in range(4)]).alias("ranked"))
+    grid = [(c, size, nprobe, 5, threads, (c + size + nprobe + threads) / 64.0) for c in range(40) for size in (4, 8, 16) for nprobe in (8, 64, 128) for threads in (1, 2, 4, 8)]
+    table = spark.createDataFrame(grid, "cluster_id int, size int, nprobe int, k int, threads int, latency_s double")
+    swept = querylog.cost_sweep(trace, table, [8], [64, 128], [8, 16], 4)
+    rows = swept.collect()
+    assert len(rows) == 2 * 4 * 2 * 4 and all(r.n_batches == 400 // r.batch_size for r in rows)
+    plan = swept._jdf.queryExecution().executedPlan()
+    written, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Exchange":
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+    accesses = 400 * 4 * 2
+    assert written and max(written) <= accesses

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators.positions import with_positions
+from vectorloom.operators.sizing import checkpointed
 
 _FANOUT_COLUMNS = 64  # fan-outs summed as columns of one aggregation
+_TASK_QUERIES = 50_000  # queries whose loads one task of the sweep holds
 
 def top_clusters_explode(trace: DataFrame, c: int) -> DataFrame:
     """``(qid, rk, cluster_id)``: the first ``c`` entries of every ranked list."""
@@ -147,6 +149,25 @@ def fanout_loads(batched: DataFrame, max_fanout: int, by: Sequence[str] = ("batc
     return long.select("f.c", *by, "cluster_id", "f.load").where(F.col("load") > 0)
 
 
+def _load_runs(batched: DataFrame, max_fanout: int, by: Sequence[str], n_tasks: int) -> DataFrame:
+    """``(*by, cluster_id, load, first, last)``: the loads of :func:`fanout_loads` with a row for all fan-outs ``first`` .. ``last`` that have the same one.
+
+    The log is shuffled once, a row per query; a load only grows with the fan-out, so most accesses are one row for all fan-outs.
+    """
+    by = list(by)
+    whole = batched.select(*by, F.slice("ranked", 1, max_fanout).alias("ranked")).repartition(n_tasks, *by)
+    asked = whole.select(*by, F.posexplode("ranked").alias("pos", "cluster_id"))
+    counts = asked.groupBy(*by, "cluster_id", "pos").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*by, "cluster_id").orderBy("pos")
+    return counts.select(
+        *by,
+        "cluster_id",
+        F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("load"),
+        (F.col("pos") + 1).alias("first"),
+        F.coalesce(F.lead("pos").over(w), F.lit(max_fanout)).alias("last"),
+    )
+
+
 def cost_by_fanout(
     batched: DataFrame, profile: DataFrame, max_fanout: int, batch_size: int, sampling: DataFrame | None = None
 ) -> DataFrame:
@@ -173,21 +194,41 @@ def cost_sweep(
 
     ``profile(cluster_id, size, nprobe, k, threads, latency_s)``. Returns ``(sample_nprobe, deep_nprobe, k,
     threads, batch_size, c, n_batches, mean_s, throughput_qps)``. The log is batched once per batch size, and
-    one join looks up all settings. A batch counts for a setting only if the setting has a cost for all
+    one join looks up all settings: neither settings nor fan-outs multiply the rows that are shuffled. A batch counts for a setting only if the setting has a cost for all
     its loads (``mean_s`` is NULL if no batch does). Settings whose sampling step was not profiled at the batch
     size are left out.
     """
-    setting = ["nprobe", "k", "threads"]
+    setting, batch = ["nprobe", "k", "threads"], ["batch_size", "batch"]
     sizes = [log_batches(trace, size, mode).withColumn("batch_size", F.lit(size)) for size in batch_sizes]
-    loads = fanout_loads(reduce(DataFrame.unionByName, sizes), max_fanout, ["batch_size", "batch"])
-    # the number of clusters a batch waits for, next to each of its loads; a batch is a small group
-    loads = loads.withColumn("n_loads", F.count(F.lit(1)).over(Window.partitionBy("c", "batch_size", "batch")))
+    # a fixed share of the log per task, however well its rows are compressed
+    n_tasks = max(1, -(-trace.count() * len(sizes) // _TASK_QUERIES))
+    loads = _load_runs(reduce(DataFrame.unionByName, sizes), max_fanout, batch, n_tasks)
     deep = profile.where(F.col("nprobe").isin(list(deep_nprobe)))
     table = ceiling_table(deep.select("cluster_id", *setting, "size", "latency_s"), loads, ("cluster_id", *setting))
-    costed = loads.join(table.select("cluster_id", "load", *setting, "latency_s"), ["cluster_id", "load"])
-    worst = costed.groupBy("c", "batch_size", "batch", *setting).agg(
-        F.when(F.count(F.lit(1)) == F.max("n_loads"), F.max("latency_s")).alias("deep_s")
+    # settings are few: a load meets the costs of all of them in one row, under their numbers
+    settings = deep.select(*setting).distinct().coalesce(1).withColumn("setting", F.monotonically_increasing_id().cast("int"))
+    settings = checkpointed(settings)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in setting])
+    numbered = table.join(F.broadcast(settings.withColumnsRenamed({c: f"_{c}" for c in setting})), same)
+    entry = F.struct("setting", "n", "latency_s")
+    costs = (
+        numbered.groupBy("cluster_id", "load", "setting")
+        .agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("latency_s").alias("latency_s"))
+        .groupBy("cluster_id", "load")
+        .agg(F.sort_array(F.collect_list(entry)).alias("costs"))
+        .select("cluster_id", "load", *[F.col(f"costs.{c}").alias(f"_{c}") for c in ("setting", "n", "latency_s")])
+    )
+    costed = loads.join(costs, ["cluster_id", "load"], "left").drop("cluster_id", "load").repartition(n_tasks, *batch)
+    # setting -1 counts the clusters a batch waits for; all of a batch is in one task from here on
+    waits = F.array(F.struct(F.lit(-1).alias("_setting"), F.lit(1).alias("_n"), F.lit(None).cast(profile.schema["latency_s"].dataType).alias("_latency_s")))
+    known = F.when(F.col("_setting").isNotNull(), F.arrays_zip("_setting", "_n", "_latency_s"))
+    spread = costed.select(*batch, F.explode(F.sequence("first", "last")).alias("c"), F.concat(waits, F.coalesce(known, F.slice(waits, 1, 0))).alias("e"))
+    spread = spread.select(*batch, "c", F.explode("e").alias("e"))
+    worst = spread.groupBy(*batch, "c", F.col("e._setting").alias("setting")).agg(
+        F.sum("e._n").alias("n"), F.max("e._latency_s").alias("latency_s")
     )
+    n_loads = F.max(F.when(F.col("setting") == -1, F.col("n"))).over(Window.partitionBy(*batch, "c"))
+    worst = worst.withColumn("deep_s", F.when(F.col("n") == n_loads, F.col("latency_s"))).where("setting >= 0").join(F.broadcast(settings), "setting")
     means = worst.groupBy(*setting, "batch_size", "c").agg(
         F.count("deep_s").alias("n_batches"), F.avg("deep_s").alias("deep_s")
     )
