@@ -206,3 +206,37 @@ def test_packed_assignment_finds_no_row_again(spark, tmp_path, make_vectors):
     assert plan.count("embedding#") and "xxhash64(vec_id" not in plan
     wide = [line for line in plan.splitlines() if "FileScan" in line and "embedding" in line.split("ReadSchema")[1]]
     assert len(wide) == 1  # the vectors are read once
+
+
+@pytest.mark.parametrize("per", [(), ("part_id",)])
+def test_many_queries_go_in_shares_of_bounded_size(make_vectors, per, monkeypatch):
+    """A task holds a bounded number of queries however many there are, and lists that tasks have cut to k aren't sorted before the shuffle."""
+    rng = np.random.default_rng(5)
+    items, queries = rng.normal(size=(150, 4)), rng.normal(size=(60, 4))
+    asked, corpus = _sides(make_vectors, items, queries, np.arange(150) % 3)
+    monkeypatch.setattr(match, "_SHARE_BYTES", 15 * 8 * 4, raising=False)
+    held, broadcast = [], match._queries_broadcast
+
+    def counted(own, *rest):
+        held.append(own.count())
+        return broadcast(own, *rest)
+
+    monkeypatch.setattr(match, "_queries_broadcast", counted)
+    hits = topk_join(asked, corpus, 3, per=per, strategy="queries")
+    rows = hits.collect()
+    assert sum(held) == 60 and max(held) < 30
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" not in plan
+    got = grouped(rows, ["qid", *per], "item_id", "rk")
+    for part in range(3) if per else [None]:
+        at = np.arange(150) if part is None else np.flatnonzero(np.arange(150) % 3 == part)
+        assert [got[q if part is None else (q, part)] for q in range(60)] == brute_topk(queries, items[at], at, 3)
+
+
+def test_a_repeated_query_has_the_same_rows_when_items_are_broadcast_in_place_of_queries(make_vectors):
+    rng = np.random.default_rng(6)
+    items, queries = rng.normal(size=(40, 4)), rng.normal(size=(6, 4))
+    asked, corpus = _sides(make_vectors, items, queries)
+    twice = asked.unionByName(asked)
+    rows = [sorted(map(tuple, topk_join(twice, corpus, 4, strategy=form).collect())) for form in FORMS]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 6 * 4

@@ -3,14 +3,15 @@
 Every search and every assignment is one of these two functions. Three physical forms:
 
 ``queries``  the query side is small: it is broadcast, items stream past it once, each task
-             keeps a running top-k, and only those short lists are shuffled;
+             keeps a running top-k, and only those short lists are shuffled; a larger query side goes in
+             shares, each with a pass of its own, so that a task's memory doesn't grow with it;
 ``items``    the item side is small (centroids): it is broadcast, queries stream past it and
              the answer needs no shuffle;
 ``packed``   neither side fits: both sides are packed into bounded blocks by key and salt and dealt over
              a grid of query stripes and item stripes per key; each cell is one join key, so neither
              a hot key nor a large side is one task's work.
 
-``auto`` counts the preferred side first and takes the first form whose broadcast fits the limit.
+``auto`` counts the preferred side first and takes the first form whose broadcast fits the limit; queries of several shares come last.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ _STRIPE_PACKS = 16  # blocks of one key and side in a stripe; a grid cell pairs
 _ITEM_CHUNK = 8192  # items scored at once
 _PRUNE_VALUES = 256  # longest IN list pushed to the scan
 _STATE_ROWS = 4_000_000  # running top-k entries held by a task before they are emitted
+_SHARE_BYTES = 8 << 20  # query vectors (as DOUBLE) that a task holds at once
+_TASK_HITS = 8_192  # hits of the answer (per group) that one task of the last merge holds
 
 
 # --- helpers that run on executors ------------------------------------------------------------
@@ -192,9 +195,13 @@ def topk_join(
         if prefer == "items":
             sides.reverse()
         rows = {"queries": lambda: n_queries, "items": items.count}
-        strategy = next((side for side in sides if rows[side]() <= max_rows), "packed")
+        one_share = {"queries": min(max_rows, _SHARE_BYTES // max(1, 8 * dim)), "items": max_rows}
+        strategy = next((side for side in sides if rows[side]() <= one_share[side]), "queries" if n_queries <= max_rows else "packed")
+    n_tasks = max(1, -(-n_queries * k // _TASK_HITS))
     if strategy == "items":
-        return _items_broadcast(queries, items, k, on, per, dim)
+        hits = _items_broadcast(queries, items, k, on, per, dim)
+        # in place of another form, the rows of a repeated query are merged as there
+        return hits if prefer == "items" else _best_of(hits.drop("rk"), k, per, n_tasks)
     if strategy == "queries":
         params = decoding_ranges(sq, limit_bytes, dim)
         pairs = None
@@ -202,16 +209,21 @@ def topk_join(
             cap = limit_bytes // (8 * (1 + len(on)))
             pairs = probes.select("qid", *on).limit(cap + 1).toArrow()
         if params is not False and (pairs is None or pairs.num_rows <= cap):
-            # a part of the queries whose running top-k fits a task's state, and a pass over the items for each
-            shares = max(1, -(-n_queries * k // _STATE_ROWS))
+            # a part of the queries whose vectors and running top-k fit a task's state, and a pass over the items for each
+            shares = max(1, -(-n_queries * k // _STATE_ROWS), -(-n_queries * 8 * dim // _SHARE_BYTES))
             own = queries if shares == 1 else queries.withColumn("_share", F.pmod(F.xxhash64("qid"), F.lit(shares)))
             hits = [
                 _queries_broadcast(own if shares == 1 else own.where(F.col("_share") == n), items, k, on, per, pairs, params, dim)
                 for n in range(shares)
             ]
-            return best_per(reduce(DataFrame.unionByName, hits), k, ["qid", *per])
+            return _best_of(reduce(DataFrame.unionByName, hits), k, per, n_tasks)
     hits = _packed(queries, items, k, on, per, probes, sq)
-    return best_per(hits, k, ["qid", *per])
+    return _best_of(hits, k, per, n_tasks)
+
+
+def _best_of(hits: DataFrame, k: int, per: Sequence[str], n_tasks: int) -> DataFrame:
+    """:func:`best_per` of lists that tasks have cut to ``k`` already: they aren't sorted before the shuffle, and a task takes a bounded share of the queries."""
+    return best_per(hits.repartition(n_tasks, "qid"), k, ["qid", *per])
 
 
 def _queries_broadcast(queries, items, k, on, per, pairs, params, dim) -> DataFrame:

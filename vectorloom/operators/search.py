@@ -104,10 +104,10 @@ def routed_search(
 def with_routes(lists: DataFrame, m: int) -> DataFrame:
     """Add ``route_rk`` to per-part hit lists: the parts of a query ranked by the mean of their top ``m``.
 
-    The lists are read once; after one shuffle by query all windows run inside its few rows.
+    The lists are read once. Lists that were merged are dealt by query already, so all windows run inside its few rows.
     """
     within = Window.partitionBy("qid", "part_id")
-    scored = lists.repartition("qid").withColumn(
+    scored = lists.withColumn(
         "sample_score", F.avg(F.when(F.col("rk") <= m, F.col("score"))).over(within)
     )
     by_score = Window.partitionBy("qid").orderBy(F.desc("sample_score"), F.asc("part_id"))
