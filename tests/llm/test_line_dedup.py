@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import documents, nothing, sample_rows, tokens
@@ -99,3 +100,14 @@ def test_bitmaps_never_drop_a_pair():
             folded = ld._folded(maps, np.cumsum(width) - width, width)
             unlike = len(np.setxor1d(*sets))
             assert ld._different(folded, width, np.array([0]), np.array([1]), np.array([10**6]))[0] <= unlike
+
+
+def test_copies_of_a_line_are_dealt_out_once():
+    """Lines of the same words that are read together send one record to a bucket."""
+    text = "\n".join(f"{'abcdefghij'[i % 10]} one two three four five six seven" for i in range(200))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([text, text])], names=["doc_id", "text"])
+    rarity = np.full(1 << ld.RARITY_BITS, 2, np.int64)
+    dealt = pa.Table.from_batches(ld._entries(rarity, 16)([batch]))
+    for lines in dealt.column("lines").to_pylist():
+        digests = np.frombuffer(lines, ld._LINE)["digest"]
+        assert len(set(digests.tolist())) == len(digests) <= 10

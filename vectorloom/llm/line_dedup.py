@@ -28,7 +28,7 @@ THRESHOLD = Fraction(4, 5)
 #: Bits of the rarity table, and of the filter of lines that are verified.
 RARITY_BITS, FILTER_BITS = 22, 24
 #: Lines that meet by one word in one group; a more frequent word is cut into pairs of blocks of that many lines.
-MEET = 4096
+MEET = 8192
 #: Entries (a line and a word of its prefix) in one bucket of the candidate search, buckets at least, and lines verified together.
 BUCKET_ENTRIES, MIN_BUCKETS, SET_BLOCK = 1 << 18, 16, 512
 #: Entries of a table in one of the pieces that are added up (as bits), and words in a line for one 64-bit word of its bitmap.
@@ -41,7 +41,7 @@ _BLOB_TEXT = 1 << 19
 _RANK_BITS = 16
 _NO_ID = np.iinfo(np.int64).min
 
-_LINE = np.dtype([("digest", "u8"), ("doc", "i8"), ("number", "i4"), ("n", "i4"), ("width", "i4")])
+_LINE = np.dtype([("digest", "u8"), ("n", "i4")])
 _ENTRY = np.dtype([("key", "u4"), ("line", "u4"), ("pos", "u4"), ("side", "u1")])
 _PLACE = np.dtype([("digest", "u8"), ("doc", "i8"), ("rid", "i8"), ("number", "i4")])
 _DOC = np.dtype([("rid", "i8"), ("doc", "i8"), ("n_lines", "i8"), ("with_words", "i8")])
@@ -209,9 +209,13 @@ def _nullable(ids: np.ndarray) -> pa.Array:
     return pa.array(ids.copy(), mask=ids == _NO_ID)
 
 
+def _width(size: np.ndarray) -> np.ndarray:
+    return np.maximum(1, 1 << np.ceil(np.log2(size / _PER_BITMAP)).clip(0).astype(np.int64))
+
+
 def _bitmaps(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """Parity bitmap of each line, of 1, 2, 4 ... 64-bit words by its size, concatenated; and these widths."""
-    width = np.maximum(1, 1 << np.ceil(np.log2(lines.size / _PER_BITMAP)).clip(0).astype(np.int64))
+    width = _width(lines.size)
     offsets = np.concatenate(([0], np.cumsum(width)))
     line = np.repeat(np.arange(len(width)), lines.size)
     which = offsets[line] + ((lines.words >> np.uint64(6)) % width[line].astype(np.uint64)).astype(np.int64)
@@ -228,15 +232,17 @@ def _entries(rarity: np.ndarray, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _ids(batch)
-            for a, lines in _texts(batch, _BLOB_TEXT):
+            for _, lines in _texts(batch, _BLOB_TEXT):
                 if not len(lines.size):
                     continue
                 n = lines.size
                 line = np.repeat(np.arange(len(n)), n)
                 count = rarity[(lines.words >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
                 order = _order(line, np.minimum(count, (1 << _RANK_BITS) - 1), lines.words)
-                prefix = prefix_length(n)
+                # equal lines are one wherever they meet: the first of them stands for all
+                fresh = np.zeros(len(n), bool)
+                fresh[np.unique(lines.digest, return_index=True)[1]] = True
+                prefix = np.where(fresh, prefix_length(n), 0)
                 pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 owner = np.repeat(np.arange(len(n)), prefix)
                 at = order[np.repeat(lines.offsets[:-1], prefix) + pos]
@@ -260,8 +266,7 @@ def _entries(rarity: np.ndarray, buckets: int):
                 maps, width = _bitmaps(lines)
                 starts = np.cumsum(width) - width
                 table = np.empty(len(n), _LINE)
-                table["digest"], table["doc"], table["number"] = lines.digest, ids[a + lines.text], lines.number
-                table["n"], table["width"] = n, width
+                table["digest"], table["n"] = lines.digest, n
                 out = []
                 for i, j in zip(bounds[:-1], bounds[1:]):
                     part = entry[i:j]
@@ -295,8 +300,9 @@ def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         own = np.frombuffer(x, _LINE)
         part = np.frombuffer(e, _ENTRY).copy()
         part["line"] += at
-        starts.append(bit + np.cumsum(own["width"]) - own["width"])
-        bit += int(own["width"].sum())
+        width = _width(own["n"])
+        starts.append(bit + np.cumsum(width) - width)
+        bit += int(width.sum())
         at += len(own)
         lines.append(own)
         maps.append(np.frombuffer(m, np.uint64))
@@ -304,7 +310,8 @@ def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     lines, entries, maps, starts = (np.concatenate(x) for x in (lines, entries, maps, starts))
     # equal lines are one
     digest, first, cls = np.unique(lines["digest"], return_index=True, return_inverse=True)
-    size, width, starts = lines["n"][first].astype(np.int64), lines["width"][first], starts[first]
+    size, starts = lines["n"][first].astype(np.int64), starts[first]
+    width = _width(size)
     packed = (entries["key"].astype(np.uint64) << np.uint64(32)) | cls[entries["line"]].astype(np.uint64)
     order = np.argsort(packed)
     packed = packed[order]
