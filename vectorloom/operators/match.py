@@ -197,7 +197,7 @@ def topk_join(
         rows = {"queries": lambda: n_queries, "items": items.count}
         one_share = {"queries": min(max_rows, _SHARE_BYTES // max(1, 8 * dim)), "items": max_rows}
         strategy = next((side for side in sides if rows[side]() <= one_share[side]), "queries" if n_queries <= max_rows else "packed")
-    n_tasks = max(1, -(-n_queries * k // _TASK_HITS))
+    n_tasks = merge_tasks(n_queries, k)
     if strategy == "items":
         hits = _items_broadcast(queries, items, k, on, per, dim)
         # in place of another form, the rows of a repeated query are merged as there
@@ -223,6 +223,11 @@ def topk_join(
     return _best_of(hits, k, per, n_tasks)
 
 
+def merge_tasks(n_queries: int, k: int) -> int:
+    """Tasks over which the lists of several shares, or of packed blocks, are dealt by query."""
+    return max(1, -(-n_queries * k // _TASK_HITS))
+
+
 def _best_of(hits: DataFrame, k: int, per: Sequence[str], n_tasks: int) -> DataFrame:
     """:func:`best_per` of lists that tasks have cut to ``k`` already: they aren't sorted before the shuffle, and a task takes a bounded share of the queries."""
     return best_per(hits.repartition(n_tasks, "qid"), k, ["qid", *per])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -128,3 +129,13 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and broadcasts of tables that the program has dropped.
+
+    It does so once the driver's JVM has found them unused, which is a matter of chance while its memory lasts; a loop over parts
+    of a table would keep the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

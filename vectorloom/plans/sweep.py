@@ -3,29 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.operators.ivf import IvfIndex, probe_lists, search_probed, stack_indexes
-from vectorloom.operators.match import best_per
+from vectorloom.operators.match import best_per, merge_tasks
 from vectorloom.operators.quality import quality_by_config
 from vectorloom.operators.search import exact_topk, rank_parts
-from vectorloom.operators.sizing import checkpointed
+from vectorloom.operators.sizing import checkpointed, let_go, table_shape
 
 CONFIG = ["sample_nprobe", "deep_nprobe", "k", "c"]
 STRATEGIES = ["monolithic", "split", "routed"]
+_HELD = StorageLevel.MEMORY_AND_DISK
+_ROUND_PROBES = 1_600_000  # probed lists of the queries of one round
+_LEAST_TASKS = 8  # over which the hits of a round are dealt
 
 
-def list_hits(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, keep: Column, **match) -> DataFrame:
-    """``(qid, part_id, list_id, probe_rk, vec_id, score)``: top ``k`` per probed list.
+def _pair(a: Column, b: Column) -> Column:
+    """Two integers as one, the key of a map."""
+    return F.shiftleft(a.cast("bigint"), 32) + b.cast("bigint")
+
+
+def asked_lists(queries: DataFrame, index: IvfIndex, nprobe: int, keep: Column, **match) -> DataFrame:
+    """``(qid, asked)``: the probes of a query that ``keep`` selects as one map, from part and list to ``probe_rk``."""
+    probes = probe_lists(queries, index.coarse, nprobe, **match).where(keep)
+    entry = F.struct(_pair(F.col("part_id"), F.col("list_id")), "probe_rk")
+    return probes.groupBy("qid").agg(F.map_from_entries(F.collect_list(entry)).alias("asked"))
+
+
+def list_hits(queries: DataFrame, index: IvfIndex, k: int, asked: DataFrame, n_tasks: int, **match) -> DataFrame:
+    """``(qid, part_id, probe_rk, vec_id, score)``: top ``k`` per list of ``asked``.
 
     The top-k of a union is the top-k of the top-k lists, so every smaller setting is a filter on
-    ``probe_rk`` before the lists are merged. ``keep`` selects the probes that are searched.
+    ``probe_rk`` before the lists are merged. Hits are dealt by query over ``n_tasks``, as a search of several shares leaves them (it isn't
+    repeated then), and get their ``probe_rk`` by a join on the query alone.
     """
-    probes = checkpointed(probe_lists(queries, index.coarse, nprobe).where(keep).drop("score"))
-    hits = search_probed(queries, index, probes, k, per=("part_id", "list_id"), **match)
-    return hits.drop("rk").join(probes, ["qid", "part_id", "list_id"])
+    probes = asked.select("qid", F.explode("asked").alias("pair", "probe_rk"))
+    probes = probes.select("qid", F.shiftright("pair", 32).cast("int").alias("part_id"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("list_id"))
+    hits = search_probed(queries, index, probes, k, per=("part_id", "list_id"), **match).repartition(n_tasks, "qid")
+    rank = F.try_element_at("asked", _pair(F.col("part_id"), F.col("list_id")))
+    return hits.join(asked.repartition(n_tasks, "qid"), "qid").select("qid", "part_id", rank.alias("probe_rk"), "vec_id", "score")
 
 
 def _repeat_for(hits: DataFrame, column: str, values: Sequence[int], name: str) -> DataFrame:
@@ -79,69 +99,112 @@ def quality_sweep(
     ``monolithic`` has the single part 0, the others the parts 0..n_parts-1.
     Scores are computed once, at the largest setting; the grid is filters, small
     per-list merges and aggregations. Fan-outs are spelled out only after each part has been cut to
-    k hits, inside the group of one query.
+    k hits, inside the group of one query. Queries go in rounds of bounded size, and only a round's sums are kept, so the
+    disk that is held doesn't grow with the hits of all queries. Within a round hits are shuffled by query, and stay so.
     """
-    k_max = max(k)
+    spark, k_max = queries.sparkSession, max(k)
 
     def at_k(hits: DataFrame, by: Sequence[str]) -> DataFrame:
         """Rank once, then repeat a row for every k it belongs to."""
         return _repeat_for(best_per(hits, k_max, by, id_col="vec_id"), "rk", k, "k")
 
     # the true list of a query as one map, so that every hit is marked by a single join
-    truth = exact_topk(queries, corpus, k_max, **match).groupBy("qid").agg(
-        F.map_from_entries(F.collect_list(F.struct("vec_id", "rk"))).alias("true_list")
+    truth = checkpointed(
+        exact_topk(queries, corpus, k_max, **match).groupBy("qid").agg(
+            F.map_from_entries(F.collect_list(F.struct("vec_id", "rk"))).alias("true_list")
+        )
     )
-    truth = checkpointed(truth)
+    n_queries = truth.count()
+    let_go(spark)
 
     # all three indexes are probed and searched in one pass: parts 0, 1..n and n+1..2n
     stacked = stack_indexes([(monolithic, 0), (splits, 1), (clusters, 1 + n_parts)])
     part, largest = F.col("part_id"), max([*deep_nprobe, *sample_nprobe])
     allowed = F.when(part == 0, monolithic_nprobe).when(part <= n_parts, max(deep_nprobe)).otherwise(largest)
-    hits = list_hits(queries, stacked, k_max, max(monolithic_nprobe, largest), F.col("probe_rk") <= allowed, **match)
-    marked = hits.join(truth, "qid").withColumns(
-        {"true_rk": F.try_element_at("true_list", F.col("vec_id")), "n_true": F.size("true_list")}
-    )
-    searched = checkpointed(marked.drop("true_list"))
     every_k, one, fans = F.array(*[F.lit(v) for v in sorted(set(k))]), F.lit(1), F.sequence(F.lit(1), F.lit(n_parts))
 
-    # one index over everything: no fan-out, no routing
-    mono = best_per(searched.where(part == 0), k_max, ["qid"], id_col="vec_id").drop("rk")
-    mono = fan_out_quality(mono, ["qid"], one, F.array(one), every_k).drop("c")
-
-    # splits: the first c of them, unrouted
-    split = searched.where((part > 0) & (part <= n_parts)).withColumn("part_id", part - 1)
-    split = _repeat_for(split, "probe_rk", deep_nprobe, "deep_nprobe")
-    split = best_per(split, k_max, ["qid", "part_id", "deep_nprobe"], id_col="vec_id").drop("rk")
-    split = fan_out_quality(split, ["qid", "deep_nprobe"], F.col("part_id") + 1, fans, every_k)
-
-    # clusters: routes per (sample setting, k), since k hits make the sample score
-    base = searched.where(part > n_parts).withColumn("part_id", part - 1 - n_parts)
-    sample = at_k(_repeat_for(base, "probe_rk", sample_nprobe, "sample_nprobe"), ["qid", "part_id", "sample_nprobe"])
-    means = sample.groupBy("qid", "part_id", "sample_nprobe", "k").agg(F.avg("score").alias("sample_score"))
-    routes = rank_parts(means, ("qid", "sample_nprobe", "k"))
-    deep = at_k(_repeat_for(base, "probe_rk", deep_nprobe, "deep_nprobe"), ["qid", "part_id", "deep_nprobe"]).drop("rk")
-    routed = deep.join(routes.select("qid", "part_id", "sample_nprobe", "k", "route_rk"), ["qid", "part_id", "k"])
-    routed = fan_out_quality(routed, ["qid", "sample_nprobe", "deep_nprobe", "k"], F.col("route_rk"), fans, F.array("k"))
+    def scored_hits(searched: DataFrame) -> dict[str, DataFrame]:
+        """Quality per query and setting of each strategy."""
+        # one index over everything: no fan-out, no routing
+        mono = best_per(searched.where(part == 0), k_max, ["qid"], id_col="vec_id").drop("rk")
+        mono = fan_out_quality(mono, ["qid"], one, F.array(one), every_k).drop("c")
+
+        # splits: the first c of them, unrouted
+        split = searched.where((part > 0) & (part <= n_parts)).withColumn("part_id", part - 1)
+        split = _repeat_for(split, "probe_rk", deep_nprobe, "deep_nprobe")
+        split = best_per(split, k_max, ["qid", "part_id", "deep_nprobe"], id_col="vec_id").drop("rk")
+        split = fan_out_quality(split, ["qid", "deep_nprobe"], F.col("part_id") + 1, fans, every_k)
+
+        # clusters: routes per (sample setting, k), since k hits make the sample score
+        base = searched.where(part > n_parts).withColumn("part_id", part - 1 - n_parts)
+        sample = at_k(_repeat_for(base, "probe_rk", sample_nprobe, "sample_nprobe"), ["qid", "part_id", "sample_nprobe"])
+        means = sample.groupBy("qid", "part_id", "sample_nprobe", "k").agg(F.avg("score").alias("sample_score"))
+        routes = rank_parts(means, ("qid", "sample_nprobe", "k"))
+        deep = at_k(_repeat_for(base, "probe_rk", deep_nprobe, "deep_nprobe"), ["qid", "part_id", "deep_nprobe"]).drop("rk")
+        # a query's routes as one map from part and k, joined on the query alone like the probes
+        routes = routes.groupBy("qid", "part_id", "k").agg(F.collect_list(F.struct("sample_nprobe", "route_rk")).alias("routes"))
+        routes = routes.groupBy("qid").agg(
+            F.map_from_entries(F.collect_list(F.struct(_pair(F.col("part_id"), F.col("k")), "routes"))).alias("routes")
+        )
+        routed = deep.join(routes, "qid").withColumn("routes", F.try_element_at("routes", _pair(F.col("part_id"), F.col("k"))))
+        routed = routed.select("*", F.inline("routes")).drop("routes")
+        routed = fan_out_quality(routed, ["qid", "sample_nprobe", "deep_nprobe", "k"], F.col("route_rk"), fans, F.array("k"))
+        return {"monolithic": mono, "split": split, "routed": routed}
 
     # a strategy that ignores a setting has the same value all along it: average first, repeat the mean
-    n_queries = truth.agg(F.count(F.lit(1)).alias("n")).scalar()
+    own = {"monolithic": [], "split": ["deep_nprobe", "c"], "routed": ["sample_nprobe", "deep_nprobe", "c"]}
     axes = {
         "sample_nprobe": F.array(*[F.lit(v) for v in sorted(set(sample_nprobe))]),
         "deep_nprobe": F.array(*[F.lit(v) for v in sorted(set(deep_nprobe))]),
         "c": F.sequence(F.lit(1), F.lit(n_parts)),
     }
 
-    def means_of(strategy: str, scored: DataFrame, own: Sequence[str]) -> DataFrame:
-        sums = scored.groupBy("k", *own).agg(F.sum("recall").alias("recall"), F.sum("ndcg").alias("ndcg"))
-        mean = sums.withColumns({"recall": F.col("recall") / n_queries, "ndcg": F.col("ndcg") / n_queries})
+    def sums_of(strategy: str, scored: DataFrame) -> DataFrame:
+        sums = scored.groupBy("k", *own[strategy]).agg(F.sum("recall").alias("recall"), F.sum("ndcg").alias("ndcg"))
+        for name in axes:
+            if name not in own[strategy]:
+                sums = sums.withColumn(name, F.lit(None).cast("int"))
+        return sums.select(F.lit(strategy).alias("strategy"), *CONFIG, "recall", "ndcg")
+
+    n_rounds = max(1, -(-n_queries * (monolithic_nprobe + n_parts * (max(deep_nprobe) + largest)) // _ROUND_PROBES))
+
+    def round_sums(n: int) -> list:
+        """A row per setting and strategy with the sums over the queries of a round."""
+
+        def of_round(table: DataFrame) -> DataFrame:  # not the hash that deals rows to tasks, or queries to the shares of a search
+            return table if n_rounds == 1 else table.where(F.pmod(F.xxhash64("qid", F.lit("round")), F.lit(n_rounds)) == n)
+
+        asking = of_round(queries)
+        asked = asked_lists(asking, stacked, max(monolithic_nprobe, largest), F.col("probe_rk") <= allowed).persist(_HELD)
+        n_tasks = max(_LEAST_TASKS, merge_tasks(table_shape(asking, "qv")[0], k_max))
+        hits = list_hits(asking, stacked, k_max, asked, n_tasks, **match)
+        marked = hits.join(of_round(truth).repartition(n_tasks, "qid"), "qid").withColumns(
+            {"true_rk": F.try_element_at("true_list", F.col("vec_id")), "n_true": F.size("true_list")}
+        )
+        searched = marked.drop("true_list").persist(_HELD)
+        try:
+            sums = [sums_of(strategy, scored) for strategy, scored in scored_hits(searched).items()]
+            return reduce(DataFrame.unionByName, sums).collect()
+        finally:
+            searched.unpersist()
+            asked.unpersist()
+
+    rows = []
+    for n in range(n_rounds):
+        rows += round_sums(n)
+        let_go(spark)
+    schema = "strategy string, sample_nprobe int, deep_nprobe int, k int, c int, recall double, ndcg double"
+    total = spark.createDataFrame(rows, schema).groupBy("strategy", *CONFIG).agg(F.sum("recall").alias("recall"), F.sum("ndcg").alias("ndcg"))
+
+    def means_of(strategy: str) -> DataFrame:
+        mean = total.where(F.col("strategy") == strategy)
+        mean = mean.withColumns({"recall": F.col("recall") / n_queries, "ndcg": F.col("ndcg") / n_queries})
         for name, values in axes.items():
-            if name not in own:
+            if name not in own[strategy]:
                 mean = mean.withColumn(name, F.explode(values))
-        return mean.select(*CONFIG, F.lit(strategy).alias("strategy"), "recall", "ndcg")
+        return mean.select(*CONFIG, "strategy", "recall", "ndcg")
 
-    rows = means_of("monolithic", mono, [])
-    rows = rows.unionByName(means_of("split", split, ["deep_nprobe", "c"]))
-    rows = rows.unionByName(means_of("routed", routed, ["sample_nprobe", "deep_nprobe", "c"]))
+    rows = reduce(DataFrame.unionByName, [means_of(strategy) for strategy in STRATEGIES])
     return quality_by_config(rows, CONFIG, STRATEGIES).fillna(0.0)
 
 
